@@ -1,0 +1,33 @@
+"""Joining small results back onto a fact table.
+
+Group statistics, label codes and station lists are bounded by their key
+domain (stations, lines, hours), not by the number of fact rows. They are
+still never broadcast blindly: ``sized_broadcast`` materialises the small
+side once, counts it and broadcasts only under a row bound; above it the
+join stays a shuffle join, which AQE may split when a key is skewed.
+"""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ridelens.session import DEFAULT_MAX_BROADCAST_ROWS
+
+
+def sized_broadcast(small: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Persist ``small``, count it, and mark it for broadcast if it has at
+    most ``max_rows`` rows. The persisted copy is rebuilt from lineage if an
+    executor holding it is lost."""
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    n = small.count()
+    return F.broadcast(small) if n <= max_rows else small
+
+
+def left_join_small(fact: DataFrame, small: DataFrame, on, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                    checked: bool = False) -> DataFrame:
+    """Left join ``small`` onto ``fact``; ``checked=True`` means the caller
+    already proved the size (e.g. a literal dimension)."""
+    side = F.broadcast(small) if checked else sized_broadcast(small, max_rows)
+    return fact.join(side, on=on, how="left")
