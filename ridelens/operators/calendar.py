@@ -16,13 +16,18 @@ from ridelens.functions import exprs as X
 from ridelens.operators.joins import sized_broadcast
 
 
+def weekday_columns(date_col: str = "use_date") -> dict:
+    dow = F.weekday(date_col).cast("int")
+    return {
+        "dow": dow,
+        "day_name": F.date_format(date_col, "EEEE"),
+        "is_weekend": (dow >= 5).cast("int"),
+    }
+
+
 def with_weekday(df: DataFrame, date_col: str = "use_date") -> DataFrame:
     """dow (0 = Monday), English day name, weekend flag (dow >= 5)."""
-    return (
-        df.withColumn("dow", F.weekday(date_col).cast("int"))
-        .withColumn("day_name", F.date_format(date_col, "EEEE"))
-        .withColumn("is_weekend", (F.col("dow") >= 5).cast("int"))
-    )
+    return df.withColumns(weekday_columns(date_col))
 
 
 def with_month_third(df: DataFrame, date_col: str = "use_date") -> DataFrame:
@@ -43,10 +48,17 @@ def with_cyclic(df: DataFrame, column: str, period: int, prefix: str | None = No
 def with_time_features(df: DataFrame, date_col: str = "use_date") -> DataFrame:
     """dow, day name, weekend, month third, quarter and the sin/cos pairs of
     hour/24, dow/7 and month/12."""
-    out = with_quarter(with_month_third(with_weekday(df, date_col), date_col), date_col)
-    out = with_cyclic(out, "hour", 24)
-    out = with_cyclic(out, "dow", 7)
-    return with_cyclic(out, "month", 12)
+    cols = weekday_columns(date_col)
+    dow = cols["dow"]
+    month = F.col("month") if "month" in df.columns else F.month(date_col)
+    cols.update({
+        "month_third": X.month_third(F.dayofmonth(date_col)),
+        "quarter": F.quarter(date_col).cast("int"),
+        "hour_sin": X.cyclic_sin("hour", 24), "hour_cos": X.cyclic_cos("hour", 24),
+        "dow_sin": X.cyclic_sin(dow, 7), "dow_cos": X.cyclic_cos(dow, 7),
+        "month_sin": X.cyclic_sin(month, 12), "month_cos": X.cyclic_cos(month, 12),
+    })
+    return df.withColumns(cols)
 
 
 def holiday_flag_dim(holidays: DataFrame, date_col: str = "date") -> DataFrame:
@@ -63,21 +75,31 @@ def holiday_flag_dim(holidays: DataFrame, date_col: str = "date") -> DataFrame:
     )
 
 
-def with_holiday_flags(df: DataFrame, holidays: DataFrame, date_col: str = "use_date",
+def with_holiday_flags(df: DataFrame, holidays, date_col: str = "use_date",
                        holiday_date_col: str = "date") -> DataFrame:
     """is_holiday, holiday_eve (next day is a holiday), holiday_next (previous
     day was a holiday) and is_off_day (holiday or weekend; needs is_weekend,
-    computed here when absent)."""
-    dim = sized_broadcast(holiday_flag_dim(holidays, holiday_date_col))
+    computed here when absent).
+
+    ``holidays`` is a list of ISO dates (a literal table: its size is known,
+    it is broadcast without a check) or a DataFrame with a date column
+    (counted before it is broadcast)."""
+    if isinstance(holidays, (list, tuple)):
+        from ridelens.sources.dims import holiday_dates
+
+        dim = F.broadcast(holiday_flag_dim(holiday_dates(df.sparkSession, list(holidays)), "date"))
+    else:
+        dim = sized_broadcast(holiday_flag_dim(holidays, holiday_date_col))
     out = df.join(dim, F.col(date_col) == dim["_date"], "left").drop("_date")
-    out = (
-        out.withColumn("is_holiday", F.coalesce("_is_holiday", F.lit(0)).cast("int"))
-        .withColumn("holiday_eve", F.coalesce("_holiday_eve", F.lit(0)).cast("int"))
-        .withColumn("holiday_next", F.coalesce("_holiday_next", F.lit(0)).cast("int"))
-        .drop("_is_holiday", "_holiday_eve", "_holiday_next")
-    )
+    hol = F.coalesce("_is_holiday", F.lit(0)).cast("int")
     weekend = F.col("is_weekend") if "is_weekend" in df.columns else (F.weekday(date_col) >= 5).cast("int")
-    return out.withColumn("is_off_day", ((F.col("is_holiday") == 1) | (weekend == 1)).cast("int"))
+    out = out.withColumns({
+        "is_holiday": hol,
+        "holiday_eve": F.coalesce("_holiday_eve", F.lit(0)).cast("int"),
+        "holiday_next": F.coalesce("_holiday_next", F.lit(0)).cast("int"),
+        "is_off_day": ((hol == 1) | (weekend == 1)).cast("int"),
+    })
+    return out.drop("_is_holiday", "_holiday_eve", "_holiday_next")
 
 
 def with_is_holiday(df: DataFrame, holidays: DataFrame, date_col: str, holiday_date_col: str = "holiday_date",

@@ -28,10 +28,11 @@ def fill_features(df: DataFrame, columns) -> DataFrame:
 def replace_inf(df: DataFrame, columns) -> DataFrame:
     """+/- infinity -> 0 in the listed numeric columns."""
     inf = float("inf")
-    for c in columns:
-        col = F.col(c)
-        df = df.withColumn(c, F.when((col == inf) | (col == -inf), F.lit(0).cast(df.schema[c].dataType)).otherwise(col))
-    return df
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return df.withColumns({
+        c: F.when((F.col(c) == inf) | (F.col(c) == -inf), F.lit(0).cast(types[c])).otherwise(F.col(c))
+        for c in columns
+    })
 
 
 def _bounds(df: DataFrame, columns, k: float, method: str, accuracy: int) -> Column:
@@ -61,11 +62,12 @@ def cap_outliers(df: DataFrame, columns=COUNT_COLUMNS, k: float = 1.5, mult: flo
     parts). Output columns are DOUBLE."""
     qs = _bounds(df, columns, k, method, accuracy)
     out = df.withColumn("_q", qs)
+    cols = {}
     for c in columns:
         ub = _upper(F.col("_q"), c, k)
         clipped = F.when(F.col(c) < 0, F.lit(0.0)).otherwise(F.col(c).cast("double"))
-        out = out.withColumn(c, F.when(clipped > F.lit(mult) * ub, ub).otherwise(clipped))
-    return out.drop("_q")
+        cols[c] = F.when(clipped > F.lit(mult) * ub, ub).otherwise(clipped)
+    return out.withColumns(cols).drop("_q")
 
 
 def outlier_counts(df: DataFrame, columns=COUNT_COLUMNS, k: float = 1.5, mult: float = 2.0,

@@ -45,11 +45,26 @@ def label_codes(df: DataFrame, columns=ENCODED_COLUMNS) -> DataFrame:
     return distinct.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
 
 
-def label_encode(df: DataFrame, columns=ENCODED_COLUMNS, suffix: str = "_idx"):
+def label_codes_from_stats(stats: DataFrame, columns) -> DataFrame:
+    """The code table from a ``group_stats`` table whose grouping keys
+    include the columns: its groups are exactly the distinct values."""
+    parts = None
+    for c in columns:
+        part = stats.filter(F.col("_set") == c).select(F.lit(c).alias("column_name"), _as_text(c).alias("value"))
+        parts = part if parts is None else parts.unionByName(part)
+    w = Window.partitionBy("column_name").orderBy("value")
+    return parts.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+
+
+def label_encode(df: DataFrame, columns=ENCODED_COLUMNS, suffix: str = "_idx", stats: DataFrame | None = None):
     """Adds ``<column>_idx`` for each listed column that exists; returns
-    (encoded DataFrame, code table)."""
+    (encoded DataFrame, code table). With ``stats`` (a ``group_stats`` table
+    over these columns) no extra pass over the data is needed."""
     columns = [c for c in columns if c in df.columns]
-    codes = sized_broadcast(label_codes(df, columns))
+    if stats is None:
+        codes = sized_broadcast(label_codes(df, columns))
+    else:
+        codes = sized_broadcast(label_codes_from_stats(stats, columns))
     out = df
     for c in columns:
         side = codes.filter(F.col("column_name") == c).select(

@@ -20,15 +20,11 @@ def with_station_categories(df: DataFrame, dim: DataFrame | None = None, station
     dim = station_category_dim(df.sparkSession) if dim is None else dim
     side = F.broadcast(dim.withColumnRenamed("station", "_cat_station"))
     out = df.join(side, F.col(station_col) == F.col("_cat_station"), "left").drop("_cat_station")
-    for c in K.STATION_CATEGORY_COLUMNS:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0)).cast("int"))
-    return out
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("int") for c in K.STATION_CATEGORY_COLUMNS})
 
 
 def with_hour_flags(df: DataFrame, hour_col: str = "hour") -> DataFrame:
-    for name in X.HOUR_FLAGS:
-        df = df.withColumn(name, X.hour_flag(hour_col, name))
-    return df
+    return df.withColumns({name: X.hour_flag(hour_col, name) for name in X.HOUR_FLAGS})
 
 
 def with_rush_intensity(df: DataFrame, hour_col: str = "hour") -> DataFrame:
@@ -40,20 +36,22 @@ def with_interactions(df: DataFrame) -> DataFrame:
     added only when those columns exist."""
     c = F.col
     have = set(df.columns)
+    cols = {}
     if {"period_idx", "dow"} <= have:
-        df = df.withColumn("time_dow", c("period_idx") * 10 + c("dow"))
+        cols["time_dow"] = c("period_idx") * 10 + c("dow")
     if {"station_idx", "period_idx"} <= have:
-        df = df.withColumn("station_time", c("station_idx") * 10 + c("period_idx"))
-    df = (
-        df.withColumn("business_rush", c("cat_business") * c("rush_intensity") * 10)
-        .withColumn("transfer_rush", c("cat_transfer") * c("rush_intensity") * 10)
-        .withColumn("university_morning", c("cat_university") * c("f_morning"))
-        .withColumn("business_weekday", c("cat_business") * (1 - c("is_weekend")))
-        .withColumn("commercial_weekend", c("cat_commercial") * c("is_weekend"))
-    )
+        cols["station_time"] = c("station_idx") * 10 + c("period_idx")
+    cols.update({
+        "business_rush": c("cat_business") * c("rush_intensity") * 10,
+        "transfer_rush": c("cat_transfer") * c("rush_intensity") * 10,
+        "university_morning": c("cat_university") * c("f_morning"),
+        "business_weekday": c("cat_business") * (1 - c("is_weekend")),
+        "commercial_weekend": c("cat_commercial") * c("is_weekend"),
+    })
     if "period_idx" in have:
-        df = df.withColumn("group_time_dow", c("cat_group") * 100 + c("period_idx") * 10 + c("dow"))
-    return df.withColumn("transfer_rush_weekday", c("cat_transfer") * c("f_morning") * (1 - c("is_weekend")))
+        cols["group_time_dow"] = c("cat_group") * 100 + c("period_idx") * 10 + c("dow")
+    cols["transfer_rush_weekday"] = c("cat_transfer") * c("f_morning") * (1 - c("is_weekend"))
+    return df.withColumns(cols)
 
 
 def drop_target_leaks(df: DataFrame, strict: bool = False) -> DataFrame:

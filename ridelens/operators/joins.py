@@ -9,18 +9,18 @@ join stays a shuffle join, which AQE may split when a key is skewed.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.session import DEFAULT_MAX_BROADCAST_ROWS
+from ridelens.session import DEFAULT_MAX_BROADCAST_ROWS, checkpoint_stage
 
 
 def sized_broadcast(small: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Persist ``small``, count it, and mark it for broadcast if it has at
-    most ``max_rows`` rows. The persisted copy is rebuilt from lineage if an
-    executor holding it is lost."""
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    """Materialise ``small`` once as a reliable checkpoint (in the session's
+    checkpoint folder, so it survives lost executors and cuts its lineage),
+    count it, and mark it for broadcast if it has at most ``max_rows`` rows;
+    a larger table stays a regular (shuffle) join side."""
+    small = checkpoint_stage(small)
     n = small.count()
     return F.broadcast(small) if n <= max_rows else small
 

@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from ridelens.functions import constants as K
+from ridelens.sources.dims import literal_table
 
 
 def search_stations(dim: DataFrame, line: str | None = None, pattern: str | None = None,
@@ -32,8 +35,8 @@ def list_lines(dim: DataFrame) -> DataFrame:
     """Sorted distinct lines; the fixed default list when there are none."""
     lines = dim.select("line").filter(F.col("line").isNotNull()).distinct()
     n = lines.agg(F.count(F.lit(1))).scalar()
-    spark = dim.sparkSession
-    default = spark.createDataFrame([(x,) for x in K.DEFAULT_LINES], "line string").filter(n == 0)
+    schema = T.StructType([T.StructField("line", T.StringType())])
+    default = literal_table(dim.sparkSession, [(x,) for x in K.DEFAULT_LINES], schema).filter(n == 0)
     return lines.unionByName(default).orderBy("line")
 
 

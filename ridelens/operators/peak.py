@@ -18,11 +18,9 @@ PEAK_PARTITION = ("station", "line", "use_month")
 
 def hourly_totals(df: DataFrame, on_col: str = "boardings", off_col: str = "alightings") -> DataFrame:
     """ride_on / ride_off (missing = 0) and their sum; hours with no riders are dropped."""
-    out = (
-        df.withColumn("ride_on", F.coalesce(F.col(on_col).cast("double"), F.lit(0.0)))
-        .withColumn("ride_off", F.coalesce(F.col(off_col).cast("double"), F.lit(0.0)))
-        .withColumn("passengers_total", F.col("ride_on") + F.col("ride_off"))
-    )
+    on = F.coalesce(F.col(on_col).cast("double"), F.lit(0.0))
+    off = F.coalesce(F.col(off_col).cast("double"), F.lit(0.0))
+    out = df.withColumns({"ride_on": on, "ride_off": off, "passengers_total": on + off})
     return out.filter(F.col("passengers_total") > 0)
 
 
@@ -34,13 +32,15 @@ def with_peak(df: DataFrame, partition=PEAK_PARTITION) -> DataFrame:
     share = F.col("passengers_total") / F.col("_peak") * 100
     return (
         df.withColumn("_peak", F.max("passengers_total").over(w))
-        .withColumn("congestion_percent", F.round(share, 1))
-        .withColumn("peak_level", X.peak_level(share))
-        .withColumn("is_peak", F.col("passengers_total") == F.col("_peak"))
-        .withColumn("max_passengers", F.col("_peak").cast("long"))
-        .withColumn("passengers", F.col("passengers_total").cast("long"))
-        .withColumn("ride_on", F.col("ride_on").cast("long"))
-        .withColumn("ride_off", F.col("ride_off").cast("long"))
+        .withColumns({
+            "congestion_percent": F.round(share, 1),
+            "peak_level": X.peak_level(share),
+            "is_peak": F.col("passengers_total") == F.col("_peak"),
+            "max_passengers": F.col("_peak").cast("long"),
+            "passengers": F.col("passengers_total").cast("long"),
+            "ride_on": F.col("ride_on").cast("long"),
+            "ride_off": F.col("ride_off").cast("long"),
+        })
         .drop("_peak")
     )
 

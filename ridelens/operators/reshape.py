@@ -86,11 +86,7 @@ def with_month_date(df: DataFrame, month_col: str = "use_month") -> DataFrame:
     """yyyymm -> use_date (first of the month), year, month."""
     m = F.col(month_col)
     d = F.try_to_date(F.concat(m.cast("string"), F.lit("01")), "yyyyMMdd")
-    return (
-        df.withColumn("use_date", d)
-        .withColumn("year", F.year("use_date"))
-        .withColumn("month", F.month("use_date"))
-    )
+    return df.withColumns({"use_date": d, "year": F.year(d), "month": F.month(d)})
 
 
 def with_period(df: DataFrame, hour_col: str = "hour") -> DataFrame:
@@ -100,13 +96,10 @@ def with_period(df: DataFrame, hour_col: str = "hour") -> DataFrame:
 def with_congestion(df: DataFrame, total_col: str = "total", thresholds=None) -> DataFrame:
     """Absolute congestion label and its level 0..3."""
     kw = {} if thresholds is None else {"thresholds": thresholds}
-    return df.withColumn("congestion", X.congestion_label(total_col, **kw)).withColumn(
-        "level", X.level_of_label("congestion")
-    )
+    label = X.congestion_label(total_col, **kw)
+    return df.withColumns({"congestion": label, "level": X.level_of_label(label)})
 
 
 def normalize_names(df: DataFrame, columns=("line", "station")) -> DataFrame:
     """Strip leading / trailing white space (Unicode, like Python's strip)."""
-    for c in columns:
-        df = df.withColumn(c, X.strip_unicode(c))
-    return df
+    return df.withColumns({c: X.strip_unicode(c) for c in columns})

@@ -4,7 +4,9 @@ All statistics of one call come from a single GROUPING SETS aggregate: one
 scan, partial aggregation on every task (a key holding a third of the rows
 is pre-aggregated before the shuffle), and a result whose size is bounded by
 the key domains. That result is size-checked and broadcast, so the fact
-table itself is never shuffled for these joins.
+table itself is never shuffled for these joins. ``group_stats`` can be
+computed once and shared by several operators (means, extremes, label
+codes), which then cost no further pass over the data.
 """
 
 from __future__ import annotations
@@ -17,45 +19,51 @@ from ridelens.operators.joins import sized_broadcast
 _MEAN_NAMES = {"station": "station_avg", "hour": "hour_avg", "line": "line_avg"}
 
 
-def _attach(df: DataFrame, value_col: str, keys: list[str], aggs: dict[str, dict[str, str]]) -> DataFrame:
-    """aggs: key -> {output column: 'avg' | 'max' | 'min'}."""
-    fn = {"avg": F.avg, "max": F.max, "min": F.min}
-    wanted = sorted({kind for spec in aggs.values() for kind in spec.values()})
-    exprs = [fn[kind](value_col).alias(f"_{kind}") for kind in wanted]
+def group_stats(df: DataFrame, keys, value_col: str = "total", check_size: bool = True) -> DataFrame:
+    """One row per (grouping key, value): ``_set`` names the key, the key
+    column holds the value (the other key columns are null), and ``_avg``,
+    ``_max``, ``_min``, ``_n`` summarise ``value_col`` in that group."""
+    keys = list(keys)
+    v = F.col(value_col)
+    exprs = [F.avg(v).alias("_avg"), F.max(v).alias("_max"), F.min(v).alias("_min"), F.count(F.lit(1)).alias("_n")]
     if len(keys) == 1:
-        k = keys[0]
-        stats = df.groupBy(k).agg(*exprs).withColumn("_set", F.lit(k))
+        stats = df.groupBy(keys[0]).agg(*exprs).withColumn("_set", F.lit(keys[0]))
     else:
-        gid = F.grouping_id(*keys).alias("_gid")
-        stats = df.groupingSets([[k] for k in keys], *keys).agg(*exprs, gid)
+        stats = df.groupingSets([[k] for k in keys], *keys).agg(*exprs, F.grouping_id(*keys).alias("_gid"))
         # grouping_id bit i (from the left) is set when keys[i] is aggregated away
         n = len(keys)
         set_name = None
         for i, k in enumerate(keys):
-            mask = (1 << n) - 1 - (1 << (n - 1 - i))
-            cond = F.col("_gid") == mask
+            cond = F.col("_gid") == ((1 << n) - 1 - (1 << (n - 1 - i)))
             set_name = F.when(cond, F.lit(k)) if set_name is None else set_name.when(cond, F.lit(k))
         stats = stats.withColumn("_set", set_name).drop("_gid")
-    stats = sized_broadcast(stats)
+    return sized_broadcast(stats) if check_size else stats
+
+
+def attach_stats(df: DataFrame, stats: DataFrame, spec: dict[str, dict[str, str]]) -> DataFrame:
+    """spec: key -> {output column: 'avg' | 'max' | 'min' | 'n'}; left joins
+    each key's slice of the (broadcast) stats table."""
     out = df
-    for k in keys:
-        spec = aggs[k]
+    for k, cols in spec.items():
         side = stats.filter(F.col("_set") == k).select(
-            k, *[F.col(f"_{kind}").alias(name) for name, kind in spec.items()]
+            k, *[F.col(f"_{kind}").alias(name) for name, kind in cols.items()]
         )
         out = out.join(side, on=k, how="left")
     return out
 
 
-def with_group_means(df: DataFrame, which=("station", "hour", "line"), total_col: str = "total") -> DataFrame:
+def with_group_means(df: DataFrame, which=("station", "hour", "line"), total_col: str = "total",
+                     stats: DataFrame | None = None) -> DataFrame:
     """Mean total per station, per hour and per line, joined back."""
     keys = list(which)
-    return _attach(df, total_col, keys, {k: {_MEAN_NAMES[k]: "avg"} for k in keys})
+    stats = group_stats(df, keys, total_col) if stats is None else stats
+    return attach_stats(df, stats, {k: {_MEAN_NAMES[k]: "avg"} for k in keys})
 
 
-def with_station_extremes(df: DataFrame, total_col: str = "total") -> DataFrame:
+def with_station_extremes(df: DataFrame, total_col: str = "total", stats: DataFrame | None = None) -> DataFrame:
     """Max and min total per station, joined back."""
-    return _attach(df, total_col, ["station"], {"station": {"station_max": "max", "station_min": "min"}})
+    stats = group_stats(df, ["station"], total_col) if stats is None else stats
+    return attach_stats(df, stats, {"station": {"station_max": "max", "station_min": "min"}})
 
 
 def with_rel_congestion(df: DataFrame, total_col: str = "total") -> DataFrame:

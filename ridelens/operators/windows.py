@@ -29,10 +29,11 @@ def history_window(partition=PARTITION, order=ORDER):
 def with_lags(df: DataFrame, lags=(1, 7), value_col: str = "total", partition=PARTITION, order=ORDER,
               fill: float | None = 0) -> DataFrame:
     w = history_window(partition, order)
+    cols = {}
     for k in lags:
         c = F.lag(value_col, k).over(w).cast("double")
-        df = df.withColumn(f"lag_{k}", F.coalesce(c, F.lit(float(fill))) if fill is not None else c)
-    return df
+        cols[f"lag_{k}"] = F.coalesce(c, F.lit(float(fill))) if fill is not None else c
+    return df.withColumns(cols)
 
 
 def with_rolling(df: DataFrame, value_col: str = "total", partition=PARTITION, order=ORDER,
@@ -47,9 +48,9 @@ def with_rolling(df: DataFrame, value_col: str = "total", partition=PARTITION, o
         "ma_7": F.avg(v).over(w.rowsBetween(-6, 0)),
         "std_7": F.stddev_samp(v).over(w.rowsBetween(-6, 0)),
     }
-    for name, c in feats.items():
-        df = df.withColumn(name, F.coalesce(c, F.lit(float(fill))) if fill is not None else c)
-    return df
+    return df.withColumns({
+        name: (F.coalesce(c, F.lit(float(fill))) if fill is not None else c) for name, c in feats.items()
+    })
 
 
 def with_history_features(df: DataFrame, value_col: str = "total") -> DataFrame:

@@ -16,17 +16,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ridelens.operators import calendar, clean, encode, enhance, reshape, stats, windows
+from ridelens.session import checkpoint_stage
 
 
-def preprocess_long(long_df: DataFrame) -> DataFrame:
+def preprocess_long(long_df: DataFrame, checkpoint: bool = True) -> DataFrame:
     """Long (use_month, line, station, hour, boardings, alightings, total) ->
-    processed table with date, labels, capped counts and group means."""
+    processed table with date, labels, capped counts and group means.
+
+    The capped table is checkpointed (the source writes its processed CSV
+    here): the group statistics and every later statistic read that table
+    once instead of re-running the scan, the quartiles and the cleaning."""
     df = clean.fill_missing(long_df)
     df = reshape.with_month_date(df)
     df = reshape.with_period(df)
     df = reshape.with_congestion(df)
     df = reshape.normalize_names(df)
     df = clean.cap_outliers(df)
+    if checkpoint:
+        df = checkpoint_stage(df)
     return stats.with_group_means(df)
 
 
@@ -34,17 +41,24 @@ def preprocess(wide_df: DataFrame) -> DataFrame:
     return preprocess_long(reshape.wide_to_long(wide_df))
 
 
-def engineer_features(processed: DataFrame, holidays: DataFrame):
-    """Processed table -> (training feature table, label code table)."""
+def engineer_features(processed: DataFrame, holidays, checkpoint: bool = True):
+    """Processed table -> (training feature table, label code table).
+
+    Station extremes and the distinct values behind every label code come
+    from ONE grouping-sets pass over the processed table."""
     df = calendar.with_time_features(processed)
     df = calendar.with_holiday_flags(df, holidays)
+    shared = stats.group_stats(df, ["station", "line", "period", "congestion", "month_third"])
     df = windows.with_history_features(df)
-    df = stats.with_station_extremes(df)
+    df = stats.with_station_extremes(df, stats=shared)
     df = stats.with_rel_congestion(df)
     df = stats.with_transfer_by_name(df)
     df = encode.with_combos(df)
-    df, codes = encode.label_encode(df)
-    return encode.select_features(df), codes
+    df, codes = encode.label_encode(df, stats=shared)
+    features = encode.select_features(df)
+    if checkpoint:
+        features = checkpoint_stage(features)
+    return features, codes
 
 
 def enhance_features(features: DataFrame, strict: bool = False) -> DataFrame:

@@ -51,6 +51,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder for stage checkpoints")
     local = tempfile.mkdtemp(prefix="ridelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
+
+
+def checkpoint_stage(df):
+    """Materialise a stage table in the session's checkpoint folder and cut
+    its lineage (a reliable checkpoint: it survives the loss of executors,
+    unlike a local one). Statistics computed after this point read the
+    written table instead of recomputing the stage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -131,7 +131,11 @@ def v_daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_holidays(spark: SparkSession) -> DataFrame:
     dates = [f"{y}-{md}" for y in FIXTURE_HOLIDAY_YEARS for md in FIXTURE_HOLIDAY_MONTH_DAYS]
     dates += FIXTURE_HOLIDAY_EXTRA
-    return spark.createDataFrame([(d,) for d in dates], "d string").select(F.to_date("d").alias("date"))
+    from ridelens.sources.dims import literal_table
+    from pyspark.sql import types as T
+
+    t = literal_table(spark, [(d,) for d in dates], T.StructType([T.StructField("d", T.StringType())]))
+    return t.select(F.to_date("d").alias("date"))
 
 
 def v_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
