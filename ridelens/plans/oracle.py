@@ -522,3 +522,73 @@ SELECT station, line, is_transfer, (SELECT count(*) FROM hit) AS total FROM hit
 q("list_lines", STATION_DIM + "\nSELECT DISTINCT line FROM sdim ORDER BY line")
 q("suggest", STATION_DIM + """
 SELECT DISTINCT station, line FROM sdim WHERE contains(station, '입구') ORDER BY station, line LIMIT 15""")
+
+# --- phase 6b: payloads, holidays, files --------------------------------------------
+PJ = f""", pj AS (
+  SELECT event_id, n, user_id, ts, strftime(ts, '%Y%m%d') AS d, strftime(ts, '%Y%m') AS ym,
+         CAST(hour(ts) AS INTEGER) AS h, {LINE_CASE} AS line, {STATION_CASE.format(c='user_id')} AS station,
+         event_id % 7 = 0 AS err
+  FROM ev
+)"""
+q("flatten_ridership", PJ + """
+, ok AS (SELECT * FROM pj WHERE NOT err AND (event_id % 11 = 0 OR event_id % 13 <> 0))
+SELECT event_id, 0 AS row_no, d AS use_dt, line, station, n AS ride, user_id AS alight FROM ok
+UNION ALL
+SELECT event_id, 1, d, line, station, n + 1, user_id + 1 FROM ok WHERE event_id % 3 = 0""")
+_ARR = """SELECT event_id, {no} AS item_no, CAST(1001 + event_id % 9 AS VARCHAR) AS line, station,
+  CASE WHEN (event_id % 2 = 0) = {first} THEN '상행' ELSE '하행' END AS updnLine,
+  line || ' 방면' AS trainLineNm, CAST(n + {no} AS VARCHAR) || '분 후' AS arvlMsg2,
+  CASE WHEN event_id % 11 = 0 THEN '' ELSE station END AS arvlMsg3,
+  CASE WHEN event_id % 11 = 0 THEN '' ELSE '일반' END AS btrainSttus,
+  CAST(event_id % 6 AS VARCHAR) AS arvlCd FROM ok"""
+q("flatten_arrivals", PJ + """
+, ok AS (SELECT * FROM pj WHERE NOT err AND event_id % 13 <> 0)
+""" + _ARR.format(no=0, first="true") + "\nUNION ALL\n" + _ARR.format(no=1, first="false") + " WHERE event_id % 3 = 0")
+_FC = """SELECT event_id, {no} AS item_no, d AS baseDate, '0500' AS baseTime, '{cat}' AS category, d AS fcstDate,
+  lpad(CAST(h AS VARCHAR), 2, '0') || '00' AS fcstTime, CAST({val} AS VARCHAR) AS fcstValue,
+  CAST(60 AS BIGINT) AS nx, CAST(127 AS BIGINT) AS ny FROM ok"""
+q("flatten_forecast", PJ + """
+, ok AS (SELECT * FROM pj WHERE NOT err AND event_id % 11 <> 0)
+""" + _FC.format(no=0, cat="TMP", val="n % 40") + "\nUNION ALL\n" + _FC.format(no=1, cat="POP", val="user_id % 100"))
+HOURLY = PJ + """
+, hr AS (
+  SELECT event_id, ym AS use_month_text, line, station, CAST(hh.range AS INTEGER) AS hour,
+    CAST(CASE WHEN (event_id + hh.range) % 11 <> 0 THEN (n * (hh.range + 1) + event_id) % 500 ELSE 0 END AS DOUBLE) AS ride_on,
+    CAST(CASE WHEN (event_id + hh.range) % 11 <> 0 THEN (user_id * (hh.range + 3) + n) % 400 ELSE 0 END AS DOUBLE) AS ride_off
+  FROM pj CROSS JOIN range(24) hh WHERE NOT err
+)"""
+q("flatten_hourly", HOURLY + "\nSELECT * FROM hr")
+q("payload_peak", HOURLY + """
+, t AS (SELECT event_id, hour, ride_on + ride_off AS tot FROM hr WHERE ride_on + ride_off > 0),
+p AS (SELECT *, max(tot) OVER (PARTITION BY event_id) AS pk FROM t)
+SELECT event_id, hour, CAST(tot AS BIGINT) AS passengers, CAST(pk AS BIGINT) AS max_passengers,
+  round(tot / pk * 100, 1) AS congestion_percent,
+  CASE WHEN tot / pk * 100 >= 90 THEN '매우혼잡' WHEN tot / pk * 100 >= 70 THEN '혼잡'
+       WHEN tot / pk * 100 >= 40 THEN '보통' ELSE '여유' END AS peak_level,
+  tot = pk AS is_peak FROM p""")
+_CH = ", ".join(f"({_q(dd)}, {_q(nm)})" for dd, nm in K.COLLECTOR_HOLIDAYS_2025)
+q("holiday_dim", f"""
+, hd AS (SELECT * FROM (VALUES {_CH}) t(date, holiday_name)),
+days AS (SELECT strftime(use_date, '%m%d') AS mmdd, count(*) AS n_rows FROM v_clean GROUP BY ALL)
+SELECT hd.date, 1 AS is_holiday, hd.holiday_name, strptime(hd.date, '%Y%m%d')::DATE AS holiday_date,
+       CAST(coalesce(days.n_rows, 0) AS BIGINT) AS n_rows
+FROM hd LEFT JOIN days ON days.mmdd = substr(hd.date, 5, 4)""")
+_HOL = ", ".join(f"(DATE '{x}')" for x in K.HOLIDAYS)
+q("is_holiday", f"""
+, cal AS (SELECT * FROM (VALUES {_HOL}) t(date))
+SELECT DISTINCT use_date, use_date IN (SELECT date FROM cal) AS is_holiday FROM v_clean""")
+q("csv_roundtrip", LONG + f"\nSELECT {MKEYS}, boardings, alightings, total FROM long")
+q("stage_roundtrip", f"""
+SELECT {KEYS}, use_month, total, {LABEL_CASE.format(t='total')} AS congestion, {LEVEL_CASE.format(t='total')} AS level
+FROM v_clean""")
+q("schema_report", """
+, c AS (SELECT count(use_month) AS c0, count(use_date) AS c1, count(line) AS c2, count(station) AS c3,
+               count(hour) AS c4, count(boardings) AS c5, count(alightings) AS c6 FROM v_ridership)
+SELECT t.col_pos, t.column_name, t.data_type, [c0, c1, c2, c3, c4, c5, c6][t.col_pos + 1] AS non_null
+FROM (VALUES (0, 'use_month', 'int'), (1, 'use_date', 'date'), (2, 'line', 'string'), (3, 'station', 'string'),
+             (4, 'hour', 'int'), (5, 'boardings', 'bigint'), (6, 'alightings', 'bigint')) t(col_pos, column_name, data_type),
+     c""")
+
+_ENH_DOUBLE = _DOUBLE_FEATURES | {"rush_intensity", "business_rush", "transfer_rush"}
+q("enhanced_table", ENHANCED + "\nSELECT " + ", ".join(
+    f"round({c}, 6) AS {c}" if c in _ENH_DOUBLE else c for c in ENH_COLS) + " FROM enh")

@@ -463,3 +463,108 @@ def q_list_lines(spark, d):
 @query
 def q_suggest(spark, d):
     return lookup.suggest(_station_dim(spark, d), "입구")
+
+
+# --- phase 6b: landed payloads, holidays, files ----------------------------------------------------
+from ridelens.sources import dims, io, payloads  # noqa: E402
+from ridelens.session import ensure_checkpoint_dir  # noqa: E402
+
+
+def _payload(spark, d, col):
+    return V.v_json(spark, d).select("event_id", F.col(col).alias("payload"))
+
+
+@query
+def q_flatten_ridership(spark, d):
+    return payloads.flatten_ridership(_payload(spark, d, "ridership_json"))
+
+
+@query
+def q_flatten_arrivals(spark, d):
+    return payloads.flatten_arrivals(_payload(spark, d, "arrivals_json"))
+
+
+@query
+def q_flatten_forecast(spark, d):
+    return payloads.flatten_forecast(_payload(spark, d, "forecast_json"))
+
+
+@query
+def q_flatten_hourly(spark, d):
+    return payloads.flatten_hourly(_payload(spark, d, "hourly_json"))
+
+
+@query
+def q_payload_peak(spark, d):
+    """The single-response report: hour totals, the response's peak hour and
+    each hour's share, for every landed response at once."""
+    h = payloads.flatten_hourly(_payload(spark, d, "hourly_json"))
+    p = peak.with_peak(peak.hourly_totals(h, "ride_on", "ride_off"), partition=("event_id",))
+    return p.select("event_id", "hour", "passengers", "max_passengers", "congestion_percent", "peak_level", "is_peak")
+
+
+@query
+def q_holiday_dim(spark, d):
+    """The collector's 2025 holiday file, each day with the number of events
+    that fell on the same month-day in the data."""
+    days = V.v_clean(spark, d).groupBy(F.date_format("use_date", "MMdd").alias("mmdd")).agg(
+        F.count(F.lit(1)).alias("n_rows"))
+    hd = dims.holiday_dim(spark).withColumn("mmdd", F.substring("date", 5, 4))
+    out = hd.join(F.broadcast(days), on="mmdd", how="left")
+    return out.select("date", "is_holiday", "holiday_name", "holiday_date",
+                      F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))
+
+
+@query
+def q_is_holiday(spark, d):
+    days = V.v_clean(spark, d).select("use_date").distinct()
+    return calendar.with_is_holiday(days, dims.holiday_dates(spark), "use_date", holiday_date_col="date")
+
+
+def _scratch(spark, name):
+    import uuid
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def q_csv_roundtrip(spark, d):
+    """v_wide written as a cp949 CSV with the source headers, read back with
+    the raw reader and reshaped."""
+    path = _scratch(spark, "wide-csv")
+    io.write_wide_csv(V.v_wide(spark, d), path)
+    back = io.read_wide_csv(spark, path)
+    return reshape.wide_to_long(back).select(*MONTH_KEYS, "boardings", "alightings", "total")
+
+
+@query
+def q_stage_roundtrip(spark, d):
+    """A labelled stage written as CSV with source headers, partitioned by
+    month, and read back with types."""
+    from pyspark.sql import types as T
+
+    path = _scratch(spark, "stage-csv")
+    labelled = reshape.with_congestion(V.v_clean(spark, d))
+    io.write_stage(labelled, path, fmt="csv", partition_by=["use_month"], source_names=True)
+    schema = T.StructType([
+        T.StructField("use_month", T.IntegerType()), T.StructField("use_date", T.DateType()),
+        T.StructField("line", T.StringType()), T.StructField("station", T.StringType()),
+        T.StructField("hour", T.IntegerType()), T.StructField("total", T.LongType()),
+        T.StructField("congestion", T.StringType()), T.StructField("level", T.IntegerType()),
+    ])
+    back = io.read_stage(spark, path, fmt="csv", schema=schema)
+    return back.select(*KEYS, "use_month", "total", "congestion", "level")
+
+
+@query
+def q_schema_report(spark, d):
+    return profile.schema_report(V.v_ridership(spark, d))
+
+
+@query
+def q_enhanced_table(spark, d):
+    """The flagship chain: raw monthly counts -> cleaning -> features ->
+    station categories and interactions, target-derived columns dropped."""
+    e = _enhanced_table(spark, d)
+    dbl = {c for c, t in e.dtypes if t == "double"}
+    return e.select(*[r6(c).alias(c) if c in dbl else F.col(c) for c in e.columns])

@@ -184,3 +184,110 @@ def v_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
         level_of_total("total").alias("label"),
         level_of_total("hour_avg").alias("prediction"),
     )
+
+
+# --- landed payload texts (FIXTURES.md v_json) ------------------------------------
+def _js(c) -> Column:
+    """A JSON string literal from a column (the fixture values need no escaping)."""
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def _kv(key: str, value: Column) -> Column:
+    return F.concat(F.lit(f'"{key}":'), value)
+
+
+def _obj(*parts: Column) -> Column:
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def v_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per event with four payload texts built by string
+    concatenation: ~1 in 7 carries an error code, ~1 in 11 misses a key,
+    ~1 in 13 has an empty list, ~1 in 3 has two items."""
+    ev = read_table(spark, sf_dir, "events")
+    e = F.col("event_id")
+    n = event_count(F.col("value")).cast("string")
+    n1 = (event_count(F.col("value")) + 1).cast("string")
+    uid = F.col("user_id").cast("string")
+    uid1 = (F.col("user_id") + 1).cast("string")
+    st = station_of(F.col("user_id"))
+    ln = line_of(F.col("event_type"))
+    d = F.date_format("ts", "yyyyMMdd")
+    ym = F.date_format("ts", "yyyyMM")
+    hh = F.lpad(F.hour("ts").cast("string"), 2, "0")
+    err = (e % 7) == 0
+    two = (e % 3) == 0
+
+    # daily ridership
+    def rrow(ride, alight):
+        return _obj(_kv("USE_DT", _js(d)), _kv("LINE_NUM", _js(ln)), _kv("SUB_STA_NM", _js(st)),
+                    _kv("RIDE_PASGR_NUM", ride), _kv("ALIGHT_PASGR_NUM", alight), _kv("WORK_DT", _js(d)))
+
+    rows = F.concat(F.lit("["), rrow(n, uid), F.when(two, F.concat(F.lit(","), rrow(n1, uid1))).otherwise(F.lit("")),
+                    F.lit("]"))
+    ok_result = F.lit('"RESULT":{"CODE":"INFO-000","MESSAGE":"정상 처리되었습니다"}')
+    ridership = (
+        F.when(err & ((e % 14) == 0), F.lit(
+            '{"CardSubwayStatsNew":{"list_total_count":0,"RESULT":{"CODE":"INFO-200","MESSAGE":"해당하는 데이터가 없습니다."}}}'))
+        .when(err, F.lit('{"CardSubwayStatsNew":{"list_total_count":0,"RESULT":{"CODE":"ERROR-500","MESSAGE":"서버 오류"}}}'))
+        .when((e % 11) == 0, F.concat(F.lit('{"CardSubwayStatsNew":{"list_total_count":1,"row":'), rows, F.lit("}}")))
+        .when((e % 13) == 0, F.concat(F.lit('{"CardSubwayStatsNew":{"list_total_count":0,'), ok_result, F.lit("}}")))
+        .otherwise(F.concat(F.lit('{"CardSubwayStatsNew":{"list_total_count":1,'), ok_result, F.lit(',"row":'), rows,
+                            F.lit("}}")))
+    )
+
+    # live arrivals
+    def item(updn, msg2):
+        missing = (e % 11) == 0
+        return _obj(
+            _kv("subwayId", _js((F.lit(1001) + e % 9).cast("string"))), _kv("statnNm", _js(st)),
+            _kv("updnLine", _js(updn)), _kv("trainLineNm", _js(F.concat(ln, F.lit(" 방면")))),
+            _kv("arvlMsg2", _js(F.concat(msg2, F.lit("분 후")))),
+            F.when(~missing, _kv("arvlMsg3", _js(st))),
+            F.when(~missing, _kv("btrainSttus", _js(F.lit("일반")))),
+            _kv("arvlCd", _js((e % 6).cast("string"))),
+        )
+
+    up = F.when((e % 2) == 0, F.lit("상행")).otherwise(F.lit("하행"))
+    down = F.when((e % 2) == 0, F.lit("하행")).otherwise(F.lit("상행"))
+    items = F.when((e % 13) == 0, F.lit("[]")).otherwise(
+        F.concat(F.lit("["), item(up, n), F.when(two, F.concat(F.lit(","), item(down, n1))).otherwise(F.lit("")),
+                 F.lit("]")))
+    arrivals = F.when(err, F.lit('{"errorMessage":{"status":500,"code":"ERROR-500","message":"서버 오류"}}')).otherwise(
+        F.concat(F.lit('{"errorMessage":{"status":200,"code":"INFO-000","message":"정상 처리되었습니다."},'
+                       '"realtimeArrivalList":'), items, F.lit("}")))
+
+    # weather forecast
+    def fitem(cat, val):
+        return _obj(_kv("baseDate", _js(d)), _kv("baseTime", F.lit('"0500"')), _kv("category", F.lit(f'"{cat}"')),
+                    _kv("fcstDate", _js(d)), _kv("fcstTime", _js(F.concat(hh, F.lit("00")))),
+                    _kv("fcstValue", _js(val.cast("string"))), _kv("nx", F.lit("60")), _kv("ny", F.lit("127")))
+
+    ok_header = '{"response":{"header":{"resultCode":"00","resultMsg":"NORMAL_SERVICE"},'
+    forecast = (
+        F.when(err, F.lit('{"response":{"header":{"resultCode":"03","resultMsg":"NO_DATA"}}}'))
+        .when((e % 11) == 0, F.lit(ok_header + '"body":{"dataType":"JSON","totalCount":0}}}'))
+        .otherwise(F.concat(
+            F.lit(ok_header + '"body":{"dataType":"JSON","items":{"item":['),
+            fitem("TMP", event_count(F.col("value")) % 40), F.lit(","), fitem("POP", F.col("user_id") % 100),
+            F.lit("]}}}}")))
+    )
+
+    # hourly ridership, first row counts
+    nn = event_count(F.col("value"))
+    hour_parts = []
+    for h in range(24):
+        on = ((nn * (h + 1) + e) % 500).cast("string")
+        off = ((F.col("user_id") * (h + 3) + nn) % 400).cast("string")
+        hour_parts.append(F.when(((e + h) % 11) != 0, F.concat(
+            F.lit(f'"HR_{h}_GET_ON_NOPE":'), on, F.lit(f',"HR_{h}_GET_OFF_NOPE":'), off)))
+    head = [_kv("USE_MM", _js(ym)), _kv("SBWY_ROUT_LN_NM", _js(ln)), _kv("STTN", _js(st))]
+    r1 = _obj(*head, *hour_parts)
+    r2 = _obj(*head, F.lit('"HR_0_GET_ON_NOPE":999999'))
+    hourly = F.when(err, F.lit('{"RESULT":{"CODE":"INFO-200","MESSAGE":"해당하는 데이터가 없습니다."}}')).otherwise(
+        F.concat(F.lit('{"CardSubwayTime":{"list_total_count":2,'), ok_result, F.lit(',"row":['), r1, F.lit(","), r2,
+                 F.lit("]}}")))
+    return ev.select(
+        "event_id", ridership.alias("ridership_json"), arrivals.alias("arrivals_json"),
+        forecast.alias("forecast_json"), hourly.alias("hourly_json"),
+    )
