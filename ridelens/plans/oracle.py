@@ -592,3 +592,52 @@ FROM (VALUES (0, 'use_month', 'int'), (1, 'use_date', 'date'), (2, 'line', 'stri
 _ENH_DOUBLE = _DOUBLE_FEATURES | {"rush_intensity", "business_rush", "transfer_rush"}
 q("enhanced_table", ENHANCED + "\nSELECT " + ", ".join(
     f"round({c}, 6) AS {c}" if c in _ENH_DOUBLE else c for c in ENH_COLS) + " FROM enh")
+
+# --- phase 8 ----------------------------------------------------------------------
+LV = f", lv AS (SELECT {KEYS}, total, {LEVEL_CASE.format(t='total')} AS level FROM v_clean)"
+q("stratified_split", LV + f"""
+SELECT {KEYS}, level,
+  row_number() OVER (PARTITION BY level ORDER BY {KEYS}) <= round(0.2 * count(*) OVER (PARTITION BY level)) AS is_test
+FROM lv""")
+q("balance_classes", LV + f"""
+, r AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY {KEYS}) AS rn FROM lv)
+SELECT {KEYS}, level FROM r WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM lv GROUP BY level))""")
+VP = f""", vp AS (
+  SELECT {KEYS}, {LEVEL_CASE.format(t='total')} AS label,
+         {LEVEL_CASE.format(t='avg(total) OVER (PARTITION BY hour)')} AS prediction FROM v_clean
+)"""
+q("accuracy", VP + "\nSELECT round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM vp")
+q("confusion", VP + "\nSELECT label, " + ", ".join(
+    f"count(*) FILTER (WHERE prediction = {k}) AS n_{k}" for k in range(4)) + ", " + ", ".join(
+    f"round(count(*) FILTER (WHERE prediction = {k}) / count(*) * 100, 6) AS pct_{k}" for k in range(4)
+) + " FROM vp GROUP BY label")
+REPORT = VP + """
+, cells AS (SELECT label AS t, prediction AS p, count(*) AS c FROM vp GROUP BY ALL),
+ks AS (SELECT t AS k FROM cells UNION SELECT p FROM cells),
+per AS (
+  SELECT k, coalesce((SELECT sum(c) FROM cells WHERE t = k AND p = k), 0) AS tp,
+         coalesce((SELECT sum(c) FROM cells WHERE t = k), 0) AS support,
+         coalesce((SELECT sum(c) FROM cells WHERE p = k), 0) AS npred FROM ks
+), m AS (
+  SELECT k, CASE WHEN npred > 0 THEN tp / npred ELSE 0.0 END AS prec,
+         CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rec, support FROM per
+), f AS (SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END AS f1 FROM m)"""
+q("class_report", REPORT + """
+SELECT CAST(k AS VARCHAR) AS row_label, round(prec, 6) AS precision, round(rec, 6) AS recall, round(f1, 6) AS f1,
+       CAST(support AS BIGINT) AS support FROM f
+UNION ALL
+SELECT 'accuracy', NULL, NULL, round((SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) FROM vp), 6),
+       CAST((SELECT sum(support) FROM f) AS BIGINT)
+UNION ALL
+SELECT 'macro avg', round(avg(prec), 6), round(avg(rec), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL
+SELECT 'weighted avg', round(sum(prec * support) / sum(support), 6), round(sum(rec * support) / sum(support), 6),
+       round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f""")
+q("weighted_f1", REPORT + "\nSELECT round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM f")
+q("overfit_report", VP + f"""
+, s AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {KEYS})
+                  <= round(0.2 * count(*) OVER (PARTITION BY label)) AS is_test FROM vp),
+a AS (SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT is_test) AS tr,
+             avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) FILTER (WHERE is_test) AS te FROM s)
+SELECT round(tr, 6) AS train_accuracy, round(te, 6) AS test_accuracy, round(tr - te, 6) AS gap,
+       CASE WHEN tr - te < 0.05 THEN 'none' WHEN tr - te < 0.10 THEN 'slight' ELSE 'severe' END AS verdict FROM a""")

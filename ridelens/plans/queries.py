@@ -568,3 +568,140 @@ def q_enhanced_table(spark, d):
     e = _enhanced_table(spark, d)
     dbl = {c for c, t in e.dtypes if t == "double"}
     return e.select(*[r6(c).alias(c) if c in dbl else F.col(c) for c in e.columns])
+
+
+# --- phase 8: split, metrics, forest ------------------------------------------------------------------
+from ridelens.operators import model as M  # noqa: E402
+
+SMALL_FOREST = {"numTrees": 10, "maxDepth": 5}
+
+
+def _levels(spark, d):
+    return reshape.with_congestion(V.v_clean(spark, d)).select(*KEYS, "total", "level")
+
+
+@query
+def q_stratified_split(spark, d):
+    out = M.stratified_split(_levels(spark, d), "level", KEYS, order_cols=KEYS)
+    return out.select(*KEYS, "level", "is_test")
+
+
+@query
+def q_balance_classes(spark, d):
+    out = M.balance_classes(_levels(spark, d), "level", KEYS, order_cols=KEYS)
+    return out.select(*KEYS, "level")
+
+
+@query
+def q_sample_rows(spark, d):
+    return M.sample_rows(_levels(spark, d), 1000, KEYS).select(*KEYS, "level")
+
+
+@query
+def q_accuracy(spark, d):
+    return M.accuracy(V.v_pred(spark, d)).select(r6("accuracy").alias("accuracy"))
+
+
+@query
+def q_weighted_f1(spark, d):
+    return M.weighted_f1(V.v_pred(spark, d)).select(r6("weighted_f1").alias("weighted_f1"))
+
+
+@query
+def q_confusion(spark, d):
+    c = M.confusion(V.v_pred(spark, d))
+    return c.select("label", *[f"n_{k}" for k in range(4)], *[r6(f"pct_{k}").alias(f"pct_{k}") for k in range(4)])
+
+
+@query
+def q_class_report(spark, d):
+    r = M.class_report(V.v_pred(spark, d))
+    return r.select("row_label", *[r6(c).alias(c) for c in ["precision", "recall", "f1"]], "support")
+
+
+@query
+def q_overfit_report(spark, d):
+    p = V.v_pred(spark, d)
+    s = M.stratified_split(p, "label", KEYS, order_cols=KEYS)
+    acc = s.agg(
+        F.avg(F.when(~F.col("is_test"), (F.col("label") == F.col("prediction")).cast("double"))).alias("train_accuracy"),
+        F.avg(F.when(F.col("is_test"), (F.col("label") == F.col("prediction")).cast("double"))).alias("test_accuracy"),
+    )
+    out = M.overfit_report(acc)
+    return out.select(*[r6(c).alias(c) for c in ["train_accuracy", "test_accuracy", "gap"]], "verdict")
+
+
+def _rf_inputs(spark, d):
+    e = _enhanced_table(spark, d)
+    feats = [c for c in enhance.feature_columns(e)]
+    split = M.stratified_split(e, "level", ["use_date", "line", "station", "hour"])
+    return split, feats
+
+
+@query
+def q_rf_predict(spark, d):
+    split, feats = _rf_inputs(spark, d)
+    m = M.train(split.filter(~F.col("is_test")), feats, "level", **SMALL_FOREST)
+    p = M.predict(m, split.filter(F.col("is_test")), "level")
+    return p.select("use_date", "line", "station", "hour", "level", "prediction",
+                    F.transform("probs", lambda x: F.round(x, 6)).alias("probs"))
+
+
+@query
+def q_rf_importance(spark, d):
+    split, feats = _rf_inputs(spark, d)
+    m = M.train(split.filter(~F.col("is_test")), feats, "level", **SMALL_FOREST)
+    imp = M.feature_importance(m, feats)
+    imp = imp.withColumn("source_name", enhance.source_name_column("feature"))
+    return imp.select("feature", "source_name", r6("importance").alias("importance"),
+                      enhance.feature_family().alias("family")).limit(25)
+
+
+@query
+def q_rf_overfit(spark, d):
+    split, feats = _rf_inputs(spark, d)
+    m = M.train(split.filter(~F.col("is_test")), feats, "level", **SMALL_FOREST)
+    p = M.predict(m, split, "level")
+    acc = p.agg(
+        F.avg(F.when(~F.col("is_test"), (F.col("level") == F.col("prediction")).cast("double"))).alias("train_accuracy"),
+        F.avg(F.when(F.col("is_test"), (F.col("level") == F.col("prediction")).cast("double"))).alias("test_accuracy"),
+    )
+    return M.overfit_report(acc)
+
+
+@query
+def q_learning_curve(spark, d):
+    e = _enhanced_table(spark, d)
+    feats = enhance.feature_columns(e)
+    return M.learning_curve(e, feats, "level", ["use_date", "line", "station", "hour"], steps=10,
+                            numTrees=5, maxDepth=4)
+
+
+@query
+def q_model_info(spark, d):
+    import datetime
+
+    split, feats = _rf_inputs(spark, d)
+    m = M.train(split.filter(~F.col("is_test")), feats, "level", **SMALL_FOREST)
+    path = _scratch(spark, "model")
+    M.save_model(m, path, feats, {"train_accuracy": 0.0}, note="station categories and interaction features",
+                 trained_at=datetime.datetime(2024, 1, 1))
+    _, meta = M.load_model(spark, path)
+    return M.model_info(meta)
+
+
+@query
+def q_rf_hourly_profile(spark, d):
+    """Serving with the forest: day requests -> serving features (missing
+    model features = 0) -> class probabilities -> adjusted 24-hour profile."""
+    e = _enhanced_table(spark, d)
+    feats = enhance.feature_columns(e)
+    m = M.train(e, feats, "level", **SMALL_FOREST)
+    codes = score.code_table(e)
+    reqs = V.v_requests(spark, d).filter(F.col("hour") == 0).drop("hour")
+    f = score.request_features(score.day_requests(reqs), codes, AS_OF_YEAR, model_features=feats)
+    f = f.withColumn("level", F.lit(0))
+    p = M.predict(m, f, "level").drop("level")
+    s = score.adjust_level(score.with_base_level(p))
+    return s.select("station", "line", "dow", "hour", "base_level", "level",
+                    F.round(F.element_at("probs", F.col("level") + 1), 6).alias("probability"))
