@@ -641,3 +641,6 @@ a AS (SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) FILTER (WHE
              avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) FILTER (WHERE is_test) AS te FROM s)
 SELECT round(tr, 6) AS train_accuracy, round(te, 6) AS test_accuracy, round(tr - te, 6) AS gap,
        CASE WHEN tr - te < 0.05 THEN 'none' WHEN tr - te < 0.10 THEN 'slight' ELSE 'severe' END AS verdict FROM a""")
+
+# --- phase 9 ----------------------------------------------------------------------
+ORACLE["arrivals_stream"] = ORACLE["flatten_arrivals"]

@@ -705,3 +705,11 @@ def q_rf_hourly_profile(spark, d):
     s = score.adjust_level(score.with_base_level(p))
     return s.select("station", "line", "dow", "hour", "base_level", "level",
                     F.round(F.element_at("probs", F.col("level") + 1), 6).alias("probability"))
+
+
+# --- phase 9: streaming ----------------------------------------------------------------------------
+@query
+def q_arrivals_stream(spark, d):
+    from ridelens.streaming.arrivals import arrivals_table
+
+    return arrivals_table(spark, d)

@@ -204,7 +204,11 @@ def v_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event with four payload texts built by string
     concatenation: ~1 in 7 carries an error code, ~1 in 11 misses a key,
     ~1 in 13 has an empty list, ~1 in 3 has two items."""
-    ev = read_table(spark, sf_dir, "events")
+    return payload_texts(read_table(spark, sf_dir, "events"))
+
+
+def payload_texts(ev: DataFrame) -> DataFrame:
+    """The payload texts for any events DataFrame (batch or streaming)."""
     e = F.col("event_id")
     n = event_count(F.col("value")).cast("string")
     n1 = (event_count(F.col("value")) + 1).cast("string")
