@@ -23,6 +23,11 @@ from ridelens import schemas
 _STANDARD_CHARSETS = {"utf-8", "utf8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"}
 
 
+# Spark's CSV writer trims values by default; the source's files keep blanks
+# (names are trimmed later, on purpose, by normalize_names)
+_KEEP_SPACES = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def _allow_charset(spark: SparkSession, encoding: str) -> None:
     if encoding.lower() not in _STANDARD_CHARSETS:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
@@ -62,7 +67,8 @@ def read_wide_csv(spark: SparkSession, path: str, encoding: str = "cp949") -> Da
 def write_wide_csv(df: DataFrame, path: str, encoding: str = "cp949", mode: str = "overwrite") -> None:
     """Write a wide table in the source layout (Korean id headers)."""
     _allow_charset(df.sparkSession, encoding)
-    to_source_names(df).write.mode(mode).option("header", True).option("encoding", encoding).csv(path)
+    (to_source_names(df).write.mode(mode).option("header", True).option("encoding", encoding)
+     .options(**_KEEP_SPACES).csv(path))
 
 
 def write_stage(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None, mode: str = "overwrite",
@@ -74,7 +80,7 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
     if partition_by:
         w = w.partitionBy(*[schemas.LIBRARY_NAMES.get(c, c) if source_names else c for c in partition_by])
     if fmt == "csv":
-        w.option("header", True).option("encoding", "UTF-8").csv(path)
+        w.option("header", True).option("encoding", "UTF-8").options(**_KEEP_SPACES).csv(path)
     else:
         w.parquet(path)
 
