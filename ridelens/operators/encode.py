@@ -64,7 +64,8 @@ def label_encode(df: DataFrame, columns=ENCODED_COLUMNS, suffix: str = "_idx", s
     if stats is None:
         codes = sized_broadcast(label_codes(df, columns))
     else:
-        codes = sized_broadcast(label_codes_from_stats(stats, columns))
+        # a subset of an already size-checked table: the bound is proven
+        codes = F.broadcast(label_codes_from_stats(stats, columns))
     out = df
     for c in columns:
         side = codes.filter(F.col("column_name") == c).select(

@@ -204,7 +204,7 @@ def q_cyclic(spark, d):
 @query
 def q_holiday_flags(spark, d):
     days = calendar.with_weekday(V.v_daily_orders(spark, d))
-    out = calendar.with_holiday_flags(days, V.v_holidays(spark))
+    out = calendar.with_holiday_flags(days, V.fixture_holiday_dates())
     return out.select("use_date", "is_holiday", "holiday_eve", "holiday_next", "is_off_day")
 
 
@@ -270,7 +270,7 @@ def q_interactions(spark, d):
 
 
 def _feature_table(spark, d):
-    features, _ = pipeline.engineer_features(pipeline.preprocess_long(V.v_monthly(spark, d)), V.v_holidays(spark))
+    features, _ = pipeline.engineer_features(pipeline.preprocess_long(V.v_monthly(spark, d)), V.fixture_holiday_dates())
     return features
 
 

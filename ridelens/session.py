@@ -58,10 +58,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def checkpoint_stage(df):
+def checkpoint_stage(df, name: str = "stage"):
     """Materialise a stage table in the session's checkpoint folder and cut
-    its lineage (a reliable checkpoint: it survives the loss of executors,
-    unlike a local one). Statistics computed after this point read the
-    written table instead of recomputing the stage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    its lineage.
+
+    The table is WRITTEN as parquet and read back: it is computed exactly
+    once (an eager ``checkpoint()`` of an unpersisted DataFrame computes it
+    twice, once to count and once to write), it lives in shared storage so
+    it survives the loss of executors, and later reads get column pruning
+    and predicate pushdown."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

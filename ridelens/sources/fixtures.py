@@ -128,9 +128,14 @@ def v_daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.to_date("o_orderdate").alias("use_date")).agg(F.count(F.lit(1)).alias("n_orders"))
 
 
-def v_holidays(spark: SparkSession) -> DataFrame:
+def fixture_holiday_dates() -> list[str]:
+    """The fixture calendar as ISO dates (a literal list: its size is known)."""
     dates = [f"{y}-{md}" for y in FIXTURE_HOLIDAY_YEARS for md in FIXTURE_HOLIDAY_MONTH_DAYS]
-    dates += FIXTURE_HOLIDAY_EXTRA
+    return dates + FIXTURE_HOLIDAY_EXTRA
+
+
+def v_holidays(spark: SparkSession) -> DataFrame:
+    dates = fixture_holiday_dates()
     from ridelens.sources.dims import literal_table
     from pyspark.sql import types as T
 
