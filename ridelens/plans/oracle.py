@@ -644,3 +644,10 @@ SELECT round(tr, 6) AS train_accuracy, round(te, 6) AS test_accuracy, round(tr -
 
 # --- phase 9 ----------------------------------------------------------------------
 ORACLE["arrivals_stream"] = ORACLE["flatten_arrivals"]
+
+_SERVING = ("CASE WHEN hour <= 5 THEN 0 WHEN hour <= 8 THEN 1 WHEN hour <= 11 THEN 2 WHEN hour <= 13 THEN 3 "
+            "WHEN hour <= 17 THEN 4 WHEN hour <= 20 THEN 5 ELSE 6 END")
+q("request_features_serving", SCORE + f"""
+, sv AS (SELECT *, CAST({_SERVING} AS INTEGER) AS sp FROM rf)
+SELECT {REQ}, sp AS period_idx, sp * 10 + dow AS time_dow, station_idx * 10 + sp AS station_time,
+       cat_group * 100 + sp * 10 + dow AS group_time_dow FROM sv""")

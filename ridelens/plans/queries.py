@@ -713,3 +713,23 @@ def q_arrivals_stream(spark, d):
     from ridelens.streaming.arrivals import arrivals_table
 
     return arrivals_table(spark, d)
+
+
+@query
+def q_request_features_serving(spark, d):
+    """Parity mode (T11): the serving code's 7 ordinal period buckets."""
+    reqs = V.v_requests(spark, d)
+    out = score.request_features(reqs, _codes(spark, d), AS_OF_YEAR, period_scheme="serving")
+    return out.select(*REQ_KEYS, "period_idx", "time_dow", "station_time", "group_time_dow")
+
+
+TIME_FEATURES = ["hour", "hour_sin", "hour_cos", "dow", "is_weekend"]
+
+
+@query
+def q_rf_time_importance(spark, d):
+    """Importance of the named time features (the source's quick lookup)."""
+    split, feats = _rf_inputs(spark, d)
+    m = M.train(split.filter(~F.col("is_test")), feats, "level", **SMALL_FOREST)
+    imp = M.feature_importance(m, feats).filter(F.col("feature").isin(TIME_FEATURES))
+    return imp.select("feature", r6("importance").alias("importance"))
