@@ -20,8 +20,7 @@ def sized_broadcast(small: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS
     checkpoint folder, so it survives lost executors and cuts its lineage),
     count it, and mark it for broadcast if it has at most ``max_rows`` rows;
     a larger table stays a regular (shuffle) join side."""
-    small = checkpoint_stage(small)
-    n = small.count()
+    small, n = checkpoint_stage(small, name="small", count=True)
     return F.broadcast(small) if n <= max_rows else small
 
 

@@ -58,7 +58,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def checkpoint_stage(df, name: str = "stage"):
+def checkpoint_stage(df, name: str = "stage", count: bool = False):
     """Materialise a stage table in the session's checkpoint folder and cut
     its lineage.
 
@@ -69,7 +69,15 @@ def checkpoint_stage(df, name: str = "stage"):
     and predicate pushdown."""
     import uuid
 
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    if not count:
+        df.write.mode("errorifexists").parquet(path)
+        return spark.read.parquet(path)
+    # the row count is observed while writing: no second job
+    obs = Observation(f"{name}_rows")
+    df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path), int(obs.get["n"])
