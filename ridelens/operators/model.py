@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridelens.operators.ranking import hash_order, rank_within
+from ridelens.operators.ranking import hash_order, rank_within, select_first
 
 N_CLASSES = 4
 
@@ -37,28 +37,36 @@ OVERFIT_OVER = "severe"
 def stratified_split(df: DataFrame, label_col: str, key_cols, test_frac: float = 0.2, seed: int = 42,
                      order_cols=None) -> DataFrame:
     """Adds ``is_test``: per label, the first round(test_frac * n_label) rows
-    in the seeded hash order of the key (or in ``order_cols`` when given)
-    form the test set. Exact per-label counts; train and test partition the
-    input."""
-    order = order_cols if order_cols is not None else hash_order(key_cols, seed)
-    r = rank_within(df, label_col, order, rank_col="_r", size_col="_n")
+    in the seeded hash order of the key form the test set. Exact per-label
+    counts; train and test partition the input. With ``order_cols`` (a total
+    order) the rows are taken in that order instead, through the exact
+    distributed rank."""
+    if order_cols is None:
+        return select_first(df, label_col, key_cols, lambda n: F.round(F.lit(test_frac) * n), seed, "is_test")
+    r = rank_within(df, label_col, order_cols, rank_col="_r", size_col="_n")
     return r.withColumn("is_test", F.col("_r") <= F.round(F.lit(test_frac) * F.col("_n"))).drop("_r", "_n")
 
 
 def balance_classes(df: DataFrame, label_col: str, key_cols, seed: int = 42, order_cols=None) -> DataFrame:
     """Down-sample every class to the size of the smallest one (rows taken in
-    the seeded hash order). Our design: the source reads a balanced file
-    without showing how it was made."""
-    order = order_cols if order_cols is not None else hash_order(key_cols, seed)
-    r = rank_within(df, label_col, order, rank_col="_r", size_col="_n")
+    the seeded hash order, or in ``order_cols``). Our design: the source reads
+    a balanced file without showing how it was made."""
+    if order_cols is None:
+        smallest = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n")).scalar()
+        out = select_first(df, label_col, key_cols, lambda n: smallest, seed, "_keep")
+        return out.filter("_keep").drop("_keep")
+    r = rank_within(df, label_col, order_cols, rank_col="_r", size_col="_n")
     smallest = r.agg(F.min("_n")).scalar()
     return r.filter(F.col("_r") <= smallest).drop("_r", "_n")
 
 
 def sample_rows(df: DataFrame, n: int, key_cols, seed: int = 42) -> DataFrame:
-    """At most n rows without replacement, chosen by the seeded hash order
-    of the key (a top-n: each task keeps n candidates, one merge of n)."""
-    return df.orderBy(*hash_order(key_cols, seed)).limit(n)
+    """Exactly min(n, rows) rows without replacement: the first n in the
+    seeded hash order of the key. Selected through hash buckets, so no task
+    ever merges more than one bucket's rows (a global ORDER BY ... LIMIT n
+    would merge partitions x n rows in one task)."""
+    out = select_first(df, None, key_cols, lambda size: F.least(size, F.lit(n)), seed, "_keep")
+    return out.filter("_keep").drop("_keep")
 
 
 # --- training and scoring ---------------------------------------------------------------

@@ -61,3 +61,42 @@ def rank_within(df: DataFrame, group_col: str | None, order_cols, rank_col: str
     out = ranged.join(per, (F.col("_pid") == F.col("_p2")) & F.col("_g").eqNullSafe(F.col("_g2")), "left")
     out = out.withColumn(rank_col, (F.col("_before") + F.col("_mid") - F.col("_first") + 1).cast("long"))
     return out.drop("_g", "_pid", "_mid", "_p2", "_g2", "_first", "_cnt", "_before")
+
+
+def select_first(df: DataFrame, group_col: str | None, key_cols, quota, seed: int = 42, flag_col: str = "selected",
+                 bucket_bits: int = 16) -> DataFrame:
+    """Flags, per group, the first ``quota`` rows in the seeded hash order of
+    the key, exactly, without shuffling or rewriting the table.
+
+    ``quota`` maps the group-size column to the wanted count (a Column
+    expression). The 64-bit hash is cut into 2^bucket_bits ordered buckets;
+    one aggregate (pre-aggregated on every task) counts rows per (group,
+    bucket); running sums over that small table mark every bucket as wholly
+    in or wholly out, except one boundary bucket per group, whose few rows
+    (about 1 / 2^bucket_bits of the group) are ranked exactly with
+    ``rank_within``."""
+    keys = _cols(key_cols)
+    g = F.col(group_col) if group_col else F.lit(0)
+    base = df.withColumns({"_sf_g": g, "_sf_h": F.xxhash64(F.lit(seed), *keys)})
+    base = base.withColumn("_sf_b", F.shiftright("_sf_h", 64 - bucket_bits))  # order-preserving bucket
+    counts = base.groupBy("_sf_g", "_sf_b").agg(F.count(F.lit(1)).alias("_sf_c"))
+    w = Window.partitionBy("_sf_g").orderBy("_sf_b")
+    counts = counts.withColumns({
+        "_sf_before": F.coalesce(F.sum("_sf_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_sf_n": F.sum("_sf_c").over(Window.partitionBy("_sf_g")),
+    })
+    counts = counts.withColumn("_sf_m", quota(F.col("_sf_n")).cast("long"))
+    status = (
+        F.when(F.col("_sf_before") + F.col("_sf_c") <= F.col("_sf_m"), F.lit("all"))
+        .when(F.col("_sf_before") >= F.col("_sf_m"), F.lit("none"))
+        .otherwise(F.lit("partial"))
+    )
+    table = counts.select(F.col("_sf_g").alias("_sf_g2"), F.col("_sf_b").alias("_sf_b2"), status.alias("_sf_st"),
+                          (F.col("_sf_m") - F.col("_sf_before")).alias("_sf_need"))
+    table = sized_broadcast(table)
+    joined = base.join(table, F.col("_sf_g").eqNullSafe(F.col("_sf_g2")) & (F.col("_sf_b") == F.col("_sf_b2")), "left")
+    rest = joined.filter(F.col("_sf_st") != "partial").withColumn(flag_col, F.col("_sf_st") == "all")
+    part = joined.filter(F.col("_sf_st") == "partial").withColumn("_sf_gb", F.struct("_sf_g", "_sf_b"))
+    part = rank_within(part, "_sf_gb", [F.col("_sf_h")] + keys, rank_col="_sf_r", size_col="_sf_rs")
+    part = part.withColumn(flag_col, F.col("_sf_r") <= F.col("_sf_need")).drop("_sf_gb", "_sf_r", "_sf_rs")
+    return rest.unionByName(part).drop("_sf_g", "_sf_h", "_sf_b", "_sf_g2", "_sf_b2", "_sf_st", "_sf_need")

@@ -99,3 +99,27 @@ def test_lookup(spark):
     assert [r.line for r in lookup.list_lines(dim).collect()] == ["2호선", "경의-중앙선"]
     assert lookup.list_lines(dim.limit(0)).count() == 9
     assert [(r.station, r.line) for r in lookup.suggest(dim, "신촌").collect()] == [("신촌", "2호선"), ("신촌", "경의-중앙선")]
+
+
+def test_select_first_matches_brute_force(spark):
+    from ridelens.operators.ranking import select_first
+
+    df = _labelled(spark, 5000)
+    out = select_first(df, "level", ["id"], lambda n: F.round(F.lit(0.3) * n), seed=11, flag_col="sel",
+                       bucket_bits=4)  # few buckets: many rows share the boundary bucket
+    got = {r.id for r in out.filter("sel").collect()}
+    assert out.count() == 5000
+    rows = df.select("id", "level", F.xxhash64(F.lit(11), "id").alias("h")).collect()
+    want = set()
+    for lv in {r.level for r in rows}:
+        grp = sorted((r.h, r.id) for r in rows if r.level == lv)
+        want |= {i for _, i in grp[: int(0.3 * len(grp) + 0.5)]}
+    assert got == want
+
+
+def test_sample_rows_exact(spark):
+    df = _labelled(spark, 3000)
+    s = M.sample_rows(df, 250, ["id"], seed=5)
+    rows = df.select("id", F.xxhash64(F.lit(5), "id").alias("h")).collect()
+    assert {r.id for r in s.collect()} == {i for _, i in sorted((r.h, r.id) for r in rows)[:250]}
+    assert M.sample_rows(df, 10_000, ["id"]).count() == 3000
