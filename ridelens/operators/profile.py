@@ -103,7 +103,8 @@ def schema_report(df: DataFrame) -> DataFrame:
     return out.select("col_pos", "column_name", tmap[F.col("column_name")].alias("data_type"), "non_null")
 
 
-def sample_rows(df: DataFrame, n: int = 5) -> DataFrame:
+def head_rows(df: DataFrame, n: int = 5) -> DataFrame:
+    """The first n rows (the source's head() preview)."""
     return df.limit(n)
 
 

@@ -22,7 +22,7 @@ from ridelens.sources.payloads import flatten_arrivals
 def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """The driver's events table read as a file stream (new files in the
     folder matching events*.parquet become new micro-batches)."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    schema = spark.read.option("pathGlobFilter", "events*.parquet").parquet(sf_dir).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
