@@ -357,15 +357,24 @@ AS_OF_YEAR = 2024
 AS_OF_MONTH = 1
 
 
-def _codes(spark, d):
-    base = stats.with_transfer_by_name(V.v_clean(spark, d))
+def _codes(spark, d, clean=None):
+    base = stats.with_transfer_by_name(V.v_clean(spark, d) if clean is None else clean)
     enc, _ = encode.label_encode(base, columns=("line", "station"))
     return score.code_table(enc)
 
 
+def _scoring_inputs(spark, d):
+    """One scan of the events: the daily table is written once as a stage
+    table and requests, codes and probabilities all derive from it."""
+    from ridelens.session import checkpoint_stage
+
+    clean = checkpoint_stage(V.v_clean(spark, d), name="clean")
+    return V.v_requests(spark, d, clean), _codes(spark, d, clean), V.v_prob(spark, d, clean)
+
+
 def _scored(spark, d, scheme="training"):
-    reqs = V.v_requests(spark, d)
-    return score.score(reqs, _codes(spark, d), V.v_prob(spark, d), AS_OF_YEAR, scheme)
+    reqs, codes, probs = _scoring_inputs(spark, d)
+    return score.score(reqs, codes, probs, AS_OF_YEAR, scheme)
 
 
 REQ_KEYS = ["station", "line", "dow", "hour"]
@@ -427,8 +436,9 @@ def q_level_color(spark, d):
 
 
 def _profile(spark, d):
-    reqs = V.v_requests(spark, d).filter(F.col("hour") == 0).drop("hour")
-    return score.hourly_profile(reqs, _codes(spark, d), V.v_prob(spark, d), AS_OF_YEAR)
+    reqs, codes, probs = _scoring_inputs(spark, d)
+    day = reqs.filter(F.col("hour") == 0).drop("hour")
+    return score.hourly_profile(day, codes, probs, AS_OF_YEAR)
 
 
 @query

@@ -143,10 +143,11 @@ def v_holidays(spark: SparkSession) -> DataFrame:
     return t.select(F.to_date("d").alias("date"))
 
 
-def v_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def v_requests(spark: SparkSession, sf_dir: str, clean: DataFrame | None = None) -> DataFrame:
     """Scoring requests: every distinct (station, line) x dow 0-6 x hour 0-23,
     month 1, holiday on Mondays. Generated by explode, not by a join."""
-    pairs = v_clean(spark, sf_dir).select("station", "line").distinct()
+    clean = v_clean(spark, sf_dir) if clean is None else clean
+    pairs = clean.select("station", "line").distinct()
     return (
         pairs.withColumn("dow", F.explode(F.sequence(F.lit(0), F.lit(6))))
         .withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
@@ -160,12 +161,13 @@ PROB_SMOOTH_K = 0.26
 PROB_SMOOTH_N = 1.04
 
 
-def v_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
+def v_prob(spark: SparkSession, sf_dir: str, clean: DataFrame | None = None) -> DataFrame:
     """Empirical class probabilities per (station, hour), smoothed so that
     every class has a non-zero share: probs = [p0, p1, p2, p3]."""
     from ridelens.functions.exprs import level_of_total
 
-    c = v_clean(spark, sf_dir).withColumn("level", level_of_total("total"))
+    clean = v_clean(spark, sf_dir) if clean is None else clean
+    c = clean.withColumn("level", level_of_total("total"))
     agg = c.groupBy("station", "hour").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(F.when(F.col("level") == k, 1)).alias(f"n{k}") for k in range(4)],
