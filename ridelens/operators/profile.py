@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-_FLOATING = (T.FloatType, T.DoubleType)
 
 
 def _long_form(wide: DataFrame, names: list[str], prefix: str, value_name: str) -> DataFrame:
