@@ -642,6 +642,9 @@ def q_overfit_report(spark, d):
 
 
 def _rf_inputs(spark, d):
+    # the enhanced table is a narrow step over the checkpointed feature table,
+    # and the split's ranked boundary rows are materialised inside rank_within:
+    # re-reading them is cheaper than writing two more stage tables
     e = _enhanced_table(spark, d)
     feats = [c for c in enhance.feature_columns(e)]
     split = M.stratified_split(e, "level", ["use_date", "line", "station", "hour"])
