@@ -151,8 +151,13 @@ def with_color(df: DataFrame, level_col: str = "level") -> DataFrame:
 
 
 def score(requests: DataFrame, codes: DataFrame, probs: DataFrame, as_of_year: int,
-          period_scheme: str = "training") -> DataFrame:
-    """Valid requests -> features -> probabilities -> adjusted level, label, recommendation."""
+          period_scheme: str = "training", as_of_month: int | None = None) -> DataFrame:
+    """Requests -> features -> probabilities -> adjusted level, label,
+    recommendation. With ``as_of_month`` the requests are validated first
+    (the range checks apply to single and 24-hour requests alike) and only
+    valid ones are scored; ``split_requests`` returns the rejected ones."""
+    if as_of_month is not None:
+        requests, _ = split_requests(requests, as_of_month)
     f = request_features(requests, codes, as_of_year, period_scheme)
     f = with_probabilities(f, probs)
     f = adjust_level(with_base_level(f))
@@ -165,10 +170,10 @@ def day_requests(df: DataFrame) -> DataFrame:
 
 
 def hourly_profile(day_reqs: DataFrame, codes: DataFrame, probs: DataFrame, as_of_year: int,
-                   period_scheme: str = "training") -> DataFrame:
+                   period_scheme: str = "training", as_of_month: int | None = None) -> DataFrame:
     """24 rows per day request: hour, 'HH:00', level, label and the
     probability of the adjusted class."""
-    s = score(day_requests(day_reqs), codes, probs, as_of_year, period_scheme)
+    s = score(day_requests(day_reqs), codes, probs, as_of_year, period_scheme, as_of_month)
     return s.select(
         "station", "line", "dow", "month", "is_holiday", "hour",
         F.format_string("%02d:00", F.col("hour")).alias("time"),

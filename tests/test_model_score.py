@@ -123,3 +123,16 @@ def test_sample_rows_exact(spark):
     rows = df.select("id", F.xxhash64(F.lit(5), "id").alias("h")).collect()
     assert {r.id for r in s.collect()} == {i for _, i in sorted((r.h, r.id) for r in rows)[:250]}
     assert M.sample_rows(df, 10_000, ["id"]).count() == 3000
+
+
+def test_hourly_profile_validates_like_single_requests(spark):
+    # The 24-hour path applies the same range checks
+    reqs = spark.createDataFrame([("강남", "2호선", 9, 1, False), ("강남", "2호선", 2, 13, False),
+                                  ("강남", "2호선", 2, None, None)],
+                                 "station string, line string, dow int, month int, is_holiday boolean")
+    codes = spark.createDataFrame([("강남", "2호선", 0, 0, 0)],
+                                  "station string, line string, station_idx int, line_idx int, is_transfer int")
+    probs = spark.range(24).select(F.lit("강남").alias("station"), F.col("id").cast("int").alias("hour"),
+                                   F.array(*[F.lit(0.25)] * 4).alias("probs"))
+    prof = score.hourly_profile(reqs, codes, probs, 2025, as_of_month=6).collect()
+    assert len(prof) == 24 and {r.month for r in prof} == {6} and {r.dow for r in prof} == {2}
