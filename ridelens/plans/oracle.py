@@ -651,3 +651,4 @@ q("request_features_serving", SCORE + f"""
 , sv AS (SELECT *, CAST({_SERVING} AS INTEGER) AS sp FROM rf)
 SELECT {REQ}, sp AS period_idx, sp * 10 + dow AS time_dow, station_idx * 10 + sp AS station_time,
        cat_group * 100 + sp * 10 + dow AS group_time_dow FROM sv""")
+ORACLE["payload_peak_stream"] = ORACLE["payload_peak"]

@@ -520,7 +520,7 @@ def q_holiday_dim(spark, d):
     days = V.v_clean(spark, d).groupBy(F.date_format("use_date", "MMdd").alias("mmdd")).agg(
         F.count(F.lit(1)).alias("n_rows"))
     hd = dims.holiday_dim(spark).withColumn("mmdd", F.substring("date", 5, 4))
-    out = hd.join(F.broadcast(days), on="mmdd", how="left")
+    out = hd.join(F.broadcast(days), on="mmdd", how="left")  # at most 366 month-days: bounded by the calendar
     return out.select("date", "is_holiday", "holiday_name", "holiday_date",
                       F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))
 
@@ -746,3 +746,10 @@ def q_rf_time_importance(spark, d):
     m = M.train(split.filter(~F.col("is_test")), feats, "level", **SMALL_FOREST)
     imp = M.feature_importance(m, feats).filter(F.col("feature").isin(TIME_FEATURES))
     return imp.select("feature", r6("importance").alias("importance"))
+
+
+@query
+def q_payload_peak_stream(spark, d):
+    from ridelens.streaming.peaks import peak_table
+
+    return peak_table(spark, d)
