@@ -14,6 +14,11 @@ data that task holds a third of the data. Instead:
    table; broadcast it back and add.
 
 The order keys must be a total order (append a unique key).
+
+Both functions are size-adaptive in the same way as the checked broadcasts:
+when the group sizes (known from a small aggregate) show that no group
+exceeds ``WINDOW_MAX_ROWS``, a plain ``row_number`` window is bounded and
+cheaper (one shuffle); otherwise the distributed path runs.
 """
 
 from __future__ import annotations
@@ -25,6 +30,10 @@ from ridelens.operators.joins import sized_broadcast
 from ridelens.session import checkpoint_stage
 
 
+# largest group a single window task may hold
+WINDOW_MAX_ROWS = 1_000_000
+
+
 def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
@@ -43,6 +52,16 @@ def rank_within(df: DataFrame, group_col: str | None, order_cols, rank_col: str
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     g = F.col(group_col) if group_col else F.lit(0)
     base = df.withColumn("_g", g)
+    largest = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest <= WINDOW_MAX_ROWS:
+        # every group is proven small: one window task per group is bounded
+        w = Window.partitionBy("_g")
+        ordered = w.orderBy(*_cols(order_cols))
+        out = base.withColumns({
+            rank_col: F.row_number().over(ordered).cast("long"),
+            size_col: F.count(F.lit(1)).over(w),
+        })
+        return out.drop("_g")
     keys = [F.col("_g")] + _cols(order_cols)
     ranged = (
         base.repartitionByRange(n, *keys)
@@ -92,11 +111,20 @@ def select_first(df: DataFrame, group_col: str | None, key_cols, quota, seed: in
         .otherwise(F.lit("partial"))
     )
     table = counts.select(F.col("_sf_g").alias("_sf_g2"), F.col("_sf_b").alias("_sf_b2"), status.alias("_sf_st"),
-                          (F.col("_sf_m") - F.col("_sf_before")).alias("_sf_need"))
+                          (F.col("_sf_m") - F.col("_sf_before")).alias("_sf_need"), F.col("_sf_c").alias("_sf_bc"))
     table = sized_broadcast(table)
+    largest_boundary = table.filter(F.col("_sf_st") == "partial").agg(F.max("_sf_bc")).first()[0]
     joined = base.join(table, F.col("_sf_g").eqNullSafe(F.col("_sf_g2")) & (F.col("_sf_b") == F.col("_sf_b2")), "left")
     rest = joined.filter(F.col("_sf_st") != "partial").withColumn(flag_col, F.col("_sf_st") == "all")
-    part = joined.filter(F.col("_sf_st") == "partial").withColumn("_sf_gb", F.struct("_sf_g", "_sf_b"))
-    part = rank_within(part, "_sf_gb", [F.col("_sf_h")] + keys, rank_col="_sf_r", size_col="_sf_rs")
-    part = part.withColumn(flag_col, F.col("_sf_r") <= F.col("_sf_need")).drop("_sf_gb", "_sf_r", "_sf_rs")
-    return rest.unionByName(part).drop("_sf_g", "_sf_h", "_sf_b", "_sf_g2", "_sf_b2", "_sf_st", "_sf_need")
+    if largest_boundary is None:  # every bucket is wholly in or out
+        return rest.drop("_sf_g", "_sf_h", "_sf_b", "_sf_g2", "_sf_b2", "_sf_st", "_sf_need", "_sf_bc")
+    part = joined.filter(F.col("_sf_st") == "partial")
+    if largest_boundary <= WINDOW_MAX_ROWS:
+        # boundary buckets are proven small: rank each in one window task
+        w = Window.partitionBy("_sf_g", "_sf_b").orderBy(F.col("_sf_h"), *keys)
+        part = part.withColumn(flag_col, F.row_number().over(w) <= F.col("_sf_need"))
+    else:
+        part = part.withColumn("_sf_gb", F.struct("_sf_g", "_sf_b"))
+        part = rank_within(part, "_sf_gb", [F.col("_sf_h")] + keys, rank_col="_sf_r", size_col="_sf_rs")
+        part = part.withColumn(flag_col, F.col("_sf_r") <= F.col("_sf_need")).drop("_sf_gb", "_sf_r", "_sf_rs")
+    return rest.unionByName(part).drop("_sf_g", "_sf_h", "_sf_b", "_sf_g2", "_sf_b2", "_sf_st", "_sf_need", "_sf_bc")

@@ -19,13 +19,17 @@ from ridelens.operators import calendar, clean, encode, enhance, reshape, stats,
 from ridelens.session import checkpoint_stage
 
 
-def preprocess_long(long_df: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """Long (use_month, line, station, hour, boardings, alightings, total) ->
-    processed table with date, labels, capped counts and group means.
+STATS_KEYS = ["station", "hour", "line", "period", "congestion", "month_third"]
+
+
+def preprocess_with_stats(long_df: DataFrame, checkpoint: bool = True):
+    """(processed table, shared statistics).
 
     The capped table is checkpointed (the source writes its processed CSV
-    here): the group statistics and every later statistic read that table
-    once instead of re-running the scan, the quartiles and the cleaning."""
+    here). ONE grouping-sets pass over it then yields every statistic the
+    feature chain needs: means per station / hour / line, station extremes
+    and the distinct values behind the label codes (capping happens before
+    all of them, so computing them together changes no value)."""
     df = clean.fill_missing(long_df)
     df = reshape.with_month_date(df)
     df = reshape.with_period(df)
@@ -34,21 +38,30 @@ def preprocess_long(long_df: DataFrame, checkpoint: bool = True) -> DataFrame:
     df = clean.cap_outliers(df)
     if checkpoint:
         df = checkpoint_stage(df)
-    return stats.with_group_means(df)
+    shared = stats.group_stats(calendar.with_month_third(df), STATS_KEYS)
+    return stats.with_group_means(df, stats=shared), shared
+
+
+def preprocess_long(long_df: DataFrame, checkpoint: bool = True) -> DataFrame:
+    """Long (use_month, line, station, hour, boardings, alightings, total) ->
+    processed table with date, labels, capped counts and group means."""
+    return preprocess_with_stats(long_df, checkpoint)[0]
 
 
 def preprocess(wide_df: DataFrame) -> DataFrame:
     return preprocess_long(reshape.wide_to_long(wide_df))
 
 
-def engineer_features(processed: DataFrame, holidays, checkpoint: bool = True):
+def engineer_features(processed: DataFrame, holidays, checkpoint: bool = True, shared: DataFrame | None = None):
     """Processed table -> (training feature table, label code table).
 
     Station extremes and the distinct values behind every label code come
-    from ONE grouping-sets pass over the processed table."""
+    from one grouping-sets pass over the processed table (``shared``, from
+    ``preprocess_with_stats``, when the caller already has it)."""
     df = calendar.with_time_features(processed)
     df = calendar.with_holiday_flags(df, holidays)
-    shared = stats.group_stats(df, ["station", "line", "period", "congestion", "month_third"])
+    if shared is None:
+        shared = stats.group_stats(df, ["station", "line", "period", "congestion", "month_third"])
     df = windows.with_history_features(df)
     df = stats.with_station_extremes(df, stats=shared)
     df = stats.with_rel_congestion(df)
@@ -75,6 +88,12 @@ def enhance_features(features: DataFrame, strict: bool = False) -> DataFrame:
     return clean.replace_inf(df, numeric)
 
 
-def full_chain(long_df: DataFrame, holidays: DataFrame, strict: bool = False) -> DataFrame:
-    features, _ = engineer_features(preprocess_long(long_df), holidays)
+def feature_chain(long_df: DataFrame, holidays):
+    """Long table -> (feature table, code table) with one statistics pass."""
+    processed, shared = preprocess_with_stats(long_df)
+    return engineer_features(processed, holidays, shared=shared)
+
+
+def full_chain(long_df: DataFrame, holidays, strict: bool = False) -> DataFrame:
+    features, _ = feature_chain(long_df, holidays)
     return enhance_features(features, strict=strict)

@@ -270,7 +270,7 @@ def q_interactions(spark, d):
 
 
 def _feature_table(spark, d):
-    features, _ = pipeline.engineer_features(pipeline.preprocess_long(V.v_monthly(spark, d)), V.fixture_holiday_dates())
+    features, _ = pipeline.feature_chain(V.v_monthly(spark, d), V.fixture_holiday_dates())
     return features
 
 

@@ -136,3 +136,20 @@ def test_hourly_profile_validates_like_single_requests(spark):
                                    F.array(*[F.lit(0.25)] * 4).alias("probs"))
     prof = score.hourly_profile(reqs, codes, probs, 2025, as_of_month=6).collect()
     assert len(prof) == 24 and {r.month for r in prof} == {6} and {r.dow for r in prof} == {2}
+
+
+def test_rank_paths_agree(spark, monkeypatch):
+    # the window path (small groups) and the distributed path give the same exact ranks
+    from ridelens.operators import ranking
+
+    df = _labelled(spark, 2500)
+    small = {(r.id, r.rank_in_group) for r in ranking.rank_within(df, "level", ["noise", "id"]).collect()}
+    monkeypatch.setattr(ranking, "WINDOW_MAX_ROWS", 10)
+    big = {(r.id, r.rank_in_group) for r in ranking.rank_within(df, "level", ["noise", "id"], num_partitions=5).collect()}
+    assert small == big
+    a = {r.id for r in ranking.select_first(df, "level", ["id"], lambda n: F.round(F.lit(0.3) * n), 3, "s",
+                                            bucket_bits=3).filter("s").collect()}
+    monkeypatch.setattr(ranking, "WINDOW_MAX_ROWS", 1_000_000)
+    b = {r.id for r in ranking.select_first(df, "level", ["id"], lambda n: F.round(F.lit(0.3) * n), 3, "s",
+                                            bucket_bits=3).filter("s").collect()}
+    assert a == b
