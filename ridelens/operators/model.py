@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridelens.operators.ranking import hash_order, rank_within, select_first
+from ridelens.session import checkpoint_stage
 
 N_CLASSES = 4
 
@@ -186,7 +187,7 @@ def overfit_report(scores: DataFrame, train_col: str = "train_accuracy", test_co
 
 # --- learning curve ----------------------------------------------------------------------------
 def learning_curve(df: DataFrame, features, label_col: str, key_cols, seed: int = 42, folds: int = 3,
-                   steps: int = 10, max_rows: int = 100_000, parallelism: int = 4, **forest_params) -> DataFrame:
+                   steps: int = 10, max_rows: int = 100_000, parallelism: int = 8, **forest_params) -> DataFrame:
     """Accuracy on the used training rows and on the held-out fold for
     training sizes 10 %..100 % of the training folds (stratified folds by
     rank modulo ``folds`` inside each class), averaged over folds with the
@@ -196,9 +197,13 @@ def learning_curve(df: DataFrame, features, label_col: str, key_cols, seed: int
     order = hash_order(key_cols, seed)
     ranked = rank_within(sample, label_col, order, rank_col="_r", size_col="_n")
     ranked = ranked.withColumn("_fold", ((F.col("_r") - 1) % folds).cast("int")).drop("_r", "_n")
+    # the sample (at most max_rows rows) is written once; every fit reads it
+    keep = list(dict.fromkeys([*features, label_col, *key_cols, "_fold"]))
+    ranked = checkpoint_stage(ranked.select(*keep), name="cv")
     pools = []
     for f in range(folds):
         pool = rank_within(ranked.filter(F.col("_fold") != f), None, order, rank_col="_pos", size_col="_pool")
+        pool = checkpoint_stage(pool, name=f"cv-pool{f}")
         pools.append((f, pool, ranked.filter(F.col("_fold") == f)))
     # one set of absolute sizes for every fold, from the smallest training pool
     n_max = min(p.agg(F.max("_pool")).first()[0] or 0 for _, p, _ in pools)
@@ -209,9 +214,11 @@ def learning_curve(df: DataFrame, features, label_col: str, key_cols, seed: int
     def run(job):
         f, s, tr, te = job
         m = train(tr, features, label_col, seed, **forest_params)
-        a_tr = accuracy(predict(m, tr, label_col), label_col).first()[0]
-        a_te = accuracy(predict(m, te, label_col), label_col).first()[0]
-        return (f, s, float(a_tr), float(a_te))
+        # training rows and the held-out fold scored in one pass
+        both = tr.withColumn("_val", F.lit(False)).unionByName(te.withColumn("_val", F.lit(True)))
+        hit = (F.col(label_col) == F.col("prediction")).cast("double")
+        acc = {r["_val"]: r["a"] for r in predict(m, both, label_col).groupBy("_val").agg(F.avg(hit).alias("a")).collect()}
+        return (f, s, float(acc.get(False) or 0.0), float(acc.get(True) or 0.0))
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
         results = list(ex.map(run, jobs))
