@@ -8,7 +8,9 @@ from tools.oracle_check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["top_stations", "wide_to_long", "cap_outliers", "group_means", "holiday_flags", "rolling", "label_encode",
-         "peak_congestion", "adjust_level", "profile_summary", "flatten_hourly", "stratified_split", "class_report"]
+         "peak_congestion", "adjust_level", "profile_summary", "flatten_hourly", "stratified_split", "class_report",
+         "flatten_ridership", "flatten_arrivals", "validate_requests", "holiday_dim", "station_categories",
+         "interactions", "null_counts", "outlier_counts", "feature_family"]
 
 
 @pytest.fixture(scope="module")
