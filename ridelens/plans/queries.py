@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridelens.operators import calendar, clean, encode, enhance, lookup, peak, profile, reshape, score, stats, windows
+from ridelens.operators import model as M
 from ridelens.plans import pipeline
+from ridelens.session import ensure_checkpoint_dir
+from ridelens.sources import dims, io, payloads
 from ridelens.sources import fixtures as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -476,8 +479,6 @@ def q_suggest(spark, d):
 
 
 # --- phase 6b: landed payloads, holidays, files ----------------------------------------------------
-from ridelens.sources import dims, io, payloads  # noqa: E402
-from ridelens.session import ensure_checkpoint_dir  # noqa: E402
 
 
 def _payload(spark, d, col):
@@ -581,7 +582,6 @@ def q_enhanced_table(spark, d):
 
 
 # --- phase 8: split, metrics, forest ------------------------------------------------------------------
-from ridelens.operators import model as M  # noqa: E402
 
 SMALL_FOREST = {"numTrees": 10, "maxDepth": 5}
 
