@@ -88,3 +88,20 @@ def test_calendar_matches_pandas(spark):
     assert got["is_holiday"].tolist() == p["d"].isin(h).astype(int).tolist()
     assert got["holiday_eve"].tolist() == (p["d"] + pd.Timedelta(days=1)).isin(h).astype(int).tolist()
     assert got["holiday_next"].tolist() == (p["d"] - pd.Timedelta(days=1)).isin(h).astype(int).tolist()
+
+
+def test_profiles_match_pandas(spark):
+    from ridelens.operators import profile
+
+    rng = random.Random(4)
+    rows = [(rng.choice([202401, 202402, None]), rng.choice(["1호선", "2호선", None]), rng.choice(["강남", "신촌"]),
+             rng.choice([0, 1, 2, 3, None])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "use_month int, line string, station string, level int")
+    p = pd.DataFrame(rows, columns=["use_month", "line", "station", "level"])
+    d = profile.distinct_counts(df, ["use_month", "line", "station"]).first()
+    assert (d.n_use_month, d.n_line, d.n_station) == tuple(p[c].nunique() for c in ["use_month", "line", "station"])
+    dup = profile.duplicate_count(df, ["use_month", "line", "station"]).first()[0]
+    assert dup == int(p.duplicated(subset=["use_month", "line", "station"]).sum())  # null keys compare equal
+    vc = [(r.level, r.n) for r in profile.value_counts(df, "level").collect()]
+    pv = p["level"].value_counts().sort_index()
+    assert vc == [(int(k), int(v)) for k, v in pv.items()]
