@@ -104,3 +104,12 @@ def test_null_counts_first_positive(wide_df):
     out = profile.null_counts(wide_df, only_positive=True, limit=3).collect()
     assert [r.null_count > 0 for r in out] == [True] * len(out)
     assert [r.col_pos for r in out] == sorted(r.col_pos for r in out)
+
+
+def test_strip_matches_python_for_every_space_character(spark):
+    # T4: every code point Python treats as white space is stripped, nothing else
+    spaces = [chr(i) for i in range(0x110000) if chr(i).isspace()]
+    rows = [(f"{c}{c}역{c}삼{c}",) for c in spaces] + [("​강남​",)]  # zero-width space is not white space
+    df = spark.createDataFrame(rows, "station string")
+    got = [r.station for r in reshape.normalize_names(df, columns=("station",)).collect()]
+    assert got == [s.strip() for (s,) in rows]
