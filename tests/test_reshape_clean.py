@@ -113,3 +113,13 @@ def test_strip_matches_python_for_every_space_character(spark):
     df = spark.createDataFrame(rows, "station string")
     got = [r.station for r in reshape.normalize_names(df, columns=("station",)).collect()]
     assert got == [s.strip() for (s,) in rows]
+
+
+def test_bad_month_gives_null_date_and_hour_forms(spark):
+    from ridelens.operators import peak
+
+    df = spark.createDataFrame([(202512,), (202513,)], "use_month int")
+    out = {r.use_month: r.use_date for r in reshape.with_month_date(df).collect()}
+    assert str(out[202512]) == "2025-12-01" and out[202513] is None  # no failure under ANSI mode
+    hours = spark.createDataFrame([(8,), (9,)], "hour int")
+    assert [peak.at_hour(hours, h).count() for h in (8, "8", "08", " 08 ")] == [1, 1, 1, 1]
