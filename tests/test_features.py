@@ -111,3 +111,22 @@ def test_peak_relative(spark):
     assert [r.peak_level for r in out] == ["보통", "매우혼잡", "매우혼잡", "여유"]
     assert out[0].bar == "█" * 10 and out[3].congestion_percent == 39.9
     assert peak.at_hour(peak.with_peak(peak.hourly_totals(df)), "08").count() == 1
+
+
+def test_sized_broadcast_falls_back_above_bound(spark):
+    from ridelens.operators.joins import sized_broadcast
+
+    fact = spark.range(1000).withColumn("k", F.col("id") % 5)
+    dim = spark.range(5).withColumnRenamed("id", "k").withColumn("v", F.col("k") * 10)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = fact.join(sized_broadcast(dim, max_rows=10), "k", "left")
+        big = fact.join(sized_broadcast(dim, max_rows=2), "k", "left")
+        plan_small = small._jdf.queryExecution().executedPlan().toString()
+        plan_big = big._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan_small
+        assert "BroadcastHashJoin" not in plan_big and "SortMergeJoin" in plan_big
+        assert small.count() == big.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
