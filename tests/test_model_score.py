@@ -153,3 +153,12 @@ def test_rank_paths_agree(spark, monkeypatch):
     b = {r.id for r in ranking.select_first(df, "level", ["id"], lambda n: F.round(F.lit(0.3) * n), 3, "s",
                                             bucket_bits=3).filter("s").collect()}
     assert a == b
+
+
+def test_line_code_fallback_only_for_known_pairs(spark):
+    # K4: without a line-code column the fixed line map is used, and only for pairs seen in the data
+    reqs = spark.createDataFrame([("강남", "9호선", 8, 1, 1, False), ("신촌", "공항철도", 8, 1, 1, False)],
+                                 "station string, line string, hour int, dow int, month int, is_holiday boolean")
+    codes = spark.createDataFrame([("강남", "9호선", 4)], "station string, line string, station_idx int")
+    out = {r.station: (r.station_idx, r.line_idx) for r in score.request_features(reqs, codes, 2025).collect()}
+    assert out == {"강남": (4, 8), "신촌": (0, 0)}
