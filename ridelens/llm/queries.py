@@ -3,14 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ridelens.llm import repetition
-from ridelens.llm.common import documents
+from ridelens.llm import hilbert, mixing, packing, repetition, secrets, urls, warc
+from ridelens.llm.common import documents, stage, table
+
+
+def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``rows``: the curve's order is cut into 40 runs of equal counts."""
+    out = hilbert.hilbert_shards(documents(spark, sf_dir), 40)
+    return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
 def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op5_repetition_coverage,)}
+def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the archives, then reads every record back through the index."""
+    return warc.read_records(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(documents(spark, sf_dir))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(documents(spark, sf_dir))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents, once per epoch, by the production tree and weights."""
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
+    docs = stage(mixing.tree_columns(docs).drop("text"), "tokens")
+    return mixing.mix_sources(docs).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
+QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op3_warc_bundles, op5_repetition_coverage, op6_secret_scan, op7_url_filter, op9_best_fit_packing, op10_source_mixing)}
 ORACLE: dict[str, str] = {}
