@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridelens.llm import hilbert, mixing, packing, repetition, secrets, urls, warc
+from ridelens.llm import hilbert, jaccard, katz, mixing, neardup, packing, repetition, secrets, urls, warc
 from ridelens.llm.common import documents, stage, table
 
 
+def op1_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: the curve's order is cut into 40 runs of equal counts."""
     out = hilbert.hilbert_shards(documents(spark, sf_dir), 40)
     return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, similarity 0.9."""
+    return jaccard.jaccard_components(documents(spark, sf_dir), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -32,6 +41,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(documents(spark, sf_dir))
 
@@ -43,5 +56,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op3_warc_bundles, op5_repetition_coverage, op6_secret_scan, op7_url_filter, op9_best_fit_packing, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (
+    op1_rotation_codes, op2_hilbert_shards, op3_warc_bundles, op4_jaccard_join, op5_repetition_coverage,
+    op6_secret_scan, op7_url_filter, op8_katz_scores, op9_best_fit_packing, op10_source_mixing)}
 ORACLE: dict[str, str] = {}
