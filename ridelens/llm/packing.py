@@ -224,7 +224,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands
     done.append(state.withColumn("_r", F.row_number().over(Window.partitionBy("block").orderBy("n_bins", "island"))).filter("_r = 1").drop("_r"))
     solved = done[0].unionByName(done[1]).select("block", "genome")
     rows = blocks.select("block", "items").join(solved, "block").select("block", F.explode(F.arrays_zip("items", "genome")).alias("z"))
-    rows = rows.select("z.items.*", (F.col("block") * F.lit(block * 4) + F.col("z.genome")).alias("sequence_id"))
+    rows = rows.select("z.items.*", (F.col("block") * F.lit(1 << 20) + F.col("z.genome")).alias("sequence_id"))
     place = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "piece").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("offset", F.coalesce(F.sum("length").over(place), F.lit(0)))
 

@@ -109,7 +109,8 @@ def judge_urls(pages: DataFrame, rules: dict[str, str] | None = None, sample: in
     labelled = rows.filter(F.col("label").isNotNull())
     model = fit(labelled, sample)
     if model is None:
-        one = F.coalesce(labelled.agg(F.max("said").alias("v")).first()["v"] and F.lit(labelled.agg(F.max("said")).first()[0]) or F.lit(None), F.lit("allow"))
+        only = labelled.agg(F.max("said").alias("v")).first()["v"]
+        one = F.lit(only or "allow")
         return rows.select("page_id", "host", "path", "rule", F.coalesce("said", one).alias("verdict"), F.lit(None).cast("double").alias("score"))
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_statistics(rows, labelled))
     scored = model.transform(ready)
