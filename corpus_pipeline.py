@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ridelens.llm import repetition
+from ridelens.llm import jaccard, mixing, packing, repetition, secrets
 from ridelens.llm.common import documents, stage
 
 
@@ -13,9 +14,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repetition.keep_clean(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five-word shingles, similarity 0.8)."""
+    return jaccard.keep_one(docs)
 
-#: stages on shingles, tokenizers and searches have no SQL form
+
+def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; no document goes."""
+    return secrets.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the budgeted tree, once for every epoch in which they are chosen."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "lang", "source",
+                       mixing.word_tokens(F.col("text")).alias("n_tokens"))
+    return mixing.mix_sources(rows).select("_row.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1,024 tokens."""
+    return packing.best_fit_packing(docs)
+
+
+STAGES = [("quality_rules", quality), ("ngram_jaccard_join", deduplicate), ("secret_scans", remove_secrets),
+          ("mix_to_target_weights", mix), ("best_fit_packing", pack)]
+
+#: shingle search, tokenizer and packing have no SQL form; the stages are tested against brute force
 ORACLE_SQL = None
 
 
