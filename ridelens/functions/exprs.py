@@ -140,6 +140,11 @@ def cyclic_cos(c: Column | str, period: int) -> Column:
     return F.cos(F.lit(2 * math.pi) * col_(c) / F.lit(float(period)))
 
 
+def whole_number(c: Column | str) -> Column:
+    """A count written as ``123``, ``123.0`` or ``1,234`` as BIGINT; null if it is no number."""
+    return F.regexp_replace(col_(c).cast("string"), ",", "").try_cast("double").try_cast("bigint")
+
+
 # --- text ---------------------------------------------------------------------
 # Python's str.strip() removes Unicode white space plus the separators
 # U+001C..U+001F; Java's (?U)\s covers the former.

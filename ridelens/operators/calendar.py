@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridelens.functions import exprs as X
-from ridelens.operators.joins import sized_broadcast
 
 
 def weekday_columns(date_col: str = "use_date") -> dict:
@@ -83,13 +82,13 @@ def with_holiday_flags(df: DataFrame, holidays, date_col: str = "use_date",
 
     ``holidays`` is a list of ISO dates (a literal table: its size is known,
     it is broadcast without a check) or a DataFrame with a date column
-    (counted before it is broadcast)."""
+    (joined without a hint)."""
     if isinstance(holidays, (list, tuple)):
         from ridelens.sources.dims import holiday_dates
 
         dim = F.broadcast(holiday_flag_dim(holiday_dates(df.sparkSession, list(holidays)), "date"))
     else:
-        dim = sized_broadcast(holiday_flag_dim(holidays, holiday_date_col))
+        dim = holiday_flag_dim(holidays, holiday_date_col)
     out = df.join(dim, F.col(date_col) == dim["_date"], "left").drop("_date")
     hol = F.coalesce("_is_holiday", F.lit(0)).cast("int")
     weekend = F.col("is_weekend") if "is_weekend" in df.columns else (F.weekday(date_col) >= 5).cast("int")
@@ -104,9 +103,9 @@ def with_holiday_flags(df: DataFrame, holidays, date_col: str = "use_date",
 
 def with_is_holiday(df: DataFrame, holidays: DataFrame, date_col: str, holiday_date_col: str = "holiday_date",
                     out_col: str = "is_holiday") -> DataFrame:
-    """Membership test of a date against a holiday dimension (broadcast left
-    join on the deduplicated dimension)."""
+    """Membership test of a date against a holiday dimension (left join on the
+    deduplicated dimension)."""
     dim = holidays.select(F.col(holiday_date_col).alias("_hd")).dropDuplicates(["_hd"])
-    dim = sized_broadcast(dim.withColumn("_hit", F.lit(True)))
+    dim = dim.withColumn("_hit", F.lit(True))
     out = df.join(dim, F.col(date_col) == dim["_hd"], "left")
     return out.withColumn(out_col, F.coalesce("_hit", F.lit(False))).drop("_hd", "_hit")

@@ -1,12 +1,8 @@
 """Cleaning: null fill, IQR capping, infinity replacement.
 
-``cap_outliers`` computes the quartiles of all columns in one global
-aggregate (partial aggregation on every task, one small merge) and feeds
-them to the row expressions as a scalar subquery: no join, no cross join,
-no driver round trip. The exact ``percentile`` keeps a value -> count map,
-so its buffer grows with the number of distinct values, which for head
-counts is bounded; ``method='approx'`` switches to ``percentile_approx``
-for inputs with unbounded distinct values.
+``cap_outliers`` takes the exact quartiles of all columns from one pass of
+value counts (``quantiles``) and feeds them to the row expressions as a scalar
+subquery: no cross join, no driver round trip, no task with all values.
 """
 
 from __future__ import annotations
@@ -14,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridelens.operators.quantiles import quantile_table
+
 COUNT_COLUMNS = ("boardings", "alightings", "total")
 
 
@@ -35,17 +33,9 @@ def replace_inf(df: DataFrame, columns) -> DataFrame:
     })
 
 
-def _bounds(df: DataFrame, columns, k: float, method: str, accuracy: int) -> Column:
-    """One scalar subquery: struct of per-column upper fences Q3 + k*IQR."""
-    fields = []
-    for c in columns:
-        if method == "exact":
-            q = F.percentile(F.col(c).cast("double"), [0.25, 0.75])
-        else:
-            q = F.percentile_approx(F.col(c).cast("double"), [0.25, 0.75], accuracy)
-        fields.append(q.alias(c))
-    qs = df.agg(F.struct(*fields).alias("q")).scalar()
-    return qs
+def _bounds(df: DataFrame, columns) -> Column:
+    """One scalar subquery: struct of per-column quartiles."""
+    return quantile_table(df, columns, [0.25, 0.75]).agg(F.struct(*[F.first(c).alias(c) for c in columns]).alias("q")).scalar()
 
 
 def _upper(qs: Column, c: str, k: float) -> Column:
@@ -54,13 +44,12 @@ def _upper(qs: Column, c: str, k: float) -> Column:
     return q3 + F.lit(k) * (q3 - q1)
 
 
-def cap_outliers(df: DataFrame, columns=COUNT_COLUMNS, k: float = 1.5, mult: float = 2.0,
-                 method: str = "exact", accuracy: int = 100000) -> DataFrame:
+def cap_outliers(df: DataFrame, columns=COUNT_COLUMNS, k: float = 1.5, mult: float = 2.0) -> DataFrame:
     """Per column, in this order: quartiles of the raw values; clip below at
     0; values above ``mult`` x (Q3 + k*IQR) become Q3 + k*IQR. Columns are
     capped independently (a capped total no longer equals the sum of its
     parts). Output columns are DOUBLE."""
-    qs = _bounds(df, columns, k, method, accuracy)
+    qs = _bounds(df, columns)
     out = df.withColumn("_q", qs)
     cols = {}
     for c in columns:
@@ -70,10 +59,9 @@ def cap_outliers(df: DataFrame, columns=COUNT_COLUMNS, k: float = 1.5, mult: flo
     return out.withColumns(cols).drop("_q")
 
 
-def outlier_counts(df: DataFrame, columns=COUNT_COLUMNS, k: float = 1.5, mult: float = 2.0,
-                   method: str = "exact", accuracy: int = 100000) -> DataFrame:
+def outlier_counts(df: DataFrame, columns=COUNT_COLUMNS, k: float = 1.5, mult: float = 2.0) -> DataFrame:
     """(column, upper_bound, outlier_count): how many values ``cap_outliers`` replaces."""
-    qs = _bounds(df, columns, k, method, accuracy)
+    qs = _bounds(df, columns)
     base = df.withColumn("_q", qs)
     aggs = []
     for c in columns:

@@ -3,7 +3,7 @@
 ``label_encode`` codes several text columns at once: one pass collects the
 distinct (column, value) pairs with map-side de-duplication, a window per
 column ranks each column's distinct values (bounded by that column's
-domain), and the small code table is size-checked and broadcast back.
+domain), and the code table is joined back; adaptive execution picks the join.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridelens.functions import constants as K
-from ridelens.operators.joins import sized_broadcast
 from ridelens.operators.reshape import select_existing
 
 ENCODED_COLUMNS = ("line", "station", "period", "congestion", "month_third")
@@ -62,10 +61,9 @@ def label_encode(df: DataFrame, columns=ENCODED_COLUMNS, suffix: str = "_idx", s
     over these columns) no extra pass over the data is needed."""
     columns = [c for c in columns if c in df.columns]
     if stats is None:
-        codes = sized_broadcast(label_codes(df, columns))
+        codes = label_codes(df, columns)
     else:
-        # a subset of an already size-checked table: the bound is proven
-        codes = F.broadcast(label_codes_from_stats(stats, columns))
+        codes = label_codes_from_stats(stats, columns)
     out = df
     for c in columns:
         side = codes.filter(F.col("column_name") == c).select(

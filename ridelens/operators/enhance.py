@@ -18,13 +18,11 @@ from ridelens.sources.dims import station_category_dim
 def with_station_categories(df: DataFrame, dim: DataFrame | None = None, station_col: str = "station") -> DataFrame:
     """Six category columns by station; unknown stations get 0 everywhere.
     The built-in 28-station table is broadcast as is; a caller's table is
-    size-checked first."""
+    joined without a hint."""
     if dim is None:
         side = F.broadcast(station_category_dim(df.sparkSession).withColumnRenamed("station", "_cat_station"))
     else:
-        from ridelens.operators.joins import sized_broadcast
-
-        side = sized_broadcast(dim.withColumnRenamed("station", "_cat_station"))
+        side = dim.withColumnRenamed("station", "_cat_station")
     out = df.join(side, F.col(station_col) == F.col("_cat_station"), "left").drop("_cat_station")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("int") for c in K.STATION_CATEGORY_COLUMNS})
 

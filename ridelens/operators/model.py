@@ -129,52 +129,51 @@ def confusion(pred: DataFrame, label_col: str = "label", pred_col: str = "predic
     return out.select(F.col(label_col).alias("label"), *cols.keys())
 
 
-def class_report(pred: DataFrame, label_col: str = "label", pred_col: str = "prediction") -> DataFrame:
-    """Per class: precision, recall, f1, support; then 'accuracy', 'macro
-    avg' and 'weighted avg' rows (a metric with a zero denominator is 0)."""
-    cells = pred.groupBy(F.col(label_col).alias("t"), F.col(pred_col).alias("p")).agg(F.count(F.lit(1)).alias("c"))
-    tp = cells.filter(F.col("t") == F.col("p")).select(F.col("t").alias("k"), F.col("c").alias("tp"))
-    sup = cells.groupBy(F.col("t").alias("k")).agg(F.sum("c").alias("support"))
-    npred = cells.groupBy(F.col("p").alias("k")).agg(F.sum("c").alias("npred"))
-    classes = sup.select("k").union(npred.select("k")).distinct()
-    per = (
-        classes.join(tp, "k", "left").join(sup, "k", "left").join(npred, "k", "left")
-        .fillna(0, ["tp", "support", "npred"])
-    )
-    prec = F.when(F.col("npred") > 0, F.col("tp") / F.col("npred")).otherwise(F.lit(0.0))
-    rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
-    per = per.withColumns({"precision": prec, "recall": rec})
-    per = per.withColumn(
-        "f1", F.when((F.col("precision") + F.col("recall")) > 0,
-                     2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-        .otherwise(F.lit(0.0)))
-    per = per.select(F.col("k").cast("string").alias("row_label"), "precision", "recall", "f1",
-                     F.col("support").cast("long").alias("support"))
-    n = F.sum("support")
-    summary = per.agg(
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / n).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / n).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / n).alias("wf"),
-        n.cast("long").alias("n"),
-    )
-    acc = pred.agg(F.avg((F.col(label_col) == F.col(pred_col)).cast("double"))).scalar()
-    rows = summary.withColumn("acc", acc)
+def _cells(pred: DataFrame, label_col: str, pred_col: str, n_classes: int) -> DataFrame:
+    """The whole confusion matrix as one row: array ``m`` of arrays, by one aggregate."""
+    cell = lambda i, j: F.count_if((F.col(label_col) == i) & (F.col(pred_col) == j))
+    rows = [F.array(*[cell(i, j) for j in range(n_classes)]) for i in range(n_classes)]
+    return pred.agg(F.array(*rows).alias("m"))
+
+
+def _scores(cells: DataFrame, n_classes: int) -> DataFrame:
+    """Adds ``per`` (class scores of the classes that occur), ``n`` and the summary values to the one-row matrix."""
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+
+    def one(k: int):
+        tp, support = F.col("m")[k][k], sum((F.col("m")[k][j] for j in range(n_classes)), F.lit(0))
+        predicted = sum((F.col("m")[i][k] for i in range(n_classes)), F.lit(0))
+        p, r = share(tp, predicted), share(tp, support)
+        f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+        return F.struct(F.lit(str(k)).alias("row_label"), p.alias("precision"), r.alias("recall"), f.alias("f1"), support.cast("long").alias("support"),
+                        predicted.alias("predicted"), tp.alias("tp"))
+
+    out = cells.withColumn("per", F.filter(F.array(*[one(k) for k in range(n_classes)]), lambda x: x["support"] + x["predicted"] > 0))
+    total = lambda value: F.aggregate("per", F.lit(0.0), lambda s, x: s + value(x))
+    out = out.withColumn("n", F.aggregate("per", F.lit(0).cast("long"), lambda s, x: s + x["support"]))
+    names = ["precision", "recall", "f1"]
+    return out.withColumns({
+        "accuracy": F.when(F.col("n") > 0, total(lambda x: x["tp"]) / F.col("n")),
+        **{f"macro_{c}": F.when(F.size("per") > 0, total(lambda x, c=c: x[c]) / F.size("per")) for c in names},
+        **{f"weighted_{c}": F.when(F.col("n") > 0, total(lambda x, c=c: x[c] * x["support"]) / F.col("n")) for c in names}})
+
+
+def class_report(pred: DataFrame, label_col: str = "label", pred_col: str = "prediction", n_classes: int = N_CLASSES) -> DataFrame:
+    """Per class that occurs: precision, recall, f1, support; then 'accuracy', 'macro avg' and 'weighted avg' rows
+    (a metric with a zero denominator is 0). One aggregate over the predictions; the rest is arithmetic on its one row."""
+    s = _scores(_cells(pred, label_col, pred_col, n_classes), n_classes)
+
     def row(name, p, r, f):
-        return F.struct(F.lit(name).alias("row_label"), p.cast("double").alias("precision"),
-                        r.cast("double").alias("recall"), f.cast("double").alias("f1"), F.col("n").alias("support"))
+        return F.struct(F.lit(name).alias("row_label"), p.alias("precision"), r.alias("recall"), f.alias("f1"), F.col("n").alias("support"))
 
-    extra = rows.select(F.inline(F.array(
-        row("accuracy", F.lit(None), F.lit(None), F.col("acc")),
-        row("macro avg", F.col("mp"), F.col("mr"), F.col("mf")),
-        row("weighted avg", F.col("wp"), F.col("wr"), F.col("wf")),
-    )))
-    return per.unionByName(extra)
+    none = F.lit(None).cast("double")
+    extra = F.array(row("accuracy", none, none, F.col("accuracy")), *[row(f"{k} avg", *[F.col(f"{k}_{c}") for c in ("precision", "recall", "f1")]) for k in ("macro", "weighted")])
+    per = F.transform("per", lambda x: F.struct(x["row_label"].alias("row_label"), *[x[c].alias(c) for c in ("precision", "recall", "f1", "support")]))
+    return s.select(F.inline(F.concat(per, extra)))
 
 
-def weighted_f1(pred: DataFrame, label_col: str = "label", pred_col: str = "prediction") -> DataFrame:
-    rep = class_report(pred, label_col, pred_col)
-    return rep.filter(F.col("row_label") == "weighted avg").select(F.col("f1").alias("weighted_f1"))
+def weighted_f1(pred: DataFrame, label_col: str = "label", pred_col: str = "prediction", n_classes: int = N_CLASSES) -> DataFrame:
+    return _scores(_cells(pred, label_col, pred_col, n_classes), n_classes).select(F.col("weighted_f1"))
 
 
 def overfit_report(scores: DataFrame, train_col: str = "train_accuracy", test_col: str = "test_accuracy") -> DataFrame:
@@ -188,8 +187,8 @@ def overfit_report(scores: DataFrame, train_col: str = "train_accuracy", test_co
 # --- learning curve ----------------------------------------------------------------------------
 def learning_curve(df: DataFrame, features, label_col: str, key_cols, seed: int = 42, folds: int = 3,
                    steps: int = 10, max_rows: int = 100_000, parallelism: int = 8, **forest_params) -> DataFrame:
-    """Accuracy on the used training rows and on the held-out fold for
-    training sizes 10 %..100 % of the training folds (stratified folds by
+    """Accuracy on the used training rows and on the held-out fold (``df`` is the training part: test rows stay
+    out) for training sizes 10 %..100 % of the training folds (stratified folds by
     rank modulo ``folds`` inside each class), averaged over folds with the
     population standard deviation. Fits run concurrently on the cluster."""
     spark = df.sparkSession
@@ -199,11 +198,11 @@ def learning_curve(df: DataFrame, features, label_col: str, key_cols, seed: int
     ranked = ranked.withColumn("_fold", ((F.col("_r") - 1) % folds).cast("int")).drop("_r", "_n")
     # the sample (at most max_rows rows) is written once; every fit reads it
     keep = list(dict.fromkeys([*features, label_col, *key_cols, "_fold"]))
-    ranked = checkpoint_stage(ranked.select(*keep), name="cv")
+    ranked = checkpoint_stage(ranked.select(*keep), "cv")
     pools = []
     for f in range(folds):
         pool = rank_within(ranked.filter(F.col("_fold") != f), None, order, rank_col="_pos", size_col="_pool")
-        pool = checkpoint_stage(pool, name=f"cv-pool{f}")
+        pool = checkpoint_stage(pool, f"cv-pool{f}")
         pools.append((f, pool, ranked.filter(F.col("_fold") == f)))
     # one set of absolute sizes for every fold, from the smallest training pool
     n_max = min(p.agg(F.max("_pool")).first()[0] or 0 for _, p, _ in pools)
@@ -254,9 +253,18 @@ def load_model(spark: SparkSession, path: str):
     return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/meta")
 
 
+def fit_metrics(pred: DataFrame, label_col: str = "level", test_col: str = "is_test") -> dict:
+    """train_accuracy, test_accuracy, train_f1, test_f1 of scored rows: the two confusion matrices from one pass."""
+    part = lambda test: _scores(_cells(pred.filter(F.col(test_col) == test), label_col, "prediction", N_CLASSES), N_CLASSES)
+    both = part(False).withColumn("part", F.lit("train")).unionByName(part(True).withColumn("part", F.lit("test")))
+    return {f"{r['part']}_{name}": float(r[c] or 0.0) for r in both.select("part", "accuracy", "weighted_f1").collect()
+            for name, c in (("accuracy", "accuracy"), ("f1", "weighted_f1"))}
+
+
 def model_info(meta: DataFrame) -> DataFrame:
-    """Type, date, feature count, first ten features and note."""
+    """Type, date, feature count, first ten features, note and the metrics."""
     return meta.select(
         "model_type", "train_date", F.size("feature_names").alias("feature_count"),
         F.slice("feature_names", 1, 10).alias("features"), "note",
+        *[c for c in ("train_accuracy", "test_accuracy", "train_f1", "test_f1") if c in meta.columns],
     )

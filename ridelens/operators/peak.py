@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridelens.functions import exprs as X
+from ridelens.sources.payloads import hourly_arrays
 
 PEAK_PARTITION = ("station", "line", "use_month")
 
@@ -45,6 +46,22 @@ def with_peak(df: DataFrame, partition=PEAK_PARTITION) -> DataFrame:
     )
 
 
+RESPONSE_COLUMNS = ["event_id", "hour", "passengers", "max_passengers", "congestion_percent", "peak_level", "is_peak"]
+
+
+def response_peaks(df: DataFrame, payload_col: str = "payload") -> DataFrame:
+    """The single-response report of every landed response: its hour totals, its peak and each hour's share. All 24
+    hours of a response sit in its row, so the peak is the maximum of an array: no shuffle, also on a stream."""
+    rows = hourly_arrays(df, payload_col)
+    total = lambda x: x["ride_on"] + x["ride_off"]
+    rows = rows.withColumn("_peak", F.array_max(F.transform("hours", total)))
+    rows = rows.select("event_id", "_peak", F.inline("hours")).withColumn("_t", F.col("ride_on") + F.col("ride_off")).filter("_t > 0")
+    share = F.col("_t") / F.col("_peak") * 100
+    return rows.select("event_id", "hour", F.col("_t").cast("long").alias("passengers"), F.col("_peak").cast("long").alias("max_passengers"),
+                       F.round(share, 1).alias("congestion_percent"), X.peak_level(share).alias("peak_level"),
+                       (F.col("_t") == F.col("_peak")).alias("is_peak"))
+
+
 def normalize_hour(hour) -> int:
     """8, '8' and '08' all mean hour 8."""
     return int(str(hour).strip())

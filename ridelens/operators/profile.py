@@ -6,10 +6,12 @@ by a reshape of its one-row result; nothing is collected to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ridelens.operators.quantiles import quantile_table
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -51,16 +53,10 @@ def distinct_counts(df: DataFrame, columns) -> DataFrame:
 def describe(df: DataFrame, column: str) -> DataFrame:
     """count, mean, sample std, min, exact quartiles (linear interpolation), max."""
     c = F.col(column).cast("double")
-    q = F.percentile(c, [0.25, 0.5, 0.75])
-    return df.agg(
-        F.count(c).alias("count"),
-        F.avg(c).alias("mean"),
-        F.stddev_samp(c).alias("std"),
-        F.min(c).alias("min"),
-        q.alias("_q"),
-        F.max(c).alias("max"),
-    ).select("count", "mean", "std", "min",
-             F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+    q = quantile_table(df, [column], [0.25, 0.5, 0.75]).scalar()
+    out = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    out = out.withColumn("_q", q)
+    return out.select("count", "mean", "std", "min", *[F.col("_q")[i].alias(p) for i, p in enumerate(["p25", "p50", "p75"])], "max")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -102,9 +98,9 @@ def schema_report(df: DataFrame) -> DataFrame:
     return out.select("col_pos", "column_name", tmap[F.col("column_name")].alias("data_type"), "non_null")
 
 
-def head_rows(df: DataFrame, n: int = 5) -> DataFrame:
-    """The first n rows (the source's head() preview)."""
-    return df.limit(n)
+def head_rows(df: DataFrame, order_cols, n: int = 5) -> DataFrame:
+    """The first n rows in a stated order (the source previews its file's first rows; a table has no order of its own)."""
+    return df.orderBy(*order_cols).limit(n)
 
 
 def nonzero_counts(df: DataFrame, columns) -> DataFrame:
@@ -145,17 +141,9 @@ def flag_counts(df: DataFrame) -> DataFrame:
 def station_profile(df: DataFrame, station: str) -> DataFrame:
     """One station: rows, transfer grade, group and the level histogram
     (one output row per level present)."""
-    s = df.filter(F.col("station") == station)
-    head = s.agg(
-        F.count(F.lit(1)).alias("station_rows"),
-        F.max("cat_transfer").alias("cat_transfer"),
-        F.max("cat_group").alias("cat_group"),
-    )
-    hist = s.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
-    # both sides are one row / four rows: a literal-key join, not a cross join
-    return (
-        hist.withColumn("station", F.lit(station))
-        .join(head.withColumn("station", F.lit(station)), on="station", how="inner")
-        .select("station", "station_rows", "cat_transfer", "cat_group", "level", "n")
-        .orderBy("level")
-    )
+    found = df.filter(F.col("station") == station).groupBy("station", "level").agg(
+        F.count(F.lit(1)).alias("n"), F.max("cat_transfer").alias("_t"), F.max("cat_group").alias("_g"))
+    all_levels = Window.partitionBy("station")  # one row per level
+    return found.select(
+        "station", F.sum("n").over(all_levels).alias("station_rows"), F.max("_t").over(all_levels).alias("cat_transfer"),
+        F.max("_g").over(all_levels).alias("cat_group"), "level", "n").orderBy("level")

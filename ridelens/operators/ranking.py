@@ -13,12 +13,8 @@ data that task holds a third of the data. Instead:
    and turn the counts into offsets with a window per group over that small
    table; broadcast it back and add.
 
-The order keys must be a total order (append a unique key).
-
-Both functions are size-adaptive in the same way as the checked broadcasts:
-when the group sizes (known from a small aggregate) show that no group
-exceeds ``WINDOW_MAX_ROWS``, a plain ``row_number`` window is bounded and
-cheaper (one shuffle); otherwise the distributed path runs.
+The order keys must be a total order (append a unique key). The same path
+runs at every size.
 """
 
 from __future__ import annotations
@@ -26,22 +22,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridelens.operators.joins import sized_broadcast
 from ridelens.session import checkpoint_stage
 
 
-# largest group a single window task may hold
-WINDOW_MAX_ROWS = 1_000_000
-
-
 def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+HASH_BITS = 60
+
+
+def key_hash(key_cols, seed: int = 42) -> Column:
+    """The first 60 bits of the MD5 of the seed and the key's texts: an order that other engines can repeat."""
+    parts = [F.coalesce(c.cast("string"), F.lit("null")) for c in _cols(key_cols)]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+
+
 def hash_order(key_cols, seed: int = 42) -> list[Column]:
-    """A seeded pseudo-random but reproducible total order: the 64-bit hash
-    of the key, then the key itself to break hash ties."""
-    return [F.xxhash64(F.lit(seed), *_cols(key_cols))] + _cols(key_cols)
+    """A seeded pseudo-random but reproducible total order: the hash of the
+    key, then the key itself to break hash ties."""
+    return [key_hash(key_cols, seed)] + _cols(key_cols)
 
 
 def rank_within(df: DataFrame, group_col: str | None, order_cols, rank_col: str = "rank_in_group",
@@ -52,16 +52,6 @@ def rank_within(df: DataFrame, group_col: str | None, order_cols, rank_col: str
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     g = F.col(group_col) if group_col else F.lit(0)
     base = df.withColumn("_g", g)
-    largest = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if largest <= WINDOW_MAX_ROWS:
-        # every group is proven small: one window task per group is bounded
-        w = Window.partitionBy("_g")
-        ordered = w.orderBy(*_cols(order_cols))
-        out = base.withColumns({
-            rank_col: F.row_number().over(ordered).cast("long"),
-            size_col: F.count(F.lit(1)).over(w),
-        })
-        return out.drop("_g")
     keys = [F.col("_g")] + _cols(order_cols)
     ranged = (
         base.repartitionByRange(n, *keys)
@@ -76,7 +66,7 @@ def rank_within(df: DataFrame, group_col: str | None, order_cols, rank_col: str
         "_before": F.coalesce(F.sum("_cnt").over(before), F.lit(0)),
         size_col: F.sum("_cnt").over(Window.partitionBy("_g")),
     })
-    per = sized_broadcast(per.withColumnRenamed("_pid", "_p2").withColumnRenamed("_g", "_g2"))
+    per = per.withColumnRenamed("_pid", "_p2").withColumnRenamed("_g", "_g2")
     out = ranged.join(per, (F.col("_pid") == F.col("_p2")) & F.col("_g").eqNullSafe(F.col("_g2")), "left")
     out = out.withColumn(rank_col, (F.col("_before") + F.col("_mid") - F.col("_first") + 1).cast("long"))
     return out.drop("_g", "_pid", "_mid", "_p2", "_g2", "_first", "_cnt", "_before")
@@ -88,16 +78,15 @@ def select_first(df: DataFrame, group_col: str | None, key_cols, quota, seed: in
     the key, exactly, without shuffling or rewriting the table.
 
     ``quota`` maps the group-size column to the wanted count (a Column
-    expression). The 64-bit hash is cut into 2^bucket_bits ordered buckets;
+    expression). The 60-bit hash is cut into 2^bucket_bits ordered buckets;
     one aggregate (pre-aggregated on every task) counts rows per (group,
     bucket); running sums over that small table mark every bucket as wholly
-    in or wholly out, except one boundary bucket per group, whose few rows
-    (about 1 / 2^bucket_bits of the group) are ranked exactly with
-    ``rank_within``."""
+    in or wholly out, except one boundary bucket per group, whose rows (about
+    1 / 2^bucket_bits of the group) are numbered in their order."""
     keys = _cols(key_cols)
     g = F.col(group_col) if group_col else F.lit(0)
-    base = df.withColumns({"_sf_g": g, "_sf_h": F.xxhash64(F.lit(seed), *keys)})
-    base = base.withColumn("_sf_b", F.shiftright("_sf_h", 64 - bucket_bits))  # order-preserving bucket
+    base = df.withColumns({"_sf_g": g, "_sf_h": key_hash(key_cols, seed)})
+    base = base.withColumn("_sf_b", F.shiftright("_sf_h", HASH_BITS - bucket_bits))  # order-preserving bucket
     counts = base.groupBy("_sf_g", "_sf_b").agg(F.count(F.lit(1)).alias("_sf_c"))
     w = Window.partitionBy("_sf_g").orderBy("_sf_b")
     counts = counts.withColumns({
@@ -112,19 +101,8 @@ def select_first(df: DataFrame, group_col: str | None, key_cols, quota, seed: in
     )
     table = counts.select(F.col("_sf_g").alias("_sf_g2"), F.col("_sf_b").alias("_sf_b2"), status.alias("_sf_st"),
                           (F.col("_sf_m") - F.col("_sf_before")).alias("_sf_need"), F.col("_sf_c").alias("_sf_bc"))
-    table = sized_broadcast(table)
-    largest_boundary = table.filter(F.col("_sf_st") == "partial").agg(F.max("_sf_bc")).first()[0]
     joined = base.join(table, F.col("_sf_g").eqNullSafe(F.col("_sf_g2")) & (F.col("_sf_b") == F.col("_sf_b2")), "left")
     rest = joined.filter(F.col("_sf_st") != "partial").withColumn(flag_col, F.col("_sf_st") == "all")
-    if largest_boundary is None:  # every bucket is wholly in or out
-        return rest.drop("_sf_g", "_sf_h", "_sf_b", "_sf_g2", "_sf_b2", "_sf_st", "_sf_need", "_sf_bc")
-    part = joined.filter(F.col("_sf_st") == "partial")
-    if largest_boundary <= WINDOW_MAX_ROWS:
-        # boundary buckets are proven small: rank each in one window task
-        w = Window.partitionBy("_sf_g", "_sf_b").orderBy(F.col("_sf_h"), *keys)
-        part = part.withColumn(flag_col, F.row_number().over(w) <= F.col("_sf_need"))
-    else:
-        part = part.withColumn("_sf_gb", F.struct("_sf_g", "_sf_b"))
-        part = rank_within(part, "_sf_gb", [F.col("_sf_h")] + keys, rank_col="_sf_r", size_col="_sf_rs")
-        part = part.withColumn(flag_col, F.col("_sf_r") <= F.col("_sf_need")).drop("_sf_gb", "_sf_r", "_sf_rs")
+    w = Window.partitionBy("_sf_g", "_sf_b").orderBy(F.col("_sf_h"), *keys)
+    part = joined.filter(F.col("_sf_st") == "partial").withColumn(flag_col, F.row_number().over(w) <= F.col("_sf_need"))
     return rest.unionByName(part).drop("_sf_g", "_sf_h", "_sf_b", "_sf_g2", "_sf_b2", "_sf_st", "_sf_need", "_sf_bc")

@@ -33,7 +33,10 @@ def slot_columns(df: DataFrame, mark: str) -> dict[int, str]:
         if m is None:
             bad.append(c)
             continue
-        out.setdefault(int(m.group(1)), c)
+        hour = int(m.group(1))
+        if hour in out:
+            raise ValueError(f"two slot columns for hour {hour}: {out[hour]!r} and {c!r}")
+        out[hour] = c
     if bad:
         raise ValueError(f"hour slot labels without an hour: {bad}")
     return out

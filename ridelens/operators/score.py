@@ -1,7 +1,7 @@
 """Batch scoring: a table of requests instead of one HTTP call per request.
 
 Requests are rows; the 24-hour profile is ``explode(sequence(0, 23))``
-instead of a 24-iteration loop; station / line codes come from a broadcast
+instead of a 24-iteration loop; station / line codes come from a
 join against the per-(station, line) code table instead of a scan of the
 feature table per request; class probabilities come from any source that
 yields a 4-element array per row (a Spark ML model or an empirical table).
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ridelens.functions import constants as K
 from ridelens.functions import exprs as X
 from ridelens.operators.enhance import with_hour_flags, with_interactions, with_rush_intensity, with_station_categories
-from ridelens.operators.joins import sized_broadcast
 
 # training period labels in code order (code = rank in sorted order)
 TRAINING_PERIODS = sorted([K.PERIOD_MORNING, K.PERIOD_EVENING, K.PERIOD_LUNCH, K.PERIOD_LATE_NIGHT, K.PERIOD_OTHER])
@@ -59,8 +58,11 @@ def code_table(features: DataFrame) -> DataFrame:
     (here the minimum) is the first row's value."""
     aggs = [F.min("station_idx").alias("station_idx"), F.min("line_idx").alias("line_idx")]
     if "is_transfer" in features.columns:
-        aggs.append(F.min("is_transfer").alias("is_transfer"))
-    return features.groupBy("station", "line").agg(*aggs)
+        return features.groupBy("station", "line").agg(*aggs, F.min("is_transfer").alias("is_transfer"))
+    # without the column, a station with more than one line is a transfer
+    codes = features.groupBy("station", "line").agg(*aggs)
+    lines = codes.groupBy(F.col("station").alias("_s")).agg((F.count("line") > 1).cast("int").alias("is_transfer"))
+    return codes.join(lines, F.col("station") == F.col("_s"), "left").drop("_s").withColumn("is_transfer", F.coalesce("is_transfer", F.lit(0)))
 
 
 def request_features(df: DataFrame, codes: DataFrame, as_of_year: int, period_scheme: str = "training",
@@ -88,7 +90,7 @@ def request_features(df: DataFrame, codes: DataFrame, as_of_year: int, period_sc
         .withColumn("holiday_next", F.lit(0))
     )
     out = with_rush_intensity(with_hour_flags(out))
-    side = sized_broadcast(codes.withColumnRenamed("station", "_s").withColumnRenamed("line", "_l"))
+    side = codes.withColumnRenamed("station", "_s").withColumnRenamed("line", "_l")
     out = out.join(side, (c("station") == c("_s")) & (c("line") == c("_l")), "left").drop("_s", "_l")
     out = out.withColumn("_known", c("station_idx").isNotNull())
     out = out.withColumn("station_idx", F.coalesce(c("station_idx"), F.lit(0)))
@@ -111,7 +113,7 @@ def request_features(df: DataFrame, codes: DataFrame, as_of_year: int, period_sc
 def with_probabilities(df: DataFrame, probs: DataFrame, on=("station", "hour")) -> DataFrame:
     """Attach an empirical probability table (probs array per key); keys
     without an entry get a uniform distribution."""
-    side = sized_broadcast(probs)
+    side = probs
     out = df.join(side, on=list(on), how="left")
     uniform = F.array(*[F.lit(0.25) for _ in range(4)])
     return out.withColumn("probs", F.coalesce(F.col("probs"), uniform))
@@ -171,21 +173,25 @@ def day_requests(df: DataFrame) -> DataFrame:
 
 def hourly_profile(day_reqs: DataFrame, codes: DataFrame, probs: DataFrame, as_of_year: int,
                    period_scheme: str = "training", as_of_month: int | None = None) -> DataFrame:
-    """24 rows per day request: hour, 'HH:00', level, label and the
+    """24 rows per day request: the request's other columns (an id, say), hour, 'HH:00', level, label and the
     probability of the adjusted class."""
-    s = score(day_requests(day_reqs), codes, probs, as_of_year, period_scheme, as_of_month)
+    own = ["station", "line", "dow", "month", "is_holiday"]
+    carried = [c for c in day_reqs.columns if c not in (*own, "hour")]
+    renamed = day_reqs.withColumnsRenamed({c: f"_req_{c}" for c in carried})
+    s = score(day_requests(renamed), codes, probs, as_of_year, period_scheme, as_of_month)
     return s.select(
-        "station", "line", "dow", "month", "is_holiday", "hour",
+        *[F.col(f"_req_{c}").alias(c) for c in carried], "station", "line", "dow", "month", "is_holiday", "hour",
         F.format_string("%02d:00", F.col("hour")).alias("time"),
         "level", "label",
         F.element_at(F.col("probs"), F.col("level") + 1).alias("probability"),
     )
 
 
-def profile_summary(profile: DataFrame, keys=("station", "line", "dow", "month", "is_holiday")) -> DataFrame:
-    """Per day request: first five hours at level >= 2, first five at level
-    0 (hour order) and the mean level rounded to 2 decimals. A group is one
-    request's 24 hours, so the collected lists are bounded."""
+def profile_summary(profile: DataFrame, id_col: str = "request_id", keys=("station", "line", "dow", "month", "is_holiday")) -> DataFrame:
+    """Per day request (``id_col`` names it; equal requests with other ids are apart): first five hours at level >= 2,
+    first five at level 0 (hour order) and the mean level rounded to 2 decimals. A group is one request's 24 hours,
+    so the collected lists are bounded."""
+    keys = (id_col, *keys)
     busy = F.slice(F.array_sort(F.collect_list(F.when(F.col("level") >= 2, F.col("hour")))), 1, 5)
     calm = F.slice(F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.col("hour")))), 1, 5)
     return profile.groupBy(*keys).agg(

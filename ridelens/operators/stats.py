@@ -3,8 +3,9 @@
 All statistics of one call come from a single GROUPING SETS aggregate: one
 scan, partial aggregation on every task (a key holding a third of the rows
 is pre-aggregated before the shuffle), and a result whose size is bounded by
-the key domains. That result is size-checked and broadcast, so the fact
-table itself is never shuffled for these joins. ``group_stats`` can be
+the key domains. It is joined back without a hint: adaptive execution turns
+the join into a broadcast when the measured result is small, and splits a
+skewed key when it is not. ``group_stats`` can be
 computed once and shared by several operators (means, extremes, label
 codes), which then cost no further pass over the data.
 """
@@ -14,12 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.operators.joins import sized_broadcast
-
 _MEAN_NAMES = {"station": "station_avg", "hour": "hour_avg", "line": "line_avg"}
 
 
-def group_stats(df: DataFrame, keys, value_col: str = "total", check_size: bool = True) -> DataFrame:
+def group_stats(df: DataFrame, keys, value_col: str = "total") -> DataFrame:
     """One row per (grouping key, value): ``_set`` names the key, the key
     column holds the value (the other key columns are null), and ``_avg``,
     ``_max``, ``_min``, ``_n`` summarise ``value_col`` in that group."""
@@ -37,12 +36,12 @@ def group_stats(df: DataFrame, keys, value_col: str = "total", check_size: bool
             cond = F.col("_gid") == ((1 << n) - 1 - (1 << (n - 1 - i)))
             set_name = F.when(cond, F.lit(k)) if set_name is None else set_name.when(cond, F.lit(k))
         stats = stats.withColumn("_set", set_name).drop("_gid")
-    return sized_broadcast(stats) if check_size else stats
+    return stats
 
 
 def attach_stats(df: DataFrame, stats: DataFrame, spec: dict[str, dict[str, str]]) -> DataFrame:
     """spec: key -> {output column: 'avg' | 'max' | 'min' | 'n'}; left joins
-    each key's slice of the (broadcast) stats table."""
+    each key's slice of the stats table."""
     out = df
     for k, cols in spec.items():
         side = stats.filter(F.col("_set") == k).select(

@@ -4,8 +4,8 @@ Each statement starts from the driver's tables (views ``events``, ``orders``
 ...) and rebuilds the fixture views as CTEs, then states the operator's
 semantics in plain SQL, independently of the Spark code: group statistics
 as window aggregates, the unpivot as a key x hour product with a left join,
-the scoring rules as the source's literal if-chain instead of the closed
-form used in Spark.
+the scoring rules as a table of hour bands, conditions and values instead of
+the closed form used in Spark.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ WITH ev AS (
   FROM v_clean GROUP BY ALL
 ), v_monthly AS (
   SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS use_month,
-         o_orderpriority AS line,
+         CASE WHEN o_custkey % 20 % 4 = 0 THEN '2-HIGH' ELSE o_orderpriority END AS line,
          {STATION_CASE.format(c='o_custkey')} AS station,
          CAST(o_orderkey % 24 AS INTEGER) AS hour,
          CAST(sum(CASE WHEN (o_orderkey // 24) % 2 = 0 THEN CAST(round(o_totalprice / 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS boardings,
@@ -107,8 +107,12 @@ SELECT {MKEYS}, make_date(use_month // 100, use_month % 100, 1) AS use_date,
 q("period", f"\nSELECT {KEYS}, {PERIOD_CASE.format(h='hour')} AS period FROM v_clean")
 q("congestion_level", f"""
 SELECT {KEYS}, total, {LABEL_CASE.format(t='total')} AS congestion, {LEVEL_CASE.format(t='total')} AS level FROM v_clean""")
-q("normalize_names", """
-SELECT use_date, trim(line) AS line, trim(station) AS station, hour, total FROM v_clean""")
+SIGN = "CASE WHEN day(use_date) % 5 = 0 AND hour % 4 = 0 THEN -1 ELSE 1 END"
+# names are the clean ones: the blanks around them are trimmed
+DIRTY = f""", v_dirty AS (
+  SELECT use_month, use_date, line, station, hour, boardings * {SIGN} AS boardings, alightings * {SIGN} AS alightings, total * {SIGN} AS total FROM v_clean
+)"""
+q("normalize_names", DIRTY + "\nSELECT use_date, line, station, hour, total FROM v_dirty")
 q("fill_missing", f"""
 SELECT {KEYS}, coalesce(boardings, 0) AS boardings, coalesce(alightings, 0) AS alightings,
        coalesce(boardings + alightings, 0) AS total FROM v_ridership""")
@@ -127,16 +131,16 @@ def _capped(c: str, u: str) -> str:
     return f"CASE WHEN {clip} > 2 * {u} THEN {u} ELSE {clip} END"
 
 
-q("cap_outliers", CAP.format(src="v_clean") + f"""
+q("cap_outliers", DIRTY + CAP.format(src="v_dirty") + f"""
 SELECT {KEYS}, {_capped('boardings', 'ub_b')} AS boardings, {_capped('alightings', 'ub_a')} AS alightings,
-       {_capped('total', 'ub_t')} AS total FROM v_clean, ub""")
-q("outlier_counts", CAP.format(src="v_clean") + """
+       {_capped('total', 'ub_t')} AS total FROM v_dirty, ub""")
+q("outlier_counts", DIRTY + CAP.format(src="v_dirty") + """
 SELECT 'boardings' AS column_name, round(ub_b, 6) AS upper_bound,
-       (SELECT count(*) FROM v_clean WHERE greatest(boardings, 0) > 2 * ub_b) AS outlier_count FROM ub
+       (SELECT count(*) FROM v_dirty WHERE greatest(boardings, 0) > 2 * ub_b) AS outlier_count FROM ub
 UNION ALL
-SELECT 'alightings', round(ub_a, 6), (SELECT count(*) FROM v_clean WHERE greatest(alightings, 0) > 2 * ub_a) FROM ub
+SELECT 'alightings', round(ub_a, 6), (SELECT count(*) FROM v_dirty WHERE greatest(alightings, 0) > 2 * ub_a) FROM ub
 UNION ALL
-SELECT 'total', round(ub_t, 6), (SELECT count(*) FROM v_clean WHERE greatest(total, 0) > 2 * ub_t) FROM ub""")
+SELECT 'total', round(ub_t, 6), (SELECT count(*) FROM v_dirty WHERE greatest(total, 0) > 2 * ub_t) FROM ub""")
 
 GROWTH = ", g AS (SELECT *, pow(2.0, CAST(total AS DOUBLE)) AS growth FROM v_clean)"
 q("replace_inf", GROWTH + f"""
@@ -160,7 +164,7 @@ WIDE = f", v_wide AS (SELECT use_month, line, station, {_WIDE_SELECT} FROM v_mon
 q("null_counts", WIDE + "\nSELECT col_pos, column_name, null_count FROM (\n" + "\nUNION ALL\n".join(
     f"SELECT {i} AS col_pos, {_q(c)} AS column_name, count(*) - count(\"{c}\") AS null_count FROM v_wide"
     for i, c in enumerate(_WIDE_COLS)
-) + "\n) WHERE null_count > 0 ORDER BY col_pos LIMIT 10")
+) + "\n) WHERE null_count > 0 ORDER BY col_pos")
 q("duplicate_count", """
 SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows
 FROM (SELECT count(*) AS n FROM v_ridership GROUP BY use_month, line, station)""")
@@ -195,7 +199,7 @@ q("transfer_by_name", f"""
 SELECT {KEYS}, CAST(regexp_matches(line, '[-,]') AS INTEGER) AS is_transfer FROM v_clean""")
 STATION_DIM = """, sdim AS (
   SELECT station, line, count(*) OVER (PARTITION BY station) > 1 AS is_transfer
-  FROM (SELECT DISTINCT station, line FROM v_monthly WHERE total >= 1500)
+  FROM (SELECT DISTINCT station, line FROM v_monthly)
 )"""
 q("station_dim", STATION_DIM + "\nSELECT station, line, is_transfer FROM sdim")
 q("weekday_features", """
@@ -415,6 +419,15 @@ SELECT use_month, line, station, hour, congestion_percent,
 # --- phase 7 ----------------------------------------------------------------------
 TRAIN_PERIOD_IDX = ("CASE WHEN {h} BETWEEN 7 AND 9 THEN 3 WHEN {h} BETWEEN 18 AND 20 THEN 4 "
                     "WHEN {h} BETWEEN 11 AND 13 THEN 2 WHEN {h} >= 22 OR {h} <= 5 THEN 0 ELSE 1 END")
+# FIXED VALUES: the rule table. A row that applies lifts the base level to at least its value:
+# hours from-to, p1 over, p1 + p2 over, p3 over, transfer grade from, business from, value
+LIFTS = ", ".join(str(r) for r in [
+    (7, 9, -1, -1, -1, 0, 0, 2), (18, 20, -1, -1, -1, 0, 0, 2), (12, 13, -1, -1, -1, 0, 0, 1),
+    (7, 9, -1, -1, 0.02, 0, 0, 3), (18, 20, -1, -1, 0.02, 0, 0, 3),
+    (7, 9, -1, -1, 0.01, 2, 0, 3), (18, 20, -1, -1, 0.01, 2, 0, 3), (7, 9, -1, -1, 0.015, 0, 1, 3),
+    (21, 22, 0.03, -1, -1, 0, 0, 1), (10, 11, -1, 0.08, -1, 0, 0, 1), (14, 17, -1, 0.08, -1, 0, 0, 1)])
+# hours from-to, weekday from, highest level
+CAPS = "(0, 5, 0, 1), (23, 23, 5, 2)"
 SCORE = f"""
 , codes AS (
   SELECT station, line, min(sidx) AS station_idx, min(lidx) AS line_idx, min(tr) AS is_transfer FROM (
@@ -444,26 +457,15 @@ SCORE = f"""
   LEFT JOIN pr ON pr.station = r.station AND pr.hour = r.hour
 ), s0 AS (
   SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 AND p0 >= p3 THEN 0 WHEN p1 >= p2 AND p1 >= p3 THEN 1
-                 WHEN p2 >= p3 THEN 2 ELSE 3 END AS base_level,
-         hour BETWEEN 7 AND 9 OR hour BETWEEN 18 AND 20 AS rush FROM rf
-), s1 AS (SELECT *, CASE WHEN rush AND base_level < 2 THEN 2 ELSE base_level END AS a1 FROM s0
-), s2 AS (SELECT *, CASE WHEN rush AND p2 + p3 > 0.05 THEN 2 ELSE a1 END AS a2 FROM s1
-), s3 AS (SELECT *, CASE WHEN rush AND p3 > 0.02 THEN 3 ELSE a2 END AS a3 FROM s2
-), s4 AS (SELECT *, CASE WHEN rush AND cat_transfer >= 2 THEN (CASE WHEN p3 > 0.01 THEN 3 ELSE greatest(a3, 2) END)
-                         ELSE a3 END AS a4 FROM s3
-), s5 AS (SELECT *, CASE WHEN rush AND cat_business = 1 AND hour BETWEEN 7 AND 9
-                         THEN (CASE WHEN p3 > 0.015 THEN 3 ELSE greatest(a4, 2) END) ELSE a4 END AS a5 FROM s4
-), s6 AS (SELECT *, CASE WHEN rush AND cat_commercial = 1 AND hour BETWEEN 18 AND 20 THEN greatest(a5, 2)
-                         ELSE a5 END AS a6 FROM s5
-), s7 AS (SELECT *, CASE
-      WHEN rush THEN a6
-      WHEN hour BETWEEN 12 AND 13 THEN (CASE WHEN base_level = 0 THEN 1 ELSE base_level END)
-      WHEN hour BETWEEN 21 AND 22 THEN (CASE WHEN base_level = 0 AND p1 > 0.03 THEN 1 ELSE base_level END)
-      WHEN hour BETWEEN 10 AND 11 OR hour BETWEEN 14 AND 17
-           THEN (CASE WHEN base_level = 0 AND p1 + p2 > 0.08 THEN 1 ELSE base_level END)
-      ELSE base_level END AS a7 FROM s6
-), s8 AS (SELECT *, CASE WHEN hour <= 5 THEN least(a7, 1) ELSE a7 END AS a8 FROM s7
-), sc AS (SELECT *, CAST(CASE WHEN dow >= 5 AND hour >= 23 THEN least(a8, 2) ELSE a8 END AS INTEGER) AS level FROM s8
+                 WHEN p2 >= p3 THEN 2 ELSE 3 END AS base_level FROM rf
+), lifts AS (SELECT * FROM (VALUES {LIFTS}) t(h_from, h_to, p1_over, p12_over, p3_over, transfer_from, business_from, lift)
+), caps AS (SELECT * FROM (VALUES {CAPS}) t(h_from, h_to, dow_from, cap)
+), sc AS (
+  SELECT *, CAST(least(
+    greatest(base_level, coalesce((SELECT max(lift) FROM lifts WHERE hour BETWEEN h_from AND h_to AND p1 > p1_over AND p1 + p2 > p12_over
+                                     AND p3 > p3_over AND cat_transfer >= transfer_from AND cat_business >= business_from), 0)),
+    coalesce((SELECT min(cap) FROM caps WHERE hour BETWEEN h_from AND h_to AND dow >= dow_from), 3)) AS INTEGER) AS level
+  FROM s0
 )"""
 REQ = "station, line, dow, hour"
 q("validate_requests", """
@@ -507,18 +509,22 @@ SELECT {REQ}, level, CASE
   ELSE {_q(K.RECOMMEND_LEVEL3_OTHER)} END AS recommendation FROM sc""")
 q("level_color", SCORE + f"""
 SELECT {REQ}, level, ['#4CAF50', '#FFC107', '#FF9800', '#F44336'][level + 1] AS color FROM sc""")
-q("hourly_profile", SCORE + """
-SELECT station, line, dow, hour, lpad(CAST(hour AS VARCHAR), 2, '0') || ':00' AS time, level,
-  ['여유', '보통', '혼잡', '매우혼잡'][level + 1] AS label, round([p0, p1, p2, p3][level + 1], 6) AS probability FROM sc""")
-q("profile_summary", SCORE + """
-SELECT station, line, dow,
+ASKED = ", twice AS (SELECT k || '/' || station || '/' || line || '/' || dow AS request_id, sc.* FROM sc, (VALUES ('a'), ('b')) t(k))"
+q("hourly_profile", SCORE + ASKED + """
+SELECT request_id, station, line, dow, hour, lpad(CAST(hour AS VARCHAR), 2, '0') || ':00' AS time, level,
+  ['여유', '보통', '혼잡', '매우혼잡'][level + 1] AS label, round([p0, p1, p2, p3][level + 1], 6) AS probability FROM twice""")
+q("profile_summary", SCORE + ASKED + """
+SELECT request_id, station, line, dow,
   coalesce(array_to_string(list_slice(list_sort(list(hour) FILTER (WHERE level >= 2)), 1, 5), ','), '') AS most_congested_hours,
   coalesce(array_to_string(list_slice(list_sort(list(hour) FILTER (WHERE level = 0)), 1, 5), ','), '') AS least_congested_hours,
   round(avg(level), 2) AS average_congestion
-FROM sc GROUP BY station, line, dow""")
+FROM twice GROUP BY request_id, station, line, dow""")
 q("search_stations", STATION_DIM + """
 , hit AS (SELECT * FROM sdim WHERE line = '2-HIGH' AND regexp_matches(station, '(?i)^[신사]'))
 SELECT station, line, is_transfer, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY line, station LIMIT 100""")
+q("no_lines", "\nSELECT * FROM (VALUES " + ", ".join(f"({_q(x)})" for x in K.DEFAULT_LINES) + ") t(line)")
+q("head_rows", f"\nSELECT {KEYS}, total FROM v_clean ORDER BY {KEYS} LIMIT 5")
+ORACLE["unparsable_payloads"] = "SELECT event_id FROM events WHERE event_id % 17 = 0 OR event_id % 19 = 0"
 q("list_lines", STATION_DIM + "\nSELECT DISTINCT line FROM sdim ORDER BY line")
 q("suggest", STATION_DIM + """
 SELECT DISTINCT station, line FROM sdim WHERE contains(station, '입구') ORDER BY station, line LIMIT 15""")
@@ -532,9 +538,9 @@ PJ = f""", pj AS (
 )"""
 q("flatten_ridership", PJ + """
 , ok AS (SELECT * FROM pj WHERE NOT err AND (event_id % 11 = 0 OR event_id % 13 <> 0))
-SELECT event_id, 0 AS row_no, d AS use_dt, line, station, n AS ride, user_id AS alight FROM ok
+SELECT event_id, 0 AS row_no, d AS use_dt, line, station, n AS ride, user_id AS alight, d AS work_dt FROM ok
 UNION ALL
-SELECT event_id, 1, d, line, station, n + 1, user_id + 1 FROM ok WHERE event_id % 3 = 0""")
+SELECT event_id, 1, d, line, station, n + 1, user_id + 1, d FROM ok WHERE event_id % 3 = 0""")
 _ARR = """SELECT event_id, {no} AS item_no, CAST(1001 + event_id % 9 AS VARCHAR) AS line, station,
   CASE WHEN (event_id % 2 = 0) = {first} THEN '상행' ELSE '하행' END AS updnLine,
   line || ' 방면' AS trainLineNm, CAST(n + {no} AS VARCHAR) || '분 후' AS arvlMsg2,
@@ -555,7 +561,7 @@ HOURLY = PJ + """
   SELECT event_id, ym AS use_month_text, line, station, CAST(hh.range AS INTEGER) AS hour,
     CAST(CASE WHEN (event_id + hh.range) % 11 <> 0 THEN (n * (hh.range + 1) + event_id) % 500 ELSE 0 END AS DOUBLE) AS ride_on,
     CAST(CASE WHEN (event_id + hh.range) % 11 <> 0 THEN (user_id * (hh.range + 3) + n) % 400 ELSE 0 END AS DOUBLE) AS ride_off
-  FROM pj CROSS JOIN range(24) hh WHERE NOT err
+  FROM pj CROSS JOIN range(24) hh WHERE NOT err AND event_id % 13 <> 0
 )"""
 q("flatten_hourly", HOURLY + "\nSELECT * FROM hr")
 q("payload_peak", HOURLY + """
@@ -642,6 +648,45 @@ a AS (SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) FILTER (WHE
 SELECT round(tr, 6) AS train_accuracy, round(te, 6) AS test_accuracy, round(tr - te, 6) AS gap,
        CASE WHEN tr - te < 0.05 THEN 'none' WHEN tr - te < 0.10 THEN 'slight' ELSE 'severe' END AS verdict FROM a""")
 
+def _hash(keys: str, seed: int = 42) -> str:
+    parts = ", ".join(f"coalesce(CAST({k.strip()} AS VARCHAR), 'null')" for k in keys.split(","))
+    return f"substr(md5(concat_ws('|', '{seed}', {parts})), 1, 15)"
+
+
+q("sample_rows", LV + f"\nSELECT {KEYS}, level FROM lv ORDER BY {_hash(KEYS)}, {KEYS} LIMIT 1000")
+q("hash_split", LV + f"""
+SELECT {KEYS}, level, row_number() OVER (PARTITION BY level ORDER BY {_hash(KEYS)}, {KEYS})
+                      <= round(0.2 * count(*) OVER (PARTITION BY level)) AS is_test FROM lv""")
+SPLIT = ENHANCED + f""", sp AS (
+  SELECT *, row_number() OVER (PARTITION BY level ORDER BY {_hash(KEYS)}, {KEYS}) <= round(0.2 * count(*) OVER (PARTITION BY level)) AS is_test
+  FROM enh
+)"""
+q("rf_predict", SPLIT + f"\nSELECT {KEYS}, level, 1.0::DOUBLE AS prob_sum, true AS is_argmax FROM sp WHERE is_test")
+_FAMILY = [(c, schemas.source_name(c)) for c in FEATURE_ONLY]
+q("rf_importance", "\n" + "\nUNION ALL\n".join(
+    f"SELECT {_q(c)} AS feature, {_q(n)} AS source_name, "
+    f"{_q('category' if '역_' in n else 'interaction' if 'interaction' in n else 'basic')} AS family, true AS in_range, 1.0::DOUBLE AS total"
+    for c, n in _FAMILY))
+q("rf_time_importance", "\n" + "\nUNION ALL\n".join(
+    f"SELECT {_q(c)} AS feature, true AS in_range" for c in FEATURE_ONLY if c in ("hour", "hour_sin", "hour_cos", "dow", "is_weekend")))
+q("rf_overfit", SPLIT + """
+SELECT count(*) FILTER (WHERE NOT is_test) AS train_rows, count(*) FILTER (WHERE is_test) AS test_rows, true AS gap_fits,
+       true AS verdict_fits, true AS beats_majority FROM sp""")
+q("learning_curve", SPLIT + f"""
+, tr AS (SELECT * FROM sp WHERE NOT is_test ORDER BY {_hash(KEYS)}, {KEYS} LIMIT 100000),
+fo AS (SELECT (row_number() OVER (PARTITION BY level ORDER BY {_hash(KEYS)}, {KEYS}) - 1) % 3 AS f FROM tr),
+pools AS (SELECT min((SELECT count(*) FROM fo) - n) AS n_max FROM (SELECT f, count(*) AS n FROM fo GROUP BY f))
+SELECT DISTINCT CAST(greatest(1, n_max * i // 10) AS BIGINT) AS train_size, true AS scores_fit FROM pools, range(1, 11) r(i)""")
+q("model_info", f"""
+SELECT 'RandomForestClassifier' AS model_type, '2024-01-01 00:00:00' AS train_date, {len(FEATURE_ONLY)} AS feature_count,
+       {_q(",".join(FEATURE_ONLY[:10]))} AS features, 'station categories and interaction features' AS note,
+       true AS metrics_fit, true AS trained""")
+q("rf_hourly_profile", FEATURES + """
+, k AS (SELECT DISTINCT station, line, station_idx, line_idx, is_transfer FROM f2)
+SELECT station, line, CAST(d.range AS INTEGER) AS dow, CAST(h.range AS INTEGER) AS hour, station_idx, line_idx, is_transfer,
+       1.0::DOUBLE AS prob_sum, true AS is_argmax, true AS level_fits
+FROM k CROSS JOIN range(7) d CROSS JOIN range(24) h""")
+
 # --- phase 9 ----------------------------------------------------------------------
 ORACLE["arrivals_stream"] = ORACLE["flatten_arrivals"]
 

@@ -3,7 +3,7 @@
 The source runs four processes with CSV files in between; here each stage is
 a function DataFrame -> DataFrame and the chain is one plan that Catalyst
 optimises end to end (column pruning reaches the parquet scan, group
-statistics are broadcast back, the five history features share one
+statistics are joined back, the five history features share one
 shuffle). A stage table can still be written between stages with
 ``ridelens.sources.io.write_stage`` when a job wants a restart point.
 
@@ -37,8 +37,9 @@ def preprocess_with_stats(long_df: DataFrame, checkpoint: bool = True):
     df = reshape.normalize_names(df)
     df = clean.cap_outliers(df)
     if checkpoint:
-        df = checkpoint_stage(df)
-    shared = stats.group_stats(calendar.with_month_third(df), STATS_KEYS)
+        df = checkpoint_stage(df, "processed", partition_by=["use_month"])
+    # used by every statistic and code join of the chain: computed once
+    shared = checkpoint_stage(stats.group_stats(calendar.with_month_third(df), STATS_KEYS), "stats")
     return stats.with_group_means(df, stats=shared), shared
 
 

@@ -8,6 +8,7 @@ Floating results that two engines may compute with different rounding
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,7 +77,7 @@ def q_congestion_level(spark, d):
 
 @query
 def q_normalize_names(spark, d):
-    return reshape.normalize_names(V.v_clean(spark, d)).select(*KEYS, "total")
+    return reshape.normalize_names(V.v_dirty(spark, d)).select(*KEYS, "total")
 
 
 @query
@@ -87,12 +88,12 @@ def q_fill_missing(spark, d):
 
 @query
 def q_cap_outliers(spark, d):
-    return clean.cap_outliers(V.v_clean(spark, d)).select(*KEYS, "boardings", "alightings", "total")
+    return clean.cap_outliers(reshape.normalize_names(V.v_dirty(spark, d))).select(*KEYS, "boardings", "alightings", "total")
 
 
 @query
 def q_outlier_counts(spark, d):
-    return clean.outlier_counts(V.v_clean(spark, d)).select(
+    return clean.outlier_counts(V.v_dirty(spark, d)).select(
         "column_name", r6("upper_bound").alias("upper_bound"), "outlier_count"
     )
 
@@ -110,7 +111,7 @@ def q_replace_inf(spark, d):
 # --- phase 3: profiling ---------------------------------------------------------------
 @query
 def q_null_counts(spark, d):
-    return profile.null_counts(V.v_wide(spark, d), only_positive=True, limit=10)
+    return profile.null_counts(V.v_wide(spark, d), only_positive=True)
 
 
 @query
@@ -175,7 +176,7 @@ def q_transfer_by_name(spark, d):
 
 @query
 def q_station_dim(spark, d):
-    return stats.station_dim(V.v_monthly(spark, d).filter(F.col("total") >= 1500))
+    return _station_dim(spark, d)
 
 
 @query
@@ -371,7 +372,7 @@ def _scoring_inputs(spark, d):
     table and requests, codes and probabilities all derive from it."""
     from ridelens.session import checkpoint_stage
 
-    clean = checkpoint_stage(V.v_clean(spark, d), name="clean")
+    clean = checkpoint_stage(V.v_clean(spark, d), "clean", partition_by=["use_month"])
     return V.v_requests(spark, d, clean), _codes(spark, d, clean), V.v_prob(spark, d, clean)
 
 
@@ -441,26 +442,28 @@ def q_level_color(spark, d):
 def _profile(spark, d):
     reqs, codes, probs = _scoring_inputs(spark, d)
     day = reqs.filter(F.col("hour") == 0).drop("hour")
+    # every request is made twice
+    day = day.withColumn("request_id", F.explode(F.array(*[F.concat_ws("/", F.lit(k), "station", "line", "dow") for k in ("a", "b")])))
     return score.hourly_profile(day, codes, probs, AS_OF_YEAR)
 
 
 @query
 def q_hourly_profile(spark, d):
     p = _profile(spark, d)
-    return p.select("station", "line", "dow", "hour", "time", "level", "label", r6("probability").alias("probability"))
+    return p.select("request_id", "station", "line", "dow", "hour", "time", "level", "label", r6("probability").alias("probability"))
 
 
 @query
 def q_profile_summary(spark, d):
     s = score.profile_summary(_profile(spark, d))
-    return s.select("station", "line", "dow",
+    return s.select("request_id", "station", "line", "dow",
                     F.array_join("most_congested_hours", ",").alias("most_congested_hours"),
                     F.array_join("least_congested_hours", ",").alias("least_congested_hours"),
                     "average_congestion")
 
 
 def _station_dim(spark, d):
-    return stats.station_dim(V.v_monthly(spark, d).filter(F.col("total") >= 1500))
+    return stats.station_dim(V.v_monthly(spark, d))
 
 
 @query
@@ -507,11 +510,27 @@ def q_flatten_hourly(spark, d):
 
 @query
 def q_payload_peak(spark, d):
-    """The single-response report: hour totals, the response's peak hour and
-    each hour's share, for every landed response at once."""
-    h = payloads.flatten_hourly(_payload(spark, d, "hourly_json"))
-    p = peak.with_peak(peak.hourly_totals(h, "ride_on", "ride_off"), partition=("event_id",))
-    return p.select("event_id", "hour", "passengers", "max_passengers", "congestion_percent", "peak_level", "is_peak")
+    return peak.response_peaks(_payload(spark, d, "hourly_json"))
+
+
+@query
+def q_unparsable_payloads(spark, d):
+    """Landed texts of which every seventeenth is cut off, and every nineteenth missing."""
+    e = F.col("event_id")
+    p = _payload(spark, d, "arrivals_json")
+    text = F.when(e % 17 == 0, F.expr("left(payload, length(payload) - 1)")).when(e % 19 != 0, F.col("payload"))
+    return payloads.unparsable(p.withColumn("payload", text)).select("event_id")
+
+
+@query
+def q_head_rows(spark, d):
+    return profile.head_rows(V.v_clean(spark, d), KEYS).select(*KEYS, "total")
+
+
+@query
+def q_no_lines(spark, d):
+    """The fixed default list where the dimension is empty."""
+    return lookup.list_lines(_station_dim(spark, d).filter("line is null"))
 
 
 @query
@@ -543,7 +562,12 @@ def q_csv_roundtrip(spark, d):
     """v_wide written as a cp949 CSV with the source headers, read back with
     the raw reader and reshaped."""
     path = _scratch(spark, "wide-csv")
-    io.write_wide_csv(V.v_wide(spark, d), path)
+    wide = V.v_wide(spark, d)
+    # counts occur plainly, with a point and with thousands marks
+    written = {c: F.when(F.col("use_month") % 3 == 0, F.concat(F.col(f"`{c}`").cast("string"), F.lit(".0")))
+               .when(F.col("use_month") % 3 == 1, F.format_number(F.col(f"`{c}`"), 0)).otherwise(F.col(f"`{c}`").cast("string"))
+               for c in wide.columns if c not in ("use_month", "line", "station")}
+    io.write_wide_csv(wide.withColumns(written), path)
     back = io.read_wide_csv(spark, path)
     return reshape.wide_to_long(back).select(*MONTH_KEYS, "boardings", "alightings", "total")
 
@@ -583,9 +607,6 @@ def q_enhanced_table(spark, d):
 
 # --- phase 8: split, metrics, forest ------------------------------------------------------------------
 
-SMALL_FOREST = {"numTrees": 10, "maxDepth": 5}
-
-
 def _levels(spark, d):
     return reshape.with_congestion(V.v_clean(spark, d)).select(*KEYS, "total", "level")
 
@@ -641,83 +662,115 @@ def q_overfit_report(spark, d):
     return out.select(*[r6(c).alias(c) for c in ["train_accuracy", "test_accuracy", "gap"]], "verdict")
 
 
-def _rf_inputs(spark, d):
-    # the enhanced table is a narrow step over the checkpointed feature table,
-    # and the split's ranked boundary rows are materialised inside rank_within:
-    # re-reading them is cheaper than writing two more stage tables
-    e = _enhanced_table(spark, d)
-    feats = [c for c in enhance.feature_columns(e)]
-    split = M.stratified_split(e, "level", ["use_date", "line", "station", "hour"])
-    return split, feats
+RF_KEYS = ["use_date", "line", "station", "hour"]
+RF_TRAINED_AT = datetime.datetime(2024, 1, 1)
+_fitted: dict[tuple[str, str], str] = {}
+
+
+def _forest(spark, d):
+    """(split table, features, model, its metadata): the source's forest (100 trees, depth 20), fitted once per
+    application and input on the training part, saved with its four metrics, and loaded by every query that uses it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _fitted:
+        path = _scratch(spark, "forest")
+        e = _enhanced_table(spark, d)
+        M.stratified_split(e, "level", RF_KEYS).write.parquet(f"{path}/split")
+        split = spark.read.parquet(f"{path}/split")
+        feats = enhance.feature_columns(e)
+        m = M.train(split.filter(~F.col("is_test")), feats, "level")
+        metrics = M.fit_metrics(M.predict(m, split, "level"))
+        M.save_model(m, path, feats, metrics, note="station categories and interaction features", trained_at=RF_TRAINED_AT)
+        _fitted[key] = path
+    path = _fitted[key]
+    split = spark.read.parquet(f"{path}/split")
+    m, meta = M.load_model(spark, path)
+    feats = list(m.stages[0].getInputCols())
+    return split, feats, m, meta
+
+
+def _probability_checks(p):
+    """Of scored rows: the probabilities' sum, and whether the prediction is their first maximum."""
+    return [F.round(F.aggregate("probs", F.lit(0.0), lambda s, x: s + x), 6).alias("prob_sum"),
+            (F.col("prediction") == F.array_position("probs", F.array_max("probs")) - 1).alias("is_argmax")]
 
 
 @query
 def q_rf_predict(spark, d):
-    split, feats = _rf_inputs(spark, d)
-    m = M.train(split.filter(~F.col("is_test")), feats, "level", **SMALL_FOREST)
-    p = M.predict(m, split.filter(F.col("is_test")), "level")
-    return p.select("use_date", "line", "station", "hour", "level", "prediction",
-                    F.transform("probs", lambda x: F.round(x, 6)).alias("probs"))
+    """Every test row scored. The forest's numbers have no SQL form; what every forest must fulfil has."""
+    split, _, m, _ = _forest(spark, d)
+    p = M.predict(m, split.filter("is_test"), "level")
+    return p.select(*RF_KEYS, "level", *_probability_checks(p))
 
 
 @query
-def q_rf_importance(spark, d):
-    split, feats = _rf_inputs(spark, d)
-    m = M.train(split.filter(~F.col("is_test")), feats, "level", **SMALL_FOREST)
+def q_rf_scores(spark, d):
+    """The test rows' predictions and probabilities themselves (rows only)."""
+    split, _, m, _ = _forest(spark, d)
+    p = M.predict(m, split.filter("is_test"), "level")
+    return p.select(*RF_KEYS, "level", "prediction", F.transform("probs", lambda x: F.round(x, 6)).alias("probs"))
+
+
+def _importance(spark, d):
+    _, feats, m, _ = _forest(spark, d)
     imp = M.feature_importance(m, feats)
-    imp = imp.withColumn("source_name", enhance.source_name_column("feature"))
-    return imp.select("feature", "source_name", r6("importance").alias("importance"),
-                      enhance.feature_family().alias("family")).limit(25)
+    total = imp.agg(F.round(F.sum("importance"), 6)).scalar()
+    return imp.withColumns({"source_name": enhance.source_name_column("feature"), "family": enhance.feature_family(), "total": total,
+                            "in_range": F.col("importance").between(0, 1)})
+
+
+@query
+def q_rf_importance(spark, d):
+    return _importance(spark, d).select("feature", "source_name", "family", "in_range", "total")
 
 
 @query
 def q_rf_overfit(spark, d):
-    split, feats = _rf_inputs(spark, d)
-    m = M.train(split.filter(~F.col("is_test")), feats, "level", **SMALL_FOREST)
+    """One row: sizes of both parts and what the report must fulfil."""
+    split, _, m, _ = _forest(spark, d)
     p = M.predict(m, split, "level")
-    acc = p.agg(
-        F.avg(F.when(~F.col("is_test"), (F.col("level") == F.col("prediction")).cast("double"))).alias("train_accuracy"),
-        F.avg(F.when(F.col("is_test"), (F.col("level") == F.col("prediction")).cast("double"))).alias("test_accuracy"),
-    )
-    return M.overfit_report(acc)
+    hit = (F.col("level") == F.col("prediction")).cast("double")
+    acc = p.agg(F.count_if(~F.col("is_test")).alias("train_rows"), F.count_if("is_test").alias("test_rows"),
+                F.avg(F.when(~F.col("is_test"), hit)).alias("train_accuracy"), F.avg(F.when(F.col("is_test"), hit)).alias("test_accuracy"))
+    majority = split.filter("is_test").groupBy("level").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n") / F.sum("n")).scalar()
+    r = M.overfit_report(acc)
+    verdict = F.when(F.col("gap") < 0.05, "none").when(F.col("gap") < 0.10, "slight").otherwise("severe")
+    return r.select("train_rows", "test_rows", (F.abs(F.col("train_accuracy") - F.col("test_accuracy") - F.col("gap")) < 1e-9).alias("gap_fits"),
+                    (F.col("verdict") == verdict).alias("verdict_fits"), (F.col("test_accuracy") >= majority).alias("beats_majority"))
 
 
 @query
 def q_learning_curve(spark, d):
-    e = _enhanced_table(spark, d)
-    feats = enhance.feature_columns(e)
-    return M.learning_curve(e, feats, "level", ["use_date", "line", "station", "hour"], steps=10,
-                            numTrees=5, maxDepth=4)
+    """The source's curve of its own forest, from training rows only."""
+    split, feats, _, _ = _forest(spark, d)
+    out = M.learning_curve(split.filter(~F.col("is_test")).drop("is_test"), feats, "level", RF_KEYS)
+    ok = F.col("train_mean").between(0, 1) & F.col("val_mean").between(0, 1) & (F.col("train_std") >= 0) & (F.col("val_std") >= 0)
+    return out.select("train_size", ok.alias("scores_fit"))
 
 
 @query
 def q_model_info(spark, d):
-    import datetime
-
-    split, feats = _rf_inputs(spark, d)
-    m = M.train(split.filter(~F.col("is_test")), feats, "level", **SMALL_FOREST)
-    path = _scratch(spark, "model")
-    M.save_model(m, path, feats, {"train_accuracy": 0.0}, note="station categories and interaction features",
-                 trained_at=datetime.datetime(2024, 1, 1))
-    _, meta = M.load_model(spark, path)
-    return M.model_info(meta)
+    split, _, m, meta = _forest(spark, d)
+    found = M.fit_metrics(M.predict(m, split, "level"))
+    same = F.lit(True)
+    for k, v in found.items():
+        same &= F.abs(F.col(k) - F.lit(v)) < 1e-9
+    return M.model_info(meta).select("model_type", "train_date", "feature_count", F.array_join("features", ",").alias("features"), "note",
+                                     same.alias("metrics_fit"), (F.col("train_accuracy") > 0).alias("trained"))
 
 
 @query
 def q_rf_hourly_profile(spark, d):
     """Serving with the forest: day requests -> serving features (missing
     model features = 0) -> class probabilities -> adjusted 24-hour profile."""
-    e = _enhanced_table(spark, d)
-    feats = enhance.feature_columns(e)
-    m = M.train(e, feats, "level", **SMALL_FOREST)
-    codes = score.code_table(e)
-    reqs = V.v_requests(spark, d).filter(F.col("hour") == 0).drop("hour")
+    split, feats, m, _ = _forest(spark, d)
+    codes = score.code_table(split)
+    pairs = V.v_monthly(spark, d)
+    reqs = V.v_requests(spark, d, pairs).filter(F.col("hour") == 0).drop("hour")
     f = score.request_features(score.day_requests(reqs), codes, AS_OF_YEAR, model_features=feats)
-    f = f.withColumn("level", F.lit(0))
-    p = M.predict(m, f, "level").drop("level")
+    p = M.predict(m, f.withColumn("level", F.lit(0)), "level").drop("level")
     s = score.adjust_level(score.with_base_level(p))
-    return s.select("station", "line", "dow", "hour", "base_level", "level",
-                    F.round(F.element_at("probs", F.col("level") + 1), 6).alias("probability"))
+    return s.select("station", "line", "dow", "hour", "station_idx", "line_idx", "is_transfer", *_probability_checks(s),
+                    F.col("level").between(0, 3).alias("level_fits"))
 
 
 # --- phase 9: streaming ----------------------------------------------------------------------------
@@ -741,11 +794,14 @@ TIME_FEATURES = ["hour", "hour_sin", "hour_cos", "dow", "is_weekend"]
 
 @query
 def q_rf_time_importance(spark, d):
-    """Importance of the named time features (the source's quick lookup)."""
-    split, feats = _rf_inputs(spark, d)
-    m = M.train(split.filter(~F.col("is_test")), feats, "level", **SMALL_FOREST)
-    imp = M.feature_importance(m, feats).filter(F.col("feature").isin(TIME_FEATURES))
-    return imp.select("feature", r6("importance").alias("importance"))
+    """The named time features (the source's quick lookup)."""
+    return _importance(spark, d).filter(F.col("feature").isin(TIME_FEATURES)).select("feature", "in_range")
+
+
+@query
+def q_hash_split(spark, d):
+    """The split that the forest uses: by hash order, through bucket counts."""
+    return M.stratified_split(_levels(spark, d), "level", KEYS).select(*KEYS, "level", "is_test")
 
 
 @query

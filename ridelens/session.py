@@ -10,13 +10,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
-# Upper bound on rows of any dimension the library broadcasts after counting.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-
-
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ridelens") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -58,7 +55,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def checkpoint_stage(df, name: str = "stage", count: bool = False):
+_stages: list[str] = []
+
+
+def checkpoint_stage(df, name: str = "stage", partition_by=None):
     """Materialise a stage table in the session's checkpoint folder and cut
     its lineage.
 
@@ -66,18 +66,31 @@ def checkpoint_stage(df, name: str = "stage", count: bool = False):
     once (an eager ``checkpoint()`` of an unpersisted DataFrame computes it
     twice, once to count and once to write), it lives in shared storage so
     it survives the loss of executors, and later reads get column pruning
-    and predicate pushdown."""
+    and predicate pushdown (and partition pruning with ``partition_by``)."""
     import uuid
 
-    from pyspark.sql import Observation
-    from pyspark.sql import functions as F
-
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not count:
-        df.write.mode("errorifexists").parquet(path)
-        return spark.read.parquet(path)
-    # the row count is observed while writing: no second job
-    obs = Observation(f"{name}_rows")
-    df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path), int(obs.get["n"])
+    _stages.append(path)
+    schema = df.schema
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*df.columns)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def stage_scope(spark: SparkSession):
+    """Removes, at its end, the stage tables written inside it. Results must be written or collected within;
+    the caller decides, since a stage table is needed as long as a DataFrame reads it."""
+    first = len(_stages)
+    try:
+        yield
+    finally:
+        for path in _stages[first:]:
+            remove_path(spark, path)
+        del _stages[first:]

@@ -104,14 +104,15 @@ def v_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly history from ``orders`` (80 months): the input of the lag /
     rolling / feature chain. boardings are orders with an even
-    o_orderkey div 24, alightings the others."""
+    o_orderkey div 24, alightings the others. Every fourth station has one
+    line only."""
     o = read_table(spark, sf_dir, "orders")
     n = F.round(F.col("o_totalprice") / 100).cast("bigint")
     even = (F.floor(F.col("o_orderkey") / 24) % 2) == 0
     return (
         o.select(
             (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("int").alias("use_month"),
-            F.col("o_orderpriority").alias("line"),
+            F.when(F.col("o_custkey") % 20 % 4 == 0, F.lit("2-HIGH")).otherwise(F.col("o_orderpriority")).alias("line"),
             station_of(F.col("o_custkey")).alias("station"),
             (F.col("o_orderkey") % 24).cast("int").alias("hour"),
             F.when(even, n).otherwise(F.lit(0)).alias("b"),
@@ -179,6 +180,17 @@ def v_prob(spark: SparkSession, sf_dir: str, clean: DataFrame | None = None) ->
     return agg.select("station", "hour", F.array(*probs).alias("probs"))
 
 
+def v_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_clean with blanks around names and, every fifth day, negative counts."""
+    c = v_clean(spark, sf_dir)
+    fifth = F.dayofmonth("use_date") % 5 == 0
+    sign = F.when(fifth & (F.col("hour") % 4 == 0), -1).otherwise(1)
+    return c.withColumns({
+        "line": F.when(fifth, F.concat(F.lit(" "), "line", F.lit("\t"))).otherwise(F.col("line")),
+        "station": F.when(F.col("hour") % 3 == 0, F.concat(F.lit("\u3000"), "station", F.lit("  "))).otherwise(F.col("station")),
+        "boardings": F.col("boardings") * sign, "alightings": F.col("alightings") * sign, "total": F.col("total") * sign})
+
+
 def v_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic predictions: label = level of total, prediction = level
     of that hour's mean total."""
@@ -230,11 +242,14 @@ def payload_texts(ev: DataFrame) -> DataFrame:
     two = (e % 3) == 0
 
     # daily ridership
+    # the counts occur as numbers, numbers with a point and quoted numbers
+    ride = F.when((e % 5) == 0, F.concat(n, F.lit(".0"))).when((e % 5) == 1, _js(n)).otherwise(n)
+
     def rrow(ride, alight):
         return _obj(_kv("USE_DT", _js(d)), _kv("LINE_NUM", _js(ln)), _kv("SUB_STA_NM", _js(st)),
                     _kv("RIDE_PASGR_NUM", ride), _kv("ALIGHT_PASGR_NUM", alight), _kv("WORK_DT", _js(d)))
 
-    rows = F.concat(F.lit("["), rrow(n, uid), F.when(two, F.concat(F.lit(","), rrow(n1, uid1))).otherwise(F.lit("")),
+    rows = F.concat(F.lit("["), rrow(ride, uid), F.when(two, F.concat(F.lit(","), rrow(n1, uid1))).otherwise(F.lit("")),
                     F.lit("]"))
     ok_result = F.lit('"RESULT":{"CODE":"INFO-000","MESSAGE":"정상 처리되었습니다"}')
     ridership = (
@@ -295,7 +310,8 @@ def payload_texts(ev: DataFrame) -> DataFrame:
     head = [_kv("USE_MM", _js(ym)), _kv("SBWY_ROUT_LN_NM", _js(ln)), _kv("STTN", _js(st))]
     r1 = _obj(*head, *hour_parts)
     r2 = _obj(*head, F.lit('"HR_0_GET_ON_NOPE":999999'))
-    hourly = F.when(err, F.lit('{"RESULT":{"CODE":"INFO-200","MESSAGE":"해당하는 데이터가 없습니다."}}')).otherwise(
+    empty = F.concat(F.lit('{"CardSubwayTime":{"list_total_count":0,'), ok_result, F.lit(',"row":[]}}'))
+    hourly = F.when(err, F.lit('{"RESULT":{"CODE":"INFO-200","MESSAGE":"해당하는 데이터가 없습니다."}}')).when((e % 13) == 0, empty).otherwise(
         F.concat(F.lit('{"CardSubwayTime":{"list_total_count":2,'), ok_result, F.lit(',"row":['), r1, F.lit(","), r2,
                  F.lit("]}}")))
     return ev.select(

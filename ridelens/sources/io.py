@@ -6,10 +6,9 @@
   month); CSV with the source's Korean headers and a UTF-8 BOM-free layout
   is kept for the edges.
 
-Spark 4 accepts only a short list of charsets for CSV; cp949 / EUC-KR need
-``spark.sql.legacy.javaCharsets=true``, which ``read_wide_csv`` enables on
-the session when such a charset is requested (the check runs at execution
-time too, so the setting has to stay on).
+Spark 4 accepts only a short list of charsets for CSV. cp949 / EUC-KR are a
+session requirement: ``spark.sql.legacy.javaCharsets=true``, also at execution
+time, so ``read_wide_csv`` and ``write_wide_csv`` turn it on and leave it on.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridelens import schemas
+from ridelens.functions.exprs import whole_number
 
 _STANDARD_CHARSETS = {"utf-8", "utf8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"}
 
@@ -45,20 +45,20 @@ def to_source_names(df: DataFrame) -> DataFrame:
 def read_wide_csv(spark: SparkSession, path: str, encoding: str = "cp949") -> DataFrame:
     """Raw wide CSV -> (use_month int, line, station, 48 hour-slot counts).
 
-    Everything is read as text and cast with ``try_cast``: a malformed count
-    becomes null (and is then counted by the null profile) instead of
-    failing the job under ANSI mode."""
+    Everything is read as text; counts may be written ``123``, ``123.0`` or
+    ``1,234``. A malformed count becomes null (and is then counted by the null
+    profile) instead of failing the job under ANSI mode."""
     _allow_charset(spark, encoding)
     raw = spark.read.option("header", True).option("encoding", encoding).option("inferSchema", False).csv(path)
     cols = {}
     for c in raw.columns:
         name = schemas.SOURCE_NAMES.get(c, c)
         if name == "use_month":
-            cols[c] = F.col(f"`{c}`").try_cast(T.IntegerType()).alias(name)
+            cols[c] = whole_number(F.col(f"`{c}`")).try_cast(T.IntegerType()).alias(name)
         elif name in ("line", "station"):
             cols[c] = F.col(f"`{c}`").alias(name)
         elif schemas.BOARDING_MARK in c or schemas.ALIGHTING_MARK in c:
-            cols[c] = F.col(f"`{c}`").try_cast(T.LongType()).alias(c)
+            cols[c] = whole_number(F.col(f"`{c}`")).alias(c)
         else:
             cols[c] = F.col(f"`{c}`").alias(name)
     return raw.select(*cols.values())
@@ -85,6 +85,14 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
         w.parquet(path)
 
 
+def _typed(field: T.StructField, have: str):
+    """Text counts may be written with a point or thousands marks: read the number first."""
+    c = F.col(f"`{field.name}`")
+    if have == "string" and isinstance(field.dataType, (T.IntegerType, T.LongType)):
+        c = whole_number(c)
+    return c.try_cast(field.dataType)
+
+
 def read_stage(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
     """Read a stage table back with library names; CSV text columns are typed
     by ``schema`` when given, and ``use_date`` is parsed to DATE."""
@@ -95,7 +103,7 @@ def read_stage(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
     df = to_library_names(df)
     if schema is not None:
         df = df.select(*[
-            F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if f.name in df.columns else
+            _typed(f, dict(df.dtypes)[f.name]).alias(f.name) if f.name in df.columns else
             F.lit(None).cast(f.dataType).alias(f.name)
             for f in schema.fields
         ])

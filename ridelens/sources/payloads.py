@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ridelens.functions.exprs import whole_number
+
 S, L, D, I = T.StringType(), T.LongType(), T.DoubleType(), T.IntegerType()
 
 
@@ -22,7 +24,8 @@ def _struct(**fields) -> T.StructType:
 
 RESULT = _struct(CODE=S, MESSAGE=S)
 
-RIDERSHIP_ROW = _struct(USE_DT=S, LINE_NUM=S, SUB_STA_NM=S, RIDE_PASGR_NUM=L, ALIGHT_PASGR_NUM=L, WORK_DT=S)
+# counts are read as text: numbers with a point and quoted numbers occur
+RIDERSHIP_ROW = _struct(USE_DT=S, LINE_NUM=S, SUB_STA_NM=S, RIDE_PASGR_NUM=S, ALIGHT_PASGR_NUM=S, WORK_DT=S)
 RIDERSHIP_SCHEMA = _struct(
     CardSubwayStatsNew=_struct(list_total_count=L, RESULT=RESULT, row=T.ArrayType(RIDERSHIP_ROW))
 )
@@ -58,6 +61,12 @@ ARRIVALS_OK_STATUS = 200
 FORECAST_OK_CODE = "00"
 
 
+def unparsable(df: DataFrame, payload_col: str = "payload", id_cols=("event_id",)) -> DataFrame:
+    """The payloads that are no JSON object; every flattener leaves them out, so a caller can report them."""
+    bad = F.col(payload_col).isNull() | F.try_parse_json(F.col(payload_col)).isNull() | ~F.trim(F.col(payload_col)).startswith("{")
+    return df.filter(bad).select(*id_cols, payload_col)
+
+
 def _keep(df: DataFrame, id_cols) -> list:
     return [F.col(c) for c in id_cols]
 
@@ -74,8 +83,8 @@ def flatten_ridership(df: DataFrame, payload_col: str = "payload", id_cols=("eve
     return rows.select(
         *id_cols, F.col("row_no").cast("int").alias("row_no"),
         F.col("_r.USE_DT").alias("use_dt"), F.col("_r.LINE_NUM").alias("line"),
-        F.col("_r.SUB_STA_NM").alias("station"), F.col("_r.RIDE_PASGR_NUM").alias("ride"),
-        F.col("_r.ALIGHT_PASGR_NUM").alias("alight"),
+        F.col("_r.SUB_STA_NM").alias("station"), whole_number(F.col("_r.RIDE_PASGR_NUM")).alias("ride"),
+        whole_number(F.col("_r.ALIGHT_PASGR_NUM")).alias("alight"), F.col("_r.WORK_DT").alias("work_dt"),
     )
 
 
@@ -105,16 +114,15 @@ def flatten_forecast(df: DataFrame, payload_col: str = "payload", id_cols=("even
     )
 
 
-def flatten_hourly(df: DataFrame, payload_col: str = "payload", id_cols=("event_id",)) -> DataFrame:
-    """Hourly ridership payloads -> 24 rows (hour, ride_on, ride_off) from
-    the FIRST ``row`` only; a missing hour key counts 0. A payload whose
-    RESULT (top level or inside) carries a code other than success is
-    dropped (the collector's rule)."""
+def hourly_arrays(df: DataFrame, payload_col: str = "payload", id_cols=("event_id",)) -> DataFrame:
+    """Hourly ridership payloads -> one row each, from the FIRST ``row`` only, with ``hours``: 24 structs (hour,
+    ride_on, ride_off), a missing hour key counting 0. A payload whose RESULT (top level or inside) carries a code
+    other than success, or whose list is missing or empty, is dropped (the collector's rule)."""
     p = F.from_json(F.col(payload_col), HOURLY_SCHEMA)
     parsed = df.select(*_keep(df, id_cols), p.alias("_p"))
     inner = F.col("_p.CardSubwayTime")
     ok = inner.isNotNull() & (inner.getField("RESULT").isNull() | (inner.getField("RESULT").getField("CODE") == OK_CODE))
-    first = F.element_at(inner.getField("row"), 1)
+    first = F.try_element_at(inner.getField("row"), F.lit(1))  # null for an empty list
     parsed = parsed.filter(ok).select(*id_cols, first.alias("_r")).filter(F.col("_r").isNotNull())
     hours = F.array(*[
         F.struct(
@@ -126,5 +134,11 @@ def flatten_hourly(df: DataFrame, payload_col: str = "payload", id_cols=("event_
     ])
     return parsed.select(
         *id_cols, F.col("_r.USE_MM").alias("use_month_text"), F.col("_r.SBWY_ROUT_LN_NM").alias("line"),
-        F.col("_r.STTN").alias("station"), F.inline(hours),
+        F.col("_r.STTN").alias("station"), hours.alias("hours"),
     )
+
+
+def flatten_hourly(df: DataFrame, payload_col: str = "payload", id_cols=("event_id",)) -> DataFrame:
+    """Hourly ridership payloads -> 24 rows (hour, ride_on, ride_off) each."""
+    rows = hourly_arrays(df, payload_col, id_cols)
+    return rows.select(*id_cols, "use_month_text", "line", "station", F.inline("hours"))

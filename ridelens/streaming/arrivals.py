@@ -34,8 +34,9 @@ def arrivals_from_stream(events: DataFrame) -> DataFrame:
     return flatten_arrivals(payloads)
 
 
-def run_available_now(stream: DataFrame, sink_path: str, checkpoint_path: str, timeout_s: int = 600) -> None:
-    """Process everything available, then stop (a scheduled incremental run)."""
+def run_available_now(stream: DataFrame, sink_path: str, checkpoint_path: str) -> None:
+    """Process everything available, then stop (a scheduled incremental run). It waits without limit:
+    deadlines belong to the scheduler."""
     q = (
         stream.writeStream.format("parquet")
         .option("path", sink_path)
@@ -44,12 +45,7 @@ def run_available_now(stream: DataFrame, sink_path: str, checkpoint_path: str, t
         .trigger(availableNow=True)
         .start()
     )
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming run did not finish")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    q.awaitTermination()  # raises what ended the query
 
 
 def arrivals_table(spark: SparkSession, sf_dir: str) -> DataFrame:

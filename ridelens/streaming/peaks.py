@@ -1,11 +1,8 @@
 """Peak-relative congestion over a stream of landed hourly responses.
 
-A window function cannot run on a streaming DataFrame, but every response
-arrives whole in one row, so its 24 hours always sit in the same
-micro-batch: ``foreachBatch`` runs the batch operators (flatten, hour
-totals, peak window per response) on each micro-batch and appends the
-result. Each batch is written under its own batch id, so a replayed batch
-after a failure overwrites its own output instead of duplicating it.
+Every response arrives whole in one row, so its peak is the maximum of an
+array: flatten, peak and share are row-local. There is no window, no shuffle
+and no state, and the native append sink gives exactly-once output.
 """
 
 from __future__ import annotations
@@ -14,43 +11,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridelens.operators.peak import hourly_totals, with_peak
+from ridelens.operators.peak import response_peaks
 from ridelens.session import ensure_checkpoint_dir
 from ridelens.sources.fixtures import payload_texts
-from ridelens.sources.payloads import flatten_hourly
-from ridelens.streaming.arrivals import events_stream
+from ridelens.streaming.arrivals import events_stream, run_available_now
 
-PEAK_COLUMNS = ["event_id", "hour", "passengers", "max_passengers", "congestion_percent", "peak_level", "is_peak"]
 
-
-def response_peaks(batch: DataFrame) -> DataFrame:
-    rows = flatten_hourly(batch)
-    out = with_peak(hourly_totals(rows, "ride_on", "ride_off"), partition=("event_id",))
-    return out.select(*PEAK_COLUMNS)
-
-
-def run_peak_stream(spark: SparkSession, sf_dir: str, sink_path: str, checkpoint_path: str,
-                    timeout_s: int = 600) -> None:
-    responses = payload_texts(events_stream(spark, sf_dir)).selectExpr("event_id", "hourly_json AS payload")
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        response_peaks(batch).write.mode("overwrite").parquet(f"{sink_path}/batch={batch_id}")
-
-    q = (
-        responses.writeStream.foreachBatch(write_batch)
-        .option("checkpointLocation", checkpoint_path)
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming run did not finish")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+def peaks_from_stream(events: DataFrame) -> DataFrame:
+    return response_peaks(payload_texts(events).selectExpr("event_id", "hourly_json AS payload"))
 
 
 def peak_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/peaks-{uuid.uuid4().hex}"
-    run_peak_stream(spark, sf_dir, f"{base}/sink", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/sink").select(*PEAK_COLUMNS)
+    run_available_now(peaks_from_stream(events_stream(spark, sf_dir)), f"{base}/sink", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/sink")

@@ -1,14 +1,15 @@
 import __spark_entry__ as E
+from ridelens.plans.oracle import ORACLE
+from ridelens.plans.queries import QUERIES
 
-ROWS_ONLY = {"sample_rows", "rf_predict", "rf_importance", "rf_time_importance", "rf_overfit", "learning_curve",
-             "model_info", "rf_hourly_profile"}
+ROWS_ONLY = {"rf_scores"}
 
 
 def test_registry_and_oracle_keys():
     q, sql = E.queries(), E.oracle_sql()
-    assert set(sql) <= set(q)
-    assert set(q) - set(sql) == ROWS_ONLY
-    assert len(q) >= 85
+    assert set(sql) <= set(q) and set(QUERIES) <= set(q)
+    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
+    assert len(QUERIES) >= 94
 
 
 def test_entry_runs_on_smallest_tables(spark):

@@ -113,20 +113,39 @@ def test_peak_relative(spark):
     assert peak.at_hour(peak.with_peak(peak.hourly_totals(df)), "08").count() == 1
 
 
-def test_sized_broadcast_falls_back_above_bound(spark):
-    from ridelens.operators.joins import sized_broadcast
-
-    fact = spark.range(1000).withColumn("k", F.col("id") % 5)
-    dim = spark.range(5).withColumnRenamed("id", "k").withColumn("v", F.col("k") * 10)
-    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        small = fact.join(sized_broadcast(dim, max_rows=10), "k", "left")
-        big = fact.join(sized_broadcast(dim, max_rows=2), "k", "left")
-        plan_small = small._jdf.queryExecution().executedPlan().toString()
-        plan_big = big._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in plan_small
-        assert "BroadcastHashJoin" not in plan_big and "SortMergeJoin" in plan_big
-        assert small.count() == big.count() == 1000
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+def test_station_profile_plan_has_no_nested_loop(spark):
+    from ridelens.operators import profile
+
+    df = spark.createDataFrame([("a", 1, 2, 3), ("a", 1, 2, 0), ("a", 1, 2, 3), ("b", 0, 0, 1)],
+                               "station string, cat_transfer int, cat_group int, level int")
+    out = profile.station_profile(df, "a")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert [tuple(r) for r in out.collect()] == [("a", 3, 1, 2, 0, 1), ("a", 3, 1, 2, 3, 2)]
+
+
+def test_quantiles_match_numpy(spark):
+    import random
+
+    import numpy as np
+
+    from ridelens.operators.quantiles import quantile_table
+
+    rng = random.Random(3)
+    rows = [(rng.choice([None, rng.randrange(30), rng.randrange(100000)]), rng.gauss(0, 1), None) for _ in range(997)]
+    out = quantile_table(spark.createDataFrame(rows, "a long, b double, c double"), ["a", "b", "c"], [0, 0.25, 0.5, 0.9, 1]).first()
+    for i, c in enumerate("ab"):
+        want = np.quantile([r[i] for r in rows if r[i] is not None], [0, 0.25, 0.5, 0.9, 1])
+        assert np.allclose(out[c], want)
+    assert out["c"] == [None] * 5
+
+
+def test_two_slot_columns_of_one_hour_raise(spark):
+    import pytest
+
+    from ridelens import schemas
+    from ridelens.operators import reshape
+
+    c = schemas.boarding_column(8)
+    with pytest.raises(ValueError, match="two slot columns"):
+        reshape.slot_columns(spark.createDataFrame([(1, 2)], [c, c + " "]), schemas.BOARDING_MARK)

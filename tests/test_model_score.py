@@ -102,14 +102,14 @@ def test_lookup(spark):
 
 
 def test_select_first_matches_brute_force(spark):
-    from ridelens.operators.ranking import select_first
+    from ridelens.operators.ranking import key_hash, select_first
 
     df = _labelled(spark, 5000)
     out = select_first(df, "level", ["id"], lambda n: F.round(F.lit(0.3) * n), seed=11, flag_col="sel",
                        bucket_bits=4)  # few buckets: many rows share the boundary bucket
     got = {r.id for r in out.filter("sel").collect()}
     assert out.count() == 5000
-    rows = df.select("id", "level", F.xxhash64(F.lit(11), "id").alias("h")).collect()
+    rows = df.select("id", "level", key_hash(["id"], 11).alias("h")).collect()
     want = set()
     for lv in {r.level for r in rows}:
         grp = sorted((r.h, r.id) for r in rows if r.level == lv)
@@ -119,8 +119,10 @@ def test_select_first_matches_brute_force(spark):
 
 def test_sample_rows_exact(spark):
     df = _labelled(spark, 3000)
+    from ridelens.operators.ranking import key_hash
+
     s = M.sample_rows(df, 250, ["id"], seed=5)
-    rows = df.select("id", F.xxhash64(F.lit(5), "id").alias("h")).collect()
+    rows = df.select("id", key_hash(["id"], 5).alias("h")).collect()
     assert {r.id for r in s.collect()} == {i for _, i in sorted((r.h, r.id) for r in rows)[:250]}
     assert M.sample_rows(df, 10_000, ["id"]).count() == 3000
 
@@ -138,21 +140,30 @@ def test_hourly_profile_validates_like_single_requests(spark):
     assert len(prof) == 24 and {r.month for r in prof} == {6} and {r.dow for r in prof} == {2}
 
 
-def test_rank_paths_agree(spark, monkeypatch):
-    # the window path (small groups) and the distributed path give the same exact ranks
+def test_rank_within_matches_sorting(spark):
     from ridelens.operators import ranking
 
     df = _labelled(spark, 2500)
-    small = {(r.id, r.rank_in_group) for r in ranking.rank_within(df, "level", ["noise", "id"]).collect()}
-    monkeypatch.setattr(ranking, "WINDOW_MAX_ROWS", 10)
-    big = {(r.id, r.rank_in_group) for r in ranking.rank_within(df, "level", ["noise", "id"], num_partitions=5).collect()}
-    assert small == big
-    a = {r.id for r in ranking.select_first(df, "level", ["id"], lambda n: F.round(F.lit(0.3) * n), 3, "s",
-                                            bucket_bits=3).filter("s").collect()}
-    monkeypatch.setattr(ranking, "WINDOW_MAX_ROWS", 1_000_000)
-    b = {r.id for r in ranking.select_first(df, "level", ["id"], lambda n: F.round(F.lit(0.3) * n), 3, "s",
-                                            bucket_bits=3).filter("s").collect()}
-    assert a == b
+    got = {(r.id, r.rank_in_group, r.group_size) for r in ranking.rank_within(df, "level", ["noise", "id"], num_partitions=5).collect()}
+    want, by = set(), {}
+    for r in df.collect():
+        by.setdefault(r.level, []).append((r.noise, r.id))
+    for rows in by.values():
+        want |= {(i, k + 1, len(rows)) for k, (_, i) in enumerate(sorted(rows))}
+    assert got == want
+
+
+def test_transfer_fallback_counts_lines(spark):
+    # K4: without is_transfer in the feature table, more than one line per station
+    feats = spark.createDataFrame([("a", "1", 0, 0), ("a", "2", 0, 1), ("b", "1", 1, 0)], "station string, line string, station_idx int, line_idx int")
+    got = {(r.station, r.line): r.is_transfer for r in score.code_table(feats).collect()}
+    assert got == {("a", "1"): 1, ("a", "2"): 1, ("b", "1"): 0}
+
+
+def test_metrics_take_one_aggregate(spark):
+    df = spark.createDataFrame([(0, 0), (1, 0), (1, 1), (3, 3)], "label int, prediction int")
+    for out in (M.class_report(df), M.weighted_f1(df)):
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
 def test_line_code_fallback_only_for_known_pairs(spark):
