@@ -18,11 +18,12 @@ packed each by itself; a null id is carried; an empty table gives no rows.
 
 from __future__ import annotations
 
+import base64
 import math
-import os
 import random
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,9 +36,8 @@ from ridelens.llm.common import stage
 CAPACITY, END_ID = 1024, 2
 BLOCK, ISLANDS, EPOCHS = 4096, 3, 2
 POPULATION, GENERATIONS, WELL_FILLED = 4, 6, 0.98
-TOKENIZER = "byte_bpe_50k.json"
-#: texts encoded at once
-ENCODE_ROWS, ENCODE_BYTES = 64, 1 << 20
+#: the ranks of the same vocabulary as byte_bpe_50k.json: the same ids, several times faster (compared in the tests)
+TOKENIZER, SPECIAL = "byte_bpe_50k.tiktoken", {"<|endoftext|>": 50256}
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -49,36 +49,37 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, e - s) for s, e in zip(starts, [*starts[1:], n])]
 
 
-def tokenizer_path(name: str) -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+@lru_cache
+def encoder(path: str):
+    """The byte-level BPE of a rank file; as in its JSON form, the special token's string in a text is that token."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32."""
-    where = tokenizer or tokenizer_path(TOKENIZER)
+    """One row per piece: doc_id, piece, start, length, ids_crc32. ``tokenizer``: a rank file present on every executor."""
+    where = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_file(where)
+        bpe = encoder(where)
         for batch in batches:
             made: list[tuple] = []
-            ids, texts = batch.column(0), batch.column(1)
-            at = 0
-            while at < batch.num_rows:
-                group, size = [], 0
-                while at + len(group) < batch.num_rows and len(group) < ENCODE_ROWS and (not group or size < ENCODE_BYTES):
-                    group.append(texts[at + len(group)].as_py() or "")
-                    size += len(group[-1])
-                for k, e in enumerate(encoder.encode_batch_fast(group, add_special_tokens=False)):
-                    found = np.array([*e.ids, END_ID], dtype="<u4")
-                    key = ids[at + k].as_py()
-                    made += [(key, j, s, n, zlib.crc32(found[s : s + n].tobytes())) for j, (s, n) in enumerate(cut(len(found), capacity))]
-                at += len(group)
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(made, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"piece": "int32", "doc_id": "Int64"}), preserve_index=False)
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.array([*bpe.encode(text.as_py() or "", allowed_special="all"), END_ID], dtype="<u4")
+                made += [(key, j, s, n, zlib.crc32(found[s : s + n].tobytes())) for j, (s, n) in enumerate(cut(len(found), capacity))]
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            columns = list(zip(*made)) if made else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 

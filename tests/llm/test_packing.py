@@ -61,7 +61,7 @@ def packed(spark):
 
 def test_pieces_match_the_tokenizer(packed):
     rows, out = packed
-    t = Tokenizer.from_file(P.tokenizer_path(P.TOKENIZER))
+    t = Tokenizer.from_file(P.tokenizer_path("byte_bpe_50k.json"))
     want = []
     for i, text, _ in rows:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
@@ -92,3 +92,16 @@ def test_sequences_are_gapless_and_few(packed):
 
 def test_empty_table(spark):
     assert P.best_fit_packing(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rank_file_gives_the_ids_of_the_json_tokenizer():
+    import base64
+
+    rng = random.Random(1)
+    with open(P.tokenizer_path(), "rb") as f:
+        tokens = [base64.b64decode(x.split()[0]).decode("utf-8", "ignore") for x in f]
+    texts = ["".join(rng.choice(tokens) for _ in range(rng.randrange(60))) for _ in range(800)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x2FFF), rng.randrange(0x1F300, 0x1F6FF), 10, 0x3000])) for _ in range(rng.randrange(200))) for _ in range(800)]
+    texts += ["<|endoftext|>", "a<|endoftext|> b", "  \n\n x", "a" * 20000]
+    t, e = Tokenizer.from_file(P.tokenizer_path("byte_bpe_50k.json")), P.encoder(P.tokenizer_path())
+    assert [t.encode(x, add_special_tokens=False).ids for x in texts] == [e.encode(x, allowed_special="all") for x in texts]
