@@ -14,7 +14,8 @@ A leaf with budget b and t tokens gives all its documents b div t times
 epoch's seeded order whose tokens fit in the rest. The prefix is found without
 sorting a leaf in one task: token sums per (leaf, hash bucket) are aggregated,
 their running sums name each leaf's boundary bucket, and only that bucket's
-rows (1 / 65,536 of the leaf) are ordered one by one.
+rows (1 / 4,096 of the leaf) are ordered one by one; no task holds more than
+4,096 sums of a leaf.
 
 Defined cases: a null level is the node ``(null)``; a null text has no tokens;
 zero-token documents are taken with their epoch or prefix; nodes of weight 0
@@ -109,7 +110,7 @@ def mix_sources(docs: DataFrame, levels=LEVELS, weights=WEIGHTS, percent: int =
                                    "_rest": F.expr("case when tokens > 0 then budget % tokens else -1 end")})
 
     place = lambda name: {"_hash": epoch_hash(seed, F.col("_full"), name)}
-    bucket = F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int")
+    bucket = F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int")
     sums = keys.join(budgets, levels).withColumns(place("_id")).withColumn("_bucket", bucket)
     sums = sums.groupBy(*levels, "_rest", "_bucket").agg(F.sum("n_tokens").alias("_sum"))
     run = Window.partitionBy(*levels).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -120,7 +121,7 @@ def mix_sources(docs: DataFrame, levels=LEVELS, weights=WEIGHTS, percent: int =
 
     kept = [c for c in rows.columns if c != "epoch"]
     found = rows.select(*kept).join(plan, levels).withColumns(place(id_col)).withColumn("_bucket", bucket)
-    whole = found.withColumn("_n", F.col("_full") + F.when(F.col("_bucket") < F.coalesce("_edge", F.lit(1 << 16)), F.when(F.col("_rest") >= 0, 1).otherwise(0)).otherwise(0))
+    whole = found.withColumn("_n", F.col("_full") + F.when(F.col("_bucket") < F.coalesce("_edge", F.lit(1 << 12)), F.when(F.col("_rest") >= 0, 1).otherwise(0)).otherwise(0))
     whole = whole.filter("_n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))))
     inside = Window.partitionBy(*levels).orderBy("_hash", id_col, "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     part = found.filter("_bucket = _edge").withColumn("_to", F.sum("n_tokens").over(inside))
