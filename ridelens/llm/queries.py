@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ridelens.llm import hilbert, jaccard, katz, mixing, neardup, packing, repetition, secrets, urls, warc
 from ridelens.llm.common import documents, stage, table
+from ridelens.llm.oracle import ORACLE
 
 
 def op1_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +60,4 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_rotation_codes, op2_hilbert_shards, op3_warc_bundles, op4_jaccard_join, op5_repetition_coverage,
     op6_secret_scan, op7_url_filter, op8_katz_scores, op9_best_fit_packing, op10_source_mixing)}
-ORACLE: dict[str, str] = {}
+__all__ = ["QUERIES", "ORACLE"]
