@@ -45,3 +45,27 @@ def test_cluster_checkpoint_dir_is_used():
 def test_local_mode_gets_a_scratch_dir():
     s = _Spark("local[4]", {})
     assert ensure_checkpoint_dir(s).startswith("/")
+
+
+def test_stage_scope_removes_what_was_written_inside(spark):
+    import os
+
+    from ridelens.session import checkpoint_stage, stage_scope
+
+    before = checkpoint_stage(spark.range(5), "outer")
+    with stage_scope(spark):
+        inner = checkpoint_stage(spark.range(7).withColumnRenamed("id", "k"), "inner", partition_by=["k"])
+        path = inner.inputFiles()[0].removeprefix("file://").split("/inner-")[0]
+        assert inner.count() == 7 and any(x.startswith("inner-") for x in os.listdir(path))
+    assert not any(x.startswith("inner-") for x in os.listdir(path)) and before.count() == 5
+
+
+def test_entry_works_without_the_training_data_subpackage(monkeypatch):
+    import sys
+
+    import __spark_entry__ as E
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # importing it now fails as if it were absent
+    from ridelens.plans.queries import QUERIES
+
+    assert set(E.queries()) == set(QUERIES)
