@@ -153,25 +153,27 @@ def mutate(bins: list[list[int]], lens: list[int], capacity: int, rng: random.Ra
 
 
 def evolve(lens: list[int], capacity: int, seed: int, given: list[list[list[int]]]) -> list[list[int]]:
-    """The best genome of one island after an epoch that starts from the given ones."""
-    rng, least = random.Random(seed), -(-sum(lens) // capacity)
-    people = [*given]
-    if not people:
-        people.append(best_fit(sorted(range(len(lens)), key=lambda i: -lens[i]), lens, [], capacity))
-    people.sort(key=lambda g: fitness(g, lens, capacity))
-    if len(people[0]) <= least:
-        return people[0]
-    while len(people) < POPULATION:
-        noisy = sorted(range(len(lens)), key=lambda i: -lens[i] * rng.uniform(0.8, 1.2))
-        people.append(best_fit(noisy, lens, [], capacity))
-    for _ in range(GENERATIONS):
-        people.sort(key=lambda g: fitness(g, lens, capacity))
-        if len(people[0]) <= least:
-            break
-        a, b = rng.sample(people[: max(2, POPULATION // 2)], 2)
-        people[-1] = crossover(a, b, lens, capacity, rng)
-        people[-2] = mutate(people[0], lens, capacity, rng)
-    return min(people, key=lambda g: fitness(g, lens, capacity))
+    """The best genome of one island after an epoch that starts from the given ones. Pieces that fill a bin
+    by themselves stay out of the search."""
+    full = [[i] for i, n in enumerate(lens) if n == capacity]
+    loose = sorted((i for i, n in enumerate(lens) if n < capacity), key=lambda i: -lens[i])
+    rng, least = random.Random(seed), -(-sum(lens[i] for i in loose) // capacity)
+    rated = lambda g: (fitness(g, lens, capacity), g)
+    people = [rated([b for b in g if lens[b[0]] < capacity]) for g in given] or [rated(best_fit(loose, lens, [], capacity))]
+    best = min(people, key=lambda x: x[0])
+    if len(best[1]) > least:
+        while len(people) < POPULATION:
+            noisy = sorted(loose, key=lambda i: -lens[i] * rng.uniform(0.8, 1.2))
+            people.append(rated(best_fit(noisy, lens, [], capacity)))
+        for _ in range(GENERATIONS):
+            people.sort(key=lambda x: x[0])
+            if len(people[0][1]) <= least:
+                break
+            (_, a), (_, b) = rng.sample(people[: max(2, POPULATION // 2)], 2)
+            people[-1] = rated(crossover(a, b, lens, capacity, rng))
+            people[-2] = rated(mutate(people[0][1], lens, capacity, rng))
+        best = min(people, key=lambda x: x[0])
+    return full + best[1]
 
 
 def _genome(bins: list[list[int]], n: int) -> list[int]:
@@ -213,15 +215,17 @@ def pack(found: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands
     blocks = stage(dealt.groupBy("block").agg(items).withColumn("lens", F.transform("items", lambda x: x["length"].cast("int"))), "blocks")
     lens = blocks.select("block", "lens")
     people = lens.withColumns({"island": F.explode(F.array(*[F.lit(i) for i in range(islands)])), "seeds": F.array().cast("array<array<int>>")})
+    # the search is long for its few bytes: a few islands a task, whatever their size
+    spread = lambda rows: rows.repartition(math.ceil(n_blocks * islands / 4), "block", "island")
     # the first island's start is best-fit decreasing: where it meets the bound, no island is needed
     best = stage(_epoch(people.filter("island = 0"), capacity, 0), "packed")
     done = [best.filter("n_bins <= least")]
     state = stage(best.filter("n_bins > least").unionByName(
-        _epoch(people.filter("island > 0").join(best.filter("n_bins > least").select("block"), "block"), capacity, 0)), "islands")
+        _epoch(spread(people.filter("island > 0").join(best.filter("n_bins > least").select("block"), "block")), capacity, 0)), "islands")
     for epoch in range(1, epochs + 1):
         elite = state.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("genome").alias("elite"))
         migrated = state.join(elite, ["block", "island"]).join(lens, "block").withColumn("seeds", F.array("genome", "elite"))
-        state = stage(_epoch(migrated, capacity, epoch), "islands")
+        state = stage(_epoch(spread(migrated), capacity, epoch), "islands")
     done.append(state.withColumn("_r", F.row_number().over(Window.partitionBy("block").orderBy("n_bins", "island"))).filter("_r = 1").drop("_r"))
     solved = done[0].unionByName(done[1]).select("block", "genome")
     rows = blocks.select("block", "items").join(solved, "block").select("block", F.explode(F.arrays_zip("items", "genome")).alias("z"))
