@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ridelens.llm.common import stage
 
 CAPACITY, END_ID = 1024, 2
-BLOCK, ISLANDS, EPOCHS = 4096, 3, 2
+BLOCK, ISLANDS, EPOCHS = 16_384, 3, 2
 POPULATION, GENERATIONS, WELL_FILLED = 4, 6, 0.98
 #: the ranks of the same vocabulary as byte_bpe_50k.json: the same ids, several times faster (compared in the tests)
 TOKENIZER, SPECIAL = "byte_bpe_50k.tiktoken", {"<|endoftext|>": 50256}
