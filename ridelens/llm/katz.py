@@ -44,9 +44,9 @@ FOLDS, HELD_FOLD = 7, 2
 END = np.uint64(0x656E645F746F6B65)  # the end token's key; words' keys are 64-bit hashes
 CLASSES = CUTOFF + 2  # numbers of count 1 .. CUTOFF + 1, and the sum of larger counts' occurrences
 
-REQUEST = "shard int, batch long, words array<long>, counts array<int>"
-ANSWER = "batch long, shard int, kind string, a array<long>, b array<long>, c array<long>, d array<long>"
-PAIRS = "shard int, batch long, h array<long>, h_n array<int>, h_split array<int>, w_lo array<int>, w_hi array<int>, w_count array<int>, n array<int>"
+#: messages between batches and partitions; a payload is an Arrow table, compressed
+REQUEST = "shard int, batch long, payload binary"
+ANSWER = "batch long, shard int, kind string, payload binary, name long, classes array<long>, pairs array<long>, split array<long>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -119,9 +119,33 @@ def runs(values: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(values[a]), a, z) for a, z in zip(first, [*first[1:], len(values)])]
 
 
-def _lists(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    columns = list(zip(*rows)) if rows else [()] * len(schema)
-    return pa.table([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+def packed(**columns: np.ndarray) -> bytes:
+    """Columns of equal length as a compressed Arrow stream: sorted numbers and small counts shrink to a few bytes."""
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(payload) -> dict[str, np.ndarray]:
+    table = pa.ipc.open_stream(payload.as_buffer() if isinstance(payload, pa.Scalar) else payload).read_all()
+    return {c: table.column(c).to_numpy() for c in table.column_names}
+
+
+def joined(payloads: list[dict[str, np.ndarray]], column: str) -> np.ndarray:
+    return np.concatenate([p[column] for p in payloads]) if payloads else np.zeros(0, dtype=np.int64)
+
+
+def messages(answers: pa.Table, kind: str) -> list[tuple[int, dict[str, np.ndarray]]]:
+    """(partition, payload) of the answers of a kind, in order of the partitions."""
+    rows = zip(answers.column("kind").to_pylist(), answers.column("shard").to_pylist(), answers.column("payload"))
+    return sorted(((s, unpacked(p)) for k, s, p in rows if k == kind), key=lambda x: x[0])
+
+
+def globals_of(answers: pa.Table) -> dict[str, np.ndarray]:
+    at = answers.column("kind").to_pylist().index("globals")
+    return {c: np.array(answers.column(c)[at].as_py() or [], dtype=np.int64) for c in ("classes", "pairs", "split")}
 
 
 class Batch:
@@ -147,13 +171,11 @@ class Batch:
     def shards(self, n: int) -> np.ndarray:
         return ((self.words >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
-    def answered(self, answers: list[dict], n: int) -> tuple[np.ndarray, np.ndarray]:
+    def answered(self, answers: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers and training counts from the partitions' answers."""
         number, count, shard = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64), self.shards(n)
-        for row in answers:
-            if row["kind"] == "word":
-                number[shard == row["shard"]] = row["a"]
-                count[shard == row["shard"]] = row["b"]
+        for part, payload in messages(answers, "word"):
+            number[shard == part], count[shard == part] = payload["number"], payload["count"]
         return number, count
 
     def pairs(self, number: np.ndarray, count: np.ndarray, tokens: int, n: int):
@@ -176,41 +198,47 @@ class Batch:
         return shard[order], h[order], h_count[order], split[order], word[order], seen[order], place[which]
 
 
-def _lists(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    columns = list(zip(*rows)) if rows else [()] * len(schema)
-    return pa.table([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+LONGS = pa.list_(pa.int64())
+ASK = pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("payload", pa.binary())])
+ANSWERS = pa.schema([("batch", pa.int64()), ("shard", pa.int32()), ("kind", pa.string()), ("payload", pa.binary()), ("name", pa.int64()),
+                     *[(c, LONGS) for c in ("classes", "pairs", "split")]])
+SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")],
+                    ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-LONGS, INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
-ASK_WORDS = pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("words", LONGS), ("counts", INTS)])
-ASK_PAIRS = pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("h", LONGS), *[(c, INTS) for c in ("h_n", "h_split", "w_lo", "w_hi", "w_count", "n")]])
-ANSWERS = pa.schema([("batch", pa.int64()), ("shard", pa.int32()), ("kind", pa.string()), *[(c, LONGS) for c in "abcd"]])
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.table([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def _ask_words(n: int):
     def run(table: pa.Table) -> pa.Table:
         b = Batch(table)
         shard, counts, batch = b.shards(n), b.counts(), table.column("batch")[0].as_py()
-        return _lists([(s, batch, b.words[shard == s].view(np.int64), counts[shard == s]) for s in np.unique(shard).tolist()], ASK_WORDS)
+        return _rows([(s, batch, packed(words=b.words[shard == s], counts=counts[shard == s])) for s in np.unique(shard).tolist()], ASK)
 
     return run
 
 
+def _total_words(table: pa.Table):
+    asked = [unpacked(p) for p in table.column("payload")]
+    words, at = np.unique(joined(asked, "words"), return_inverse=True)
+    return asked, words, at, np.bincount(at, weights=joined(asked, "counts"), minlength=len(words)).astype(np.int64)
+
+
 def _sum_words(n: int):
     """Per batch the numbers and counts of its words, and one row with the partition's counts of counts."""
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        lists = table.column("words").combine_chunks()
-        words, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        total = np.bincount(at, weights=table.column("counts").combine_chunks().flatten().to_numpy(), minlength=len(words)).astype(np.int64)
+        asked, _, at, total = _total_words(table)
         classes = by_class(total, np.zeros(len(total), np.int64), 1)[0]
-        rows = [(None, shard, "words", classes, [int((total > 0).sum())], None, None)]
+        rows = [(None, shard, "words", None, None, [*classes, int((total > 0).sum())], None, None)]
         to = 0
-        for batch, mine in zip(table.column("batch").to_pylist(), lists):
-            part = at[to : to + len(mine)]
-            rows.append((batch, shard, "word", part * n + shard + 1, total[part], None, None))
-            to += len(mine)
-        return _lists(rows, ANSWERS)
+        for batch, mine in zip(table.column("batch").to_pylist(), asked):
+            part = at[to : to + len(mine["words"])]
+            rows.append((batch, shard, "word", packed(number=part * n + shard + 1, count=total[part]), None, None, None, None))
+            to += len(part)
+        return _rows(rows, ANSWERS)
 
     return run
 
@@ -218,72 +246,72 @@ def _sum_words(n: int):
 def _ask_pairs(n: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _lists([], ASK_PAIRS)
+            return ASK.empty_table()
         b, batch = Batch(left), left.column("batch")[0].as_py()
-        answers = right.to_pylist()
-        tokens = int(occurrences(np.array(next(r["a"] for r in answers if r["kind"] == "globals")[:CLASSES])))
-        number, count = b.answered(answers, n)
-        shard, h, _, split, word, seen, _ = b.pairs(number, count, tokens, n)
-        rows, w = [], number[word]
-        for s, a, z in runs(shard):
-            starts = np.flatnonzero(np.diff(h[a:z], prepend=-1)) + a
-            rows.append((int(s), batch, h[starts], np.diff(np.append(starts, z)), split[starts], w[a:z] & 0x7FFFFFFF, w[a:z] >> 31, count[word[a:z]], seen[a:z]))
-        return _lists(rows, ASK_PAIRS)
+        number, count = b.answered(right, n)
+        shard, h, _, split, word, seen, _ = b.pairs(number, count, int(occurrences(globals_of(right)["classes"][:CLASSES])), n)
+        w, c = number[word], count[word]
+        return _rows([(s, batch, packed(h=h[a:z], split=split[a:z].astype(np.int8), w=w[a:z], count=c[a:z], n=seen[a:z])) for s, a, z in runs(shard)], ASK)
 
     return run
 
 
+def _total_pairs(table: pa.Table):
+    """The requests; of each entry its pair; of each pair its first entry and its total."""
+    asked = [unpacked(p) for p in table.column("payload")]
+    h, w = joined(asked, "h"), joined(asked, "w")
+    order = np.lexsort((w, h))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0)
+    at = np.empty(len(order), dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    total = np.bincount(at, weights=joined(asked, "n"), minlength=int(new.sum())).astype(np.int64)
+    return asked, h, w, at, order[new], total
+
+
 def _sum_pairs(answers: bool):
-    """Totals of a partition's pairs. ``answers``: a row per batch with its pairs' totals, its histories that leave
-    no mass, and the statistics of those with an unseen pair there. Else: counts of counts, and the split histories' statistics."""
+    """Totals of a partition's pairs. ``answers``: per batch its pairs' totals, its histories that leave no mass, and
+    the statistics of those with an unseen pair there. Else: counts of counts, and the split histories' statistics."""
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy().astype(np.int64)
-        h_n = flat("h_n")
-        h, w, w_count = np.repeat(flat("h"), h_n), (flat("w_hi") << 31) | flat("w_lo"), flat("w_count")
-        order = np.lexsort((w, h))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0)
-        at = np.empty(len(order), dtype=np.int64)
-        at[order] = np.cumsum(new) - 1
-        total = np.bincount(at, weights=flat("n"), minlength=int(new.sum())).astype(np.int64)
-        names, group = np.unique(h[order][new], return_inverse=True)
-        is_split = np.isin(names, np.unique(h[np.repeat(flat("h_split"), h_n) > 0]))
-        stats = np.concatenate([by_class(total, group, len(names)), by_class(np.where(total > 0, w_count[order][new], 0), group, len(names))], axis=1)
+        asked, h, _, at, first, total = _total_pairs(table)
+        names, group = np.unique(h[first], return_inverse=True)
+        is_split = np.zeros(len(names), dtype=bool)
+        is_split[group[joined(asked, "split")[first] > 0]] = True
+        stats = np.concatenate([by_class(total, group, len(names)), by_class(np.where(total > 0, joined(asked, "count")[first], 0), group, len(names))], axis=1)
         if not answers:
-            rows = [(None, shard, "pairs", by_class(total, np.zeros(len(total), np.int64), 1)[0], None, None, None)]
-            return _lists(rows + [(None, shard, "split", [int(names[k])], stats[k], None, None) for k in np.flatnonzero(is_split)], ANSWERS)
+            rows = [(None, shard, "pairs", None, None, by_class(total, np.zeros(len(total), np.int64), 1)[0], None, None)]
+            return _rows(rows + [(None, shard, "split", None, int(names[k]), stats[k], None, None) for k in np.flatnonzero(is_split)], ANSWERS)
         rows, to = [], 0
         empty = (bare(stats[:, :CLASSES]) == 1) & ~is_split
-        for batch, size in zip(table.column("batch").to_pylist(), [len(x) for x in table.column("n").combine_chunks()]):
-            mine = at[to : to + size]
-            asked = np.unique(group[mine[total[mine] == 0]])
-            asked = asked[~is_split[asked]]
-            own = np.unique(group[mine])
-            rows.append((batch, shard, "pair", total[mine], names[asked], stats[asked].ravel(), names[own[empty[own]]]))
-            to += size
-        return _lists(rows, ANSWERS)
+        for batch, mine in zip(table.column("batch").to_pylist(), asked):
+            part = at[to : to + len(mine["h"])]
+            unseen = np.unique(group[part[total[part] == 0]])
+            unseen = unseen[~is_split[unseen]]
+            own = np.unique(group[part])
+            rows.append((batch, shard, "pair", packed(total=total[part]), None, None, None, None))
+            rows.append((batch, shard, "history", packed(name=names[unseen], **{f"s{i}": stats[unseen, i] for i in range(2 * CLASSES)}), None, None, None, None))
+            rows.append((batch, shard, "bare", packed(name=names[own[empty[own]]]), None, None, None, None))
+            to += len(part)
+        return _rows(rows, ANSWERS)
 
     return run
 
 
 def _score(n: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         if not left.num_rows:
-            return schema.empty_table()
-        b, answers = Batch(left), right.to_pylist()
-        whole = next(r for r in answers if r["kind"] == "globals")
-        model, vocabulary = Model(np.array(whole["a"][:CLASSES]), np.array(whole["b"])), whole["a"][CLASSES]
-        number, count = b.answered(answers, n)
+            return SCORED.empty_table()
+        b, whole = Batch(left), globals_of(right)
+        model, vocabulary = Model(whole["classes"][:CLASSES], whole["pairs"]), int(whole["classes"][CLASSES])
+        number, count = b.answered(right, n)
         _, h, h_count, _, word, _, place = b.pairs(number, count, model.tokens, n)
-        paired = sorted((r for r in answers if r["kind"] == "pair"), key=lambda r: r["shard"])
-        r = np.concatenate([np.array(x["a"], dtype=np.int64) for x in paired])
-        width = 1 + 2 * CLASSES
-        split = np.array(whole["c"], dtype=np.int64).reshape(-1, width)
-        names = np.concatenate([split[:, 0], *[np.array(x["b"], dtype=np.int64) for x in paired]])
-        stats = np.concatenate([split[:, 1:], *[np.array(x["c"], dtype=np.int64).reshape(-1, width - 1) for x in paired]])
-        none = np.concatenate([split[bare(split[:, 1 : 1 + CLASSES]) == 1, 0], *[np.array(x["d"], dtype=np.int64) for x in paired]])
+        r = joined([p for _, p in messages(right, "pair")], "total")
+        told = [p for _, p in messages(right, "history")]
+        split = whole["split"].reshape(-1, 1 + 2 * CLASSES)
+        names = np.concatenate([split[:, 0], joined(told, "name")])
+        stats = np.concatenate([split[:, 1:], np.stack([joined(told, f"s{i}") for i in range(2 * CLASSES)], axis=1)])
+        none = np.concatenate([split[bare(split[:, 1 : 1 + CLASSES]) == 1, 0], joined([p for _, p in messages(right, "bare")], "name")])
 
         p = discounted(r, model.pair_d) / np.maximum(h_count + np.isin(h, none), 1)
         unseen = np.flatnonzero(r == 0)
@@ -294,38 +322,77 @@ def _score(n: int):
         of = lambda values: np.bincount(b.doc, weights=values, minlength=b.n_docs)
         known = count[b.token]
         base = np.log10((known + 1) / (model.tokens + vocabulary + 1))
-        return pa.table([b.ids.combine_chunks(), pa.array(b.held), pa.array(of(np.ones(len(known))).astype(np.int64)), pa.array(of(known > 0).astype(np.int64)),
-                         pa.array(np.full(b.n_docs, model.tokens)), pa.array(of(base)), pa.array(of(np.log10(p)[place]))], schema=schema)
+        return pa.table([b.ids.combine_chunks(), pa.array(b.held), pa.array(np.bincount(b.doc, minlength=b.n_docs)), pa.array(of(known > 0).astype(np.int64)),
+                         pa.array(np.full(b.n_docs, model.tokens)), pa.array(of(base)), pa.array(of(np.log10(p)[place]))], schema=SCORED)
 
     return run
 
 
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH, parts: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the model's probability) per row."""
-    spark = docs.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.crc32(key) % FOLDS == HELD_FOLD).alias("held_out"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    batches = max(1, math.ceil(size / batch_bytes))
-    texts = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))).repartition(n, "batch")
-
-    words = texts.groupBy("batch").applyInArrow(_ask_words(n), REQUEST).groupBy("shard").applyInArrow(_sum_words(n), ANSWER)
-    add = lambda c, k: F.array(*[F.coalesce(F.sum(F.col(c)[i]), F.lit(0)) for i in range(k)])
-    totals = words.filter("kind = 'words'").agg(F.concat(add("a", CLASSES), add("b", 1)).alias("x")).scalar()
-    nothing = F.array().cast("array<long>")
-
-    def with_globals(answers: DataFrame, **found) -> DataFrame:
-        one = spark.range(batches).select(F.col("id").alias("batch"), F.lit(0).alias("shard"), F.lit("globals").alias("kind"), *[found.get(c, nothing).alias(c) for c in "abcd"])
+def _word_rows(n: int):
+    def run(table: pa.Table) -> pa.Table:
+        _, words, _, total = _total_words(table)
+        shard = table.column("shard")[0].as_py()
+        out = pa.table({"shard": pa.array(np.full(len(words), shard, np.int32)), "number": np.arange(len(words)) * n + shard + 1, "key": words.view(np.int64), "count": total})
+        return out.filter(pa.array(total > 0))
+
+    return run
+
+
+def _pair_rows(table: pa.Table) -> pa.Table:
+    _, h, w, _, first, total = _total_pairs(table)
+    shard = table.column("shard")[0].as_py()
+    out = pa.table({"shard": pa.array(np.full(len(first), shard, np.int32)), "history": h[first], "word": w[first], "count": total})
+    return out.filter(pa.array(total > 0))
+
+
+class Plan:
+    """The steps that scores and tables share."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, batch_bytes: int, parts: int | None):
+        self.spark = docs.sparkSession
+        self.n = n = parts or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.crc32(key) % FOLDS == HELD_FOLD).alias("held_out"), F.col(text_col).alias("text"))
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.batches = max(1, math.ceil(size / batch_bytes))
+        self.texts = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.batches))).repartition(n, "batch")
+        self.asked_words = self.texts.groupBy("batch").applyInArrow(_ask_words(n), REQUEST)
+        words = self.asked_words.groupBy("shard").applyInArrow(_sum_words(n), ANSWER)
+        self.totals = words.filter("kind = 'words'").agg(self.add(CLASSES + 1).alias("x")).scalar()
+        self.told = words.filter("kind = 'word'")
+        right = self.with_globals(self.told, classes=self.totals)
+        self.asked_pairs = self.texts.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(_ask_pairs(n), REQUEST)
+
+    @staticmethod
+    def add(k: int):
+        return F.array(*[F.coalesce(F.sum(F.col("classes")[i]), F.lit(0)) for i in range(k)])
+
+    def with_globals(self, answers: DataFrame, **found) -> DataFrame:
+        """Beside the answers, one row per batch with the global numbers."""
+        kept = {"kind": F.lit("globals"), "batch": F.col("id"), **found}
+        one = self.spark.range(self.batches).select(*[kept.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in answers.schema])
         return answers.unionByName(one)
 
-    told = words.filter("kind = 'word'")
-    asked = texts.groupBy("batch").cogroup(with_globals(told, a=totals).groupBy("batch")).applyInArrow(_ask_pairs(n), PAIRS)
-    sums = asked.groupBy("shard").applyInArrow(_sum_pairs(False), ANSWER)
-    pairs = sums.filter("kind = 'pairs'").agg(add("a", CLASSES).alias("x")).scalar()
+
+def write_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH, parts: int | None = None) -> None:
+    """Writes the model: ``words`` (number, 64-bit key, count) and ``pairs`` (numbers of history and word, count;
+    history 0 begins a document), each partitioned by ``shard``. A word's number names its shard: (number - 1) % parts."""
+    plan = Plan(docs, id_col, text_col, batch_bytes, parts)
+    tables = {"words": plan.asked_words.groupBy("shard").applyInArrow(_word_rows(plan.n), "shard int, number long, key long, count long"),
+              "pairs": plan.asked_pairs.groupBy("shard").applyInArrow(_pair_rows, "shard int, history long, word long, count long")}
+    for name, table in tables.items():
+        table.write.partitionBy("shard").parquet(f"{path}/{name}")
+
+
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH, parts: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the model's probability) per row."""
+    plan = Plan(docs, id_col, text_col, batch_bytes, parts)
+    asked = plan.asked_pairs.groupBy("shard")
+    sums = asked.applyInArrow(_sum_pairs(False), ANSWER)
+    pairs = sums.filter("kind = 'pairs'").agg(plan.add(CLASSES).alias("x")).scalar()
     # at most 4 n histories can hold more than 1 / (4 n) of the tokens each
-    split = sums.filter("kind = 'split'").groupBy(F.col("a")[0].alias("h")).agg(add("b", 2 * CLASSES).alias("s"))
-    split = split.agg(F.flatten(F.collect_list(F.concat(F.array("h"), "s"))).alias("x")).scalar()
-    found = asked.groupBy("shard").applyInArrow(_sum_pairs(True), ANSWER)
-    right = with_globals(told.unionByName(found), a=totals, b=pairs, c=split)
-    return texts.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(_score(n), SCORES)
+    split = sums.filter("kind = 'split'").groupBy("name").agg(plan.add(2 * CLASSES).alias("s"))
+    split = split.agg(F.flatten(F.collect_list(F.concat(F.array("name"), "s"))).alias("x")).scalar()
+    found = asked.applyInArrow(_sum_pairs(True), ANSWER)
+    right = plan.with_globals(plan.told.unionByName(found), classes=plan.totals, pairs=pairs, split=split)
+    return plan.texts.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(_score(plan.n), SCORES)

@@ -105,3 +105,15 @@ def test_empty_table_and_no_training_rows(spark):
     i = next(i for i in range(100) if held(i))
     r = K.katz_scores(spark.createDataFrame([(i, "a b")], schema)).collect()[0]
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (True, 3, 0, 0, 0.0, 0.0)
+
+
+def test_written_tables_hold_the_counts(spark, tmp_path):
+    rows = corpus(3, 120)
+    K.write_tables(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "m"), batch_bytes=3000, parts=4)
+    m = Brute(rows)
+    words, pairs = (spark.read.parquet(str(tmp_path / "m" / t)) for t in ("words", "pairs"))
+    assert sorted(r["count"] for r in words.collect()) == sorted(m.uni.values())
+    assert sorted(r["count"] for r in pairs.collect()) == sorted(r for c in m.bi.values() for r in c.values())
+    by_history = {r.history: r.n for r in pairs.groupBy("history").sum("count").withColumnRenamed("sum(count)", "n").collect()}
+    assert sorted(by_history.values()) == sorted(sum(c.values()) for c in m.bi.values())
+    assert words.filter("(number - 1) % 4 != shard").count() == 0
