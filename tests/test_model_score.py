@@ -80,12 +80,17 @@ def test_scoring_profile_and_summary(spark):
     probs = spark.range(24).select(F.lit("왕십리").alias("station"), F.col("id").cast("int").alias("hour"),
                                    F.array(F.lit(0.9), F.lit(0.05), F.lit(0.04), F.lit(0.011)).alias("probs"))
     day = reqs.withColumn("month", F.coalesce("month", F.lit(3))).withColumn("is_holiday", F.coalesce("is_holiday", F.lit(False)))
+    # the first request is made twice: its hours must not pile up
+    day = day.withColumn("request_id", F.explode(F.array(F.lit("a"), F.lit("b"))))
     prof = score.hourly_profile(day, codes, probs, 2025)
     got = {(r.station, r.hour): r.level for r in prof.collect()}
     # transfer grade 4 and p3 > 0.01 in the rush -> 3; late night capped at 1; weekend 23h capped at 2
     assert got[("왕십리", 8)] == 3 and got[("왕십리", 3)] == 0 and got[("왕십리", 12)] == 1
     assert got[("가상1", 8)] == 3  # unknown station: uniform probabilities, p3 = 0.25 > 0.02
-    summ = {r.station: r for r in score.profile_summary(prof).collect()}
+    both = score.profile_summary(prof).collect()
+    assert len(both) == 4
+    summ = {r.station: r for r in both if r.request_id == "a"}
+    assert all(summ[r.station].most_congested_hours == r.most_congested_hours for r in both)
     assert summ["왕십리"].most_congested_hours == [7, 8, 9, 18, 19]
     assert len(summ["가상1"].least_congested_hours) == 5
 
