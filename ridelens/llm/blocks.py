@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridelens.llm.textnum import release
+
 
 def with_blocks(rows: DataFrame, group: list[str], sizes: DataFrame, chunks: Column, key: Column) -> DataFrame:
     """``rows`` joined with the groups' ``sizes``, repeated once per block: ``_lo`` and ``_hi`` name its chunks.
@@ -50,6 +52,7 @@ def map_blocks(rows: DataFrame, keys: list[str], make: Callable[[list[pa.Table]]
             ready.append(pa.concat_tables(pending))
         if ready:
             yield from make(ready).to_batches()
+        release()
 
     dealt = rows.withColumn("_block", block).repartition("_block").sortWithinPartitions("_block", *keys)
     return dealt.select(*cols).mapInArrow(run, schema)

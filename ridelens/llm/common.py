@@ -11,9 +11,6 @@ from pyspark.sql import types as T
 
 from ridelens.session import checkpoint_stage
 
-#: rows handed to Python at once; texts are long, so far fewer than Spark's default
-__all__ = ["stage", "with_columns_arrow", "documents", "table"]
-
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -43,7 +43,7 @@ from ridelens.llm.common import stage
 from ridelens.llm.components import components
 
 SHINGLE, PERCENT = 5, 80  # the default contract of word-shingle operators
-CHUNK_DOCS, CHUNK_SHINGLES, WORK_BYTES = 400, 1 << 20, 1 << 20
+CHUNK_DOCS, CHUNK_SHINGLES, WORK_BYTES = 400, 1 << 18, 1 << 20
 WINDOW_RATIO = 1.6
 PROBE_COST = 0.01  # DivideSkip's weight of a binary search against a merge step
 
@@ -238,7 +238,7 @@ def candidate_groups(docs: DataFrame, k: int, percent: int, text_col: str = "tex
     """node, component: sets connected by equal signatures."""
     def run(batches):
         for batch in batches:
-            for _, _, t in X.slices(batch.column(0), lower=True, limit=4 * X.SLICE_BYTES):
+            for _, _, t in X.slices(batch.column(0), lower=True, limit=2 * X.SLICE_BYTES):
                 values, first = shingle_sets(t, k)
                 nodes = np.array([node_of(d) for d in digests(values, first)], dtype=np.int64)
                 sig, doc = signatures(values, first, percent)
@@ -268,7 +268,8 @@ def verified_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, k: int,
     chunks = F.greatest(F.ceil(F.col("_docs") / chunk_docs), F.ceil(F.col("_all") / CHUNK_SHINGLES))
     blocks = with_blocks(reps, ["component"], sizes, chunks, F.col("rep")).select("rep", "digest", "component", "_lo", "_hi")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    rows = blocks.join(texts, "rep").select("component", "_lo", "_hi", "rep", "digest", "text")
+    # no side has a bound: the same shuffled join at every size
+    rows = blocks.join(texts.hint("merge"), "rep").select("component", "_lo", "_hi", "rep", "digest", "text")
 
     def make(tables: list[pa.Table]) -> pa.Table:
         a, b = [], []
@@ -295,7 +296,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     groups = candidate_groups(docs, k, percent, text_col)
     links = components(verified_links(docs, sets, groups, k, percent, id_col, text_col, chunk_docs))
     classes = sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")).join(links, F.col("rep") == F.col("node"), "left")
-    classes = classes.select(F.col("digest").alias("d2"), F.coalesce("component", "rep").alias("c"))
+    # written, so that the join below deals both sides itself and can split a class with many copies
+    classes = stage(classes.select(F.col("digest").alias("d2"), F.coalesce("component", "rep").alias("c")), "classes")
     out = sets.join(classes, (F.col("digest") == F.col("d2")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -8,6 +8,7 @@ has an inverse), so a word, a line or an n-gram costs O(1) whatever its length.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 GRAM_BASE = 0xC2B2AE3D27D4EB4F | 1
 #: bytes of text worked on at once; a longer document makes a slice of its own
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240229)
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -98,11 +99,13 @@ def slices(column: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int =
     """(first row, row after the last, their Texts); null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if column.null_count:
+        column = pc.fill_null(column, "")
     n = len(column)
     if not n:
         return
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1]
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], dtype=width)[column.offset : column.offset + n + 1].astype(np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)
     at = 0
@@ -110,6 +113,15 @@ def slices(column: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int =
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield at, to, Texts(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower)
         at = to
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on between stages, beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
