@@ -35,6 +35,7 @@ from ridelens.llm.components import components
 
 THRESHOLD, CODE_BITS, EPSILON, MISS, SEED = 0.98, 256, 5.0, 1e-6, 11
 CELL_ROWS, CHUNK, PAIRS = 8, 1024, 1 << 20
+TESTED = 1 << 14  # pairs estimated at once
 
 
 @lru_cache
@@ -79,9 +80,11 @@ def cell_keys(code: np.ndarray, bits: int, tables: int) -> np.ndarray:
 
 
 def upper_bounds(turned, code, factor, i, j) -> np.ndarray:
-    """Upper confidence bound of the cosine of rows i and j: i by its code, j as the query."""
+    """Upper confidence bound of the cosine of rows i and j: i by its code, j as the query.
+    <sign, x> = 2 <bit, x> - <1, x>, so the bits do without signs."""
     bits = code.shape[1]
-    estimate = np.einsum("ij,ij->i", np.where(code[i], 1.0, -1.0), turned[j]) / math.sqrt(bits) / factor[i]
+    query = turned[j]
+    estimate = (2 * np.einsum("ij,ij->i", code[i], query) - query.sum(axis=1)) / math.sqrt(bits) / factor[i]
     spread = np.sqrt(np.maximum(1 - factor[i] ** 2, 0)) / factor[i] / math.sqrt(bits - 1)
     return estimate + EPSILON * spread
 
@@ -113,10 +116,15 @@ def _search_equal(blocks: list[pa.Table], threshold: float) -> pa.Table:
     units = unit(_matrix(rows.column("vec")))
     keys = _matrix(rows.column("keys"))
     turned, code, factor = encode(units)
+    turned, code = turned.astype(np.float32), code.astype(np.float32)  # rounding is far below the bounds
     links = np.zeros(len(rep), dtype=np.int64)
     found_i, found_j = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
 
-    def test(i: np.ndarray, j: np.ndarray) -> None:
+    def test(all_i: np.ndarray, all_j: np.ndarray) -> None:
+        for a in range(0, len(all_i), TESTED):
+            test_some(all_i[a : a + TESTED], all_j[a : a + TESTED])
+
+    def test_some(i: np.ndarray, j: np.ndarray) -> None:
         # split blocks meet rows of one chunk several times: those pairs belong to the block of the next chunk
         ok = rep[i] != rep[j]
         i, j = i[ok], j[ok]
@@ -141,7 +149,7 @@ def _search_equal(blocks: list[pa.Table], threshold: float) -> pa.Table:
             ok = same(i, j)
             waiting.append((i[ok] + at, j[ok] + at))
             count += int(ok.sum())
-            if count >= PAIRS >> 3:
+            if count >= PAIRS:
                 test(*map(np.concatenate, zip(*waiting)))
                 waiting, count = [], 0
         at += n
