@@ -5,18 +5,22 @@
 2. Candidates, exactly: two sets that link differ in at most D shingles, a
    number that follows from the threshold and the sizes. The shingles are dealt
    by hash into more than D buckets, so two linked sets agree in a whole bucket.
-   One signature per bucket; sets with an equal signature are in one
-   candidate group. Buckets shared by chance need all their shingles in
-   common, so passages and phrases that many documents share make no group.
+   One signature per bucket. Among the sets with an equal signature, sketches of
+   256 bins part those that cannot link: a set is compared with the leaders of
+   its signature only, and joined to each whose estimate a linked set's leader
+   could have (six standard deviations below the bound that the triangle
+   inequality of the Jaccard distance gives). So sets that merely share a
+   passage do not chain into one group. Joined sets are candidate groups.
 3. In a group, T-occurrence search by DivideSkip over inverted lists: the
    shortest lists are heap-merged with skips, the longest are probed by binary
    search, and candidates that reach the overlap are links. Documents already
    in one component need no further pair. Large groups are split into blocks of
    two chunks each; a block returns a spanning forest.
 
-The work that moves is one row per signature, then the texts of candidate
-documents. Signatures of a slice of documents are combined before the shuffle,
-so a group of copies that holds a third of the rows sends one row per slice.
+The work that moves is one row per signature, the sketches of sets that share
+one, then the texts of candidate documents. Equal sets of a slice of documents
+are combined before the shuffle, so a group of copies that holds a third of the
+rows sends one row per slice and signature.
 
 Defined cases: a text without words (or null) has no shingles and links with
 nothing; repeated rows are equal documents; a row with a null id has the
@@ -45,6 +49,7 @@ from ridelens.llm.components import components
 SHINGLE, PERCENT = 5, 80  # the default contract of word-shingle operators
 CHUNK_DOCS, CHUNK_SHINGLES, WORK_BYTES = 400, 1 << 18, 1 << 20
 WINDOW_RATIO = 1.6
+BINS, STRONG, SIGMAS = 256, 0.8, 6.0  # sketch: bins, estimate that makes a set its leader's follower, error allowed
 PROBE_COST = 0.01  # DivideSkip's weight of a binary search against a merge step
 
 
@@ -129,6 +134,41 @@ def signatures(values: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.
     return np.concatenate(out_s), np.concatenate(out_d)
 
 
+def sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One-permutation min-hash: per document a byte of the least hash in each of 256 bins, 0 for an empty bin."""
+    n = len(first) - 1
+    v = X.mix(values ^ X.U64(0xA0761D6478BD642F))
+    least = np.full(n * BINS, ~X.U64(0), dtype=np.uint64)
+    spot = np.repeat(np.arange(n), np.diff(first)) * BINS + (v >> X.U64(56)).astype(np.int64)
+    np.minimum.at(least, spot, v & X.U64((1 << 56) - 1))
+    return np.where(least == ~X.U64(0), 0, least % X.U64(255) + X.U64(1)).astype(np.uint8).reshape(n, BINS)
+
+
+def alike(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of a sketch with each of the others."""
+    filled = (one > 0) | (others > 0)
+    return ((one == others) & filled).sum(axis=1) / np.maximum(filled.sum(axis=1), 1)
+
+
+def least_alike(percent: int) -> float:
+    """The estimate that a set and its partner's leader have at least: the follower is alike its leader by
+    STRONG less the error, the partner by (1 - percent / 100) less than that, less the error again."""
+    spread = lambda q: SIGMAS * math.sqrt(q * (1 - q) / BINS)
+    q = percent / 100 + STRONG - spread(STRONG) - 1
+    return q - spread(q) if q > 0 else 0.0
+
+
+def chain(nodes: np.ndarray, sketch: np.ndarray, cut: float) -> list[tuple[int, int]]:
+    """Edges among the sets of one signature: from each set to every leader that is alike enough."""
+    leaders, edges = [0], []
+    for i in range(1, len(nodes)):
+        near = alike(sketch[i], sketch[leaders])
+        edges += [(int(nodes[i]), int(nodes[leaders[k]])) for k in np.flatnonzero(near >= cut)]
+        if near.max() < STRONG:
+            leaders.append(i)
+    return edges
+
+
 def _merge(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
     """(element, occurrences) of what occurs in at least ``need`` of the sorted lists: a heap of list heads;
     after a miss, as many lists as could not matter skip to the next possible element."""
@@ -221,21 +261,22 @@ def link_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def documents_sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, text_hash, n_shingles, digest, node."""
+    """One row per input row: doc_id, text_hash, n_shingles, digest, node, sketch."""
     def run(batches):
         for batch in batches:
             for a, b, t in X.slices(batch.column(2), lower=True):
                 values, first = shingle_sets(t, k)
                 found = digests(values, first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(first)), pa.array(found, pa.binary()), pa.array([node_of(d) for d in found], pa.int64())],
-                                                 names=["doc_id", "text_hash", "n_shingles", "digest", "node"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(first)), pa.array(found, pa.binary()), pa.array([node_of(d) for d in found], pa.int64()),
+                                                  pa.array([x.tobytes() for x in sketches(values, first)], pa.binary())],
+                                                 names=["doc_id", "text_hash", "n_shingles", "digest", "node", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, node long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, node long, sketch binary")
 
 
-def candidate_groups(docs: DataFrame, k: int, percent: int, text_col: str = "text") -> DataFrame:
-    """node, component: sets connected by equal signatures."""
+def candidate_groups(docs: DataFrame, sets: DataFrame, k: int, percent: int, text_col: str = "text") -> DataFrame:
+    """node, component: sets connected over signatures and sketches."""
     def run(batches):
         for batch in batches:
             for _, _, t in X.slices(batch.column(0), lower=True, limit=2 * X.SLICE_BYTES):
@@ -243,21 +284,28 @@ def candidate_groups(docs: DataFrame, k: int, percent: int, text_col: str = "tex
                 nodes = np.array([node_of(d) for d in digests(values, first)], dtype=np.int64)
                 sig, doc = signatures(values, first, percent)
                 node = nodes[doc]
-                # combine before the shuffle: one row per signature and slice, and a row for each pair so left out
                 order = np.lexsort((node, sig))
                 sig, node = sig[order], node[order]
                 new = np.ones(len(sig), dtype=bool)
-                new[1:] = sig[1:] != sig[:-1]
-                least = node[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(sig) else node
-                pairs = np.unique(np.stack([node[~new], least[~new]], axis=1), axis=0)
-                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-                key = X.mix(X.mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64))
-                sig = np.concatenate([sig[new], key, key]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.concatenate([node[new], pairs[:, 0], pairs[:, 1]]))], names=["sig", "node"])
+                new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[new].astype(np.int64)), pa.array(node[new])], names=["sig", "node"])
+
+    def make(tables: list[pa.Table]) -> pa.Table:
+        edges = []
+        for table in tables:
+            sketch = np.stack([np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in table.column("sketch")])
+            edges += chain(table.column("node").to_numpy(), sketch, cut)
+        return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
+    cut = least_alike(percent)
     postings = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "sig long, node long")
-    edges = postings.withColumn("least", F.min("node").over(Window.partitionBy("sig"))).filter("node != least").select("node", "least").distinct()
-    return components(edges, "node", "least")
+    same = Window.partitionBy("sig")
+    shared = postings.withColumns({"least": F.min("node").over(same), "most": F.max("node").over(same), "all": F.bit_xor(F.xxhash64("node")).over(same)})
+    # near copies share many signatures: those that the same sets share count once
+    shared = shared.filter("least != most").select(F.xxhash64("least", "most", "all").alias("members"), "node").distinct()
+    one = sets.groupBy(F.col("node").alias("n2")).agg(F.min("sketch").alias("sketch"))
+    rows = shared.join(one.hint("merge"), F.col("node") == F.col("n2")).select("members", "node", "sketch")
+    return components(map_blocks(rows, ["members"], make, "a long, b long", lambda t: t.num_rows * BINS, WORK_BYTES).distinct())
 
 
 def verified_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, k: int, percent: int, id_col: str, text_col: str, chunk_docs: int) -> DataFrame:
@@ -293,7 +341,7 @@ def verified_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, k: int,
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", chunk_docs: int = CHUNK_DOCS) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id for every row."""
     sets = stage(documents_sets(docs, k, id_col, text_col), "sets")
-    groups = candidate_groups(docs, k, percent, text_col)
+    groups = candidate_groups(docs, sets, k, percent, text_col)
     links = components(verified_links(docs, sets, groups, k, percent, id_col, text_col, chunk_docs))
     classes = sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")).join(links, F.col("rep") == F.col("node"), "left")
     # written, so that the join below deals both sides itself and can split a class with many copies

@@ -104,3 +104,15 @@ def test_one_document_of_each_group_stays(spark):
     assert kept.columns == docs.columns
     assert sorted([tuple(r) for r in kept.collect()], key=str) == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
     assert J.jaccard_components(docs.limit(0)).count() == 0
+
+
+def test_sketches_estimate_similarity_and_followers_keep_partners():
+    rng = np.random.default_rng(5)
+    for n in (3, 40, 400, 5000):
+        for share in (0.0, 0.3, 0.8, 0.95):
+            a = rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64)
+            b = np.concatenate([a[: int(n * share)], rng.integers(0, 2**63, n - int(n * share), dtype=np.int64).astype(np.uint64)])
+            s = J.sketches(np.concatenate([np.sort(a), np.sort(b)]), np.array([0, n, 2 * n]))
+            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            assert abs(J.alike(s[0], s[1:])[0] - true) <= 6 * max(0.01, (true * (1 - true) / 256) ** 0.5) + 0.02
+    assert 0.2 < J.least_alike(80) < J.least_alike(90) < 0.6 and J.least_alike(30) == 0
