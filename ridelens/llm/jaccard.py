@@ -158,12 +158,25 @@ def least_alike(percent: int) -> float:
     return q - spread(q) if q > 0 else 0.0
 
 
-def chain(nodes: np.ndarray, sketch: np.ndarray, cut: float) -> list[tuple[int, int]]:
-    """Edges among the sets of one signature: from each set to every leader that is alike enough."""
+def chain(nodes: np.ndarray, sketch: np.ndarray, cut: float, parent: dict[int, int] | None = None) -> list[tuple[int, int]]:
+    """Connects each set of one signature with every leader that is alike enough. ``parent`` holds what is
+    connected already (over earlier signatures of the task): only edges that connect more are returned."""
+    parent = {} if parent is None else parent
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
     leaders, edges = [0], []
     for i in range(1, len(nodes)):
         near = alike(sketch[i], sketch[leaders])
-        edges += [(int(nodes[i]), int(nodes[leaders[k]])) for k in np.flatnonzero(near >= cut)]
+        for k in np.flatnonzero(near >= cut):
+            a, b = find(int(nodes[i])), find(int(nodes[leaders[k]]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                edges.append((int(nodes[i]), int(nodes[leaders[k]])))
         if near.max() < STRONG:
             leaders.append(i)
     return edges
@@ -291,10 +304,10 @@ def candidate_groups(docs: DataFrame, sets: DataFrame, k: int, percent: int, tex
                 yield pa.RecordBatch.from_arrays([pa.array(sig[new].astype(np.int64)), pa.array(node[new])], names=["sig", "node"])
 
     def make(tables: list[pa.Table]) -> pa.Table:
-        edges = []
+        edges, parent = [], {}
         for table in tables:
             sketch = np.stack([np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in table.column("sketch")])
-            edges += chain(table.column("node").to_numpy(), sketch, cut)
+            edges += chain(table.column("node").to_numpy(), sketch, cut, parent)
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
     cut = least_alike(percent)
