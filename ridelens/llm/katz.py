@@ -2,7 +2,7 @@
 
 p(w | h) = d(r) r / c(h) for a pair seen r times, else a(h) p(w). The Good-Turing
 discounts d come from the counts of counts of all pairs (and of all words for
-p), and a(h) = (1 - seen mass) / (1 - p of the words seen after h) makes every
+p), smoothed by a log-linear fit where groups of copies distort them, and a(h) = (1 - seen mass) / (1 - p of the words seen after h) makes every
 history sum to one exactly. Unknown words share one class, which gets the mass
 that discounting the words leaves.
 
@@ -50,16 +50,30 @@ ANSWER = "batch long, shard int, kind string, payload binary, name long, classes
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def slope(n: np.ndarray) -> float | None:
+    """Slope of log n[r] over log r (Simple Good-Turing): a count is averaged over the zero counts around it, and weighs
+    as much as it is sure. None where fewer than two are not zero."""
+    r = np.flatnonzero(n[1 : CUTOFF + 2] > 0) + 1
+    if len(r) < 2:
+        return None
+    low, high = np.concatenate([[0], r[:-1]]), np.concatenate([r[1:], [2 * r[-1] - r[-2]]])
+    return float(np.polyfit(np.log(r), np.log(2 * n[r] / (high - low)), 1, w=np.sqrt(n[r]))[0])
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
-    """d[r] for r = 0 .. CUTOFF from n[r] = number of events with count r (n[CUTOFF + 1] is the last). Where the
-    counts of counts give no proper Good-Turing discount, half an occurrence is taken off each event."""
-    plain = np.array([0.0] + [(r - 0.5) / r for r in range(1, CUTOFF + 1)])
-    if (n[1 : CUTOFF + 2] <= 0).any():
-        return plain
-    tail = (CUTOFF + 1) * n[CUTOFF + 1] / n[1]
+    """d[r] for r = 0 .. CUTOFF from n[r] = number of events with count r (n[CUTOFF + 1] is the last): Good-Turing with
+    the counts of counts as they are where every d[r] is proper, else with those of a log-linear fit, which are proper
+    wherever the fit falls faster than 1 / r. Where it does not, half an occurrence is taken off at each improper r."""
     r = np.arange(1, CUTOFF + 1)
-    d = ((r + 1) * n[r + 1] / n[r] / r - tail) / (1 - tail) if tail < 1 else plain[1:]
-    return np.concatenate([[0.0], d]) if ((d > 0) & (d < 1)).all() else plain
+    proper, d = np.zeros(CUTOFF, dtype=bool), np.zeros(CUTOFF)
+    if (n[1 : CUTOFF + 2] > 0).all() and (tail := (CUTOFF + 1) * n[CUTOFF + 1] / n[1]) < 1:
+        d = ((r + 1) * n[r + 1] / n[r] / r - tail) / (1 - tail)
+        proper = (d > 0) & (d < 1)
+    if not proper.all() and (b := slope(n)) is not None and b < -1:
+        tail = (CUTOFF + 1) ** (b + 1)
+        d = ((1 + 1 / r) ** (b + 1) - tail) / (1 - tail)
+        proper = (d > 0) & (d < 1)
+    return np.concatenate([[0.0], np.where(proper, d, (r - 0.5) / r)])
 
 
 def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:

@@ -117,3 +117,25 @@ def test_written_tables_hold_the_counts(spark, tmp_path):
     by_history = {r.history: r.n for r in pairs.groupBy("history").sum("count").withColumnRenamed("sum(count)", "n").collect()}
     assert sorted(by_history.values()) == sorted(sum(c.values()) for c in m.bi.values())
     assert words.filter("(number - 1) % 4 != shard").count() == 0
+
+
+@pytest.mark.parametrize("n", [[0, 49663, 12919, 5197, 2729, 2383, 1067], [0, 193655, 25105, 6496, 2179, 2497, 618],
+                               [0, 1579638, 246704, 51653, 21705, 18939, 7580], [0, 900, 300, 0, 90, 60, 40]])
+def test_copies_do_not_switch_good_turing_off(n):
+    """Counts of counts of the given tables, where copies raise n[5], and one with a gap: fitted, not half an occurrence."""
+    d = K.discounts(np.array(n))[1:]
+    b = K.slope(np.array(n))
+    r = np.arange(1, 6)
+    smooth = r ** b  # n[r] up to a factor
+    last = 6 * 6 ** b
+    assert d == pytest.approx(((r + 1) * (r + 1) ** b / smooth / r - last) / (1 - last))
+    assert (np.diff(d) > 0).all() and 0 < d[0] < 0.5 and d[-1] < 1
+
+
+def test_slope_of_exact_power_law():
+    assert K.slope(np.array([0, *[7200 / r ** 2 for r in range(1, 7)]])) == pytest.approx(-2)
+    assert K.slope(np.array([0, 5, 0, 0, 0, 0, 0])) is None
+
+
+def test_rising_counts_of_counts_fall_back():
+    assert K.discounts(np.array([0, 5, 4, 4, 11, 10, 27]))[1:] == pytest.approx([0.5, 0.75, 5 / 6, 0.875, 0.9])
