@@ -66,16 +66,33 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
+@lru_cache
+def json_encoder(path: str):
+    """The JSON form of the same vocabulary, beside the rank file."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
+
+
+def encode(path: str, text: str) -> list[int]:
+    """The ids of a text. The rank file's encoder raises at blank runs of about a million code points (its pattern
+    backtracks over them); such a text goes through the JSON form, which gives the same ids."""
+    try:
+        return encoder(path).encode(text, allowed_special="all")
+    except ValueError:
+        return json_encoder(path).encode(text, add_special_tokens=False).ids
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32. ``tokenizer``: a rank file present on every executor."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32. ``tokenizer``: a rank file present on every executor,
+    with its JSON form beside it."""
     where = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(where)
         for batch in batches:
             made: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = np.array([*bpe.encode(text.as_py() or "", allowed_special="all"), END_ID], dtype="<u4")
+                found = np.array([*encode(where, text.as_py() or ""), END_ID], dtype="<u4")
                 made += [(key, j, s, n, zlib.crc32(found[s : s + n].tobytes())) for j, (s, n) in enumerate(cut(len(found), capacity))]
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             columns = list(zip(*made)) if made else [()] * 5

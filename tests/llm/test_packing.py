@@ -105,3 +105,14 @@ def test_rank_file_gives_the_ids_of_the_json_tokenizer():
     texts += ["<|endoftext|>", "a<|endoftext|> b", "  \n\n x", "a" * 20000]
     t, e = Tokenizer.from_file(P.tokenizer_path("byte_bpe_50k.json")), P.encoder(P.tokenizer_path())
     assert [t.encode(x, add_special_tokens=False).ids for x in texts] == [e.encode(x, allowed_special="all") for x in texts]
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", " \n"])
+def test_very_long_blank_runs_are_encoded(spark, blank):
+    text = "a " + blank * (1_200_000 // len(blank)) + "<|endoftext|> b"
+    t = Tokenizer.from_file(P.tokenizer_path("byte_bpe_50k.json"))
+    ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
+    out = P.pieces(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")).collect()
+    got = sorted((r.start, r.length, r.ids_crc32) for r in out if r.doc_id == 1)
+    assert got == [(s, n, zlib.crc32(ids[s : s + n].tobytes())) for s, n in P.cut(len(ids), P.CAPACITY)]
+    assert sum(r.doc_id == 2 for r in out) == 1
