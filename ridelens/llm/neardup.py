@@ -7,9 +7,10 @@ The estimate's error is at most EPSILON * sqrt((1 - f^2) / f^2) / sqrt(bits - 1)
 (EPSILON standard deviations). A pair whose upper bound stays below the
 threshold is dropped; every other pair is recomputed exactly in double precision.
 
-Candidates meet in cells: the label and a few bits of the code, in several
-tables, so many that a pair at the threshold is missed by all with a chance
-of ``MISS``. Cells of any size are split into blocks; a pair is counted only in
+Candidates meet in cells: the label and the signs of a few random hyperplanes,
+in several tables, so many that a pair at the threshold is missed by all with a
+chance of ``MISS``. Every table has hyperplanes of its own, drawn independently:
+tables over the bits of one code would fail together. Cells of any size are split into blocks; a pair is counted only in
 the first table where both share a cell. Blocks return link counts and a
 spanning forest, never pairs. Equal vectors are one class from the start.
 
@@ -72,11 +73,20 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def cell_keys(code: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """tables keys of ``bits`` code bits each, the bits drawn afresh per table."""
-    rng = np.random.default_rng(SEED)
+@lru_cache(maxsize=4)
+def planes(dim: int, n: int) -> np.ndarray:
+    """n independent normal hyperplanes: each separates two vectors with chance angle / pi."""
+    return np.random.default_rng([SEED, dim]).standard_normal((n, dim))
+
+
+def cell_keys(units: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """tables keys of ``bits`` signs each, from hyperplanes that no other table uses."""
+    normals = planes(units.shape[1], bits * tables)
     weights = 1 << np.arange(bits, dtype=np.int64)
-    return np.stack([code[:, rng.choice(code.shape[1], bits, replace=False)] @ weights for _ in range(tables)], axis=1)
+    keys = np.empty((len(units), tables), dtype=np.int64)
+    for t in range(tables):
+        keys[:, t] = (units @ normals[t * bits : (t + 1) * bits].T > 0) @ weights
+    return keys
 
 
 def upper_bounds(turned, code, factor, i, j) -> np.ndarray:
@@ -193,8 +203,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
             sizes = np.array([len(v) for v in table.column("vec")], dtype=np.int64)
             for d in np.unique(sizes):
                 part = table.filter(pa.array(sizes == d))
-                _, code, _ = encode(unit(_matrix(part.column("vec"))))
-                keys = cell_keys(code, bits, tables)
+                keys = cell_keys(unit(_matrix(part.column("vec"))), bits, tables)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
                 yield from part.append_column("keys", lists).to_batches()
 

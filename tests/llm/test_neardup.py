@@ -81,3 +81,22 @@ def test_components_of_chains_stars_and_rings(spark):
     for part in (ids[:121], ids[200:320], ids[360:362]):
         assert {got[x] for x in part} == {min(part)}
     assert len(got) == 121 + 120 + 2
+
+
+def missed(rows, n, seed=5, dim=64):
+    """Of n pairs at the threshold, how many share no cell in the tables planned for so many rows a label."""
+    rng = np.random.default_rng(seed)
+    bits, tables = N.plan_tables(rows, N.THRESHOLD)
+    out = 0
+    for _ in range(0, n, 20_000):
+        u = N.unit(rng.normal(0, 1, (20_000, dim)))
+        w = rng.normal(0, 1, u.shape)
+        w = N.unit(w - (w * u).sum(axis=1, keepdims=True) * u)
+        v = N.THRESHOLD * u + np.sqrt(1 - N.THRESHOLD**2) * w
+        out += int((~(N.cell_keys(u, bits, tables) == N.cell_keys(v, bits, tables)).any(axis=1)).sum())
+    return out
+
+
+@pytest.mark.parametrize("rows", [100_000, 1_000_000])
+def test_tables_do_not_fail_together(rows):
+    assert missed(rows, 100_000) <= 2  # 0.1 expected
