@@ -2,10 +2,13 @@
 
 Base kinds (``assign``, ``access``, ``hex``) are reported wherever they occur.
 Weak parts (identifiers, short secrets, endpoints) are ordinary text by
-themselves; they are reported only when complementary parts lie in one scope,
-that is at most ``scope`` code points apart. That is an interval join: each
-part is put into the bins its interval touches, an equi-join on (row, bin)
-finds the meeting intervals, and semi-joins keep it from multiplying.
+themselves; they are reported only when complementary parts lie in one scope:
+at most ``scope`` code points apart, or in one block of settings, however long.
+A block is a run of lines with one name and value each; a blank line, a section
+header or prose ends it. The first is an interval join: each part is put into
+the bins its interval touches, an equi-join on (row, bin) finds the meeting
+intervals, and semi-joins keep it from multiplying. The second is a semi-join
+on (row, block).
 
 Only rows of spans are written and joined, never texts: the texts are scanned
 once, in one projection.
@@ -30,11 +33,13 @@ HEX = r"[0-9a-f]{24,}"  # as [0-9a-f]+ of 24 or more: runs are maximal
 MIN_VALUE, MIN_ACCESS = 6, 20
 # weak parts: kind -> (role, pattern)
 WEAK = {
-    "user": ("identifier", r"""\b(?i:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}"""),
-    "pass": ("secret", r"""\b(?i:pass|pwd|pin|auth|credentials?|private_?key|access_?key)["']?\x20*[:=]\x20*["']?[^\x20\x09-\x0D"']{4,}"""),
-    "key40": ("secret", r"(?<![A-Za-z0-9/+=])(?=[A-Za-z/+]*[0-9])(?=[0-9a-z/+]*[A-Z])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"),
-    "endpoint": ("endpoint", r"""\b(?i:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh|s3)://[^\x20\x09-\x0D"'<>]+|\b(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}"""),
+    "user": ("identifier", r"""(?<![A-Za-z0-9])(?i:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}"""),
+    "pass": ("secret", r"""(?<![A-Za-z0-9])(?i:pass|pwd|pin|auth|credentials?|private_?key|access_?key)["']?\x20*[:=]\x20*["']?[^\x20\x09-\x0D"']{4,}"""),
+    "key40": ("secret", r"(?<![A-Za-z0-9/+])(?=[A-Za-z/+]*[0-9])(?=[0-9a-z/+]*[A-Z])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"),
+    "endpoint": ("endpoint", r"""(?<![A-Za-z0-9])(?i:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh|s3)://[^\x20\x09-\x0D"'<>]+|(?<![A-Za-z0-9])(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}"""),
 }
+# a line of a settings block: one name and one value (env, properties, INI, YAML, JSON), or a comment
+SETTING = r"""^[\x20\t]*(?:[#;].*|(?:export\x20+|-\x20+)?["']?[A-Za-z_][A-Za-z0-9_.-]*["']?[\x20\t]*[:=][\x20\t]*(?:"[^"]*"|'[^']*'|[^\x20\t]*)[\x20\t]*[,;]?)\r?$"""
 KINDS = ["assign", "access", "hex", *WEAK]
 ROLE = {"assign": "secret", "hex": "secret", "access": "identifier", **{k: r for k, (r, _) in WEAK.items()}}
 
@@ -62,15 +67,33 @@ def spans_of(text: Column, kind: str, pattern: str, least: Column | None = None)
     return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), all_).otherwise(none)
 
 
-def scan(docs: DataFrame, text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
-    """One written row per input row: ``rid``, the carried columns, ``base`` spans and ``weak`` spans."""
+def long_blocks(text: Column, scope: int) -> Column:
+    """(a, b) of the blocks of settings longer than the scope, in code points; shorter ones link nothing more."""
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def closed(s: Column) -> Column:
+        block = F.struct(s["first"].alias("a"), s["at"].alias("b"))
+        return F.when(s["at"] - s["first"] > scope, F.array_append(s["found"], block)).otherwise(s["found"])
+
+    def step(s: Column, line: Column) -> Column:
+        after = s["at"] + F.length(line) + 1
+        inside = line.rlike(SETTING)
+        return F.struct(after.alias("at"), F.when(inside, s["first"]).otherwise(after).alias("first"),
+                        F.when(inside, s["found"]).otherwise(closed(s)).alias("found"))
+
+    return F.aggregate(F.split(text, "\n", -1), F.struct(F.lit(0).alias("at"), F.lit(0).alias("first"), none.alias("found")), step, closed)
+
+
+def scan(docs: DataFrame, text_col: str = "text", carry: dict[str, Column] | None = None, scope: int = SCOPE) -> DataFrame:
+    """One written row per input row: ``rid``, the carried columns, ``base`` spans, ``weak`` spans and long ``blocks``."""
     text = F.col(text_col)
     long_value = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), 2), lambda v: F.length(v) >= MIN_VALUE)
     long_access = F.transform(F.regexp_extract_all(text, F.lit(ACCESS), 0), lambda v: F.length(v) >= MIN_ACCESS)
     base = F.concat(spans_of(text, "assign", ASSIGN, long_value), spans_of(text, "access", ACCESS, long_access), spans_of(text, "hex", HEX))
     weak = F.concat(*[spans_of(text, k, p) for k, (_, p) in WEAK.items()])
     carry = carry or {"doc_id": F.col("doc_id")}
-    found = docs.select(*[c.alias(k) for k, c in carry.items()], F.array_sort(base).alias("base"), weak.alias("weak"))
+    found = docs.select(*[c.alias(k) for k, c in carry.items()], F.array_sort(base).alias("base"), weak.alias("weak"), text.alias("_text"))
+    found = found.withColumn("blocks", F.when(F.size("weak") > 0, long_blocks(F.col("_text"), scope))).drop("_text")
     return stage(found.withColumn("rid", F.monotonically_increasing_id()), "spans")
 
 
@@ -81,28 +104,33 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     parts = found.filter(F.size("weak") > 0).select("rid", F.explode(F.concat("base", "weak")).alias("p")).select("rid", "p.*")
     parts = parts.withColumn("role", role[F.col("kind")])
     bins = lambda first, last: F.explode(F.sequence(F.floor(first / BIN), F.floor(last / BIN)))
+    blocks = found.filter(F.size("blocks") > 0).select(F.col("rid").alias("r3"), F.explode("blocks").alias("k")).select("r3", "k.*")
+    blocks = blocks.withColumn("b3", bins(F.col("a"), F.col("b") - 1))
+    inside = (F.col("rid") == F.col("r3")) & (F.floor(F.col("start") / BIN) == F.col("b3")) & (F.col("start") >= F.col("a")) & (F.col("start") < F.col("b"))
+    parts = stage(parts.join(blocks, inside, "left").withColumnRenamed("a", "block").drop("r3", "b", "b3"), "parts")
     asked = parts.filter(F.col("kind").isin(*WEAK))
 
     def near(rows: DataFrame, wanted: str) -> DataFrame:
-        """The rows with a part of the wanted role at most ``scope`` code points away."""
+        """The rows with a part of the wanted role at most ``scope`` code points away or in their block."""
         left = rows.withColumn("bin", bins(F.col("start") - scope, F.col("end") + scope))
         right = parts.filter(F.col("role") == wanted).select(F.col("rid").alias("r2"), F.col("start").alias("s2"), F.col("end").alias("e2"))
         right = right.withColumn("b2", bins(F.col("s2"), F.col("e2")))
         meet = (F.col("rid") == F.col("r2")) & (F.col("bin") == F.col("b2")) & (F.col("start") <= F.col("e2") + scope) & (F.col("s2") <= F.col("end") + scope)
-        return left.join(right, meet, "left_semi").drop("bin").distinct()
+        blocked = parts.filter((F.col("role") == wanted) & F.col("block").isNotNull()).select("rid", "block")
+        return left.join(right, meet, "left_semi").drop("bin").unionByName(rows.join(blocked, ["rid", "block"], "left_semi")).distinct()
 
     by_role = lambda r: asked.filter(F.col("role") == r)
     both = near(near(by_role("endpoint"), "identifier"), "secret")
-    return near(by_role("secret"), "identifier").unionByName(near(by_role("identifier"), "secret")).unionByName(both).drop("role")
+    return near(by_role("secret"), "identifier").unionByName(near(by_role("identifier"), "secret")).unionByName(both).drop("role", "block")
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", carry: dict[str, Column] | None = None, scope: int = SCOPE) -> DataFrame:
     """The carried columns, ``base`` and ``spans`` (base and linked parts), arrays in order of start, then kind."""
-    found = scan(docs, text_col, carry)
+    found = scan(docs, text_col, carry, scope)
     more = linked(found, scope).groupBy("rid").agg(F.collect_list(F.struct("start", "rank", "end", "kind")).alias("more"))
     out = found.join(more, "rid", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>"))))
-    return out.withColumn("spans", spans).drop("rid", "weak", "more")
+    return out.withColumn("spans", spans).drop("rid", "weak", "blocks", "more")
 
 
 def listed(spans: str) -> Column:
