@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridelens.llm import hilbert, jaccard, katz, mixing, neardup, packing, repetition, secrets, urls, warc
+from ridelens.llm import hilbert, jaccard, katz, mixing, neardup, packing, repetition, secrets, sentence_pieces, urls, warc
 from ridelens.llm.common import documents, stage, table
 from ridelens.llm.oracle import ORACLE
 
@@ -57,7 +57,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding and decoding with the public 32k model."""
+    return sentence_pieces.encoding_digests(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_rotation_codes, op2_hilbert_shards, op3_warc_bundles, op4_jaccard_join, op5_repetition_coverage,
-    op6_secret_scan, op7_url_filter, op8_katz_scores, op9_best_fit_packing, op10_source_mixing)}
+    op6_secret_scan, op7_url_filter, op8_katz_scores, op9_best_fit_packing, op10_source_mixing, op11_sentence_pieces)}
 __all__ = ["QUERIES", "ORACLE"]
