@@ -75,4 +75,42 @@ def _mixing() -> str:
 SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(unnest(range(CAST(whole AS BIGINT) + CAST(is_in AS BIGINT))) AS INTEGER) AS epoch FROM r"""
 
 
-ORACLE = {"op1_rotation_codes": ROTATION, "op3_warc_bundles": WARC, "op4_jaccard_join": JACCARD, "op10_source_mixing": _mixing()}
+RANKED = rf"""WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all({LOWER.format(t="text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER.format(t="text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), size AS (SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS all_terms FROM d),
+len AS (SELECT doc_id, 50 + (50 * count(*) * any_value(n_docs)) // any_value(all_terms) AS m FROM d, size GROUP BY doc_id),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, size GROUP BY term),
+hits AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN len USING (doc_id) GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM hits WHERE score > 0 QUALIFY rank <= 50"""
+
+COLLOCATIONS = rf"""WITH p AS (
+  SELECT lang, unnest(range(len(ps))) AS pno, doc_id, unnest(ps) AS piece
+  FROM (SELECT doc_id, coalesce(lang, 'und') AS lang, regexp_split_to_array({LOWER.format(t="coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]') AS ps FROM documents)
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i : i + k - 1])) AS g
+  FROM w, (SELECT unnest(range(1, 6)) AS k)
+), f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+sub AS (
+  SELECT lang, unnest([g[1 : k - 1], g[2 : k]]) AS g, f FROM f WHERE k > 2
+), most AS (SELECT lang, g, max(f) AS most FROM sub GROUP BY ALL),
+c AS (SELECT f.* FROM f LEFT JOIN most USING (lang, g) WHERE k > 1 AND (most IS NULL OR 100 * most < 100 * f)),
+cut AS (SELECT lang, g, k, f AS a, unnest(range(1, k)) AS pos FROM c),
+s AS (
+  SELECT cut.lang, cut.g, a, pos, x.f AS l, y.f AS r, n, (1000 * a::HUGEINT * n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+  FROM cut JOIN n USING (lang) JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1 : pos] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[pos + 1 : cut.k]
+), best AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, pos) AS first FROM s)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
+       array_to_string(g, ' ') AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best WHERE first = 1 QUALIFY rank <= 2000"""
+
+ORACLE = {"op1_rotation_codes": ROTATION, "op3_warc_bundles": WARC, "op4_jaccard_join": JACCARD, "op10_source_mixing": _mixing(),
+          "op12_ranked_search": RANKED, "op13_collocations": COLLOCATIONS}

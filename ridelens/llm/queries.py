@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridelens.llm import hilbert, jaccard, katz, mixing, neardup, packing, repetition, secrets, sentence_pieces, urls, warc
+from ridelens.llm import collocations, hilbert, jaccard, katz, mixing, neardup, packing, ranked_search, repetition, secrets, sentence_pieces, urls, warc
 from ridelens.llm.common import documents, stage, table
 from ridelens.llm.oracle import ORACLE
 
@@ -62,7 +62,18 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encoding_digests(documents(spark, sf_dir))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents ranked for every benchmark item, 50 places."""
+    return ranked_search.ranked_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of 2 to 5 words that occur 100 times or more, 2,000 a language."""
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_rotation_codes, op2_hilbert_shards, op3_warc_bundles, op4_jaccard_join, op5_repetition_coverage,
-    op6_secret_scan, op7_url_filter, op8_katz_scores, op9_best_fit_packing, op10_source_mixing, op11_sentence_pieces)}
+    op6_secret_scan, op7_url_filter, op8_katz_scores, op9_best_fit_packing, op10_source_mixing, op11_sentence_pieces,
+    op12_ranked_search, op13_collocations)}
 __all__ = ["QUERIES", "ORACLE"]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridelens.llm.textnum import BASE, BYTE_CODE, prefix, release, span_hash
+from ridelens.llm.textnum import BASE, BYTE_CODE, prefix, ragged, release, span_hash
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -108,10 +108,6 @@ class CharMap:
         return found
 
 
-def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... (counts[0] of them), starts[1], ..."""
-    before = prefix(counts)
-    return np.arange(before[-1]) + np.repeat(starts - before[:-1], counts)
 
 
 class Model:

@@ -56,6 +56,12 @@ def prefix(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (counts[0] of them), starts[1], ..."""
+    before = prefix(counts)
+    return np.arange(before[-1]) + np.repeat(starts - before[:-1], counts)
+
+
 def span_hash(codes: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of codes[start:end] for each span, independent of where it lies."""
     sums = prefix(codes * powers(base, len(codes)))
@@ -67,9 +73,9 @@ class Texts:
     """Words of a run of documents: ``start`` and ``end`` bytes, ``doc`` and ``hash`` of each word;
     ``first`` has the index of every document's first word (one more entry than documents)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, gaps: np.ndarray = SPACE):
         self.data, self.offsets, self.n = (LOWER[data] if lower else data), offsets, len(offsets) - 1
-        filled = ~SPACE[self.data]
+        filled = ~gaps[self.data]
         begins, stops = filled.copy(), filled.copy()
         if len(data):
             begins[1:] &= ~filled[:-1]
@@ -95,8 +101,8 @@ class Texts:
         return at, span_hash(self.hash, GRAM_BASE, at, at + n)
 
 
-def slices(column: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Texts]]:
-    """(first row, row after the last, their Texts); null is an empty text."""
+def slices(column: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int = SLICE_BYTES, gaps: np.ndarray = SPACE) -> Iterator[tuple[int, int, Texts]]:
+    """(first row, row after the last, their Texts); null is an empty text; ``gaps``: the bytes between words."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -111,7 +117,7 @@ def slices(column: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int =
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        yield at, to, Texts(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower)
+        yield at, to, Texts(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower, gaps)
         at = to
     release()
 
