@@ -141,8 +141,9 @@ def cyclic_cos(c: Column | str, period: int) -> Column:
 
 
 def whole_number(c: Column | str) -> Column:
-    """A count written as ``123``, ``123.0`` or ``1,234`` as BIGINT; null if it is no number."""
-    return F.regexp_replace(col_(c).cast("string"), ",", "").try_cast("double").try_cast("bigint")
+    """A count written as ``123``, ``123.0`` or ``1,234`` as BIGINT, exact at any size; null if it is no whole number."""
+    number = F.regexp_replace(col_(c).cast("string"), ",", "").try_cast("decimal(38,18)")
+    return F.when(number == F.floor(number), number.try_cast("bigint"))
 
 
 # --- text ---------------------------------------------------------------------

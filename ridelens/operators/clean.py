@@ -1,8 +1,8 @@
 """Cleaning: null fill, IQR capping, infinity replacement.
 
-``cap_outliers`` takes the exact quartiles of all columns from one pass of
-value counts (``quantiles``) and feeds them to the row expressions as a scalar
-subquery: no cross join, no driver round trip, no task with all values.
+``cap_outliers`` takes the exact quartiles of all columns by radix selection
+(``quantiles``) and puts them into the row expressions as constants: capping
+itself is a projection.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.operators.quantiles import quantile_table
+from ridelens.operators.quantiles import quantiles
 
 COUNT_COLUMNS = ("boardings", "alightings", "total")
 
@@ -33,15 +33,10 @@ def replace_inf(df: DataFrame, columns) -> DataFrame:
     })
 
 
-def _bounds(df: DataFrame, columns) -> Column:
-    """One scalar subquery: struct of per-column quartiles."""
-    return quantile_table(df, columns, [0.25, 0.75]).agg(F.struct(*[F.first(c).alias(c) for c in columns]).alias("q")).scalar()
-
-
-def _upper(qs: Column, c: str, k: float) -> Column:
-    q1 = qs.getField(c)[0]
-    q3 = qs.getField(c)[1]
-    return q3 + F.lit(k) * (q3 - q1)
+def _upper_bounds(df: DataFrame, columns, k: float) -> dict[str, Column]:
+    """Per column Q3 + k * (Q3 - Q1) as a constant (null without values)."""
+    found = quantiles(df, columns, [0.25, 0.75])
+    return {c: F.lit(None if q3 is None else q3 + k * (q3 - q1)).cast("double") for c, (q1, q3) in found.items()}
 
 
 def cap_outliers(df: DataFrame, columns=COUNT_COLUMNS, k: float = 1.5, mult: float = 2.0) -> DataFrame:
@@ -49,29 +44,22 @@ def cap_outliers(df: DataFrame, columns=COUNT_COLUMNS, k: float = 1.5, mult: flo
     0; values above ``mult`` x (Q3 + k*IQR) become Q3 + k*IQR. Columns are
     capped independently (a capped total no longer equals the sum of its
     parts). Output columns are DOUBLE."""
-    qs = _bounds(df, columns)
-    out = df.withColumn("_q", qs)
     cols = {}
-    for c in columns:
-        ub = _upper(F.col("_q"), c, k)
+    for c, ub in _upper_bounds(df, columns, k).items():
         clipped = F.when(F.col(c) < 0, F.lit(0.0)).otherwise(F.col(c).cast("double"))
         cols[c] = F.when(clipped > F.lit(mult) * ub, ub).otherwise(clipped)
-    return out.withColumns(cols).drop("_q")
+    return df.withColumns(cols)
 
 
 def outlier_counts(df: DataFrame, columns=COUNT_COLUMNS, k: float = 1.5, mult: float = 2.0) -> DataFrame:
     """(column, upper_bound, outlier_count): how many values ``cap_outliers`` replaces."""
-    qs = _bounds(df, columns)
-    base = df.withColumn("_q", qs)
-    aggs = []
-    for c in columns:
-        ub = _upper(F.col("_q"), c, k)
+    aggs, upper = [], _upper_bounds(df, columns, k)
+    for c, ub in upper.items():
         clipped = F.when(F.col(c) < 0, F.lit(0.0)).otherwise(F.col(c).cast("double"))
         aggs.append(F.count_if(clipped > F.lit(mult) * ub).alias(f"n_{c}"))
-        aggs.append(F.max(ub).alias(f"ub_{c}"))
-    wide = base.agg(*aggs)
+    wide = df.agg(*aggs)
     rows = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"ub_{c}").alias("upper_bound"),
+        F.struct(F.lit(c).alias("column_name"), upper[c].alias("upper_bound"),
                  F.col(f"n_{c}").alias("outlier_count"))
         for c in columns
     ])

@@ -5,7 +5,10 @@
   reproducible, and no class is ever gathered into one task.
 * The model is a Spark ML pipeline (VectorAssembler + RandomForest), so
   training is distributed; scoring is ``transform`` plus
-  ``vector_to_array``.
+  ``vector_to_array``. The source's smallest split is applied to the fitted
+  trees (``forest.collapse``).
+* Saved models are versions of a folder: a load during a save gets the whole
+  old or the whole new one.
 * Metrics are aggregates over (label, prediction) pairs: one small
   confusion table, from which accuracy, precision, recall and F1 follow.
 """
@@ -17,19 +20,24 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ridelens.operators.forest import write_collapsed
 from ridelens.operators.ranking import hash_order, rank_within, select_first
-from ridelens.session import checkpoint_stage
+from ridelens.session import checkpoint_stage, scratch_path
+from ridelens.sources import versions
 
 N_CLASSES = 4
 
 # --- FIXED VALUES: the source's forest and overfit bands --------------------------
 DEFAULT_FOREST = {"numTrees": 100, "maxDepth": 20, "minInstancesPerNode": 20, "featureSubsetStrategy": "sqrt"}
+MIN_SPLIT = 50
+# each row's place in every tree is kept between levels instead of walking all trees anew: the same forest, sooner
+TRAINING = {"cacheNodeIds": True}
 OVERFIT_BANDS = ((0.05, "none"), (0.10, "slight"))
 OVERFIT_OVER = "severe"
 
@@ -72,20 +80,29 @@ def sample_rows(df: DataFrame, n: int, key_cols, seed: int = 42) -> DataFrame:
 
 # --- training and scoring ---------------------------------------------------------------
 def forest(label_col: str = "level", seed: int = 42, **params) -> RandomForestClassifier:
-    p = dict(DEFAULT_FOREST)
-    p.update(params)
+    p = DEFAULT_FOREST | TRAINING | params
     return RandomForestClassifier(labelCol=label_col, featuresCol="features", seed=seed, **p)
 
 
 def train(df: DataFrame, features, label_col: str = "level", seed: int = 42, **params) -> PipelineModel:
-    """VectorAssembler + RandomForestClassifier. The source's
-    min_samples_split has no Spark ML counterpart; min_samples_leaf maps to
-    minInstancesPerNode."""
+    """VectorAssembler + RandomForestClassifier; min_samples_leaf maps to
+    minInstancesPerNode. ``fit_forest`` also applies the smallest split."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     pipe = Pipeline(stages=[assembler, forest(label_col, seed, **params)])
     return pipe.fit(df.withColumn(label_col, F.col(label_col).cast("double")))
 
 
+def fit_forest(df: DataFrame, features, label_col: str = "level", seed: int = 42, min_split: int = MIN_SPLIT,
+               path: str | None = None, **params) -> PipelineModel:
+    """The source's forest with its smallest split: no inner node has fewer than ``min_split`` rows. The forest as
+    fitted is under ``path``/fitted, the one returned under ``path``/collapsed (default: a scratch folder)."""
+    path = path or scratch_path(df.sparkSession, "forest-fit")
+    fitted = train(df, features, label_col, seed, **params)
+    fitted.write().save(f"{path}/fitted")
+    write_collapsed(fitted, f"{path}/fitted", f"{path}/collapsed", min_split)
+    return PipelineModel.load(f"{path}/collapsed")
+
+
 def predict(model: PipelineModel, df: DataFrame, label_col: str = "level") -> DataFrame:
     """prediction (int) and the class probabilities as an array."""
     out = model.transform(df.withColumn(label_col, F.col(label_col).cast("double")))
@@ -185,42 +202,79 @@ def overfit_report(scores: DataFrame, train_col: str = "train_accuracy", test_co
 
 
 # --- learning curve ----------------------------------------------------------------------------
+def bin_edges(df: DataFrame, columns, bins: int = 32) -> dict[str, list[float]]:
+    """Per column the rising edges of at most ``bins`` bins: each value its own bin where there are so few, quantiles
+    otherwise. One aggregate; for bounded samples, as it holds a column's distinct values."""
+    probs = [i / bins for i in range(1, bins)]
+    value = lambda c: F.col(f"`{c}`").cast("double")
+
+    def edges(c):
+        values = F.sort_array(F.collect_set(value(c)))
+        return F.when(F.size(values) <= bins, values).otherwise(F.array_distinct(F.percentile(value(c), F.array(*[F.lit(p) for p in probs]))))
+
+    row = df.agg(*[edges(c).alias(f"e{i}") for i, c in enumerate(columns)]).first()
+    return {c: [float(x) for x in row[f"e{i}"] or []] for i, c in enumerate(columns)}
+
+
+def with_bins(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """Every column of ``edges`` replaced by its bin's number (a value on an edge is in the bin above)."""
+    names = list(edges)
+    inf = float("inf")
+    cut = Bucketizer(inputCols=[f"_v{i}" for i in range(len(names))], outputCols=[f"_b{i}" for i in range(len(names))], handleInvalid="keep",
+                     splitsArray=[[-inf, *[e for e in edges[c] if -inf < e < inf], inf] if edges[c] else [-inf, 0.0, inf] for c in names])
+    raw = df.withColumns({f"_v{i}": F.col(f"`{c}`").cast("double") for i, c in enumerate(names)})
+    made = cut.transform(raw)
+    # a plain number: with the bucket's own attributes the forest would take it for a category
+    return made.withColumns({c: F.col(f"_b{i}") + F.lit(0.0) for i, c in enumerate(names)}).drop(*cut.getInputCols(), *cut.getOutputCols())
+
+
 def learning_curve(df: DataFrame, features, label_col: str, key_cols, seed: int = 42, folds: int = 3,
-                   steps: int = 10, max_rows: int = 100_000, parallelism: int = 8, **forest_params) -> DataFrame:
+                   steps: int = 10, max_rows: int = 100_000, parallelism: int = 8, min_split: int = MIN_SPLIT, bins: int = 32, **forest_params) -> DataFrame:
     """Accuracy on the used training rows and on the held-out fold (``df`` is the training part: test rows stay
     out) for training sizes 10 %..100 % of the training folds (stratified folds by
     rank modulo ``folds`` inside each class), averaged over folds with the
-    population standard deviation. Fits run concurrently on the cluster."""
+    population standard deviation. Fits run concurrently on the cluster.
+
+    The sample is written once, with every feature as one of ``bins`` bins whose edges are found once, one vector a
+    row, its fold, and its place in the training rows of each fold: a fit's rows are a filter of that table (nested:
+    smaller sizes are part of larger ones), and no fit assembles vectors or looks for splits among raw values."""
     spark = df.sparkSession
-    sample = sample_rows(df, max_rows, key_cols, seed)
+    sample = checkpoint_stage(sample_rows(df, max_rows, key_cols, seed).select(*dict.fromkeys([*features, label_col, *key_cols])), "cv-sample")
     order = hash_order(key_cols, seed)
     ranked = rank_within(sample, label_col, order, rank_col="_r", size_col="_n")
     ranked = ranked.withColumn("_fold", ((F.col("_r") - 1) % folds).cast("int")).drop("_r", "_n")
-    # the sample (at most max_rows rows) is written once; every fit reads it
-    keep = list(dict.fromkeys([*features, label_col, *key_cols, "_fold"]))
-    ranked = checkpoint_stage(ranked.select(*keep), "cv")
-    pools = []
-    for f in range(folds):
-        pool = rank_within(ranked.filter(F.col("_fold") != f), None, order, rank_col="_pos", size_col="_pool")
-        pool = checkpoint_stage(pool, f"cv-pool{f}")
-        pools.append((f, pool, ranked.filter(F.col("_fold") == f)))
+    # the place of a row among the training rows of every fold but its own: one running count a fold, over one order
+    placed = rank_within(ranked, None, order, rank_col="_pos", size_col="_all").withColumn("_order", F.col("_pos"))
+    binned = with_bins(placed, bin_edges(sample, features, bins))
+    vectors = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(binned)
+    table = checkpoint_stage(vectors.select("features", F.col(label_col).cast("double").alias(label_col), "_fold", "_order"), "cv")
+    counts = {r["_fold"]: r["n"] for r in table.groupBy("_fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(counts.values())
     # one set of absolute sizes for every fold, from the smallest training pool
-    n_max = min(p.agg(F.max("_pool")).first()[0] or 0 for _, p, _ in pools)
+    n_max = min((total - counts.get(f, 0) for f in range(folds)), default=0)
     sizes = sorted({max(1, int(n_max * (i + 1) / steps)) for i in range(steps)})
-    jobs = [(f, s, pool.filter(F.col("_pos") <= s).drop("_pos", "_pool"), held)
-            for f, pool, held in pools for s in sizes]
+    # the order number that ends the first s training rows of a fold: rows beyond it are left out
+    ends = _cut_points(table, folds, sizes)
 
     def run(job):
-        f, s, tr, te = job
-        m = train(tr, features, label_col, seed, **forest_params)
+        f, s = job
+        part = table.filter((F.col("_fold") != f) & (F.col("_order") <= ends[f, s]))
+        folder = scratch_path(spark, "curve")
+        pipe = Pipeline(stages=[VectorAssembler(inputCols=["features"], outputCol="x", handleInvalid="keep"),
+                                forest(label_col, seed, **forest_params).setFeaturesCol("x")])
+        fitted = pipe.fit(part)
+        fitted.write().save(f"{folder}/fitted")
+        write_collapsed(fitted, f"{folder}/fitted", f"{folder}/collapsed", min_split)
+        m = PipelineModel.load(f"{folder}/collapsed")
         # training rows and the held-out fold scored in one pass
-        both = tr.withColumn("_val", F.lit(False)).unionByName(te.withColumn("_val", F.lit(True)))
+        held = F.col("_fold") == f
+        both = m.transform(table.filter(held | (F.col("_order") <= ends[f, s])))
         hit = (F.col(label_col) == F.col("prediction")).cast("double")
-        acc = {r["_val"]: r["a"] for r in predict(m, both, label_col).groupBy("_val").agg(F.avg(hit).alias("a")).collect()}
-        return (f, s, float(acc.get(False) or 0.0), float(acc.get(True) or 0.0))
+        row = both.agg(F.avg(F.when(~held, hit)).alias("train"), F.avg(F.when(held, hit)).alias("val")).first()
+        return (f, s, float(row["train"] or 0.0), float(row["val"] or 0.0))
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        results = list(ex.map(run, jobs))
+        results = list(ex.map(run, [(f, s) for f in range(folds) for s in sizes] if total else []))
     schema = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField("train_size", T.LongType()),
                            T.StructField("train_score", T.DoubleType()), T.StructField("val_score", T.DoubleType())])
     from ridelens.sources.dims import literal_table
@@ -232,12 +286,39 @@ def learning_curve(df: DataFrame, features, label_col: str, key_cols, seed: int
     ).orderBy("train_size")
 
 
+def _cut_points(table: DataFrame, folds: int, sizes) -> dict[tuple[int, int], int]:
+    """(fold, size) -> the ``_order`` of the size-th row outside the fold, from row counts per fold and 1,024th of the
+    order, then inside the 1,024ths that hold a cut."""
+    span = F.floor(F.col("_order") / 1024).alias("span")
+    per = table.groupBy(span, "_fold").agg(F.count(F.lit(1)).alias("n")).collect()  # at most max_rows / 1,024 spans
+    ends: dict[tuple[int, int], int] = {}
+    wanted: list[tuple[int, int, int, int]] = []
+    for f in range(folds):
+        others: dict[int, int] = {}
+        for r in per:
+            if r["_fold"] != f:
+                others[r["span"]] = others.get(r["span"], 0) + r["n"]
+        seen, todo = 0, list(sizes)
+        for k in sorted(others):
+            while todo and seen + others[k] >= todo[0]:
+                wanted.append((f, todo[0], k, todo.pop(0) - seen))
+            seen += others[k]
+    hit = [(F.col("_fold") != f) & (F.floor(F.col("_order") / 1024) == k) for f, _, k, _ in wanted]
+    if hit:
+        lists = table.agg(*[F.sort_array(F.collect_list(F.when(h, F.col("_order")))).alias(f"w{i}") for i, h in enumerate(hit)]).first()
+        for i, (f, s, _, nth) in enumerate(wanted):
+            ends[f, s] = lists[f"w{i}"][nth - 1]
+    return ends
+
+
 # --- persistence ---------------------------------------------------------------------------------
 def save_model(model: PipelineModel, path: str, features, metrics: dict, note: str = "",
-               trained_at: datetime.datetime | None = None) -> None:
-    """The pipeline through Spark ML persistence plus a one-row metadata table."""
+               trained_at: datetime.datetime | None = None) -> str:
+    """The pipeline through Spark ML persistence plus a one-row metadata table, as a new version of the folder
+    ``path``; returns the version's folder name. Published when both are written, so a load gets a whole version."""
     spark = SparkSession.getActiveSession()
-    model.write().overwrite().save(f"{path}/model")
+    version = versions.new_version()
+    model.write().save(f"{path}/{version}/model")
     ts = (trained_at or datetime.datetime.now()).strftime("%Y-%m-%d %H:%M:%S")
     meta = spark.range(1).select(
         F.lit("RandomForestClassifier").alias("model_type"), F.lit(ts).alias("train_date"),
@@ -245,12 +326,17 @@ def save_model(model: PipelineModel, path: str, features, metrics: dict, note: s
         *[F.lit(float(v)).alias(k) for k, v in metrics.items()],
         F.lit(note).alias("note"),
     )
-    meta.write.mode("overwrite").parquet(f"{path}/meta")
+    meta.write.parquet(f"{path}/{version}/meta")
+    versions.publish(spark, path, version)
+    return version
 
 
-def load_model(spark: SparkSession, path: str):
-    """(model, metadata DataFrame)."""
-    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/meta")
+def load_model(spark: SparkSession, path: str, version: str | None = None):
+    """(model, metadata DataFrame) of the last published version, or of ``version``."""
+    version = version or versions.latest(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no model is published in {path}")
+    return PipelineModel.load(f"{path}/{version}/model"), spark.read.parquet(f"{path}/{version}/meta")
 
 
 def fit_metrics(pred: DataFrame, label_col: str = "level", test_col: str = "is_test") -> dict:

@@ -661,27 +661,29 @@ SPLIT = ENHANCED + f""", sp AS (
   SELECT *, row_number() OVER (PARTITION BY level ORDER BY {_hash(KEYS)}, {KEYS}) <= round(0.2 * count(*) OVER (PARTITION BY level)) AS is_test
   FROM enh
 )"""
-q("rf_predict", SPLIT + f"\nSELECT {KEYS}, level, 1.0::DOUBLE AS prob_sum, true AS is_argmax FROM sp WHERE is_test")
+q("rf_predict_checks", SPLIT + f"\nSELECT {KEYS}, level, 1.0::DOUBLE AS prob_sum, true AS is_argmax, true AS nodes_agree FROM sp WHERE is_test")
 _FAMILY = [(c, schemas.source_name(c)) for c in FEATURE_ONLY]
-q("rf_importance", "\n" + "\nUNION ALL\n".join(
+q("rf_importance_checks", "\n" + "\nUNION ALL\n".join(
     f"SELECT {_q(c)} AS feature, {_q(n)} AS source_name, "
-    f"{_q('category' if '역_' in n else 'interaction' if 'interaction' in n else 'basic')} AS family, true AS in_range, 1.0::DOUBLE AS total"
+    f"{_q('category' if '역_' in n else 'interaction' if 'interaction' in n else 'basic')} AS family, true AS in_range, 1.0::DOUBLE AS total, true AS nodes_agree"
     for c, n in _FAMILY))
-q("rf_time_importance", "\n" + "\nUNION ALL\n".join(
-    f"SELECT {_q(c)} AS feature, true AS in_range" for c in FEATURE_ONLY if c in ("hour", "hour_sin", "hour_cos", "dow", "is_weekend")))
-q("rf_overfit", SPLIT + """
+q("rf_time_importance_checks", "\n" + "\nUNION ALL\n".join(
+    f"SELECT {_q(c)} AS feature, true AS in_range, true AS nodes_agree" for c in FEATURE_ONLY if c in ("hour", "hour_sin", "hour_cos", "dow", "is_weekend")))
+q("rf_overfit_checks", SPLIT + """
 SELECT count(*) FILTER (WHERE NOT is_test) AS train_rows, count(*) FILTER (WHERE is_test) AS test_rows, true AS gap_fits,
        true AS verdict_fits, true AS beats_majority FROM sp""")
-q("learning_curve", SPLIT + f"""
+q("rf_min_split_checks", '''
+SELECT CAST(100 AS BIGINT) AS trees, true AS splits_fit, true AS leaves_fit, CAST(100 AS BIGINT) AS roots, true AS "binary"''')
+q("learning_curve_checks", SPLIT + f"""
 , tr AS (SELECT * FROM sp WHERE NOT is_test ORDER BY {_hash(KEYS)}, {KEYS} LIMIT 100000),
 fo AS (SELECT (row_number() OVER (PARTITION BY level ORDER BY {_hash(KEYS)}, {KEYS}) - 1) % 3 AS f FROM tr),
 pools AS (SELECT min((SELECT count(*) FROM fo) - n) AS n_max FROM (SELECT f, count(*) AS n FROM fo GROUP BY f))
 SELECT DISTINCT CAST(greatest(1, n_max * i // 10) AS BIGINT) AS train_size, true AS scores_fit FROM pools, range(1, 11) r(i)""")
-q("model_info", f"""
+q("model_info_checks", f"""
 SELECT 'RandomForestClassifier' AS model_type, '2024-01-01 00:00:00' AS train_date, {len(FEATURE_ONLY)} AS feature_count,
        {_q(",".join(FEATURE_ONLY[:10]))} AS features, 'station categories and interaction features' AS note,
        true AS metrics_fit, true AS trained""")
-q("rf_hourly_profile", FEATURES + """
+q("rf_hourly_profile_checks", FEATURES + """
 , k AS (SELECT DISTINCT station, line, station_idx, line_idx, is_transfer FROM f2)
 SELECT station, line, CAST(d.range AS INTEGER) AS dow, CAST(h.range AS INTEGER) AS hour, station_idx, line_idx, is_transfer,
        1.0::DOUBLE AS prob_sum, true AS is_argmax, true AS level_fits
@@ -697,3 +699,36 @@ q("request_features_serving", SCORE + f"""
 SELECT {REQ}, sp AS period_idx, sp * 10 + dow AS time_dow, station_idx * 10 + sp AS station_time,
        cat_group * 100 + sp * 10 + dow AS group_time_dow FROM sv""")
 ORACLE["payload_peak_stream"] = ORACLE["payload_peak"]
+
+# --- strict mode and month by month ---------------------------------------------------
+q("drop_target_leaks_strict", ENHANCED + "\n" + "\nUNION ALL\n".join(
+    f"SELECT {i} AS col_pos, {_q(c)} AS column_name, count({c}) AS non_null FROM enh"
+    for i, c in enumerate(c for c in ENH_COLS if c not in K.TARGET_RELATED_STRICT_EXTRA)))
+q("monthly_history", MDATED + f"""
+SELECT {MKEYS}, total,
+  CAST(coalesce(lag(total, 1) OVER {W}), 0) AS DOUBLE) AS lag_1,
+  CAST(coalesce(lag(total, 7) OVER {W}), 0) AS DOUBLE) AS lag_7,
+  round(coalesce(avg(total) OVER {W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 0), 6) AS ma_3,
+  round(coalesce(avg(total) OVER {W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 0), 6) AS ma_7,
+  round(coalesce(stddev_samp(total) OVER {W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 0), 6) AS std_7
+FROM md""")
+q("monthly_stats", "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{k}' AS key_name, CAST({k} AS VARCHAR) AS key_value, round(avg(total), 6) AS mean_total, max(total) AS max_total, "
+    f"min(total) AS min_total, count(*) AS n_rows FROM v_monthly GROUP BY {k}" for k in ("station", "hour", "line")))
+q("monthly_means", f"""
+SELECT {MKEYS}, round(avg(total) OVER (PARTITION BY station), 6) AS station_avg, round(avg(total) OVER (PARTITION BY hour), 6) AS hour_avg,
+       round(avg(total) OVER (PARTITION BY line), 6) AS line_avg, max(total) OVER (PARTITION BY station) AS station_max,
+       min(total) OVER (PARTITION BY station) AS station_min FROM v_monthly""")
+q("monthly_codes", """
+, mm AS (SELECT use_month, greatest(0, row_number() OVER (ORDER BY use_month) - (count(*) OVER () - 3)) AS batch FROM (SELECT DISTINCT use_month FROM v_monthly)),
+vals AS (
+  SELECT 'line' AS column_name, line AS value, min(batch) AS batch FROM v_monthly JOIN mm USING (use_month) GROUP BY line
+  UNION ALL SELECT 'station', station, min(batch) FROM v_monthly JOIN mm USING (use_month) GROUP BY station)
+SELECT column_name, value, CAST(row_number() OVER (PARTITION BY column_name ORDER BY batch, value) - 1 AS INTEGER) AS code FROM vals""")
+q("monthly_distinct", """
+SELECT count(DISTINCT line) AS n_line, count(DISTINCT station) AS n_station, count(DISTINCT hour) AS n_hour FROM v_monthly""")
+ORACLE["duplicate_bits"] = ORACLE["duplicate_count"]
+ORACLE["payload_outcomes"] = """
+WITH o AS (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'no json' WHEN event_id % 23 = 0 THEN 'no object' WHEN event_id % 19 = 0 THEN 'missing'
+                                 WHEN event_id % 7 = 0 THEN 'refused' ELSE 'rows' END AS outcome FROM events)
+SELECT event_id, outcome, CAST(CASE WHEN outcome <> 'rows' OR event_id % 13 = 0 THEN 0 WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS n_items FROM o"""

@@ -25,8 +25,9 @@ STATS_KEYS = ["station", "hour", "line", "period", "congestion", "month_third"]
 def preprocess_with_stats(long_df: DataFrame, checkpoint: bool = True):
     """(processed table, shared statistics).
 
-    The capped table is checkpointed (the source writes its processed CSV
-    here). ONE grouping-sets pass over it then yields every statistic the
+    The cleaned table is checkpointed (the source writes its processed CSV
+    here); the quartiles read it, and capping, by then a projection with
+    constants, is applied as it is read. ONE grouping-sets pass over it then yields every statistic the
     feature chain needs: means per station / hour / line, station extremes
     and the distinct values behind the label codes (capping happens before
     all of them, so computing them together changes no value)."""
@@ -35,9 +36,9 @@ def preprocess_with_stats(long_df: DataFrame, checkpoint: bool = True):
     df = reshape.with_period(df)
     df = reshape.with_congestion(df)
     df = reshape.normalize_names(df)
-    df = clean.cap_outliers(df)
     if checkpoint:
         df = checkpoint_stage(df, "processed", partition_by=["use_month"])
+    df = clean.cap_outliers(df)
     # used by every statistic and code join of the chain: computed once
     shared = checkpoint_stage(stats.group_stats(calendar.with_month_third(df), STATS_KEYS), "stats")
     return stats.with_group_means(df, stats=shared), shared

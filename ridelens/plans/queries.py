@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from ridelens.operators import calendar, clean, encode, enhance, lookup, peak, profile, reshape, score, stats, windows
 from ridelens.operators import model as M
-from ridelens.plans import pipeline
-from ridelens.session import ensure_checkpoint_dir
-from ridelens.sources import dims, io, payloads
+from ridelens.operators import partials
+from ridelens.plans import monthly, pipeline
+from ridelens.operators import forest as FN
+from ridelens.session import scratch_path as _scratch
+from ridelens.session import checkpoint_stage
+from ridelens.sources import dims, io, payloads, versions
 from ridelens.sources import fixtures as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -370,8 +373,6 @@ def _codes(spark, d, clean=None):
 def _scoring_inputs(spark, d):
     """One scan of the events: the daily table is written once as a stage
     table and requests, codes and probabilities all derive from it."""
-    from ridelens.session import checkpoint_stage
-
     clean = checkpoint_stage(V.v_clean(spark, d), "clean", partition_by=["use_month"])
     return V.v_requests(spark, d, clean), _codes(spark, d, clean), V.v_prob(spark, d, clean)
 
@@ -551,12 +552,6 @@ def q_is_holiday(spark, d):
     return calendar.with_is_holiday(days, dims.holiday_dates(spark), "use_date", holiday_date_col="date")
 
 
-def _scratch(spark, name):
-    import uuid
-
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def q_csv_roundtrip(spark, d):
     """v_wide written as a cp949 CSV with the source headers, read back with
@@ -664,28 +659,43 @@ def q_overfit_report(spark, d):
 
 RF_KEYS = ["use_date", "line", "station", "hour"]
 RF_TRAINED_AT = datetime.datetime(2024, 1, 1)
-_fitted: dict[tuple[str, str], str] = {}
+_fitted: dict[tuple, str] = {}
 
 
-def _forest(spark, d):
-    """(split table, features, model, its metadata): the source's forest (100 trees, depth 20), fitted once per
-    application and input on the training part, saved with its four metrics, and loaded by every query that uses it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _fitted:
+def _forest_path(spark, d):
+    """The folder of the source's forest (100 trees, depth 20, smallest split 50), fitted on the training part once per
+    application and state of the input files: the split table, the forest as fitted and collapsed, and the published
+    model with its four metrics."""
+    key = (spark.sparkContext.applicationId, d, versions.input_stamp(spark, [f"{d}/orders.parquet"]))
+    path = _fitted.get(key)
+    if path is None or versions.latest(spark, path) is None:
         path = _scratch(spark, "forest")
         e = _enhanced_table(spark, d)
         M.stratified_split(e, "level", RF_KEYS).write.parquet(f"{path}/split")
         split = spark.read.parquet(f"{path}/split")
         feats = enhance.feature_columns(e)
-        m = M.train(split.filter(~F.col("is_test")), feats, "level")
+        m = M.fit_forest(split.filter(~F.col("is_test")), feats, "level", path=path)
         metrics = M.fit_metrics(M.predict(m, split, "level"))
         M.save_model(m, path, feats, metrics, note="station categories and interaction features", trained_at=RF_TRAINED_AT)
         _fitted[key] = path
-    path = _fitted[key]
-    split = spark.read.parquet(f"{path}/split")
+    return path
+
+
+def _forest(spark, d):
+    """(split table, features, model, its metadata), as loaded from the published version."""
+    path = _forest_path(spark, d)
     m, meta = M.load_model(spark, path)
-    feats = list(m.stages[0].getInputCols())
-    return split, feats, m, meta
+    return spark.read.parquet(f"{path}/split"), list(m.stages[0].getInputCols()), m, meta
+
+
+def _forest_nodes(spark, d):
+    path = _forest_path(spark, d)
+    return FN.read_nodes(spark, f"{path}/{versions.latest(spark, path)}/model")
+
+
+def _test_scores(spark, d):
+    split, _, m, _ = _forest(spark, d)
+    return M.predict(m, split.filter("is_test"), "level")
 
 
 def _probability_checks(p):
@@ -694,83 +704,183 @@ def _probability_checks(p):
             (F.col("prediction") == F.array_position("probs", F.array_max("probs")) - 1).alias("is_argmax")]
 
 
+def _close(a, b):
+    return F.abs(a - b) < 1e-9
+
+
+# a forest's numbers have no SQL form: the queries return them, tests compare them with the node table's plain
+# evaluation, and the _checks queries state in SQL what every right run fulfils
 @query
 def q_rf_predict(spark, d):
-    """Every test row scored. The forest's numbers have no SQL form; what every forest must fulfil has."""
-    split, _, m, _ = _forest(spark, d)
-    p = M.predict(m, split.filter("is_test"), "level")
-    return p.select(*RF_KEYS, "level", *_probability_checks(p))
+    """Every test row's prediction and class probabilities."""
+    p = _test_scores(spark, d)
+    return p.select(*RF_KEYS, "level", "prediction", *[r6(F.col("probs")[k]).alias(f"p_{k}") for k in range(4)])
+
+
+@query
+def q_rf_predict_checks(spark, d):
+    """Every test row: sum and argmax of its probabilities, and whether walking the node table gives the same."""
+    p = _test_scores(spark, d)
+    split, feats, _, _ = _forest(spark, d)
+    walked = FN.evaluate(split.filter("is_test"), _forest_nodes(spark, d), feats, RF_KEYS, M.DEFAULT_FOREST["maxDepth"])
+    walked = walked.select(*RF_KEYS, F.col("probs").alias("walked"), F.col("prediction").alias("walked_to"))
+    same = F.forall(F.zip_with("probs", "walked", _close), lambda x: x) & (F.col("prediction") == F.col("walked_to"))
+    return p.join(walked, RF_KEYS, "left").select(*RF_KEYS, "level", *_probability_checks(p), F.coalesce(same, F.lit(False)).alias("nodes_agree"))
 
 
 @query
 def q_rf_scores(spark, d):
-    """The test rows' predictions and probabilities themselves (rows only)."""
-    split, _, m, _ = _forest(spark, d)
-    p = M.predict(m, split.filter("is_test"), "level")
-    return p.select(*RF_KEYS, "level", "prediction", F.transform("probs", lambda x: F.round(x, 6)).alias("probs"))
+    """The test rows' predictions and probabilities as an array."""
+    return _test_scores(spark, d).select(*RF_KEYS, "level", "prediction", F.transform("probs", lambda x: F.round(x, 6)).alias("probs"))
 
 
 def _importance(spark, d):
     _, feats, m, _ = _forest(spark, d)
     imp = M.feature_importance(m, feats)
-    total = imp.agg(F.round(F.sum("importance"), 6)).scalar()
-    return imp.withColumns({"source_name": enhance.source_name_column("feature"), "family": enhance.feature_family(), "total": total,
-                            "in_range": F.col("importance").between(0, 1)})
+    return imp.withColumns({"source_name": enhance.source_name_column("feature"), "family": enhance.feature_family()})
 
 
 @query
 def q_rf_importance(spark, d):
-    return _importance(spark, d).select("feature", "source_name", "family", "in_range", "total")
+    return _importance(spark, d).select("feature", "source_name", "family", r6("importance").alias("importance"))
 
 
 @query
-def q_rf_overfit(spark, d):
-    """One row: sizes of both parts and what the report must fulfil."""
+def q_rf_importance_checks(spark, d):
+    """Per feature: family, range, the sum over all, and whether gains summed over the node table give the same."""
+    imp = _importance(spark, d)
+    _, feats, _, _ = _forest(spark, d)
+    walked = FN.node_importance(_forest_nodes(spark, d), feats).withColumnRenamed("importance", "walked")
+    total = imp.agg(F.round(F.sum("importance"), 6)).scalar()
+    return imp.join(walked, "feature", "left").select(
+        "feature", "source_name", "family", F.col("importance").between(0, 1).alias("in_range"), total.alias("total"),
+        F.coalesce(_close(F.col("importance"), F.col("walked")), F.lit(False)).alias("nodes_agree"))
+
+
+@query
+def q_rf_min_split(spark, d):
+    """The forest as fitted and as collapsed: its nodes, the fewest rows of a split node, and the test accuracy."""
+    path = _forest_path(spark, d)
+    test = spark.read.parquet(f"{path}/split").filter("is_test")
+    out = None
+    for name in ("fitted", "collapsed"):
+        nodes = FN.read_nodes(spark, f"{path}/{name}")
+        accuracy = M.accuracy(M.predict(M.PipelineModel.load(f"{path}/{name}"), test, "level"), "level").scalar()
+        part = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("left") >= 0).alias("splits"), F.min(F.when(F.col("left") >= 0, F.col("n"))).alias("smallest_split"))
+        part = part.select(F.lit(name).alias("forest"), "nodes", "splits", "smallest_split", r6(accuracy).alias("test_accuracy"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def q_rf_min_split_checks(spark, d):
+    """No split node below 50 rows, no leaf below 20, every tree with one root, both children of every split there."""
+    n = _forest_nodes(spark, d)
+    kids = n.filter("left >= 0").select("tree", F.explode(F.array("left", "right")).alias("node"))
+    found = n.join(kids.withColumn("child", F.lit(1)), ["tree", "node"], "left")
+    return found.agg(
+        F.countDistinct("tree").alias("trees"), (F.min(F.when(F.col("left") >= 0, F.col("n"))) >= M.MIN_SPLIT).alias("splits_fit"),
+        (F.min("n") >= M.DEFAULT_FOREST["minInstancesPerNode"]).alias("leaves_fit"), F.count_if(F.col("child").isNull()).alias("roots"),
+        (F.count(F.lit(1)) == 2 * F.count_if(F.col("left") >= 0) + F.countDistinct("tree")).alias("binary"))
+
+
+def _overfit(spark, d):
     split, _, m, _ = _forest(spark, d)
     p = M.predict(m, split, "level")
     hit = (F.col("level") == F.col("prediction")).cast("double")
     acc = p.agg(F.count_if(~F.col("is_test")).alias("train_rows"), F.count_if("is_test").alias("test_rows"),
                 F.avg(F.when(~F.col("is_test"), hit)).alias("train_accuracy"), F.avg(F.when(F.col("is_test"), hit)).alias("test_accuracy"))
+    return split, M.overfit_report(acc)
+
+
+@query
+def q_rf_overfit(spark, d):
+    """One row: sizes and accuracies of both parts, their gap and the verdict."""
+    _, r = _overfit(spark, d)
+    return r.select("train_rows", "test_rows", *[r6(c).alias(c) for c in ("train_accuracy", "test_accuracy", "gap")], "verdict")
+
+
+@query
+def q_rf_overfit_checks(spark, d):
+    """One row: sizes of both parts and what the report must fulfil."""
+    split, r = _overfit(spark, d)
     majority = split.filter("is_test").groupBy("level").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n") / F.sum("n")).scalar()
-    r = M.overfit_report(acc)
     verdict = F.when(F.col("gap") < 0.05, "none").when(F.col("gap") < 0.10, "slight").otherwise("severe")
-    return r.select("train_rows", "test_rows", (F.abs(F.col("train_accuracy") - F.col("test_accuracy") - F.col("gap")) < 1e-9).alias("gap_fits"),
+    return r.select("train_rows", "test_rows", _close(F.col("train_accuracy") - F.col("test_accuracy"), F.col("gap")).alias("gap_fits"),
                     (F.col("verdict") == verdict).alias("verdict_fits"), (F.col("test_accuracy") >= majority).alias("beats_majority"))
 
 
+_curves: dict[str, str] = {}
+
+
+def _curve(spark, d):
+    """The source's curve of its own forest, from training rows only; computed once per fitted forest."""
+    path = _forest_path(spark, d)
+    if path not in _curves:
+        split = spark.read.parquet(f"{path}/split").filter(~F.col("is_test")).drop("is_test")
+        feats = list(M.load_model(spark, path)[0].stages[0].getInputCols())
+        M.learning_curve(split, feats, "level", RF_KEYS).write.parquet(f"{path}/curve")
+        _curves[path] = f"{path}/curve"
+    return spark.read.parquet(_curves[path])
+
+
 @query
 def q_learning_curve(spark, d):
-    """The source's curve of its own forest, from training rows only."""
-    split, feats, _, _ = _forest(spark, d)
-    out = M.learning_curve(split.filter(~F.col("is_test")).drop("is_test"), feats, "level", RF_KEYS)
+    out = _curve(spark, d)
+    return out.select("train_size", *[r6(c).alias(c) for c in ("train_mean", "train_std", "val_mean", "val_std")])
+
+
+@query
+def q_learning_curve_checks(spark, d):
     ok = F.col("train_mean").between(0, 1) & F.col("val_mean").between(0, 1) & (F.col("train_std") >= 0) & (F.col("val_std") >= 0)
-    return out.select("train_size", ok.alias("scores_fit"))
+    return _curve(spark, d).select("train_size", ok.alias("scores_fit"))
 
 
 @query
 def q_model_info(spark, d):
-    split, _, m, meta = _forest(spark, d)
-    found = M.fit_metrics(M.predict(m, split, "level"))
+    """The published model's metadata with its metrics."""
+    info = M.model_info(_forest(spark, d)[3])
+    metrics = ("train_accuracy", "test_accuracy", "train_f1", "test_f1")
+    return info.select("model_type", "train_date", "feature_count", F.array_join("features", ",").alias("features"), "note", *[r6(c).alias(c) for c in metrics])
+
+
+@query
+def q_model_info_checks(spark, d):
+    """The metadata, and whether the metrics equal those of the node table's plain evaluation of every row."""
+    split, feats, _, meta = _forest(spark, d)
+    walked = FN.evaluate(split, _forest_nodes(spark, d), feats, [*RF_KEYS, "level", "is_test"], M.DEFAULT_FOREST["maxDepth"])
     same = F.lit(True)
-    for k, v in found.items():
-        same &= F.abs(F.col(k) - F.lit(v)) < 1e-9
+    for k, v in M.fit_metrics(walked).items():
+        same &= _close(F.col(k), F.lit(v))
     return M.model_info(meta).select("model_type", "train_date", "feature_count", F.array_join("features", ",").alias("features"), "note",
                                      same.alias("metrics_fit"), (F.col("train_accuracy") > 0).alias("trained"))
 
 
-@query
-def q_rf_hourly_profile(spark, d):
-    """Serving with the forest: day requests -> serving features (missing
-    model features = 0) -> class probabilities -> adjusted 24-hour profile."""
+def _forest_profile(spark, d):
     split, feats, m, _ = _forest(spark, d)
     codes = score.code_table(split)
     pairs = V.v_monthly(spark, d)
     reqs = V.v_requests(spark, d, pairs).filter(F.col("hour") == 0).drop("hour")
     f = score.request_features(score.day_requests(reqs), codes, AS_OF_YEAR, model_features=feats)
     p = M.predict(m, f.withColumn("level", F.lit(0)), "level").drop("level")
-    s = score.adjust_level(score.with_base_level(p))
-    return s.select("station", "line", "dow", "hour", "station_idx", "line_idx", "is_transfer", *_probability_checks(s),
-                    F.col("level").between(0, 3).alias("level_fits"))
+    return score.adjust_level(score.with_base_level(p))
+
+
+PROFILE_KEYS = ["station", "line", "dow", "hour", "station_idx", "line_idx", "is_transfer"]
+
+
+@query
+def q_rf_hourly_profile(spark, d):
+    """Serving with the forest: day requests -> serving features (missing
+    model features = 0) -> class probabilities -> adjusted 24-hour profile."""
+    s = _forest_profile(spark, d)
+    return s.select(*PROFILE_KEYS, "base_level", "level", r6(F.get("probs", F.col("level"))).alias("probability"))
+
+
+@query
+def q_rf_hourly_profile_checks(spark, d):
+    s = _forest_profile(spark, d)
+    return s.select(*PROFILE_KEYS, *_probability_checks(s), F.col("level").between(0, 3).alias("level_fits"))
 
 
 # --- phase 9: streaming ----------------------------------------------------------------------------
@@ -795,7 +905,12 @@ TIME_FEATURES = ["hour", "hour_sin", "hour_cos", "dow", "is_weekend"]
 @query
 def q_rf_time_importance(spark, d):
     """The named time features (the source's quick lookup)."""
-    return _importance(spark, d).filter(F.col("feature").isin(TIME_FEATURES)).select("feature", "in_range")
+    return _importance(spark, d).filter(F.col("feature").isin(TIME_FEATURES)).select("feature", r6("importance").alias("importance"))
+
+
+@query
+def q_rf_time_importance_checks(spark, d):
+    return q_rf_importance_checks(spark, d).filter(F.col("feature").isin(TIME_FEATURES)).select("feature", "in_range", "nodes_agree")
 
 
 @query
@@ -809,3 +924,85 @@ def q_payload_peak_stream(spark, d):
     from ridelens.streaming.peaks import peak_table
 
     return peak_table(spark, d)
+
+
+@query
+def q_drop_target_leaks_strict(spark, d):
+    """Strict mode (T7): the leaks that the source's list misses go as well."""
+    e = pipeline.enhance_features(_feature_table(spark, d), strict=True)
+    return profile.schema_report(e).select("col_pos", "column_name", "non_null")
+
+
+# --- month by month ---------------------------------------------------------------------------------
+_monthly: dict[tuple, monthly.MonthlyTables] = {}
+
+
+def _monthly_tables(spark, d):
+    """All months but the last three as one batch, then those one by one; appended once per application and state of
+    the input files."""
+    key = (spark.sparkContext.applicationId, d, versions.input_stamp(spark, [f"{d}/orders.parquet"]))
+    tables = _monthly.get(key)
+    if tables is None or versions.latest(spark, tables.path) is None:
+        rows = checkpoint_stage(_monthly_dated(spark, d), "months", partition_by=["use_month"])
+        months = sorted(r[0] for r in rows.select("use_month").distinct().collect())
+        tables = monthly.MonthlyTables(spark, _scratch(spark, "monthly"))
+        alone = months[-3:] if len(months) > 3 else months[1:]
+        tables.append(rows.filter(F.col("use_month") < alone[0]) if alone else rows)
+        for m in alone:
+            tables.append(rows.filter(F.col("use_month") == m))
+        _monthly[key] = tables
+    return tables
+
+
+@query
+def q_monthly_history(spark, d):
+    """Lags and rolling windows of months that were appended one after another."""
+    f = _monthly_tables(spark, d).features()
+    return f.select(*MONTH_KEYS, "total", "lag_1", "lag_7", *[r6(c).alias(c) for c in ["ma_3", "ma_7", "std_7"]])
+
+
+@query
+def q_monthly_stats(spark, d):
+    """Means and extremes per station, hour and line, merged from the months' partial statistics."""
+    t = _monthly_tables(spark, d).stats()
+    value = F.coalesce("station", F.col("hour").cast("string"), "line")
+    return t.select(F.col("_set").alias("key_name"), value.alias("key_value"), r6("_avg").alias("mean_total"), F.col("_max").alias("max_total"),
+                    F.col("_min").alias("min_total"), F.col("_n").alias("n_rows"))
+
+
+@query
+def q_monthly_means(spark, d):
+    """The merged statistics joined back onto the appended rows."""
+    t = _monthly_tables(spark, d)
+    found = t.stats()
+    out = stats.with_station_extremes(stats.with_group_means(t.features(), stats=found), stats=found)
+    return out.select(*MONTH_KEYS, *[r6(c).alias(c) for c in ["station_avg", "hour_avg", "line_avg"]], "station_max", "station_min")
+
+
+@query
+def q_monthly_codes(spark, d):
+    """The append-only label codes: by the first batch that has a value, then by value."""
+    return _monthly_tables(spark, d).codes()
+
+
+@query
+def q_monthly_distinct(spark, d):
+    """Distinct lines, stations and hours from the months' merged bitmaps."""
+    return _monthly_tables(spark, d).distinct_counts()
+
+
+@query
+def q_duplicate_bits(spark, d):
+    """Rows beyond the first per (month, line, station), by bitmaps over dense codes (B2)."""
+    r = checkpoint_stage(V.v_ridership(spark, d).select("use_month", "line", "station"), "keys")
+    return monthly.duplicate_count(r, ["line", "station"], partials.extend_codes(None, r, ["line", "station"]))
+
+
+@query
+def q_payload_outcomes(spark, d):
+    """Every landed text of three kinds with what became of it: rows, or the reason of its rejection."""
+    e = F.col("event_id")
+    p = _payload(spark, d, "arrivals_json")
+    text = F.when(e % 17 == 0, F.expr("left(payload, length(payload) - 1)")).when(e % 23 == 0, F.lit("[1, 2]")).when(e % 19 != 0, F.col("payload"))
+    stage, _ = payloads.payload_stage(p.withColumn("payload", text), payloads.ARRIVALS)
+    return payloads.outcomes(stage, payloads.ARRIVALS)

@@ -67,17 +67,23 @@ def checkpoint_stage(df, name: str = "stage", partition_by=None):
     twice, once to count and once to write), it lives in shared storage so
     it survives the loss of executors, and later reads get column pruning
     and predicate pushdown (and partition pruning with ``partition_by``)."""
-    import uuid
-
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _stages.append(path)
+    path = scratch_path(spark, name)
     schema = df.schema
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(schema).parquet(path).select(*df.columns)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name under the checkpoint folder, removed with the stage tables of a ``stage_scope``."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _stages.append(path)
+    return path
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

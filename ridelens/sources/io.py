@@ -6,13 +6,19 @@
   month); CSV with the source's Korean headers and a UTF-8 BOM-free layout
   is kept for the edges.
 
-Spark 4 accepts only a short list of charsets for CSV. cp949 / EUC-KR are a
-session requirement: ``spark.sql.legacy.javaCharsets=true``, also at execution
-time, so ``read_wide_csv`` and ``write_wide_csv`` turn it on and leave it on.
+Spark 4 reads CSV in a short list of charsets, without cp949 and EUC-KR. Files in
+such a charset are read as ISO-8859-1, which keeps every byte as one character:
+large files are split at line ends and parsed by Spark as ever, since no two-byte
+character has the byte of a comma, quote, backslash or line end (checked for the
+charset). Only text columns are then decoded, one distinct value at a time.
+Counts are digits in any charset. No session setting is touched.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +34,41 @@ _STANDARD_CHARSETS = {"utf-8", "utf8", "us-ascii", "iso-8859-1", "utf-16", "utf-
 _KEEP_SPACES = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def _allow_charset(spark: SparkSession, encoding: str) -> None:
-    if encoding.lower() not in _STANDARD_CHARSETS:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+_BYTES = "iso-8859-1"
+_SYNTAX = b',"\\\r\n'
+
+
+@lru_cache
+def _check_charset(encoding: str) -> None:
+    """Raises unless CSV syntax can be read byte by byte: ASCII is itself, and no character of two bytes has a syntax byte."""
+    ascii_ = bytes(range(128))
+    safe = ascii_.decode(encoding) == ascii_.decode("ascii")
+    for lead in range(128, 256):
+        for byte in _SYNTAX:
+            try:
+                safe &= len(bytes([lead, byte]).decode(encoding)) == 2
+            except UnicodeDecodeError:
+                pass  # no character at all
+    if not safe:
+        raise ValueError(f"{encoding}: a character may contain a byte of the CSV syntax; convert the files to UTF-8 first")
+
+
+def _recoder(change):
+    """An Arrow step that changes texts, each distinct value once."""
+
+    @F.pandas_udf("string")
+    def recode(values: pd.Series) -> pd.Series:
+        return values.map({v: change(v) for v in values.dropna().unique()})
+
+    return recode
+
+
+def _decoder(encoding: str):
+    return lambda v: v.encode(_BYTES).decode(encoding)
+
+
+def _encoder(encoding: str):
+    return lambda v: v.encode(encoding).decode(_BYTES)
 
 
 def to_library_names(df: DataFrame) -> DataFrame:
@@ -48,26 +86,35 @@ def read_wide_csv(spark: SparkSession, path: str, encoding: str = "cp949") -> Da
     Everything is read as text; counts may be written ``123``, ``123.0`` or
     ``1,234``. A malformed count becomes null (and is then counted by the null
     profile) instead of failing the job under ANSI mode."""
-    _allow_charset(spark, encoding)
-    raw = spark.read.option("header", True).option("encoding", encoding).option("inferSchema", False).csv(path)
-    cols = {}
+    plain = encoding.lower() in _STANDARD_CHARSETS
+    if not plain:
+        _check_charset(encoding)
+    raw = spark.read.option("header", True).option("encoding", encoding if plain else _BYTES).option("inferSchema", False).csv(path)
+    decode = None if plain else _recoder(_decoder(encoding))
+    cols = []
     for c in raw.columns:
-        name = schemas.SOURCE_NAMES.get(c, c)
+        header = c if plain else _decoder(encoding)(c)
+        value, name = F.col(f"`{c}`"), schemas.SOURCE_NAMES.get(header, header)
         if name == "use_month":
-            cols[c] = whole_number(F.col(f"`{c}`")).try_cast(T.IntegerType()).alias(name)
-        elif name in ("line", "station"):
-            cols[c] = F.col(f"`{c}`").alias(name)
-        elif schemas.BOARDING_MARK in c or schemas.ALIGHTING_MARK in c:
-            cols[c] = whole_number(F.col(f"`{c}`")).alias(c)
+            cols.append(whole_number(value).try_cast(T.IntegerType()).alias(name))
+        elif schemas.BOARDING_MARK in header or schemas.ALIGHTING_MARK in header:
+            cols.append(whole_number(value).alias(header))
         else:
-            cols[c] = F.col(f"`{c}`").alias(name)
-    return raw.select(*cols.values())
+            cols.append((value if plain else decode(value)).alias(name))
+    return raw.select(*cols)
 
 
 def write_wide_csv(df: DataFrame, path: str, encoding: str = "cp949", mode: str = "overwrite") -> None:
-    """Write a wide table in the source layout (Korean id headers)."""
-    _allow_charset(df.sparkSession, encoding)
-    (to_source_names(df).write.mode(mode).option("header", True).option("encoding", encoding)
+    """Write a wide table in the source layout (Korean id headers). A character that the charset lacks fails the job;
+    the count columns are digits."""
+    out = to_source_names(df)
+    plain = encoding.lower() in _STANDARD_CHARSETS
+    if not plain:
+        _check_charset(encoding)
+        encode = _recoder(_encoder(encoding))
+        texts = [c for c, t in out.dtypes if t == "string" and not (schemas.BOARDING_MARK in c or schemas.ALIGHTING_MARK in c)]
+        out = out.withColumns({c: encode(F.col(f"`{c}`")) for c in texts}).toDF(*[_encoder(encoding)(c) for c in out.columns])
+    (out.write.mode(mode).option("header", True).option("encoding", encoding if plain else _BYTES)
      .options(**_KEEP_SPACES).csv(path))
 
 

@@ -140,6 +140,59 @@ def test_quantiles_match_numpy(spark):
     assert out["c"] == [None] * 5
 
 
+def test_quantiles_of_hard_values_match_sorting(spark):
+    """Sizes from the smallest to infinity, both signs, long ties, values that share one bucket."""
+    import math
+    import random
+
+    from ridelens.operators.quantiles import quantiles
+
+    rng = random.Random(4)
+    hard = [0.0, -0.0, 5e-324, -5e-324, 2.2e-308, 1e308, -1e308, 1.7e308, float("inf"), float("-inf"), 4095.5, 4096.0, 8191.0, 8192.0, 8193.0]
+    near = [1000.0 + i * 2.0**-30 for i in range(500)]  # one first bucket
+    a = hard + [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(400)]
+    b = near + [near[7]] * 300 + [1000.0 + 499 * 2.0**-30 + math.ulp(1000.0)]
+    c = [rng.randrange(2**62) for _ in range(300)]
+    n = max(map(len, (a, b, c)))
+    rows = [tuple(v[i] if i < len(v) else None for v in (a, b, c)) for i in range(n)]
+    df = spark.createDataFrame(rows, "a double, b double, c long")
+    probs = [0, 0.01, 0.25, 1 / 3, 0.5, 0.77, 1]
+    got = quantiles(df, ["a", "b", "c"], probs)
+    for name, values in zip("abc", (a, b, [float(x) for x in c])):
+        ordered = sorted(values)
+        for p, found in zip(probs, got[name]):
+            place = p * (len(ordered) - 1)
+            low, high = ordered[math.floor(place)], ordered[math.ceil(place)]
+            assert found == (low if low == high else low + (high - low) * (place - math.floor(place)))
+
+
+def test_quantiles_with_nan_and_without_rows(spark):
+    import math
+
+    from ridelens.operators.quantiles import quantiles
+
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "a double")
+    q = quantiles(df, ["a"], [0, 0.5, 1])["a"]
+    assert q[:2] == [1.0, 2.0] and math.isnan(q[2])  # NaN is the largest
+    assert quantiles(df.limit(0), ["a"], [0.5]) == {"a": [None]}
+
+
+def test_quantiles_of_counts_take_one_pass(spark):
+    """Counts below 8,192 have a bucket each: no second histogram, no sort, no range exchange, no written stage."""
+    from ridelens import session
+    from ridelens.operators import clean, quantiles
+
+    df = spark.range(20_000).select((F.col("id") % 8000).alias("total"))
+    passes, hist = [], quantiles._hist
+    quantiles._hist = lambda *a: passes.append(1) or hist(*a)
+    before = len(session._stages)
+    try:
+        plan = clean.cap_outliers(df, ["total"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        quantiles._hist = hist
+    assert len(passes) == 1 and len(session._stages) == before and "Exchange" not in plan and "Sort" not in plan
+
+
 def test_two_slot_columns_of_one_hour_raise(spark):
     import pytest
 

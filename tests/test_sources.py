@@ -79,3 +79,74 @@ def test_flatten_forecast(spark):
     ])
     out = payloads.flatten_forecast(docs).collect()
     assert len(out) == 1 and out[0].fcstValue == "12" and out[0].nx == 60
+
+
+def test_cp949_without_the_session_setting(spark, tmp_path):
+    """Every two-byte character of the charset survives; the legacy setting stays off; files are split at line ends."""
+    chars = []
+    for lead in range(0x81, 0xFF):
+        for trail in range(0x41, 0xFF):
+            try:
+                chars.append(bytes([lead, trail]).decode("cp949"))
+            except UnicodeDecodeError:
+                pass
+    chars = [c for c in chars if len(c) == 1]
+    assert len(chars) > 8000
+    names = ["".join(chars[i : i + 40]) for i in range(0, len(chars), 40)] + ['a"b,c', " x\t", "o\\k"]
+    rows = [(202501 + i % 12, f"{i}호선", name, i) for i, name in enumerate(names)]
+    df = spark.createDataFrame(rows, "use_month int, line string, station string, `04시-05시 승차인원` long")
+    io.write_wide_csv(df, str(tmp_path / "csv"))
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "false"
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "csv").glob("*.csv")))
+    assert "지하철역".encode("cp949") in raw and names[0].encode("cp949") in raw
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        back = io.read_wide_csv(spark, str(tmp_path / "csv"))
+        assert back.rdd.getNumPartitions() > 4
+        got = sorted((r[0], r[1], r[2], r[3]) for r in back.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert back.columns == df.columns and got == sorted(rows)
+
+
+def test_unsafe_charsets_raise():
+    import pytest
+
+    io._check_charset("euc-kr")
+    for encoding in ("gbk", "shift_jis", "big5"):
+        with pytest.raises(ValueError, match="UTF-8"):
+            io._check_charset(encoding)
+
+
+def test_whole_numbers_are_exact(spark):
+    from ridelens.functions.exprs import whole_number
+
+    texts = ["9007199254740993", "9,007,199,254,740,993.0", "123.7", "1e3", "", None, "x", "-5", "99999999999999999999"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(whole_number("t")).collect()] == [9007199254740993, 9007199254740993, None, 1000, None, None, None, -5, None]
+
+
+KINDS = {
+    "ridership": (payloads.RIDERSHIP, payloads.flatten_ridership), "arrivals": (payloads.ARRIVALS, payloads.flatten_arrivals),
+    "forecast": (payloads.FORECAST, payloads.flatten_forecast), "hourly": (payloads.HOURLY, payloads.flatten_hourly)}
+
+
+def test_rows_and_rejects_come_from_one_parse(spark):
+    """Rows as from the flatteners, every other text a reject with its reason, counts observed; the texts are scanned once."""
+    from ridelens.sources import fixtures as V
+
+    src = V.v_json(spark, "/root/testdata/sf0.001")
+    for name, (kind, flatten) in KINDS.items():
+        texts = src.select("event_id", F.when(F.col("event_id") % 5 == 1, F.lit(None)).when(F.col("event_id") % 5 == 2, F.expr(f"left({name}_json, length({name}_json) - 1)"))
+                           .when(F.col("event_id") % 25 == 3, F.lit(" [1]")).otherwise(F.concat(F.lit(" \n"), f"{name}_json")).alias("payload"))
+        stage, counts = payloads.payload_stage(texts, kind)
+        want, got = flatten(texts), payloads.stage_rows(stage, kind)
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+        rejects = payloads.stage_rejects(stage).collect()
+        reasons = {r["event_id"]: r["reason"] for r in rejects}
+        assert all(reasons[i] == "missing" for i in reasons if i % 5 == 1) and all(reasons[i] == "no json" for i in reasons if i % 5 == 2)
+        assert all(reasons[i] == "no object" for i in reasons if i % 25 == 3)
+        assert counts["inputs"] == texts.count() == counts["accepted"] + counts["rejected"] and counts["rejected"] == len(rejects)
+        assert {r["event_id"]: r["outcome"] for r in payloads.outcomes(stage, kind).collect()} == {
+            r["event_id"]: reasons.get(r["event_id"], "rows") for r in texts.select("event_id").collect()}
