@@ -11,7 +11,9 @@ intervals, and semi-joins keep it from multiplying. The second is a semi-join
 on (row, block).
 
 Only rows of spans are written and joined, never texts: the texts are scanned
-once, in one projection.
+once, in one projection. Positions are running sums of the lengths between and
+of the matches, taken in chunks of ``CHUNK`` and chunks of chunks, so the work
+is in proportion to the text however many matches it has.
 
 Defined cases: a null or empty text has no spans; repeated rows each get their
 own result; an empty table gives an empty result; other columns are not carried.
@@ -19,6 +21,8 @@ own result; an empty table gives an empty result; other columns are not carried.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,42 +50,71 @@ ROLE = {"assign": "secret", "hex": "secret", "access": "identifier", **{k: r for
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 
 
+CHUNK = 256
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, op: Callable[[Column, Column], Column], zero: Column, levels: int = 3) -> Column:
+    """zero, op(zero, v0), op(op(zero, v0), v1), ...: one entry more than ``values``. An array grows by copying, so
+    runs of ``CHUNK`` values are summed by themselves, then their totals the same way, ``levels`` deep."""
+
+    def short(v: Column) -> Column:
+        return F.aggregate(v, F.array(zero), lambda s, x: F.array_append(s, op(F.element_at(s, -1), x)))
+
+    def long(v: Column) -> Column:
+        number = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int"))
+        return let(F.transform(number, lambda c: short(F.slice(v, c * CHUNK + 1, CHUNK))), joined)
+
+    def joined(chunks: Column) -> Column:
+        def moved(before: Column) -> Column:
+            each = F.zip_with(chunks, F.slice(before, F.lit(1), F.size(chunks)), lambda c, o: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x: op(o, x)))
+            return F.concat(F.flatten(each), F.array(F.element_at(before, -1)))
+
+        return let(running(F.transform(chunks, lambda c: F.element_at(c, -1)), op, zero, levels - 1), moved)
+
+    return let(values, lambda v: F.when(F.size(v) <= CHUNK, short(v)).otherwise(long(v))) if levels > 1 else let(values, short)
+
+
 def spans_of(text: Column, kind: str, pattern: str, least: Column | None = None) -> Column:
     """Leftmost non-overlapping matches as an array of spans in code points. What lies between the
     matches (``split``) and the matches themselves give every position by a running sum of lengths.
     ``least``: which matches stay, as an array of booleans beside them."""
-    flag = F.lit(pattern)
-    hits = F.regexp_extract_all(text, flag, 0)
+    hits = F.regexp_extract_all(text, F.lit(pattern), 0)
     keep = least if least is not None else F.transform(hits, lambda h: F.lit(True))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), keep.alias("keep"))
+    sizes = F.struct(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(hits, F.length).alias("hit"), keep.alias("keep"))
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["gap"])
-        end = start + F.coalesce(F.length(part["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        found = F.when(part["hit"].isNotNull() & part["keep"], F.array_append(state["found"], span)).otherwise(state["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
+    def found(s: Column) -> Column:
+        at = running(F.zip_with(s["gap"], s["hit"], lambda g, h: g + F.coalesce(h, F.lit(0))), lambda a, b: a + b, F.lit(0))
+        parts = F.arrays_zip(at.alias("at"), s["gap"].alias("gap"), s["hit"].alias("hit"), s["keep"].alias("keep"))
+        return F.transform(F.filter(parts, lambda p: p["hit"].isNotNull() & p["keep"]), lambda p: F.struct(
+            (p["at"] + p["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (p["at"] + p["gap"] + p["hit"]).alias("end"), F.lit(kind).alias("kind")))
 
-    none = F.array().cast(f"array<{SPAN}>")
-    all_ = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
-    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), all_).otherwise(none)
+    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), let(sizes, found)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def long_blocks(text: Column, scope: int) -> Column:
     """(a, b) of the blocks of settings longer than the scope, in code points; shorter ones link nothing more."""
-    none = F.array().cast("array<struct<a:int,b:int>>")
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct((F.length(x) + 1).alias("n"), x.rlike(SETTING).alias("inside")))
 
-    def closed(s: Column) -> Column:
-        block = F.struct(s["first"].alias("a"), s["at"].alias("b"))
-        return F.when(s["at"] - s["first"] > scope, F.array_append(s["found"], block)).otherwise(s["found"])
+    def blocks(s: Column) -> Column:
+        at = running(F.transform(s, lambda x: x["n"]), lambda a, b: a + b, F.lit(0))
+        inside = F.transform(s, lambda x: x["inside"])
+        none = F.array(F.lit(False))
 
-    def step(s: Column, line: Column) -> Column:
-        after = s["at"] + F.length(line) + 1
-        inside = line.rlike(SETTING)
-        return F.struct(after.alias("at"), F.when(inside, s["first"]).otherwise(after).alias("first"),
-                        F.when(inside, s["found"]).otherwise(closed(s)).alias("found"))
+        def ends(p: Column) -> Column:
+            # a block begins at a line inside after one outside, and ends before a line outside after one inside
+            edges = F.arrays_zip(p["at"].alias("at"), F.concat(p["inside"], none).alias("now"), F.concat(none, p["inside"]).alias("before"))
+            first = F.transform(F.filter(edges, lambda e: e["now"] & ~e["before"]), lambda e: e["at"])
+            after = F.transform(F.filter(edges, lambda e: ~e["now"] & e["before"]), lambda e: e["at"])
+            return F.zip_with(first, after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
-    return F.aggregate(F.split(text, "\n", -1), F.struct(F.lit(0).alias("at"), F.lit(0).alias("first"), none.alias("found")), step, closed)
+        return F.filter(let(F.struct(at.alias("at"), inside.alias("inside")), ends), lambda b: b["b"] - b["a"] > scope)
+
+    return let(lines, blocks)
 
 
 def scan(docs: DataFrame, text_col: str = "text", carry: dict[str, Column] | None = None, scope: int = SCOPE) -> DataFrame:
@@ -145,24 +178,49 @@ def secret_report(docs: DataFrame) -> DataFrame:
         F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def merged(spans: str) -> Column:
+    """(a, b) of the runs of overlapping spans, which are in order of start."""
+    def runs(s: Column) -> Column:
+        upto = running(F.transform(s, lambda x: x["end"]), F.greatest, F.lit(0))
+
+        def cut(p: Column) -> Column:
+            # a run begins at a span that starts no earlier than all before it end
+            begins = F.zip_with(F.transform(s, lambda x: x["start"]), F.slice(p, F.lit(1), F.size(s)), lambda a, b: a >= b)
+
+            def ends(b: Column) -> Column:
+                each = F.arrays_zip(F.transform(s, lambda x: x["start"]).alias("a"), b.alias("first"), F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(F.lit(True))).alias("last"),
+                                    F.slice(p, F.lit(2), F.size(s)).alias("b"))
+                return F.zip_with(F.transform(F.filter(each, lambda e: e["first"]), lambda e: e["a"]),
+                                  F.transform(F.filter(each, lambda e: e["last"]), lambda e: e["b"]), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+            return let(begins, ends)
+
+        return let(upto, cut)
+
+    return F.when(F.size(spans) > 0, let(F.col(spans), runs)).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+
+
+def without(wide: Column, runs: Column, length: Column, mark: str) -> Column:
+    """The text of four bytes a code point with every run replaced by the mark. Such bytes are cut without reading
+    what is before them; a leading byte order mark of ours keeps one of the text's own."""
+    def piece(a: Column, b: Column) -> Column:
+        return F.decode(F.concat(F.unhex(F.lit("0000FEFF")), F.substring(wide, a * 4 + 1, (b - a) * 4)), "UTF-32")
+
+    starts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["b"]))
+    stops = F.concat(F.transform(runs, lambda r: r["a"]), F.array(length))
+    return F.array_join(F.zip_with(starts, stops, piece), mark)
+
+
 def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with every reported span replaced by the mark; ``n_chars`` follows the new text.
     Spans meet their text again by id and text hash; rows without spans are untouched."""
     carry = {"_id": F.col(id_col), "_h": F.xxhash64(text_col)}
     found = find_secrets(docs, text_col, carry).filter(F.size("spans") > 0).select("_id", "_h", "spans").dropDuplicates(["_id", "_h"])
 
-    def merge(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], s["end"]).alias("b"))))
-        fresh = F.array_append(done, F.struct(s["start"].alias("a"), s["end"].alias("b")))
-        return F.when((F.size(done) > 0) & (s["start"] < F.try_element_at(done, F.lit(-1))["b"]), joined).otherwise(fresh)
-
-    runs = F.aggregate("spans", F.array().cast("array<struct<a:int,b:int>>"), merge)
-    out = docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_h")), "left").withColumn("_runs", runs)
+    out = docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_h")), "left")
+    out = out.withColumn("_runs", merged("spans"))
     text = F.col(text_col)
-    before = lambda r, i: F.substring(text, F.when(i > 0, F.try_element_at("_runs", i)["b"]).otherwise(0) + 1, r["a"] - F.when(i > 0, F.try_element_at("_runs", i)["b"]).otherwise(0))
-    tail = F.substring(text, F.element_at("_runs", -1)["b"] + 1, F.length(text))
-    clean = F.concat(F.array_join(F.transform("_runs", lambda r, i: F.concat(before(r, i), F.lit(mark))), ""), tail)
+    clean = let(F.encode(text, "UTF-32"), lambda wide: without(wide, F.col("_runs"), F.length(text), mark))
     out = out.withColumn(text_col, F.when(F.size("_runs") > 0, clean).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("_runs") > 0, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))

@@ -101,3 +101,39 @@ def test_prefixed_names_and_blocks_of_settings(spark):
     assert found[9] == [("user", "user: bob"), ("pass", "pwd: 'ab12")]
     clean = {r.doc_id: r.text for r in S.redact(df).collect()}
     assert KEY not in clean[1] and "hunter22" not in clean[2]
+
+
+def test_running_sums_in_chunks_of_chunks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(S, "CHUNK", 3)
+    rows = [(list(range(n)),) for n in (0, 1, 2, 3, 4, 9, 10, 27, 28, 100)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    out = df.select("v", S.running(F.col("v"), lambda a, b: a + b, F.lit(0)).alias("s"), S.running(F.col("v"), F.greatest, F.lit(5)).alias("m")).collect()
+    for r in out:
+        assert r.s == [sum(r.v[:i]) for i in range(len(r.v) + 1)] and r.m == [max([5, *r.v[:i]]) for i in range(len(r.v) + 1)]
+
+
+@pytest.mark.parametrize("n", [1_000, 100_000])
+def test_many_matches_in_one_text(spark, n):
+    """A list of settings: time in proportion to its length, spans and clean text as by brute force."""
+    import time
+
+    text = "\ufeff" + "".join(f"password=abc{i:06d}é\n" for i in range(n)) + "user=bob\n" + "deadbeef" * 4
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    row = S.secret_report(df).first()
+    spent = time.time() - start
+    want = base(text)
+    assert (row.n_assign, row.n_hex) == (n, 1) and row.base_sha256 == hashlib.sha256(joined(want).encode()).hexdigest()
+    assert row.spans.count("user:") == 1 and row.spans.count(",") == n + 1
+    assert S.redact(df).first().text == "\ufeff" + "[secret]é\n" * n + "[secret]\n[secret]"
+    assert spent < 90
+
+
+def test_overlapping_spans_are_one_mark(spark):
+    """An assignment whose value is a hex run, inside one another and side by side."""
+    text = "token=" + "a1" * 20 + " secret: pwd=" + "0f" * 16 + "/x user=ann"
+    df = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in S.redact(df).collect()}
+    assert out[2] == "x" and "a1a1" not in out[1] and "0f0f" not in out[1] and "[secret][secret]" not in out[1]
