@@ -27,8 +27,13 @@ LINE_SHARE = 0.20  # most of the characters in repeated lines
 MIN_WORDS, WINDOW, WINDOW_PERCENT = 20, 8, 30
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-SHARES = [f"dup_{n}gram_share" for n in GRAM_SHARES] + ["dup_line_share"]
-STATS = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField(c, T.DoubleType()) for c in SHARES])
+
+
+def _shares(lengths) -> list[str]:
+    return [f"dup_{n}gram_share" for n in sorted(lengths)] + ["dup_line_share"]
+
+
+SHARES = _shares(GRAM_SHARES)
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(SYMBOLS.encode())] = True
@@ -44,7 +49,7 @@ def _lines(t: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts[order], np.sort(ends), doc[order]
 
 
-def text_stats(t: X.Texts) -> dict[str, np.ndarray]:
+def text_stats(t: X.Texts, lengths=tuple(GRAM_SHARES)) -> dict[str, np.ndarray]:
     points = X.prefix((t.data & 0xC0) != 0x80)  # code points before each byte
     chars = points[t.end] - points[t.start]
     by_doc = lambda values, doc: np.bincount(doc, weights=values, minlength=t.n)
@@ -62,7 +67,7 @@ def text_stats(t: X.Texts) -> dict[str, np.ndarray]:
 
     word_chars = np.maximum(out["word_chars"], 1)
     live = None  # windows that can still repeat: both (n-1)-grams inside repeat
-    for n in sorted({*GRAM_SHARES, WINDOW}):
+    for n in sorted({*lengths, WINDOW}):
         at, key = t.grams(n)
         if live is not None and len(at):
             ok = live[at] & live[at + 1]
@@ -72,21 +77,26 @@ def text_stats(t: X.Texts) -> dict[str, np.ndarray]:
         live[at[twice]] = True
         if n == WINDOW:
             out["n_repeat_words"] = by_doc(X.cover(len(t.doc), at[twice], n), t.doc)
-        if n in GRAM_SHARES:
+        if n in lengths:
             out[f"dup_{n}gram_share"] = by_doc(chars * X.cover(len(t.doc), at[later], n), t.doc) / word_chars
     return out
 
 
-def _batch(column: pa.Array) -> dict[str, pa.Array]:
-    parts = [text_stats(t) for _, _, t in X.slices(column)]
-    made = {c: np.concatenate([p[c] for p in parts]) for c in COUNTS + SHARES}
+def _batch(column: pa.Array, lengths=tuple(GRAM_SHARES)) -> dict[str, pa.Array]:
+    parts = [text_stats(t, lengths) for _, _, t in X.slices(column)]
+    made = {c: np.concatenate([p[c] for p in parts]) for c in COUNTS + _shares(lengths)}
     return {c: pa.array(v.astype(np.int64 if c in COUNTS else np.float64)) for c, v in made.items()}
 
 
 def repetition_coverage(docs: DataFrame, text_col: str = "text", gram_shares: dict[int, float] | None = None, line_share: float = LINE_SHARE) -> DataFrame:
-    """``docs`` without their text column, with the statistics, ``base_failed`` and ``kept``."""
-    shares = gram_shares or GRAM_SHARES
-    out = with_columns_arrow(docs.withColumn("_text", F.col(f"`{text_col}`")).drop(text_col), "_text", STATS, _batch).drop("_text")
+    """``docs`` without their text column, with the statistics, ``base_failed`` and ``kept``. ``gram_shares``: window
+    length in words (1 or more) -> the largest share of characters inside windows that occurred before."""
+    shares = GRAM_SHARES if gram_shares is None else gram_shares
+    names = _shares(shares)
+    stats = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField(c, T.DoubleType()) for c in names])
+
+    batch = lambda column: _batch(column, tuple(shares))
+    out = with_columns_arrow(docs.withColumn("_text", F.col(f"`{text_col}`")).drop(text_col), "_text", stats, batch).drop("_text")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > WINDOW_PERCENT * F.col("n_words"))
     fine = F.col("dup_line_share") <= line_share
     for n, most in shares.items():

@@ -80,3 +80,13 @@ def test_slices_do_not_change_results(monkeypatch):
     monkeypatch.setattr(R.X, "slices", lambda c, lower=False, f=R.X.slices: f(c, lower, 64))
     parts = R._batch(pa.array(TEXTS))
     assert all(whole[c].to_pylist() == pytest.approx(parts[c].to_pylist()) for c in R.COUNTS + R.SHARES)
+
+
+def test_other_window_lengths(spark):
+    """Any lengths: the shares they name, and the verdict by them."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    rows = R.repetition_coverage(df, gram_shares={3: 0.2, 12: 0.05}).collect()
+    assert {c for c in rows[0].asDict() if "gram" in c} == {"dup_3gram_share", "dup_12gram_share"}
+    for r in rows:
+        assert r.dup_3gram_share == pytest.approx(share(TEXTS[r.doc_id], 3)) and r.dup_12gram_share == pytest.approx(share(TEXTS[r.doc_id], 12))
+        assert r.kept == (not r.base_failed and r.dup_line_share <= R.LINE_SHARE and r.dup_3gram_share <= 0.2 and r.dup_12gram_share <= 0.05)
