@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridelens.llm.common import stage
-from ridelens.session import ensure_checkpoint_dir
+from ridelens.session import scratch_path
 
 FRAME, BUNDLE, LEVEL = 1 << 18, 1 << 26, 3
 LEAST_SHARED = 100  # smaller payloads are always stored
@@ -73,6 +73,19 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, body
 
 
+def open_fs(uri: str):
+    """(file system, path inside it) of a folder or file that Spark names: its S3 schemes are one, a plain path is local."""
+    scheme, _, rest = uri.partition("://")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3://{rest}"
+    elif ":" not in uri.split("/", 1)[0]:
+        uri = f"file://{uri}"
+    try:
+        return pafs.FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"no file system for archives in {uri}: use a file, hdfs, s3 (s3a), gs or abfs folder") from e
+
+
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
     body = b"".join(struct.pack("<II", *f) for f in frames) + struct.pack("<IBI", len(frames), 0, SEEKABLE)
     return struct.pack("<II", SKIPPABLE, len(body)) + body
@@ -98,7 +111,7 @@ class BundleWriter:
         import zstandard
 
         self.frame, self.bundle = frame, bundle
-        self.fs, self.root = pafs.FileSystem.from_uri(folder)
+        self.fs, self.root = open_fs(folder)
         self.uri, self.stem, self.n, self.out = folder, stem, 0, None
         self.packer = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
         self.plain = bytearray()
@@ -148,10 +161,9 @@ def with_responses(pages: DataFrame, id_col: str = "page_id", payload_col: str =
 def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", payload_col: str = "html",
                    frame: int = FRAME, bundle: int = BUNDLE) -> DataFrame:
     """Writes the bundles; returns their index, written beside them."""
-    folder = folder or f"{ensure_checkpoint_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    fs, root = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    folder = folder or scratch_path(pages.sparkSession, "warc")
+    fs, root = open_fs(folder)  # a folder that executors could not open raises here, before any job
     fs.create_dir(root, recursive=True)
-    folder = folder if ":" in folder else f"file://{folder}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -183,7 +195,7 @@ def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
             for row in zip(*[batch.column(c) for c in ("page_id", "path", "frame", "offset", "length")]):
                 page, where, k, at, n = [x.as_py() for x in row]
                 if where != path:
-                    fs, inner = pafs.FileSystem.from_uri(where)
+                    fs, inner = open_fs(where)
                     file, path, frame = fs.open_input_file(inner), where, None
                     table = read_seek_table(file)
                 if k != frame:

@@ -51,3 +51,11 @@ def test_bundles_are_plain_zstandard_and_frames_are_independent(index):
 def test_empty_table(spark):
     index = W.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))
     assert index.count() == 0 and W.read_records(index).count() == 0
+
+
+def test_schemes_of_folders(tmp_path):
+    assert W.open_fs(str(tmp_path))[1] == str(tmp_path) and W.open_fs(f"file://{tmp_path}")[1] == str(tmp_path)
+    assert W.open_fs(f"file:{tmp_path}")[1] == str(tmp_path)
+    for scheme in ("dbfs", "wasbs"):
+        with pytest.raises(ValueError, match="no file system"):
+            W.open_fs(f"{scheme}://x/y")
