@@ -19,8 +19,8 @@ rows (1 / 4,096 of the leaf) are ordered one by one; no task holds more than
 
 Defined cases: a null level is the node ``(null)``; a null text has no tokens;
 zero-token documents are taken with their epoch or prefix; nodes of weight 0
-get nothing; repeated rows count each; an empty table gives no rows; input
-columns named like an added one are replaced.
+get nothing; repeated rows count each; an empty table gives no rows; an input
+column ``epoch`` is replaced, ``domain`` and ``n_tokens`` are used as given.
 """
 
 from __future__ import annotations
@@ -49,11 +49,13 @@ def source_domain(source: Column) -> Column:
 
 
 def tree_columns(docs: DataFrame, levels=LEVELS) -> DataFrame:
-    """Adds n_tokens and makes the level columns non-null text; ``domain`` is derived if there is none."""
+    """Adds n_tokens and makes the level columns non-null text. Columns ``domain`` and ``n_tokens`` of the input are
+    used as given (a null or negative number of tokens is 0); where there is none, they are derived."""
     if "domain" not in docs.columns:
         docs = docs.withColumn("domain", source_domain(F.col("source")))
     out = docs.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("(null)")) for k in levels})
-    return out if "n_tokens" in docs.columns else out.withColumn("n_tokens", word_tokens(F.col("text")))
+    given = "n_tokens" in docs.columns
+    return out.withColumn("n_tokens", F.greatest(F.coalesce(F.col("n_tokens"), F.lit(0)), F.lit(0)).cast("long") if given else word_tokens(F.col("text")))
 
 
 def weight(level: str, weights: Mapping[str, Mapping[str, int]]) -> Column:
