@@ -112,5 +112,35 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, a
        array_to_string(g, ' ') AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM best WHERE first = 1 QUALIFY rank <= 2000"""
 
+REPETITION = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS.format(t="coalesce(text, '')")} AS ws FROM documents),
+l AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id
+), g AS (SELECT doc_id, unnest(range(len(ws) - 7)) AS i, unnest(list_transform(range(1, len(ws) - 6), lambda j: ws[j : j + 7])) AS g FROM d WHERE len(ws) >= 8),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, (SELECT unnest(range(8)) AS o) GROUP BY doc_id),
+s AS (
+  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+) SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s"""
+
+SECRETS = r"""SELECT doc_id,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda v: length(v) >= 6)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda v: length(v) >= 24)) AS BIGINT) AS n_hex FROM documents"""
+
+URLS = f"""WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM a),
+p AS (SELECT page_id, {LOWER.format(t="raw")} AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r AS (
+  SELECT *, CASE WHEN regexp_matches(host, '(^|\\.)example\\.net$') AND path LIKE '/en/%' THEN 'example.net/en/'
+                 WHEN regexp_matches(host, '(^|\\.)example\\.com$') AND path LIKE '/de/%' THEN 'example.com/de/'
+                 WHEN regexp_matches(host, '(^|\\.)org$') AND path LIKE '/fr/%' THEN 'org/fr/'
+                 WHEN regexp_matches(host, '(^|\\.)net$') AND path LIKE '/%' THEN 'net/' END AS rule FROM p
+) SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow'
+                                         WHEN 'org/fr/' THEN 'allow' END AS rule_verdict FROM r"""
+
 ORACLE = {"op1_rotation_codes": ROTATION, "op3_warc_bundles": WARC, "op4_jaccard_join": JACCARD, "op10_source_mixing": _mixing(),
-          "op12_ranked_search": RANKED, "op13_collocations": COLLOCATIONS}
+          "op12_ranked_search": RANKED, "op13_collocations": COLLOCATIONS, "base_of_op5": REPETITION, "base_of_op6": SECRETS, "base_of_op7": URLS}

@@ -72,8 +72,24 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
+def base_of_op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op5, which SQL can express."""
+    return op5_repetition_coverage(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_of_op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op6, which SQL can express."""
+    return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def base_of_op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of op7, and the verdict where a rule gives it."""
+    verdict = F.when(F.col("rule").isNotNull(), F.col("verdict"))
+    return op7_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", verdict.alias("rule_verdict"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_rotation_codes, op2_hilbert_shards, op3_warc_bundles, op4_jaccard_join, op5_repetition_coverage,
     op6_secret_scan, op7_url_filter, op8_katz_scores, op9_best_fit_packing, op10_source_mixing, op11_sentence_pieces,
-    op12_ranked_search, op13_collocations)}
+    op12_ranked_search, op13_collocations, base_of_op5, base_of_op6, base_of_op7)}
 __all__ = ["QUERIES", "ORACLE"]

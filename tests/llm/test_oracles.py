@@ -23,5 +23,5 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
+    numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op"))
     assert numbers == list(range(1, 14))
