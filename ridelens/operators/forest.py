@@ -67,9 +67,8 @@ def collapse(nodes: DataFrame, min_split: int = 50) -> DataFrame:
         F.col("node").alias("was"))
 
 
-def write_collapsed(model: PipelineModel, source: str, target: str, min_split: int = 50) -> None:
+def write_collapsed(spark: SparkSession, model: PipelineModel, source: str, target: str, min_split: int = 50) -> None:
     """Writes ``model``, which is saved as ``source``, once more under ``target`` with its forest collapsed."""
-    spark = SparkSession.getActiveSession()
     model.write().save(target)
     original = spark.read.parquet(f"{_forest_folder(source)}/data")
     kept = collapse(read_nodes(spark, source), min_split)

@@ -99,7 +99,7 @@ def fit_forest(df: DataFrame, features, label_col: str = "level", seed: int = 42
     path = path or scratch_path(df.sparkSession, "forest-fit")
     fitted = train(df, features, label_col, seed, **params)
     fitted.write().save(f"{path}/fitted")
-    write_collapsed(fitted, f"{path}/fitted", f"{path}/collapsed", min_split)
+    write_collapsed(df.sparkSession, fitted, f"{path}/fitted", f"{path}/collapsed", min_split)
     return PipelineModel.load(f"{path}/collapsed")
 
 
@@ -264,7 +264,7 @@ def learning_curve(df: DataFrame, features, label_col: str, key_cols, seed: int
                                 forest(label_col, seed, **forest_params).setFeaturesCol("x")])
         fitted = pipe.fit(part)
         fitted.write().save(f"{folder}/fitted")
-        write_collapsed(fitted, f"{folder}/fitted", f"{folder}/collapsed", min_split)
+        write_collapsed(spark, fitted, f"{folder}/fitted", f"{folder}/collapsed", min_split)
         m = PipelineModel.load(f"{folder}/collapsed")
         # training rows and the held-out fold scored in one pass
         held = F.col("_fold") == f
