@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Defined cases, for every stage: an empty table gives an empty table; columns beside those of documents, whatever
+their names, come out as they went in (the last stage returns pieces, not documents).
+"""
 
 from __future__ import annotations
 
@@ -10,29 +14,32 @@ from ridelens.llm.common import documents, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules reject go."""
+    """Documents that the repetition rules reject go; null, empty and short texts are among them. Repeated rows are
+    judged each by itself."""
     return repetition.keep_clean(docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, similarity 0.8)."""
+    """One document of each group of near copies stays (five-word shingles, similarity 0.8): that of the least id, one
+    row of it. Rows without words or without an id all stay."""
     return jaccard.keep_one(docs)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; no document goes."""
+    """Secrets are replaced by a mark, and ``n_chars`` follows; no row goes, and rows without secrets do not change."""
     return secrets.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the budgeted tree, once for every epoch in which they are chosen."""
+    """The documents of the budgeted tree, once for every epoch in which they are chosen. Null langs and sources are
+    nodes of the tree; a null text has no tokens."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "lang", "source",
                        mixing.word_tokens(F.col("text")).alias("n_tokens"))
     return mixing.mix_sources(rows).select("_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1,024 tokens."""
+    """The pieces of all documents in sequences of 1,024 tokens; a null text is the end token alone."""
     return packing.best_fit_packing(docs)
 
 
