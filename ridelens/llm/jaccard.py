@@ -2,7 +2,7 @@
 
 1. Every document becomes its set of distinct shingle hashes; equal sets are
    one node from here on (``node``: 64 bits of the set's digest).
-2. Candidates, exactly: two sets that link differ in at most D shingles, a
+2. Candidates: two sets that link differ in at most D shingles, a
    number that follows from the threshold and the sizes. The shingles are dealt
    by hash into more than D buckets, so two linked sets agree in a whole bucket.
    One signature per bucket. Among the sets with an equal signature, sketches of
@@ -10,7 +10,11 @@
    its signature only, and joined to each whose estimate a linked set's leader
    could have (six standard deviations below the bound that the triangle
    inequality of the Jaccard distance gives). So sets that merely share a
-   passage do not chain into one group. Joined sets are candidate groups.
+   passage do not chain into one group. Joined sets are candidate groups. Where more
+   than ``MOST`` sets share a signature (a footer on every page), they are first
+   parted by bands of their sketches: two sets that link agree in a whole band but
+   for a chance of ``BAND_MISS``, unlike ones hardly ever. Groups still larger are
+   compared in blocks of two chunks.
 3. In a group, T-occurrence search by DivideSkip over inverted lists: the
    shortest lists are heap-merged with skips, the longest are probed by binary
    search, and candidates that reach the overlap are links. Documents already
@@ -50,6 +54,7 @@ SHINGLE, PERCENT = 5, 80  # the default contract of word-shingle operators
 CHUNK_DOCS, CHUNK_SHINGLES, WORK_BYTES = 400, 1 << 18, 1 << 20
 WINDOW_RATIO = 1.6
 BINS, STRONG, SIGMAS = 256, 0.8, 6.0  # sketch: bins, estimate that makes a set its leader's follower, error allowed
+MOST, BAND_MISS = 2048, 1e-9  # sets compared as one block; chance that two linked sets share no band
 PROBE_COST = 0.01  # DivideSkip's weight of a binary search against a merge step
 
 
@@ -158,6 +163,28 @@ def least_alike(percent: int) -> float:
     return q - spread(q) if q > 0 else 0.0
 
 
+def band_bins(percent: int) -> int:
+    """Bins of a band: the most with which two sets at the threshold share no band with a chance of BAND_MISS at most."""
+    share = percent / 100
+    return max(r for r in (1, 2, 4, 8, 16) if r == 1 or (1 - share**r) ** (BINS // r) <= BAND_MISS)
+
+
+def same_members(postings: DataFrame) -> DataFrame:
+    """(members, node) of the signatures that several sets share; signatures that the same sets share count once."""
+    same = Window.partitionBy("sig")
+    shared = postings.withColumns({"least": F.min("node").over(same), "most": F.max("node").over(same), "all": F.bit_xor(F.xxhash64("node")).over(same)})
+    return shared.filter("least != most").select(F.xxhash64("least", "most", "all").alias("members"), "node").distinct()
+
+
+def part_by_bands(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: members, node, sketch -> (members, node) of the smaller groups that agree in a band; a band of empty bins
+    says nothing."""
+    r = band_bins(percent)
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BINS // r - 1)), lambda b: F.struct(b.alias("b"), F.substring("sketch", b * r + 1, F.lit(r)).alias("s")))
+    filled = F.filter(bands, lambda x: x["s"] != F.lit(bytes(r)))
+    return same_members(rows.select("members", "node", F.explode(filled).alias("e")).select(F.xxhash64("members", "e.b", "e.s").alias("sig"), "node"))
+
+
 def chain(nodes: np.ndarray, sketch: np.ndarray, cut: float, parent: dict[int, int] | None = None) -> list[tuple[int, int]]:
     """Connects each set of one signature with every leader that is alike enough. ``parent`` holds what is
     connected already (over earlier signatures of the task): only edges that connect more are returned."""
@@ -312,13 +339,17 @@ def candidate_groups(docs: DataFrame, sets: DataFrame, k: int, percent: int, tex
 
     cut = least_alike(percent)
     postings = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "sig long, node long")
-    same = Window.partitionBy("sig")
-    shared = postings.withColumns({"least": F.min("node").over(same), "most": F.max("node").over(same), "all": F.bit_xor(F.xxhash64("node")).over(same)})
-    # near copies share many signatures: those that the same sets share count once
-    shared = shared.filter("least != most").select(F.xxhash64("least", "most", "all").alias("members"), "node").distinct()
+    shared = stage(same_members(postings), "signatures")
     one = sets.groupBy(F.col("node").alias("n2")).agg(F.min("sketch").alias("sketch"))
-    rows = shared.join(one.hint("merge"), F.col("node") == F.col("n2")).select("members", "node", "sketch")
-    return components(map_blocks(rows, ["members"], make, "a long, b long", lambda t: t.num_rows * BINS, WORK_BYTES).distinct())
+    sketched = lambda rows: rows.join(one.hint("merge"), F.col("node") == F.col("n2")).select("members", "node", "sketch")
+    sizes = lambda rows: rows.groupBy("members").agg(F.count(F.lit(1)).alias("_size"))
+    hot = stage(sizes(shared).filter(F.col("_size") > MOST).select("members"), "hot")
+    if not hot.isEmpty():
+        parted = part_by_bands(sketched(shared.join(hot, "members", "left_semi")), percent)
+        shared = stage(shared.join(hot, "members", "left_anti").unionByName(parted), "signatures")
+    rows = with_blocks(sketched(shared), ["members"], sizes(shared), F.ceil(F.col("_size") / MOST), F.col("node"))
+    edges = map_blocks(rows.select("members", "_lo", "_hi", "node", "sketch"), ["members", "_lo", "_hi"], make, "a long, b long", lambda t: t.num_rows * BINS, WORK_BYTES)
+    return components(edges.distinct())
 
 
 def verified_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, k: int, percent: int, id_col: str, text_col: str, chunk_docs: int) -> DataFrame:
@@ -368,7 +399,10 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
     found = jaccard_components(docs, k, percent)
     stay = found.filter("doc_id = component_id").groupBy("doc_id", "text_hash").agg(F.max(F.col("n_shingles")).alias("_n"))
     stay = stay.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "_n")
-    rows = docs.withColumn("_th", F.xxhash64("text"))
-    rows = rows.join(stay, (F.col("doc_id") == F.col("_id")) & (F.col("_th") == F.col("_h")), "left").filter("_n is not null or doc_id is null")
-    again = F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy(F.lit(1)))
-    return rows.withColumn("_r", F.when((F.col("_n") > 0) & F.col("doc_id").isNotNull(), again).otherwise(1)).filter("_r = 1").select(*docs.columns)
+    # rows without an id are no group: they all stay, outside the join
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # no name of an input column meets one of ours
+    rows = docs.filter("doc_id is not null").select(whole, F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_th"))
+    rows = rows.join(stay, (F.col("_d") == F.col("_id")) & (F.col("_th") == F.col("_h")))
+    again = F.row_number().over(Window.partitionBy("_d", "_th").orderBy(F.lit(1)))
+    rows = rows.withColumn("_r", F.when(F.col("_n") > 0, again).otherwise(1)).filter("_r = 1").select("_row.*")
+    return rows.unionByName(docs.filter("doc_id is null"))

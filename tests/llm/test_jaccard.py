@@ -116,3 +116,43 @@ def test_sketches_estimate_similarity_and_followers_keep_partners():
             true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
             assert abs(J.alike(s[0], s[1:])[0] - true) <= 6 * max(0.01, (true * (1 - true) / 256) ** 0.5) + 0.02
     assert 0.2 < J.least_alike(80) < J.least_alike(90) < 0.6 and J.least_alike(30) == 0
+
+
+def test_bands_keep_linked_sets_together_and_part_unlike_ones(spark, monkeypatch):
+    """A footer on every page: all sets share its signatures; only the linked ones stay together."""
+    import random
+
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(100000)}"
+    footer = " ".join(f"footer{i}" for i in range(60))
+    texts = [" ".join(word() for _ in range(40)) + " " + footer for _ in range(150)]
+    texts += [t.replace(t.split(" ")[5], "changed", 1) for t in texts[:40]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.doc_id: r.component_id for r in J.jaccard_components(docs, k=3, percent=90).collect()}
+    monkeypatch.setattr(J, "MOST", 16)
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(docs, k=3, percent=90).collect()}
+    assert got == want and sum(k != v for k, v in got.items()) == 40
+    assert J.band_bins(80) == J.band_bins(90) == 4 and J.band_bins(20) == 1
+
+
+def test_sketches_of_pairs_at_the_threshold():
+    """The estimate that joins a set to its leader, for pairs and for a follower's partner, at many sizes."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    missed = {80: 0, 90: 0}
+    for percent in missed:
+        cut, r = J.least_alike(percent), J.band_bins(percent)
+        for size in (10, 30, 100, 1000):
+            n = 1500
+            other = max(1, int(size * (100 - percent) / (100 + percent)))  # shingles that each side has alone
+            pool = rng.integers(0, 2**63, (n, size + 2 * other), dtype=np.uint64)
+            a, b, c = pool[:, : size], pool[:, other : size + other], pool[:, 2 * other :]  # a links b, b links c
+            first = np.arange(n + 1) * size
+            x, y, z = (J.sketches(v.ravel(), first) for v in (a, b, c))
+            for p, q in ((x, y), (x, z)):
+                missed[percent] += sum(J.alike(p[i], q[i : i + 1])[0] < cut for i in range(n))
+            bands = lambda v: v.reshape(n, -1, r)
+            agree = ((bands(x) == bands(y)).all(axis=2) & (bands(x) > 0).any(axis=2)).any(axis=1)
+            missed[percent] += int((~agree).sum())
+    assert missed == {80: 0, 90: 0}
