@@ -217,11 +217,11 @@ def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text", id_c
     carry = {"_id": F.col(id_col), "_h": F.xxhash64(text_col)}
     found = find_secrets(docs, text_col, carry).filter(F.size("spans") > 0).select("_id", "_h", "spans").dropDuplicates(["_id", "_h"])
 
-    out = docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_h")), "left")
-    out = out.withColumn("_runs", merged("spans"))
-    text = F.col(text_col)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # no name of an input column meets one of ours
+    rows = docs.select(whole, F.col(f"`{id_col}`").alias("_d"), F.col(f"`{text_col}`").alias("_text"))
+    out = rows.join(found, F.col("_d").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_h")), "left").withColumn("_runs", merged("spans"))
+    text, hit = F.col("_text"), F.size("_runs") > 0
     clean = let(F.encode(text, "UTF-32"), lambda wide: without(wide, F.col("_runs"), F.length(text), mark))
-    out = out.withColumn(text_col, F.when(F.size("_runs") > 0, clean).otherwise(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_runs") > 0, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = out.withColumn("_clean", F.when(hit, clean).otherwise(text))
+    new = {text_col.lower(): F.col("_clean"), "n_chars": F.when(hit, F.length("_clean").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[(F.col(f"_row.`{c}`") if new.get(c.lower()) is None else new[c.lower()]).alias(c) for c in docs.columns])
