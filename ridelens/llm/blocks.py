@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from ridelens.llm.textnum import release
 
 
-def with_blocks(rows: DataFrame, group: list[str], sizes: DataFrame, chunks: Column, key: Column) -> DataFrame:
-    """``rows`` joined with the groups' ``sizes``, repeated once per block: ``_lo`` and ``_hi`` name its chunks.
+def with_blocks(rows: DataFrame, group: list[str], sizes: DataFrame, chunks: Column, key: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the groups' ``sizes`` (``how`` left: those not listed have one chunk), repeated once per
+    block: ``_lo`` and ``_hi`` name its chunks.
     A group of one chunk is one block; with n chunks, each row is in the n - 1 blocks that pair its chunk with
     another. Any two rows of a group meet in some block."""
-    out = rows.join(sizes, group).withColumn("_n", chunks).withColumn("_c", F.pmod(F.xxhash64(key), F.col("_n")))
+    out = rows.join(sizes, group, how).withColumn("_n", F.coalesce(chunks, F.lit(1)).cast("long")).withColumn("_c", F.pmod(F.xxhash64(key), F.col("_n")))
     others = F.when(F.col("_n") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), F.array("_c")))
     out = out.withColumn("_o", F.explode(others))
     return out.withColumns({"_lo": F.least("_c", "_o"), "_hi": F.greatest("_c", "_o")}).drop("_n", "_c", "_o")

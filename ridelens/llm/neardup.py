@@ -1,8 +1,8 @@
 """Near-duplicate vectors with randomised-rotation binary codes.
 
 Each vector is normalised, padded and rotated by a seeded random orthonormal
-frame; the signs of the result are its code, and the stored correction factor
-<code, vector> makes <code, query> / factor an unbiased estimate of the cosine.
+frame; the signs of the result are its code, and the correction factor
+<code, vector> (both stored once per class) makes <code, query> / factor an unbiased estimate of the cosine.
 The estimate's error is at most EPSILON * sqrt((1 - f^2) / f^2) / sqrt(bits - 1)
 (EPSILON standard deviations). A pair whose upper bound stays below the
 threshold is dropped; every other pair is recomputed exactly in double precision.
@@ -10,7 +10,10 @@ threshold is dropped; every other pair is recomputed exactly in double precision
 Candidates meet in cells: the label and the signs of a few random hyperplanes,
 in several tables, so many that a pair at the threshold is missed by all with a
 chance of ``MISS``. Every table has hyperplanes of its own, drawn independently:
-tables over the bits of one code would fail together. Cells of any size are split into blocks; a pair is counted only in
+tables over the bits of one code would fail together. A row goes to its block of
+every table once, with its code, factor, keys in as few bytes as they need and the
+vector in its own type (the one query side of an estimate, and what exact
+cosines need). Cells of any size are split into blocks; a pair is counted only in
 the first table where both share a cell. Blocks return link counts and a
 spanning forest, never pairs. Equal vectors are one class from the start.
 
@@ -67,6 +70,18 @@ def encode(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return turned, turned > 0, np.abs(turned).sum(axis=1) / math.sqrt(turned.shape[1])
 
 
+def unpack(codes, bits: int) -> np.ndarray:
+    """Stored codes as rows of ``bits`` bits."""
+    codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+    raw = np.frombuffer(b"".join(codes.to_pylist()), dtype=np.uint8).reshape(len(codes), -1)
+    return np.unpackbits(raw, axis=1, count=bits, bitorder="little")
+
+
+def key_type(bits: int) -> tuple[str, type]:
+    """The smallest integer that holds a key."""
+    return ("short", np.int16) if bits <= 15 else ("int", np.int32) if bits <= 31 else ("long", np.int64)
+
+
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -125,8 +140,8 @@ def _search_equal(blocks: list[pa.Table], threshold: float) -> pa.Table:
     rep, copies, cell_table = (rows.column(c).to_numpy() for c in ("rep", "copies", "t"))
     units = unit(_matrix(rows.column("vec")))
     keys = _matrix(rows.column("keys"))
-    turned, code, factor = encode(units)
-    turned, code = turned.astype(np.float32), code.astype(np.float32)  # rounding is far below the bounds
+    code, factor = unpack(rows.column("code"), frame(units.shape[1]).shape[0]), rows.column("factor").to_numpy()
+    turned, code = (units @ frame(units.shape[1]).T).astype(np.float32), code.astype(np.float32)  # rounding is far below the bounds
     links = np.zeros(len(rep), dtype=np.int64)
     found_i, found_j = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
 
@@ -188,7 +203,9 @@ def chunk_owner(block: pa.Table):
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
                     chunk: int = CHUNK, miss: float = MISS) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
+    # single precision is carried as it is; all arithmetic is in double
+    kept = "array<float>" if vectors.select(vec_col).dtypes[0][1] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast(kept).alias("vec"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     valid = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0) & F.forall("vec", finite) & F.exists("vec", lambda x: x != 0)
     usable = rows.filter(valid)
@@ -197,25 +214,35 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     largest = classes.groupBy("label", F.size("vec")).count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan_tables(largest, threshold, miss)
 
+    key_sql, key_np = key_type(bits)
+
     def add_keys(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
             sizes = np.array([len(v) for v in table.column("vec")], dtype=np.int64)
             for d in np.unique(sizes):
                 part = table.filter(pa.array(sizes == d))
-                keys = cell_keys(unit(_matrix(part.column("vec"))), bits, tables)
+                units = unit(_matrix(part.column("vec")))
+                _, code, factor = encode(units)
+                keys = cell_keys(units, bits, tables).astype(key_np)
+                packed = pa.array([x.tobytes() for x in np.packbits(code, axis=1, bitorder="little")], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
-                yield from part.append_column("keys", lists).to_batches()
-
-    keyed = classes.mapInArrow(add_keys, "label " + dict(classes.dtypes)["label"] + ", vec array<double>, rep long, copies long, keys array<long>")
-    cells = keyed.select("label", F.size("vec").alias("dim"), "rep", "copies", "vec", "keys", F.posexplode("keys").alias("t", "key"))
+                for name, made in (("code", packed), ("factor", pa.array(factor)), ("keys", lists)):
+                    part = part.append_column(name, made)
+                yield from part.to_batches()
+
+    schema = f"label {dict(classes.dtypes)['label']}, vec {kept}, rep long, copies long, code binary, factor double, keys array<{key_sql}>"
+    keyed = stage(classes.mapInArrow(add_keys, schema), "codes")
+    cells = keyed.select("label", F.size("vec").alias("dim"), "rep", "copies", "vec", "code", "factor", "keys", F.posexplode("keys").alias("t", "key"))
+    cells = cells.withColumn("t", F.col("t").cast("long"))
     group = ["label", "dim", "t", "key"]
-    sizes = cells.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
-    chunks = F.ceil(F.col("_size") / chunk)
+    # only cells of more than a chunk are listed; all others are one block
+    hot = stage(cells.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > chunk), "large-cells")
+    hot = hot.withColumn("_last", F.ceil(F.col("_size") / chunk) - 1)
     # the chunk of each row is needed to know which block counts a pair
-    blocks = with_blocks(cells.withColumn("t", F.col("t").cast("long")), group, sizes.withColumn("_last", chunks - 1), chunks, F.col("rep"))
+    blocks = with_blocks(cells, group, hot, F.col("_last") + 1, F.col("rep"), how="left").withColumn("_last", F.coalesce("_last", F.lit(0)))
     blocks = blocks.withColumn("_mine", F.pmod(F.xxhash64("rep"), F.col("_last") + 1))
-    found = map_blocks(blocks.select(*group, "_lo", "_hi", "_mine", "_last", "rep", "copies", "vec", "keys"), [*group, "_lo", "_hi"],
+    found = map_blocks(blocks.select(*group, "_lo", "_hi", "_mine", "_last", "rep", "copies", "vec", "code", "factor", "keys"), [*group, "_lo", "_hi"],
                        lambda b: _search(b, threshold), "rep long, other long, links long", lambda b: b.num_rows * b.num_rows // 2 + 1, PAIRS)
     found = stage(found, "links")
     links = found.groupBy(F.col("rep").alias("r2")).agg(F.sum("links").alias("links"))
