@@ -8,7 +8,7 @@ that discounting the words leaves.
 
 The tables are partitioned by key and never broadcast or collected:
 
-1. Documents are dealt into batches of about ``BATCH`` bytes of text.
+1. Documents are dealt into batches of about ``BATCH`` bytes of text, repeats of one row over several.
 2. Each batch sends its distinct words with training counts to the word's
    partition, which sums them and answers with total counts and word numbers.
 3. Each batch sends its distinct pairs to the partition of the history. A
@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 
 from ridelens.llm import textnum as X
 
-BATCH = 8 << 20
+BATCH, SHARD = 8 << 20, 32 << 20  # bytes of text of a batch, and for each partition of the tables
+SALTS = 64
 CUTOFF = 5  # counts above are not discounted
 FOLDS, HELD_FOLD = 7, 2
 END = np.uint64(0x656E645F746F6B65)  # the end token's key; words' keys are 64-bit hashes
@@ -364,12 +365,15 @@ class Plan:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, batch_bytes: int, parts: int | None):
         self.spark = docs.sparkSession
-        self.n = n = parts or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.crc32(key) % FOLDS == HELD_FOLD).alias("held_out"), F.col(text_col).alias("text"))
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.batches = max(1, math.ceil(size / batch_bytes))
-        self.texts = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.batches))).repartition(n, "batch")
+        # a partition holds its share of all requests: their number follows the text
+        self.n = n = parts or max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / SHARD))
+        # the salt keeps repeats of one row out of one batch
+        salt = F.monotonically_increasing_id() % SALTS
+        self.texts = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(self.batches))).repartition(n, "batch")
         self.asked_words = self.texts.groupBy("batch").applyInArrow(_ask_words(n), REQUEST)
         words = self.asked_words.groupBy("shard").applyInArrow(_sum_words(n), ANSWER)
         self.totals = words.filter("kind = 'words'").agg(self.add(CLASSES + 1).alias("x")).scalar()
