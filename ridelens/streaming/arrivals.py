@@ -10,11 +10,9 @@ idempotent per micro-batch, which gives exactly-once output.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ridelens.session import ensure_checkpoint_dir
+from ridelens.session import scratch_path
 from ridelens.sources.fixtures import payload_texts
 from ridelens.sources.payloads import flatten_arrivals
 
@@ -50,6 +48,6 @@ def run_available_now(stream: DataFrame, sink_path: str, checkpoint_path: str) -
 
 def arrivals_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run the arrivals stream to completion and return its sink table."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arrivals-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "arrivals")
     run_available_now(arrivals_from_stream(events_stream(spark, sf_dir)), f"{base}/sink", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/sink")

@@ -7,12 +7,10 @@ and no state, and the native append sink gives exactly-once output.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ridelens.operators.peak import response_peaks
-from ridelens.session import ensure_checkpoint_dir
+from ridelens.session import scratch_path
 from ridelens.sources.fixtures import payload_texts
 from ridelens.streaming.arrivals import events_stream, run_available_now
 
@@ -22,6 +20,6 @@ def peaks_from_stream(events: DataFrame) -> DataFrame:
 
 
 def peak_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/peaks-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "peaks")
     run_available_now(peaks_from_stream(events_stream(spark, sf_dir)), f"{base}/sink", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/sink")

@@ -2,7 +2,9 @@ import __spark_entry__ as E
 from ridelens.plans.oracle import ORACLE
 from ridelens.plans.queries import QUERIES
 
-ROWS_ONLY = {"rf_scores"}
+# a forest's numbers have no SQL form; all but rf_scores have a _checks query with SQL beside them
+ROWS_ONLY = {"rf_scores", "rf_predict", "rf_importance", "rf_time_importance", "rf_min_split", "rf_overfit", "learning_curve", "model_info",
+             "rf_hourly_profile"}
 
 
 def test_registry_and_oracle_keys():
@@ -10,6 +12,7 @@ def test_registry_and_oracle_keys():
     assert set(sql) <= set(q) and set(QUERIES) <= set(q)
     assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
     assert len(QUERIES) >= 94
+    assert {n for n in ROWS_ONLY if f"{n}_checks" in ORACLE} == ROWS_ONLY - {"rf_scores"}
 
 
 def test_entry_runs_on_smallest_tables(spark):

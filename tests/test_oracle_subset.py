@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 NAMES = ["top_stations", "wide_to_long", "cap_outliers", "group_means", "holiday_flags", "rolling", "label_encode",
          "peak_congestion", "adjust_level", "profile_summary", "flatten_hourly", "stratified_split", "class_report",
          "flatten_ridership", "flatten_arrivals", "validate_requests", "holiday_dim", "station_categories",
-         "interactions", "null_counts", "outlier_counts", "feature_family"]
+         "interactions", "null_counts", "outlier_counts", "feature_family", "monthly_history", "monthly_means", "monthly_codes",
+         "monthly_distinct", "duplicate_bits", "payload_outcomes", "csv_roundtrip", "describe_total"]
 
 
 @pytest.fixture(scope="module")
