@@ -51,3 +51,49 @@ def test_written_shards(spark, tmp_path):
     H.write_shards(df, H.hilbert_shards(df, 4), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 20 and back.groupBy("_shard").count().filter("count != 5").count() == 0
+
+
+def point_index(point, bits):
+    """A cell's curve index by rotating and reflecting the cube, step by step, without tables."""
+    n = len(point)
+    full = (1 << n) - 1
+    left = lambda x, k: ((x << k % n) | (x >> (n - k % n))) & full if k % n else x
+    gray = lambda x: x ^ (x >> 1)
+    entry, axis, index = 0, 0, 0
+    for b in range(bits - 1, -1, -1):
+        corner = sum(((c >> b) & 1) << j for j, c in enumerate(point))
+        turned = left(corner ^ entry, n - (axis + 1) % n)
+        digit = next(d for d in range(full + 1) if gray(d) == turned)
+        first = gray(2 * ((digit - 1) // 2)) if digit else 0
+        trailing = 0
+        m = 0 if digit == 0 else (digit if digit % 2 else digit - 1)
+        while m & 1:
+            trailing, m = trailing + 1, m >> 1
+        entry ^= left(first, axis + 1)
+        axis = (axis + trailing + 1) % n
+        index = (index << n) | digit
+    return index
+
+
+def test_index_shard_and_slot_of_every_row_by_hand(spark):
+    import math
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, "y" * int(2 ** rng.uniform(0, 14)) if i % 13 else None, rng.choice(["de", "en", None]), f"src{rng.randrange(9)}") for i in range(400)]
+    got = {r.doc_id: r for r in H.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 40).collect()}
+    keys = []
+    for doc, text, _, _ in rows:
+        r = got[doc]
+        size = len((text or "").encode()) + 16
+        assert r.dim_size == min(int(math.floor(2 * math.log2(size))), 31)
+        index = point_index((r.dim_lang, r.dim_source, r.dim_size), H.BITS)
+        assert r.hilbert == index
+        keys.append((index, zlib.crc32((text or "").encode()), doc))
+    placed: dict[int, int] = {}
+    for rank, (_, _, doc) in enumerate(sorted(keys)):
+        shard = rank * 40 // len(rows)
+        assert (got[doc].shard, got[doc].slot) == (shard, placed.setdefault(shard, 0))
+        placed[shard] += 1
+    # cells of one lang and source are one hash each
+    assert len({(r[2], got[r[0]].dim_lang) for r in rows}) == 3
