@@ -3,7 +3,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ridelens.operators import forest as N
