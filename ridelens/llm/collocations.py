@@ -1,44 +1,53 @@
-"""Phrase collocations by stripes, one level per phrase length.
+"""Phrase collocations by stripes.
 
-A stripe is (lang, prefix) -> {next word: count}; an empty prefix holds single words. A level k task counts the
-k-word windows of its texts and sends one row per prefix with parallel arrays of next words and counts, so the
-prefix travels once and hot prefixes are pre-aggregated. A stripe is cut by the next word's hash into pieces
-that go to different tasks; equal pieces are merged element by element. From the merged stripes come
+A stripe is (lang, prefix) -> {next word: count}; the empty prefix holds single words. A task counts the windows of
+1 to 5 words of its texts and sends one row per prefix with parallel arrays of next words and counts, so the prefix
+travels once and hot prefixes are pre-aggregated. A stripe is cut by the next word's hash into pieces that go to
+different tasks; equal pieces are merged element by element. From the merged stripes come
 
-* extensions: the entries with f >= ``least`` are the frequent phrases of k words;
-* prefix totals: every stripe counts the occurrences of its prefix that no entry holds (the end of a piece, or a
-  window passed over below) under the next word "", so its sum is f(prefix), the left side of the last cut;
+* extensions: the entries with f >= ``least`` are the frequent phrases;
+* prefix totals: n is the sum of the empty prefix's stripe, which counts the words that no entry holds under the next
+  word ""; the total of any other prefix is its last word's entry in the stripe one word shorter (its occurrences at
+  the end of a piece included);
 * subsumption maxima: an entry (prefix, next) has f(longer) for its prefix (by stripe) and for its words
   without the first (by entry); longer phrases contain one of k + 1 words that is at least as frequent.
 
-A window of k words is counted as an entry only if both its windows of k - 1 words pass a bitmap of the frequent
-ones (``bits``, of fixed size): no phrase is more frequent than its parts, so none is lost; what passes by chance
-falls at the exact threshold.
+Most windows are rare, and rare ones need not travel. Two passes before count windows by hash into a table of at
+most 2**26 counters (a byte each, that stops at 255; sent as compressed ranges and added up): first words, then
+windows whose words may all be frequent. A window becomes an entry only if it and its parts lie in counters of
+``least`` or more. A counter is never less than a window's count, so no frequent phrase is lost; what passes by
+chance falls at the exact threshold. The tables' size follows the text up to its bound, so what goes to every task
+is bounded.
 
 Defined cases: null texts are empty; a null lang is ``und``; repeated rows count each; an empty table gives no
-rows; phrases are compared by their words, not by hashes (within one slice of texts, windows are told apart by
-64-bit hashes).
+rows; phrases are compared by their words, not by hashes (within the ``HELD`` entries that a task holds, windows
+are told apart by 64-bit hashes).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridelens.llm.bits import bit_filter, passes
+from ridelens.llm.bits import passes
 from ridelens.llm.common import stage
-from ridelens.llm.textnum import GRAM_BASE, Texts, mix, prefix, ragged, release, slices, span_hash
+from ridelens.llm.textnum import GRAM_BASE, U64, Texts, mix, prefix, ragged, release, slices, span_hash
 
 LEAST, LONGEST, PERCENT, TOP = 100, 5, 100, 2000
-FILTER_BITS = 26
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
+#: entries that a task holds before it sends its stripes
+HELD = 1 << 20
+#: a table of counters: windows a counter in the mean, least and most bits of its number, counters of one row
+LOAD, LEAST_BITS, MOST_BITS, RANGE = 32, 15, 26, 1 << 18
+#: bytes of text that a task counts before it sends, where the cluster's cores have as much each
+TASK_TEXT = 64 << 20
 #: pieces of the stripe of the empty prefix, and of any other
 PIECES_OF_WORDS, PIECES = 4096, 16
 BREAK = np.zeros(256, dtype=bool)
@@ -82,98 +91,178 @@ class Windows:
         return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets[::k].astype(np.int32).tobytes()), pa.py_buffer(out.tobytes()))
 
 
-def stripes_of(w: Windows, names: pa.Array, doc_of: np.ndarray, k: int, frequent: np.ndarray | None) -> pa.RecordBatch | None:
-    """(lang, prefix, piece, next words, counts) of the k-word windows of a slice."""
-    at = np.flatnonzero(w.run >= max(k - 1, 1))  # where a prefix lies
-    if frequent is not None and len(at):
-        at = at[passes(frequent, w.hashes(at, k - 1))]
-    if not len(at):
-        return None
-    full = w.run[at] >= k
-    if frequent is not None:
-        full[full] = passes(frequent, w.hashes(at[full] + 1, k - 1))
-    head = w.hashes(at, k - 1) if k > 1 else w.lang[at]
-    nexts = np.zeros(len(at), dtype=np.uint64)  # 0: the rest
-    nexts[full] = w.t.hash[at[full] + k - 1]
-    order = np.lexsort((nexts, head))
-    head, nexts = head[order], nexts[order]
-    new = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (nexts[1:] != nexts[:-1])]))
-    counts, first = np.diff(np.append(new, len(order))), at[order[new]]
-    head, nexts, entry = head[new], nexts[new], full[order[new]]
-    piece = np.where(entry, (mix(nexts) % np.uint64(PIECES_OF_WORDS if k == 1 else PIECES)).astype(np.int64), 0)
-    order = np.lexsort((piece, head))
-    head, piece, counts, first, entry = head[order], piece[order], counts[order], first[order], entry[order]
-    rows = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (piece[1:] != piece[:-1])]))
-    bounds = pa.array(np.append(rows, len(head)), pa.int32())
-    words = w.texts(np.where(entry, first + k - 1, 0), 1)
-    if not entry.all():
-        words = pc.if_else(pa.array(entry), words, pa.scalar(REST))
-    return pa.RecordBatch.from_arrays([
-        names.take(pa.array(doc_of[w.t.doc[first[rows]]])), w.texts(first[rows], k - 1), pa.array(piece[rows], pa.int32()),
-        pa.ListArray.from_arrays(bounds, words), pa.ListArray.from_arrays(bounds, pa.array(counts, pa.int64()))],
-        names=["lang", "prefix", "piece", "nexts", "counts"])
-
-
-def count_stripes(docs: DataFrame, k: int, frequent: np.ndarray | None) -> DataFrame:
-    """Merged stripes of level k as entries: lang, prefix, next, f. ``docs``: lang, text."""
+def windows(batch: pa.RecordBatch) -> Iterator[tuple[Windows, pa.Array, np.ndarray]]:
+    """Of a batch (lang, text): the words of its slices, the distinct langs, and which of them every document has."""
+    langs = batch.column(0).dictionary_encode()
+    codes = np.array([lang_code(x) for x in langs.dictionary.to_pylist()], dtype=np.uint64)
+    which = langs.indices.to_numpy()
+    for at, to, t in slices(batch.column(1), lower=True, limit=SLICE_BYTES, gaps=GAPS):
+        yield Windows(t, codes[which[at:to]]), langs.dictionary, which[at:to]
+
+
+def counted(docs: DataFrame, lengths: list[int], bits: int, words: np.ndarray | None) -> DataFrame:
+    """(size, range, counts): per window length the counters of a task, as compressed ranges of ``RANGE`` bytes. With
+    ``words``, the filter of single words, only windows of such words are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = {k: np.zeros(1 << bits, dtype=np.uint8) for k in lengths}
         for batch in batches:
-            langs = batch.column(0).dictionary_encode()
-            codes = np.array([lang_code(x) for x in langs.dictionary.to_pylist()], dtype=np.uint64)
-            which = langs.indices.to_numpy()
-            for at, to, t in slices(batch.column(1), lower=True, limit=SLICE_BYTES, gaps=GAPS):
-                made = stripes_of(Windows(t, codes[which[at:to]]), langs.dictionary, which[at:to], k, frequent)
-                if made is not None:
-                    yield made
+            for w, _, _ in windows(batch):
+                at = np.arange(w.n)
+                fine = passes(words, w.hashes(at, 1)) if words is not None else np.ones(w.n, dtype=bool)
+                for k in range(1, max(lengths) + 1):
+                    at = at[w.run[at] >= k]
+                    at = at[fine[at + k - 1]]
+                    if k in tables:
+                        spot, n = np.unique(w.hashes(at, k) & np.uint64((1 << bits) - 1), return_counts=True)
+                        tables[k][spot] = np.minimum(tables[k][spot] + n, 255)
+        step = min(RANGE, 1 << bits)
+        for k, table in tables.items():
+            for r in np.flatnonzero(table.reshape(-1, step).any(axis=1)):
+                packed = zlib.compress(table[r * step : (r + 1) * step].tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([r], pa.int32()), pa.array([packed], pa.binary())], names=["size", "range", "counts"])
         release()
 
-    stripes = docs.mapInArrow(run, "lang string, prefix string, piece int, nexts array<string>, counts array<long>")
-    # equal pieces of a stripe meet in one task; the element-wise sum needs no further exchange
-    dealt = stripes.repartition("lang", "prefix", "piece")
-    return dealt.select("lang", "prefix", "piece", F.explode(F.arrays_zip("nexts", "counts")).alias("e")).groupBy(
-        "lang", "prefix", "piece", F.col("e.nexts").alias("next")).agg(F.sum("e.counts").alias("f")).drop("piece")
+    return docs.mapInArrow(run, "size int, range int, counts binary")
+
+
+def frequent_buckets(counts: DataFrame, lengths: list[int], bits: int, least: int) -> dict[int, np.ndarray]:
+    """Per window length a bitmap of the counters whose sum over all tasks is ``least`` or more. The driver gets
+    2**bits / 8 bytes a length."""
+    step = min(RANGE, 1 << bits)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+
+        def row() -> pa.RecordBatch:
+            found = np.packbits(total >= least, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([found], pa.binary())], names=["size", "range", "found"])
+
+        for batch in batches:  # in the order of size and range: one range is held at a time
+            for size, r, packed in zip(*[c.to_pylist() for c in batch.columns]):
+                if (size, r) != key:
+                    if key is not None:
+                        yield row()
+                    key, total = (size, r), np.zeros(step, dtype=np.int64)
+                total += np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+        if key is not None:
+            yield row()
+
+    dealt = counts.repartition("size", "range").sortWithinPartitions("size", "range")
+    out = {k: np.zeros((1 << bits) // 8, dtype=np.uint8) for k in lengths}
+    for r in dealt.mapInArrow(add, "size int, range int, found binary").collect():
+        out[r["size"]][r["range"] * step // 8 : (r["range"] + 1) * step // 8] = np.frombuffer(r["found"], dtype=np.uint8)
+    return out
+
+
+class Entries:
+    """The counted windows of a task: key, stripe, piece, count, and as texts lang, prefix, next word."""
 
+    NUMBERS, TEXTS = ("key", "head", "piece", "size", "count"), ("lang", "prefix", "next")
 
-def phrase_hashes(phrases: DataFrame, k: int) -> DataFrame:
-    """``h`` of every (lang, phrase) of k words, as ``Windows.hashes`` gives it."""
+    def __init__(self):
+        self.parts: list[dict] = []
+        self.rows = 0
+
+    def add(self, w: Windows, names: pa.Array, doc_of: np.ndarray, k: int, frequent: dict[int, np.ndarray]) -> None:
+        """The k-word windows of a slice that the filter lets through; of single words, the others as the rest."""
+        at = np.flatnonzero(w.run >= k)
+        h = w.hashes(at, k)
+        fine = passes(frequent[k], h)
+        if k > 1:
+            fine[fine] = passes(frequent[k - 1], w.hashes(at[fine], k - 1)) & passes(frequent[k - 1], w.hashes(at[fine] + 1, k - 1))
+        key, first, count = np.unique(h[fine], return_index=True, return_counts=True)
+        first = at[fine][first]
+        self._keep(key, first, count, w, names, doc_of, k, w.texts(first + k - 1, 1))
+        if k == 1 and not fine.all():
+            lang, first, count = np.unique(w.lang[~fine], return_index=True, return_counts=True)
+            first = np.flatnonzero(~fine)[first]
+            self._keep(mix(lang + U64(1)), first, count, w, names, doc_of, k, pa.array([REST] * len(first), pa.string()))
+
+    def _keep(self, key, first, count, w: Windows, names: pa.Array, doc_of, k: int, nexts: pa.Array) -> None:
+        if len(first):
+            head = mix(w.hashes(first, k - 1) + U64(k)) if k > 1 else mix(w.lang[first] + U64(k))
+            piece = mix(w.t.hash[first + k - 1]) % U64(PIECES_OF_WORDS if k == 1 else PIECES)
+            self.parts.append({"key": mix(key + U64(k)), "head": head, "piece": piece.astype(np.int64), "size": np.full(len(first), k), "count": count,
+                               "lang": names.take(pa.array(doc_of[w.t.doc[first]])), "prefix": w.texts(first, k - 1), "next": nexts})
+            self.rows += len(first)
+
+    def merge(self) -> None:
+        """Adds up equal windows of different slices."""
+        joined = {c: np.concatenate([p[c] for p in self.parts]) for c in self.NUMBERS}
+        key, first, which = np.unique(joined["key"], return_index=True, return_inverse=True)
+        made = {c: joined[c][first] for c in self.NUMBERS}
+        made["count"] = np.bincount(which, weights=joined["count"], minlength=len(key)).astype(np.int64)
+        self.parts = [made | {c: pa.concat_arrays([p[c] for p in self.parts]).take(pa.array(first)) for c in self.TEXTS}]
+        self.rows = len(key)
+
+    def stripes(self) -> Iterator[pa.RecordBatch]:
+        """(lang, size, prefix, piece, next words, counts); nothing is held afterwards."""
+        if self.rows:
+            self.merge()
+            p = self.parts[0]
+            order = np.lexsort((p["piece"], p["head"]))
+            head, piece = p["head"][order], p["piece"][order]
+            rows = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (piece[1:] != piece[:-1])]))
+            bounds, lead = pa.array(np.append(rows, len(head)), pa.int32()), pa.array(order[rows])
+            yield pa.RecordBatch.from_arrays([
+                p["lang"].take(lead), pa.array(p["size"][order[rows]], pa.int32()), p["prefix"].take(lead), pa.array(piece[rows], pa.int32()),
+                pa.ListArray.from_arrays(bounds, p["next"].take(pa.array(order))), pa.ListArray.from_arrays(bounds, pa.array(p["count"][order], pa.int64()))],
+                names=["lang", "size", "prefix", "piece", "nexts", "counts"])
+        self.parts, self.rows = [], 0
+
+
+def count_stripes(docs: DataFrame, longest: int, frequent: dict[int, np.ndarray]) -> DataFrame:
+    """The merged stripes as entries: lang, size (words with the next one), prefix, next, f. ``docs``: lang, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Entries()
         for batch in batches:
-            codes = np.array([lang_code(x) for x in batch.column(0).to_pylist()], dtype=np.uint64)
-            for at, to, t in slices(batch.column(1), gaps=GAPS):
-                w = Windows(t, codes[at:to])
-                yield pa.RecordBatch.from_arrays([pa.array(w.hashes(t.first[:-1], k).view(np.int64))], names=["h"])
+            for w, names, doc_of in windows(batch):
+                for k in range(1, longest + 1):
+                    held.add(w, names, doc_of, k, frequent)
+                if held.rows > HELD:
+                    held.merge()
+                    if held.rows > HELD // 2:
+                        yield from held.stripes()
+        yield from held.stripes()
+        release()
+
+    sent = docs.mapInArrow(run, "lang string, size int, prefix string, piece int, nexts array<string>, counts array<long>")
+    # equal pieces of a stripe meet in one task; the element-wise sum needs no further exchange
+    dealt = sent.repartition("lang", "size", "prefix", "piece")
+    return dealt.select("lang", "size", "prefix", "piece", F.explode(F.arrays_zip("nexts", "counts")).alias("e")).groupBy(
+        "lang", "size", "prefix", "piece", F.col("e.nexts").alias("next")).agg(F.sum("e.counts").alias("f")).drop("piece")
+
 
-    return phrases.select("lang", "phrase").mapInArrow(run, "h long")
+def window_filter(docs: DataFrame, least: int, longest: int, bits: int) -> dict[int, np.ndarray]:
+    """Per window length the bitmap of counters that a frequent window can have. ``bits``: of a counter's number."""
+    single = frequent_buckets(counted(docs, [1], bits, None), [1], bits, least)
+    lengths = list(range(2, longest + 1))
+    return {**single, **(frequent_buckets(counted(docs, lengths, bits, single[1]), lengths, bits, least) if lengths else {})}
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+def stripes(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(phrases, words): every phrase of 1 to ``longest`` words with f >= least as lang, phrase, size, f, prefix, next;
-    and n, the number of words, of every lang."""
+    and n, the number of words, of every lang: the total of the empty prefix. ``bits``: of a counter's number; by
+    default from the size of the texts."""
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    levels: list[DataFrame] = []
-    frequent, words = None, None
-    for k in range(1, longest + 1):
-        entries = count_stripes(docs, k, frequent)
-        if k == 1:
-            entries = stage(entries, "words")
-            words = stage(entries.groupBy("lang").agg(F.sum("f").alias("n")), "n-words")
-        phrase = F.concat_ws(" ", *(["prefix"] if k > 1 else []), "next")
-        kept = entries.filter((F.col("f") >= least) & (F.col("next") != REST))
-        level = stage(kept.select("lang", phrase.alias("phrase"), F.lit(k).alias("size"), "f", "prefix", "next"), f"phrases-{k}")
-        levels.append(level)
-        if k < longest:
-            frequent = bit_filter(phrase_hashes(level, k), "h", bits)
-            if not frequent.any():
-                break
-    return reduce(DataFrame.unionByName, levels), words
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = bits or min(MOST_BITS, max(LEAST_BITS, round(math.log2(size / 6 / LOAD + 1))))
+    # a task that counts more text sends less: what it meets again is added up before
+    docs = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TASK_TEXT)))
+    entries = count_stripes(docs, longest, window_filter(docs, least, longest, bits))
+    words = (F.col("size") == 1)
+    entries = stage(entries.filter(words | ((F.col("f") >= least) & (F.col("next") != REST))), "stripes")
+    phrase = F.when(words, F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
+    kept = entries.filter((F.col("f") >= least) & (F.col("next") != REST))
+    return kept.select("lang", phrase.alias("phrase"), "size", "f", "prefix", "next"), entries.filter(words).groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, percent: int = PERCENT, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: of each lang's phrases of 2 to ``longest`` words with a = f >= least
     that no longer one subsumes (100 * f(longer) >= percent * a), the ``top`` by their weakest cut's score."""
-    phrases, words = frequent_phrases(docs.select("lang", "text"), least, longest)
+    phrases, words = stripes(docs.select("lang", "text"), least, longest)
     shorter = lambda drop_first: F.regexp_replace("phrase", r"^[^ ]+ ", "") if drop_first else F.col("prefix")
     longer = phrases.filter("size > 2").select("lang", F.explode(F.array(shorter(False), shorter(True))).alias("phrase"), "f")
     longer = longer.groupBy("lang", "phrase").agg(F.max("f").alias("most"))
