@@ -37,7 +37,7 @@ def preprocess_with_stats(long_df: DataFrame, checkpoint: bool = True):
     df = reshape.with_congestion(df)
     df = reshape.normalize_names(df)
     if checkpoint:
-        df = checkpoint_stage(df, "processed", partition_by=["use_month"])
+        df = checkpoint_stage(df, "processed")
     df = clean.cap_outliers(df)
     # used by every statistic and code join of the chain: computed once
     shared = checkpoint_stage(stats.group_stats(calendar.with_month_third(df), STATS_KEYS), "stats")
