@@ -162,6 +162,13 @@ def test_learning_curve_scores_equal_separate_fits(spark, data):
     assert abs(scores[1] - got[0]["val_mean"]) <= 3 * got[0]["val_std"] + 0.05
 
 
+def test_learning_curve_does_not_grow_with_the_table(spark, data):
+    more = data.unionByName(data.withColumn("id", F.col("id") + 1200))
+    small, large = (M.learning_curve(x, FEATURES, "level", ["id"], steps=1, max_rows=300, bins=8, **SMALL).collect() for x in (data, more))
+    # three folds of four classes: at most four rows more in one fold than in another
+    assert all(len(c) == 1 and 196 <= c[0]["train_size"] <= 200 for c in (small, large))
+
+
 def test_learning_curve_of_nothing(spark, data):
     assert M.learning_curve(data.limit(0), FEATURES, "level", ["id"], **SMALL).count() == 0
 
